@@ -20,6 +20,7 @@ the coder reads in the same order.
 from __future__ import annotations
 
 import gc
+import re
 import uuid
 import zlib
 from collections.abc import Iterator
@@ -29,7 +30,7 @@ import numpy as np
 import pyarrow as pa
 import zstandard
 from pyspark import TaskContext
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import chunks, strings, work_dir
@@ -134,6 +135,9 @@ class Coder:
 
 # -- the library's ids -----------------------------------------------------
 
+#: White space, or what a special string may begin with.
+_ODD = re.compile(r"[\s<]")
+
 
 class Encoder:
     """Ids of texts as packed little-endian 16- or 32-bit integers."""
@@ -146,7 +150,9 @@ class Encoder:
         self.tok.no_padding()
         self.kind = np.dtype("<u2" if self.tok.get_vocab_size() <= 1 << 16 else "<u4")
         self.special = {t.content: i for i, t in self.tok.get_added_tokens_decoder().items()}
-        self.cache = PieceCache(self._piece)
+        if any(s[0] != "<" for s in self.special):
+            raise ValueError(f"{path}: special strings are expected to begin with <")
+        self.cache = PieceCache(self._piece, 1_600_000)
         lead = [i for s, i in self.tok.get_vocab().items() if s.startswith("Ġ")]
         self.leads = np.zeros(self.tok.get_vocab_size(), bool)
         self.leads[lead] = True
@@ -157,13 +163,11 @@ class Encoder:
     def warm(self, texts: list[str]) -> None:
         """Encode the pieces of the texts that aren't kept yet, many at a time.
 
-        Pieces of printable ASCII are joined into one text; each of them begins
-        with the only token in it that has a leading space.
+        Pieces without white space or special strings are joined into one text;
+        each of them begins with the only token in it that has a leading space.
         """
-        wanted = set().union(*(t.replace("\n", " \n").split(" ")[1:] for t in texts)).difference(self.cache)
-        plain = [x for x in wanted if x and len(x) <= 64 and x.isascii() and x.isprintable() and not any(s in x for s in self.special)]
-        other = [x for x in wanted if 0 < len(x) <= 64 and x[0] not in "\n" and not x.isascii() and x.isprintable() and not any(s in x for s in self.special)]
-        plain += [x for x in other if not any(c.isspace() for c in x)]
+        wanted = set().union(*(t.replace("\n", " \n").split(" ") for t in texts)).difference(self.cache)
+        plain = [x for x in wanted if 0 < len(x) <= 64 and not _ODD.search(x)]
         if len(self.cache) + len(plain) > self.cache.limit:
             self.cache.clear()
         groups = [plain[i : i + 500] for i in range(0, len(plain), 500)]
@@ -229,35 +233,36 @@ def _counts(kind: np.dtype, size: int):
     return run
 
 
-_BLOCKS = "part int, seq long, start long, keys array<long>, lengths array<long>, n long, lanes int, places array<long>, states binary, words binary, crc long, words_crc long"
+_BLOCKS = "part int, seq long, keys array<long>, lengths array<long>, n long, lanes int, places array<long>, states binary, words binary, crc long, words_crc long"
 _FIELDS = ("n", "lanes", "places", "states", "words", "crc", "words_crc")
-_BLOCK_SCHEMA = pa.schema([("part", pa.int32()), ("seq", pa.int64()), ("start", pa.int64()), ("keys", pa.list_(pa.int64())), ("lengths", pa.list_(pa.int64())), ("n", pa.int64()), ("lanes", pa.int32()), ("places", pa.list_(pa.int64())), ("states", pa.binary()), ("words", pa.binary()), ("crc", pa.int64()), ("words_crc", pa.int64())])
+_BLOCK_SCHEMA = pa.schema([("part", pa.int32()), ("seq", pa.int64()), ("keys", pa.list_(pa.int64())), ("lengths", pa.list_(pa.int64())), ("n", pa.int64()), ("lanes", pa.int32()), ("places", pa.list_(pa.int64())), ("states", pa.binary()), ("words", pa.binary()), ("crc", pa.int64()), ("words_crc", pa.int64())])
 
 
 def _encode(freq, kind: np.dtype):
-    """Blocks of about BLOCK ids of whole texts; start counts from the part's."""
+    """Blocks of about BLOCK ids of whole texts, numbered by their first chunk."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        coder, part, start, seq, keys, lengths, ids = Coder(freq.value), None, 0, 0, [], [], []
+        coder, part, first, keys, lengths, ids, n = Coder(freq.value), None, 0, [], [], [], 0
 
         def flush() -> Iterator[pa.RecordBatch]:
-            nonlocal start, seq, keys, lengths, ids
+            nonlocal keys, lengths, ids, n
             if keys:
-                flat = np.concatenate(ids)
-                block = coder.encode(flat)
-                row = [part, seq, start, keys, lengths, *(block[k] for k in _FIELDS)]
+                block = coder.encode(np.concatenate(ids))
+                row = [part, first, keys, lengths, *(block[k] for k in _FIELDS)]
                 yield pa.record_batch([pa.array([v], f.type) for v, f in zip(row, _BLOCK_SCHEMA, strict=True)], _BLOCK_SCHEMA)
-                start, seq, keys, lengths, ids = start + len(flat), seq + 1, [], [], []
+                keys, lengths, ids, n = [], [], [], 0
 
         for b in batches:
-            for p, k, n, data in zip(*(b.column(i).to_pylist() for i in range(4)), strict=True):
+            for p, q, k, size, data in zip(*(b.column(i).to_pylist() for i in range(5)), strict=True):
                 if p != part:
                     yield from flush()
-                    part, start, seq = p, 0, 0
+                if not keys:
+                    part, first = p, q
                 keys += k
-                lengths += n
+                lengths += size
                 ids.append(_unplane(data, kind))
-                if sum(map(len, ids)) >= BLOCK:
+                n += len(ids[-1])
+                if n >= BLOCK:
                     yield from flush()
         yield from flush()
 
@@ -276,7 +281,7 @@ def _decode(freq):
                 ends = np.cumsum(row["lengths"])
                 starts = ends - np.array(row["lengths"])
                 crc = [zlib.crc32(raw[4 * a : 4 * e]) for a, e in zip(starts.tolist(), ends.tolist(), strict=True)]
-                yield pa.record_batch([pa.array([row["part"]] * len(crc), pa.int32()), pa.array(row["keys"], pa.int64()), pa.array(starts + row["start"]), pa.array(row["lengths"], pa.int64()), pa.array(crc, pa.int64())], ["part", "key", "at", "n_tokens", "ids_crc32"])
+                yield pa.record_batch([pa.array([row["part"]] * len(crc), pa.int32()), pa.array([row["seq"]] * len(crc), pa.int64()), pa.array(row["keys"], pa.int64()), pa.array(starts), pa.array(row["lengths"], pa.int64()), pa.array(crc, pa.int64())], ["part", "seq", "key", "at", "n_tokens", "ids_crc32"])
 
     return run
 
@@ -306,9 +311,8 @@ def write_tokens(docs: DataFrame, path: str, out: str, end: int = 0, key: str =
     freq = scaled(total)
     spark.createDataFrame([(int(i), int(freq[i])) for i in np.flatnonzero(freq)], "id long, freq long").coalesce(1).write.parquet(f"{out}/freqs")
     shared = spark.sparkContext.broadcast(freq)
-    # A part of the ids table may be read in several tasks, so each is brought together again by its number.
-    parts = ids.repartition(n, "part").sortWithinPartitions("part", "seq")
-    parts.select("part", "keys", "lengths", "ids").mapInArrow(_encode(shared, kind), _BLOCKS).write.option("compression", "uncompressed").parquet(f"{out}/blocks")
+    # A file has its part's chunks in order, and so has any split of it: no shuffle is needed.
+    ids.select("part", "seq", "keys", "lengths", "ids").mapInArrow(_encode(shared, kind), _BLOCKS).write.option("compression", "uncompressed").parquet(f"{out}/blocks")
 
 
 def read_tokens(spark: SparkSession, out: str, key: str = "doc_id") -> DataFrame:
@@ -320,12 +324,14 @@ def read_tokens(spark: SparkSession, out: str, key: str = "doc_id") -> DataFrame
         freq[r["id"]] = r["freq"]
     shared = spark.sparkContext.broadcast(freq)
     blocks = spark.read.schema(_BLOCKS).parquet(f"{out}/blocks")
-    texts = blocks.mapInArrow(_decode(shared), "part int, key long, at long, n_tokens long, ids_crc32 long")
+    texts = blocks.mapInArrow(_decode(shared), "part int, seq long, key long, at long, n_tokens long, ids_crc32 long")
     # One row a range of keys: as many as the writer had partitions.
     sizes, before = sorted((r["part"], r["n"]) for r in blocks.groupBy("part").agg(F.sum("n").alias("n")).collect()), 0
     starts = []
     for part, n in sizes:
         starts.append((part, before))
         before += n
-    offsets = spark.createDataFrame(starts, "part int, before long")
-    return texts.join(F.broadcast(offsets), "part").select(F.col("key").alias(key), (F.col("at") + F.col("before")).alias("start"), "n_tokens", "ids_crc32")
+    parts = spark.createDataFrame(starts, "part int, before long")
+    earlier = Window.partitionBy("part").orderBy("seq").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = blocks.select("part", "seq", F.coalesce(F.sum("n").over(earlier), F.lit(0)).alias("within")).join(F.broadcast(parts), "part")
+    return texts.join(offsets, ["part", "seq"]).select(F.col("key").alias(key), (F.col("at") + F.col("within") + F.col("before")).alias("start"), "n_tokens", "ids_crc32")
