@@ -29,6 +29,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import zstandard
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from xxhash import xxh64_intdigest
@@ -98,48 +99,53 @@ def _from_five(data: bytes) -> np.ndarray:
 
 # -- gathering -------------------------------------------------------------
 
-_GATHERED = "kind int, seg long, x binary, y binary, z binary, w binary, rows binary"
+_GATHERED = "kind int, seg long, chunk long, x binary, y binary, z binary, w binary, learn binary"
 
 
-def _gather(n_bi: int, n_uni: int, flush: int = 2_500_000):
-    """Map side: rows (kind, segment, packed arrays) of about ``flush`` tokens.
+def _gather(n_bi: int, n_uni: int, flush: int = 1_800_000):
+    """Map side: rows (kind, segment, chunk, packed arrays) of about ``flush`` tokens.
 
     kind 1: bigram keys and counts of training texts.  kind 0: unigram hashes,
-    entries per hash, and for each entry the text's place and its count; rows:
-    the ids of the texts, then 1 for those of training, 0 for others.
+    entries per hash, and for each entry the text's place in the chunk and its
+    count; learn: which texts of the chunk are for training.  kind 3: the ids of
+    the chunk's texts.
     """
     bi_shift, uni_shift = _U(64 - int(math.log2(n_bi))), _U(64 - int(math.log2(n_uni)))
 
-    def one(rids: list[int], train: list[bool], texts: list[str]) -> pa.RecordBatch:
+    def one(chunk: int, rids: list[int], train: list[bool], texts: list[str]) -> Iterator[pa.RecordBatch]:
         tokens, n = hashed(texts)
-        at = np.repeat(np.arange(len(n)), n)
-        out: list[tuple] = []
+        texts.clear()
+        at = np.repeat(np.arange(len(n), dtype=np.int64), n)
+        out: list[tuple] = [(3, chunk, chunk, *_pack(np.array(rids, np.int64)), None, None, None, None)]
         learn = np.array(train, bool)
-        keys = np.sort(bigrams(tokens, n)[learn[at]])
+        keys = bigrams(tokens, n)[learn[at]]
+        keys.sort()
         starts, count = runs(keys)
         keys = keys[starts]
-        seg = keys >> bi_shift if n_bi > 1 else np.zeros(len(keys), _U)
-        edge, size = runs(seg)
+        edge, size = runs(keys >> bi_shift)
         for a, k in zip(edge.tolist(), size.tolist(), strict=True):
-            out.append((1, int(seg[a]), *_pack(_five(keys[a : a + k]), count[a : a + k].astype(np.uint32)), None, None, None))
+            out.append((1, int(keys[a] >> bi_shift), chunk, *_pack(_five(keys[a : a + k]), count[a : a + k].astype(np.uint32)), None, None, None))
+        del keys, starts, count
         words, place = np.unique(tokens, return_inverse=True)
-        pair = np.sort(place.astype(np.int64) * len(n) + at)
+        del tokens
+        pair = place * len(n) + at
+        del place, at
+        pair.sort()
         starts, tf = runs(pair)
         pair = pair[starts]
-        word, doc = pair // max(len(n), 1), pair % max(len(n), 1)
-        per = np.bincount(word, minlength=len(words))
+        per = np.bincount(pair // len(n), minlength=len(words))
         ends = np.cumsum(per)
-        seg = words >> uni_shift if n_uni > 1 else np.zeros(len(words), _U)
-        edge, size = runs(seg)
-        ids, learned = np.array(rids, np.int64), learn
+        doc = (pair % len(n)).astype(np.uint16 if len(n) <= 1 << 16 else np.uint32)
+        (marks,) = _pack(np.packbits(learn))
+        edge, size = runs(words >> uni_shift)
         for a, k in zip(edge.tolist(), size.tolist(), strict=True):
             lo, hi = int(ends[a] - per[a]), int(ends[a + k - 1])
-            own, local = np.unique(doc[lo:hi], return_inverse=True)
-            out.append((0, int(seg[a]), *_pack(words[a : a + k], per[a : a + k].astype(np.uint32), local.astype(np.uint32), tf[lo:hi].astype(np.uint32)), *_pack(np.concatenate([ids[own], learned[own].astype(np.int64)]))))
-        return pa.record_batch([pa.array(c, t) for c, t in zip(zip(*out, strict=True) if out else [[]] * 7, [pa.int32(), pa.int64(), *[pa.binary()] * 5], strict=True)], ["kind", "seg", "x", "y", "z", "w", "rows"])
+            out.append((0, int(words[a] >> uni_shift), chunk, *_pack(words[a : a + k], per[a : a + k].astype(np.uint32), doc[lo:hi], tf[lo:hi].astype(np.uint32)), marks))
+        kinds = [pa.int32(), pa.int64(), pa.int64(), *[pa.binary()] * 5]
+        yield pa.record_batch([pa.array(c, t) for c, t in zip(zip(*out, strict=True), kinds, strict=True)], ["kind", "seg", "chunk", "x", "y", "z", "w", "learn"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rids, train, texts, size = [], [], [], 0
+        chunk, rids, train, texts, size = TaskContext.get().partitionId() << 32, [], [], [], 0
         for b in batches:
             for rid, learn, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strings(b.column(2)), strict=True):
                 rids.append(rid)
@@ -147,10 +153,10 @@ def _gather(n_bi: int, n_uni: int, flush: int = 2_500_000):
                 texts.append(text)
                 size += len(text) // 6 + 1
                 if size >= flush:
-                    yield one(rids, train, texts)
-                    rids, train, texts, size = [], [], [], 0
+                    yield from one(chunk, rids, train, texts)
+                    chunk, rids, train, texts, size = chunk + 1, [], [], [], 0
         if rids:
-            yield one(rids, train, texts)
+            yield from one(chunk, rids, train, texts)
 
     return run
 
@@ -184,55 +190,70 @@ def _filter(keys: np.ndarray, counts: np.ndarray, base: float, k: int) -> np.nda
     return np.packbits(bits, bitorder="little")
 
 
-_BUILT = "kind int, seg long, bits binary, tokens long, types long, rid long, logs double, known long, copies long"
+_BUILT = "kind int, seg long, bits binary, tokens long, types long, chunk long, doc binary, logs binary, known binary, rids binary"
+_SCHEMA = pa.schema([("kind", pa.int32()), ("seg", pa.int64()), ("bits", pa.binary()), ("tokens", pa.int64()), ("types", pa.int64()), ("chunk", pa.int64()), ("doc", pa.binary()), ("logs", pa.binary()), ("known", pa.binary()), ("rids", pa.binary())])
 
 
 def _build(base: float, k: int):
-    """Reduce side: the filter of one segment, and base sums for texts."""
+    """Reduce side: the filter of one segment, and base sums of its chunks' texts."""
 
     def run(key: tuple, batch: pa.Table) -> pa.Table:
         kind, seg = key[0].as_py(), key[1].as_py()
-        cols = {c: batch.column(c).to_pylist() for c in ("x", "y", "z", "w", "rows")}
+        chunk = batch["chunk"].to_pylist()
+        if kind == 3:
+            return pa.Table.from_pylist([{"kind": 3, "chunk": c, "rids": x} for c, x in zip(chunk, batch["x"].to_pylist(), strict=True)], _SCHEMA)
+        x = batch["x"].to_pylist()
+        y = [_unpack(v, np.uint32).astype(np.int64) for v in batch["y"].to_pylist()]
         if kind == 1:
-            keys = np.concatenate([_from_five(x) for x in cols["x"]])
-            counts = np.concatenate([_unpack(y, np.uint32) for y in cols["y"]])
+            keys, counts = np.concatenate([_from_five(v) for v in x]), np.concatenate(y)
         else:
-            words = [_unpack(x, _U) for x in cols["x"]]
-            per = [_unpack(y, np.uint32).astype(np.int64) for y in cols["y"]]
-            doc = [_unpack(z, np.uint32) for z in cols["z"]]
-            tf = [_unpack(w, np.uint32).astype(np.int64) for w in cols["w"]]
-            rows = [_unpack(r, np.int64).reshape(2, -1) for r in cols["rows"]]
-            keys = np.concatenate(words)
-            counts = np.concatenate([np.bincount(np.repeat(np.arange(len(p)), p), t * r[1][d], len(p)) for p, d, t, r in zip(per, doc, tf, rows, strict=True)]).astype(np.int64)
+            keys, z, w = np.concatenate([_unpack(v, _U) for v in x]), batch["z"].to_pylist(), batch["w"].to_pylist()
+            learn = [np.unpackbits(_unpack(v, np.uint8)).astype(bool) for v in batch["learn"].to_pylist()]
+
+            def entries(i: int) -> tuple[np.ndarray, np.ndarray]:
+                tf = _unpack(w[i], np.uint32).astype(np.int64)
+                doc = zstandard.ZstdDecompressor().decompress(z[i])
+                return np.frombuffer(doc, np.uint16 if len(doc) == 2 * len(tf) else np.uint32), tf
+
+            found = []
+            for i, per in enumerate(y):
+                doc, tf = entries(i)
+                found.append(np.bincount(np.repeat(np.arange(len(per)), per), tf * learn[i][doc], len(per)).astype(np.int64))
+            counts = np.concatenate(found)
         order = np.argsort(keys, kind="stable")
-        starts, _ = runs(keys[order])
-        total = np.add.reduceat(counts[order].astype(np.int64), starts) if len(starts) else np.empty(0, np.int64)
-        distinct = keys[order][starts]
+        sorted_keys = keys[order]
+        starts, size = runs(sorted_keys)
+        total = np.add.reduceat(counts[order], starts)
         seen = total > 0
-        if kind == 0:
-            into = distinct & _U((1 << KEY_BITS) - 1)
-        else:
-            into = distinct
-        bits = _filter(into[seen], total[seen], base, k)
-        head = [[kind], [seg], [bits.tobytes()], [int(total.sum())], [int(seen.sum())], [None], [None], [None], [None]]
-        tables = [pa.table([pa.array(c, f.type) for c, f in zip(head, _SCHEMA, strict=True)], _SCHEMA)]
+        bits = _filter(sorted_keys[starts][seen] & _U((1 << KEY_BITS) - 1), total[seen], base, k)
+        out = [{"kind": kind, "seg": seg, "bits": bits.tobytes(), "tokens": int(total.sum()), "types": int(seen.sum())}]
         if kind == 0:
             back = np.empty(len(keys), np.int64)
-            back[order] = np.repeat(total, np.diff(np.r_[starts, len(keys)]))
+            back[order] = np.repeat(total, size)
             at = 0
-            for w, p, d, t, r in zip(words, per, doc, tf, rows, strict=True):
-                c = np.repeat(back[at : at + len(w)], p)
-                at += len(w)
-                n = r.shape[1]
-                logs, known = np.bincount(d, t * np.log10(c + 0.5), n), np.bincount(d, t * (c > 0), n).astype(np.int64)
-                none = pa.nulls(n, pa.int64())
-                tables.append(pa.table([pa.array(np.full(n, 2, np.int32)), pa.array(np.full(n, seg)), pa.nulls(n, pa.binary()), none, none, pa.array(r[0]), pa.array(logs), pa.array(known), pa.array(np.ones(n, np.int64))], _SCHEMA))
-        return pa.concat_tables(tables)
+            for i, per in enumerate(y):
+                doc, tf = entries(i)
+                c = np.repeat(back[at : at + len(per)], per)
+                at += len(per)
+                own, local = np.unique(doc, return_inverse=True)
+                logs, known = np.bincount(local, tf * np.log10(c + 0.5)), np.bincount(local, tf * (c > 0)).astype(np.uint32)
+                packed = _pack(own.astype(np.uint32), logs, known)
+                out.append({"kind": 2, "seg": seg, "chunk": chunk[i]} | dict(zip(("doc", "logs", "known"), packed, strict=True)))
+        return pa.Table.from_pylist(out, _SCHEMA)
 
     return run
 
 
-_SCHEMA = pa.schema([("kind", pa.int32()), ("seg", pa.int64()), ("bits", pa.binary()), ("tokens", pa.int64()), ("types", pa.int64()), ("rid", pa.int64()), ("logs", pa.float64()), ("known", pa.int64()), ("copies", pa.int64())])
+def _sum_chunk(key: tuple, batch: pa.Table) -> pa.Table:
+    """Base sums of a chunk's texts over all segments."""
+    rows = batch.to_pylist()
+    rids = next(_unpack(r["rids"], np.int64) for r in rows if r["rids"] is not None)
+    logs, known = np.zeros(len(rids)), np.zeros(len(rids), np.int64)
+    for r in sorted((r for r in rows if r["rids"] is None), key=lambda r: r["seg"]):
+        at = _unpack(r["doc"], np.uint32)
+        logs[at] += _unpack(r["logs"], np.float64)
+        known[at] += _unpack(r["known"], np.uint32)
+    return pa.table({"rid": rids, "logs": logs, "known": known})
 
 
 # -- scoring ---------------------------------------------------------------
@@ -338,7 +359,9 @@ def score_texts(docs: DataFrame, train: Column, key: str = "doc_id", text: str =
         return Filter({r["seg"]: bytes(r["bits"]) for r in found}, lo, hi, segments, base, k)
 
     uni = spark.sparkContext.broadcast(load(0, 0, n_uni, n_uni))
-    found = built.filter("kind = 2").select("rid", F.lit(None).cast("long").alias("key"), F.lit(None).cast("boolean").alias("train"), F.lit(None).cast("double").alias("score"), F.lit(None).cast("long").alias("n_tokens"), "logs", "known")
+    packed = built.filter("kind > 1").select("chunk", "seg", "rids", "doc", "logs", "known")
+    sums = packed.groupBy("chunk").applyInArrow(_sum_chunk, "rid long, logs double, known long")
+    found = sums.select("rid", F.lit(None).cast("long").alias("key"), F.lit(None).cast("boolean").alias("train"), F.lit(None).cast("double").alias("score"), F.lit(None).cast("long").alias("n_tokens"), "logs", "known")
     for lo, hi in zip(edges, edges[1:], strict=False):
         bi = spark.sparkContext.broadcast(load(1, lo, hi, n_bi))
         part = rows.select("rid", "text", "key", "train").mapInArrow(_score(uni, bi, n_tokens, types, size["train"], mu), "rid long, key long, train boolean, score double, n_tokens long")
