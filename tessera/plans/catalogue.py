@@ -1,15 +1,364 @@
-"""All queries of the library by name, with their SQL."""
+"""All queries of the library by name, with their SQL.
+
+``corpus`` is documents joined with labels (quality is the class); the
+evaluation queries share three closed-form systems on it: the majority class,
+a one-rule marker, and naive Bayes on TF-IDF weights, fitted on the training
+part of a stratified split and judged on its test part.
+"""
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from tessera.config import BOILERPLATE, CONFIDENCE_BINS, LENGTH_BINS, MARKERS
+from tessera.functions import stats, text
+from tessera.operators import eda, evaluation, models, predlog, quality
+from tessera.sources.corpus import labelled_documents as corpus
+
+RULE = r"(?i)\bthe\b"
+CUTOFF = "1995-06-17 00:00:00"
+
+
+def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "documents").select("doc_id", F.col("text").alias("content"), "lang", F.col("source").alias("subject"))
+
+
+def orders(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "orders").select("o_orderkey", "o_orderdate", (F.col("o_orderstatus") != "F").cast("int").alias("label"))
+
+
+def split(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return eda.stratified_split(corpus(spark, sf_dir))
+
+
+def _weights(spark: SparkSession, sf_dir: str):
+    """Split corpus, weights of all its documents, vocabulary of the training part."""
+    parts = split(spark, sf_dir)
+    terms = eda.term_table(parts).join(parts.select("doc_id", "split"), "doc_id")
+    train = terms.filter("split = 'train'")
+    vocab = eda.vocabulary(train, 2, 2000)
+    n = parts.filter("split = 'train'").count()
+    weights = eda.tfidf(terms.drop("split"), vocab, n).join(parts.select("doc_id", "split"), "doc_id")
+    return parts, weights, vocab
+
+
+def nb_model(spark: SparkSession, sf_dir: str):
+    parts, weights, vocab = _weights(spark, sf_dir)
+    return parts, weights, models.nb_fit(weights.filter("split = 'train'"), vocab)
+
+
+def nb_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    parts, weights, model = nb_model(spark, sf_dir)
+    sizes = {r["label"]: r["count"] for r in parts.filter("split = 'train'").groupBy("label").count().collect()}
+    priors = tuple(math.log(max(sizes.get(c, 0), 1) / max(sum(sizes.values()), 1)) for c in (0, 1))
+    return models.nb_predict(parts.filter("split = 'test'"), weights, model, priors)
+
+
+def eval_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    test = split(spark, sf_dir).filter("split = 'test'").select("doc_id", "label", "content")
+    rule = F.col("content").rlike(RULE).cast("int")
+    fixed = test.select("doc_id", F.lit("majority").alias("system"), "label", F.lit(1).alias("pred"), F.lit(1.0).alias("proba"))
+    ruled = test.select("doc_id", F.lit("rule").alias("system"), "label", rule.alias("pred"), F.when(rule == 1, 0.9).otherwise(0.1).cast("double").alias("proba"))
+    nb = nb_scores(spark, sf_dir).select("doc_id", F.lit("nb").alias("system"), "label", "pred", "proba")
+    return fixed.unionByName(ruled).unionByName(nb)
+
+
+def log(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Log of the conversation turns, with a confidence made from their length."""
+    c = table(spark, sf_dir, "conversations").withColumn("id", F.col("conv_id") * 1000 + F.col("turn"))
+    scored = c.withColumn("proba", (F.length("text") % 101) / 100.0)
+    rows = predlog.entries(scored, "text", "nb", F.col("role"), F.timestamp_seconds(F.lit(1704067200) + F.col("id")))
+    return predlog.resolved(rows, log_events(rows))
+
+
+def log_events(rows: DataFrame) -> DataFrame:
+    """Two events for every third id; the later one counts."""
+    x = rows.filter("id % 3 = 0").select("id", F.explode(F.sequence(F.lit(0), F.lit(1))).alias("event_ts"))
+    return x.withColumn("true_label", ((F.col("id") + F.col("event_ts")) % 2).cast("int"))
+
+
+def _terms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return eda.term_table(corpus(spark, sf_dir))
+
+
+def _with(f):
+    return lambda spark, sf_dir: f(corpus(spark, sf_dir))
+
+
+def _scores(f):
+    return lambda spark, sf_dir: f(eval_scores(spark, sf_dir))
+
+
+def clean_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return documents(spark, sf_dir).select("doc_id", F.array_join(text.clean_tokens(F.col("content")), " ").alias("clean"))
+
+
+def text_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return documents(spark, sf_dir).select("doc_id", *[(F.round(c, 6) if "ratio" in k or "avg" in k else c).alias(k) for k, c in text.text_stats(F.col("content")).items()])
+
+
+def _count(df: DataFrame, *keys: str) -> DataFrame:
+    return df.groupBy(*keys).agg(F.count("*").cast("long").alias("n"))
+
+
+def error_by_length(spark: SparkSession, sf_dir: str) -> DataFrame:
+    words = documents(spark, sf_dir).select("doc_id", text.n_words(F.col("content")).alias("w"))
+    return evaluation.rates_by(eval_scores(spark, sf_dir).join(words, "doc_id"), text.bucket(F.col("w"), LENGTH_BINS), [b for _, b in LENGTH_BINS])
+
+
+def error_by_confidence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    conf = F.round(F.greatest(F.col("proba"), 1 - F.col("proba")), 6)
+    return evaluation.rates_by(eval_scores(spark, sf_dir), text.bucket_upper(conf, CONFIDENCE_BINS), [b for _, b in CONFIDENCE_BINS])
+
+
+def ks_length(spark: SparkSession, sf_dir: str) -> DataFrame:
+    x = corpus(spark, sf_dir).select(F.least(text.n_words(F.col("content")), F.lit(2000)).alias("w"), "label")
+    return stats.ks_statistic(x, "w", "label").select(F.round("ks_statistic", 6).alias("ks_statistic"))
+
+
+def js_vocabulary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    v = eda.vocabulary(_terms(spark, sf_dir), 3, 20000)
+    return stats.js_distance(v, "df_fake", "df_real").select(F.round("js_distance", 6).alias("js_distance"))
+
+
+def tfidf_weights(spark: SparkSession, sf_dir: str) -> DataFrame:
+    _, weights, _ = _weights(spark, sf_dir)
+    return weights.select("doc_id", "term", F.round("weight", 6).alias("weight"))
+
+
+def nb_log_probs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    _, _, model = nb_model(spark, sf_dir)
+    return model.select("term", F.round("lp0", 6).alias("lp0"), F.round("lp1", 6).alias("lp1"))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {}
+    return {
+        "leakage_audit": _with(eda.leakage_audit),
+        "class_overview": _with(eda.class_overview),
+        "text_stats": text_stats,
+        "clean_tokens": clean_tokens,
+        "strip_boilerplate": lambda s, d: documents(s, d).select("doc_id", text.strip_boilerplate(F.col("content")).alias("stripped")),
+        "style_by_class": _with(eda.style_by_class),
+        "exact_duplicates": lambda s, d: eda.duplicates(documents(s, d), F.col("content")),
+        "normalised_duplicates": lambda s, d: eda.duplicates(documents(s, d), text.normalise(F.col("content"))),
+        "keep_first": lambda s, d: eda.keep_first(documents(s, d)),
+        "cross_label_texts": _with(eda.cross_label_texts),
+        "shared_openings": lambda s, d: eda.shared_openings(documents(s, d)),
+        "subject_crosstab": _with(eda.subject_crosstab),
+        "subject_rule": _with(eda.subject_rule),
+        "null_blank_profile": lambda s, d: eda.null_profile(table(s, d, "documents"), "documents").unionByName(eda.null_profile(table(s, d, "conversations"), "conversations")),
+        "encoding_profile": lambda s, d: quality.encoding_profile(table(s, d, "documents").select("text", "lang", "source"), "documents"),
+        "length_checks": lambda s, d: quality.length_checks(documents(s, d)),
+        "formatting_checks": lambda s, d: quality.formatting_checks(documents(s, d)),
+        "class_balance": _with(quality.class_balance),
+        "monthly_timeline": lambda s, d: eda.monthly_timeline(orders(s, d), "o_orderdate", F.col("label")),
+        "date_stump": lambda s, d: eda.date_stump(orders(s, d), "o_orderdate", F.col("label")),
+        "date_window": lambda s, d: eda.outside_window(orders(s, d), "o_orderdate", F.col("label")),
+        "temporal_split_counts": lambda s, d: _count(eda.temporal_split(orders(s, d), "o_orderdate", CUTOFF), "split", "label"),
+        "stratified_split": lambda s, d: split(s, d).select("doc_id", "label", "split"),
+        "stratified_folds": lambda s, d: eda.stratified_folds(corpus(s, d)).select("doc_id", "label", "fold"),
+        "seeded_sample": lambda s, d: eda.seeded_sample(documents(s, d), 100).select("doc_id"),
+        "balanced_subsample": lambda s, d: eda.balanced_subsample(corpus(s, d)).select("doc_id", "label"),
+        "vocabulary_ranking": lambda s, d: eda.vocabulary(_terms(s, d), 2, 500),
+        "discriminative_terms": lambda s, d: eda.discriminative_terms(_terms(s, d)),
+        "vocabulary_overlap": lambda s, d: eda.vocabulary_overlap(_terms(s, d)),
+        "length_histogram": _with(eda.length_histogram),
+        "ks_length": ks_length,
+        "js_vocabulary": js_vocabulary,
+        "tfidf_weights": tfidf_weights,
+        "nb_log_probs": nb_log_probs,
+        "nb_predictions": lambda s, d: nb_scores(s, d),
+        "linear_attribution": lambda s, d: models.attribution(nb_model(s, d)[1], nb_model(s, d)[2], 10),
+        "confusion_metrics": _scores(evaluation.confusion),
+        "error_direction": _scores(evaluation.error_direction),
+        "threshold_sweep": _scores(evaluation.threshold_sweep),
+        "roc_pr_areas": _scores(evaluation.areas),
+        "brier": _scores(evaluation.brier),
+        "error_by_length": error_by_length,
+        "error_by_confidence": error_by_confidence,
+        "model_overlap": _scores(evaluation.model_overlap),
+        "agreement_cells": lambda s, d: evaluation.agreement(eval_scores(s, d), "nb", "rule"),
+        "mcnemar_counts": _scores(evaluation.mcnemar_counts),
+        "top_errors": _scores(evaluation.top_errors),
+        "quality_checks": lambda s, d: quality.checks(corpus(s, d)),
+        "quality_score": lambda s, d: quality.score(quality.checks(corpus(s, d))),
+        "log_summary": lambda s, d: predlog.summary(log(s, d)),
+        "log_groups": lambda s, d: predlog.by(log(s, d)),
+        "log_corrections": lambda s, d: predlog.corrections(log(s, d)).select("text", "label", "model"),
+    }
+
+
+# -- SQL -------------------------------------------------------------------
+
+_W = r"'[\p{L}\p{N}_]+'"
+_CORPUS = "corpus AS (SELECT d.doc_id, d.text AS content, l.quality AS label, d.source AS subject FROM documents d JOIN labels l USING (doc_id))"
+_DOCS = "docs AS (SELECT doc_id, text AS content FROM documents)"
+
+
+def _words(c: str = "content") -> str:
+    return f"len(regexp_extract_all({c}, {_W}))"
+
+
+def _norm(c: str = "content") -> str:
+    return rf"trim(regexp_replace(regexp_replace(lower({c}), '[^a-z0-9 ]', ' ', 'g'), '\s+', ' ', 'g'))"
+
+
+def _clean(c: str = "content") -> str:
+    stops = ", ".join("'" + w.replace("'", "''") + "'" for w in text.stop_words())
+    t = f"lower({c})"
+    for p in (r"http\S+|www\.\S+", "<.*?>", r"[^a-z\s]"):
+        t = f"regexp_replace({t}, '{p}', ' ', 'g')"
+    return rf"list_filter(string_split(trim(regexp_replace({t}, '\s+', ' ', 'g')), ' '), lambda w: len(w) > 2 AND NOT list_contains([{stops}], w))"
+
+
+def _stripped() -> str:
+    """The patterns without the one lookahead, which DuckDB's engine does not have."""
+    t = "content"
+    for _, p in BOILERPLATE:
+        flags = "gi" if p.startswith("(?i)") else "g"
+        p = p.removeprefix("(?i)").replace(r"read more:.*?(?=\s[A-Z]|$)|", "").replace("'", "''")
+        t = f"regexp_replace({t}, '{p}', ' ', '{flags}')"
+    return rf"regexp_replace(regexp_replace({t}, '\s+', ' ', 'g'), '^\s+|\s+$', '', 'g')"
+
+
+def _dups(key: str) -> str:
+    return f"WITH {_DOCS}, p AS (SELECT {key} AS t, count(*) AS c FROM docs GROUP BY 1) SELECT CAST(sum(c) AS BIGINT) AS rows, count(*) AS distinct_texts, CAST(sum(c - 1) AS BIGINT) AS extra, count(*) FILTER (c > 1) AS \"groups\" FROM p"
+
+
+def _stats_sql(c: str = "content") -> dict[str, str]:
+    chars, words = f"length({c})", _words(c)
+
+    def count(p: str) -> str:
+        return f"len(regexp_extract_all({c}, '{p}'))"
+
+    def share(a: str, b: str) -> str:
+        return f"coalesce(CAST({a} AS DOUBLE) / nullif({b}, 0), 0.0)"
+
+    caps = f"len(list_filter(regexp_extract_all({c}, {_W}), lambda w: regexp_full_match(w, '[A-Z]{{2,}}')))"
+    return {
+        "n_chars": chars, "n_words": words, "n_sentences": f"greatest({count('[.!?]')}, 1)", "avg_word_len": share(f"length(regexp_replace({c}, '[^\\p{{L}}\\p{{N}}_]', '', 'g'))", words),
+        "exclamation_count": count("!"), "question_count": count(r"\?"), "quote_count": count('"'), "allcaps_words": caps, "allcaps_ratio": share(caps, words),
+        "digit_ratio": share(count(r"\p{Nd}"), chars), "upper_char_ratio": share(count(r"\p{Lu}"), chars),
+    }
+
+
+def _split_sql() -> str:
+    return f"{_CORPUS}, parts AS (SELECT *, CASE WHEN row_number() OVER (PARTITION BY label ORDER BY md5(doc_id || '-42'), doc_id) <= round(count(*) OVER (PARTITION BY label) * 0.2) THEN 'test' ELSE 'train' END AS split FROM corpus)"
+
+
+def _terms_sql(source: str) -> str:
+    return f"words AS (SELECT doc_id, label, unnest({_clean()}) AS term FROM {source}), terms AS (SELECT doc_id, label, term, count(*) AS tf FROM words GROUP BY ALL)"
+
+
+def _vocab_sql(min_df: int, size: int, source: str = "terms") -> str:
+    return f"vocab AS (SELECT term, CAST(sum(tf) AS BIGINT) AS tf, count(*) AS df, count(*) FILTER (label = 0) AS df_fake, count(*) FILTER (label = 1) AS df_real FROM {source} GROUP BY term HAVING count(*) >= {min_df} ORDER BY 2 DESC, term LIMIT {size})"
+
+
+def _nb_sql() -> str:
+    return (
+        f"WITH {_split_sql()}, {_terms_sql('parts')}, trained AS (SELECT terms.* FROM terms JOIN parts USING (doc_id) WHERE split = 'train'), {_vocab_sql(2, 2000, 'trained')}, "
+        "ntrain AS (SELECT count(*) AS n, count(*) FILTER (label = 0) AS n0, count(*) FILTER (label = 1) AS n1 FROM parts WHERE split = 'train'), "
+        "raw AS (SELECT t.doc_id, t.label, t.term, t.tf * (ln((n + 1.0) / (v.df + 1.0)) + 1.0) AS raw FROM terms t JOIN vocab v USING (term) CROSS JOIN ntrain), "
+        "weights AS (SELECT raw.doc_id, raw.label, term, raw / sqrt(sum(raw * raw) OVER (PARTITION BY raw.doc_id)) AS weight, split FROM raw JOIN parts USING (doc_id)), "
+        "per AS (SELECT v.term, coalesce(sum(weight) FILTER (label = 0), 0) AS w0, coalesce(sum(weight) FILTER (label = 1), 0) AS w1 FROM vocab v LEFT JOIN (SELECT * FROM weights WHERE split = 'train') w USING (term) GROUP BY v.term), "
+        "model AS (SELECT term, ln(w0 + 1) - ln(sum(w0 + 1) OVER ()) AS lp0, ln(w1 + 1) - ln(sum(w1 + 1) OVER ()) AS lp1 FROM per), "
+        "gap AS (SELECT doc_id, sum(weight * (lp1 - lp0)) AS gap FROM weights JOIN model USING (term) GROUP BY doc_id), "
+        "nb AS (SELECT p.doc_id, p.label, round(1 / (1 + exp(-(coalesce(gap, 0) + ln(n1 / n) - ln(n0 / n)))), 6) AS proba FROM parts p LEFT JOIN gap USING (doc_id) CROSS JOIN ntrain WHERE split = 'test'), "
+    )
+
+
+def _eval_sql() -> str:
+    return _nb_sql() + (
+        "scores AS (SELECT doc_id, 'majority' AS system, label, 1 AS pred, 1.0::DOUBLE AS proba FROM parts WHERE split = 'test' "
+        rf"UNION ALL SELECT doc_id, 'rule', label, CAST(regexp_matches(content, '{RULE}') AS INTEGER), CASE WHEN regexp_matches(content, '{RULE}') THEN 0.9 ELSE 0.1 END::DOUBLE FROM parts WHERE split = 'test' "
+        "UNION ALL SELECT doc_id, 'nb', label, CAST(proba >= 0.5 AS INTEGER), proba FROM nb)"
+    )
+
+
+def _rate_sql(cte: str, labels: list[str]) -> str:
+    dim = ", ".join(f"({i}, '{b}')" for i, b in enumerate(labels))
+    return f"{cte}, rates AS (SELECT system, bucket, count(*) AS n, CAST(sum(CAST(label <> pred AS INTEGER)) AS BIGINT) AS errors FROM b GROUP BY ALL), dim(bucket_ord, bucket) AS (VALUES {dim}) SELECT s.system, CAST(dim.bucket_ord AS INTEGER) AS bucket_ord, dim.bucket, coalesce(n, 0) AS n, coalesce(errors, 0) AS errors, round(CAST(errors AS DOUBLE) / n, 6) AS error_rate FROM (SELECT DISTINCT system FROM scores) s CROSS JOIN dim LEFT JOIN rates ON rates.system = s.system AND rates.bucket = dim.bucket"
+
+
+def _case(col: str, bins, upper: bool = False) -> str:
+    order = bins if upper else list(reversed(bins))
+    return "CASE " + " ".join(f"WHEN {col} {'<=' if upper else '>='} {e} THEN '{b}'" for e, b in order) + " END"
+
+
+_LOG = """
+    WITH base AS (SELECT conv_id * 1000 + turn AS id, text, role AS source, 'nb' AS model, (length(text) % 101) / 100.0::DOUBLE AS p, make_timestamp((1704067200 + conv_id * 1000 + turn) * 1000000) AS created_at FROM conversations),
+    log AS (SELECT id, created_at, source, model, sha256(text) AS input_hash, left(text, 500) AS text_preview, CASE WHEN p >= 0.5 THEN 1 ELSE 0 END AS prediction, CASE WHEN p >= 0.5 THEN 'REAL' ELSE 'FAKE' END AS label,
+            round(greatest(p, 1 - p), 6) AS confidence, CASE WHEN id % 3 = 0 THEN CAST((id + 1) % 2 AS INTEGER) END AS true_label FROM base)
+"""
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    style, docs_stats = _stats_sql(), _stats_sql()
+    audit = " UNION ALL ".join(f"SELECT '{m.replace(chr(39), chr(39) * 2)}' AS marker, count(*) FILTER (label = 0 AND regexp_matches(content, '(?m){p}')) AS h0, count(*) FILTER (label = 1 AND regexp_matches(content, '(?m){p}')) AS h1, count(*) FILTER (label = 0) AS n0, count(*) FILTER (label = 1) AS n1 FROM corpus" for m, p in ((m, p.replace(chr(39), chr(39) * 2)) for m, p in MARKERS.items()))
+    enc = {"replacement": "�", "mojibake": quality.HARD[1], "control": quality.SOFT[0], "invisible": quality.SOFT[1], "non_ascii": r"[^\x00-\x7f]"}
+    nulls = " UNION ALL ".join(rf"SELECT '{t}' AS table_name, count(*) AS rows, '{c}' AS column_name, count(*) FILTER ({c} IS NULL) AS nulls, count(*) FILTER (regexp_replace({c}, '\s', '', 'g') = '') AS blanks FROM {t}" for t, cs in (("documents", ("text", "lang", "source")), ("conversations", ("role", "text"))) for c in cs)
+    dates = "o AS (SELECT o_orderdate AS d, CAST(o_orderstatus <> 'F' AS INTEGER) AS label FROM orders)"
+    conf = "round(greatest(proba, 1 - proba), 6)"
+    cm = "c AS (SELECT system, count(*) FILTER (label = 1 AND pred = 1) AS tp, count(*) FILTER (label = 1 AND pred = 0) AS fn, count(*) FILTER (label = 0 AND pred = 1) AS fp, count(*) FILTER (label = 0 AND pred = 0) AS tn FROM scores GROUP BY system)"
+    wide = "wide AS (SELECT doc_id, coalesce(list_sort(list(system) FILTER (label <> pred)), []) AS wrong FROM scores GROUP BY doc_id)"
+    points = "points AS (SELECT system, proba, count(*) FILTER (label = 1) AS p, count(*) FILTER (label = 0) AS q FROM scores GROUP BY ALL), run AS (SELECT *, CAST(sum(p) OVER w AS DOUBLE) AS tp, CAST(sum(q) OVER w AS DOUBLE) AS fp, sum(p) OVER (PARTITION BY system) AS np, sum(q) OVER (PARTITION BY system) AS nq FROM points WINDOW w AS (PARTITION BY system ORDER BY proba DESC ROWS UNBOUNDED PRECEDING)), curve AS (SELECT system, proba, coalesce(fp / nullif(nq, 0), 0) AS fpr, coalesce(tp / nullif(np, 0), 0) AS tpr, coalesce(tp / nullif(tp + fp, 0), 0) AS precision FROM run)"
+    return {
+        "leakage_audit": f"WITH {_CORPUS}, h AS ({audit}), r AS (SELECT *, coalesce(h0 / nullif(n0, 0), 0) AS f, coalesce(h1 / nullif(n1, 0), 0) AS r FROM h) SELECT marker, round(f, 6) AS fake_rate, round(r, 6) AS real_rate, round(abs(r - f), 6) AS gap, round((CASE WHEN r >= f THEN h1 + n0 - h0 ELSE h0 + n1 - h1 END) / (n0 + n1), 6) AS one_rule_accuracy FROM r",
+        "class_overview": f"WITH {_CORPUS}, w AS (SELECT label, {_words()} AS w FROM corpus) SELECT label, count(*) AS articles, CAST(quantile_cont(w, 0.5) AS DOUBLE) AS median_words, round(avg(w), 6) AS mean_words, round(count(*) / sum(count(*)) OVER (), 6) AS share FROM w GROUP BY label",
+        "text_stats": f"WITH {_DOCS} SELECT doc_id, " + ", ".join(f"round({v}, 6) AS {k}" if "ratio" in k or "avg" in k else f"CAST({v} AS BIGINT) AS {k}" for k, v in docs_stats.items()) + " FROM docs",
+        "clean_tokens": f"WITH {_DOCS} SELECT doc_id, array_to_string({_clean()}, ' ') AS clean FROM docs",
+        "strip_boilerplate": f"WITH {_DOCS} SELECT doc_id, " + _stripped() + " AS stripped FROM docs",
+        "style_by_class": f"WITH {_CORPUS}, s AS (SELECT label, " + ", ".join(f"CAST({v} AS DOUBLE) AS {k}" for k, v in style.items()) + " FROM corpus), a AS (" + " UNION ALL ".join(f"SELECT '{k}' AS feature, avg({k}) FILTER (label = 0) AS f, avg({k}) FILTER (label = 1) AS r FROM s" for k in style) + ") SELECT feature, round(f, 6) AS fake, round(r, 6) AS real, round(f / nullif(r, 0), 6) AS ratio FROM a",
+        "exact_duplicates": _dups("content"),
+        "normalised_duplicates": _dups(_norm()),
+        "keep_first": f"WITH {_DOCS} SELECT min(doc_id) AS doc_id FROM docs GROUP BY content",
+        "cross_label_texts": f"WITH {_CORPUS}, p AS (SELECT content, min(label) AS a, max(label) AS b, count(*) AS c FROM corpus GROUP BY content) SELECT count(*) AS texts, CAST(coalesce(sum(c), 0) AS BIGINT) AS rows FROM p WHERE a <> b",
+        "shared_openings": f"WITH {_DOCS}, x AS (SELECT count(*) AS c, count(DISTINCT substring({_norm()}, 1, 120)) AS o, count(DISTINCT content) AS d FROM docs) SELECT greatest(d - o, 0) AS repeats, round(greatest(d - o, 0) / c, 6) AS rate FROM x",
+        "subject_crosstab": f"WITH {_CORPUS} SELECT subject, count(*) FILTER (label = 0) AS fake, count(*) FILTER (label = 1) AS real, CASE WHEN count(*) FILTER (label = 1) = 0 THEN 'fake only' WHEN count(*) FILTER (label = 0) = 0 THEN 'real only' ELSE 'mixed' END AS kind FROM corpus GROUP BY subject",
+        "subject_rule": f"WITH {_CORPUS}, s AS (SELECT subject, count(*) FILTER (label = 0) AS f, count(*) FILTER (label = 1) AS r FROM corpus GROUP BY subject) SELECT count(*) AS subjects, count(*) FILTER (f = 0 OR r = 0) AS exclusive, round(count(*) FILTER (f = 0 OR r = 0) / count(*), 6) AS purity, round(sum(greatest(f, r)) / sum(f + r), 6) AS rule_accuracy FROM s",
+        "null_blank_profile": nulls,
+        "encoding_profile": " UNION ALL ".join(f"SELECT 'documents' AS table_name, '{c}' AS column_name, " + ", ".join(f"count(*) FILTER (regexp_matches({c}, '{p}')) AS {k}" for k, p in enc.items()) + " FROM documents" for c in ("text", "lang", "source")),
+        "length_checks": f"WITH w AS (SELECT {_words('text')} AS w FROM documents) SELECT count(*) AS rows, count(*) FILTER (w < 20) AS short, count(*) FILTER (w > 6000) AS long_rows, min(w) AS min_words, CAST(quantile_cont(w, 0.5) AS DOUBLE) AS median_words, max(w) AS max_words, round(count(*) FILTER (w < 20) / count(*), 6) AS short_rate FROM w",
+        "formatting_checks": r"WITH x AS (SELECT len(regexp_extract_all(text, '\p{Lu}')) / nullif(length(text), 0) AS u, len(regexp_extract_all(text, '[A-Za-z]')) / nullif(length(text), 0) AS l FROM documents) SELECT count(*) AS rows, count(*) FILTER (coalesce(u, 0) > 0.6) AS shouting, count(*) FILTER (coalesce(l, 0) < 0.5) AS few_letters, round((count(*) FILTER (coalesce(u, 0) > 0.6) + count(*) FILTER (coalesce(l, 0) < 0.5)) / count(*), 6) AS rate FROM x",
+        "class_balance": f"WITH {_CORPUS}, x AS (SELECT count(*) FILTER (label = 0) AS fake, count(*) FILTER (label = 1) AS real FROM corpus), y AS (SELECT *, least(fake, real) / (fake + real) AS m FROM x) SELECT fake, real, round(m, 6) AS minority, CASE WHEN m > 0.35 THEN 'PASS' WHEN m > 0.2 THEN 'WARN' ELSE 'FAIL' END AS status FROM y",
+        "monthly_timeline": f"WITH {dates} SELECT strftime(d, '%Y-%m') AS month, count(*) FILTER (label = 0) AS fake, count(*) FILTER (label = 1) AS real FROM o GROUP BY 1",
+        "date_stump": f"WITH {dates}, p AS (SELECT d, count(*) FILTER (label = 0) AS f, count(*) FILTER (label = 1) AS r FROM o GROUP BY d), x AS (SELECT d, coalesce(sum(f) OVER b, 0) AS fb, coalesce(sum(r) OVER b, 0) AS rb, sum(f) OVER () AS fn, sum(r) OVER () AS rn FROM p WINDOW b AS (ORDER BY d ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)), y AS (SELECT d, 0 AS o, 'fake first' AS direction, fb + rn - rb AS hits, fn + rn AS total FROM x UNION ALL SELECT d, 1, 'real first', rb + fn - fb, fn + rn FROM x) SELECT strftime(d, '%Y-%m-%d') AS cutoff, direction, round(hits / total, 6) AS accuracy FROM y ORDER BY hits DESC, o, d LIMIT 1",
+        "date_window": f"WITH {dates}, s AS (SELECT min(d) FILTER (label = 0) AS lo0, max(d) FILTER (label = 0) AS hi0, min(d) FILTER (label = 1) AS lo1, max(d) FILTER (label = 1) AS hi1 FROM o) SELECT label, count(*) AS rows, count(*) FILTER (CASE WHEN label = 0 THEN NOT d BETWEEN lo1 AND hi1 ELSE NOT d BETWEEN lo0 AND hi0 END) AS outside FROM o CROSS JOIN s GROUP BY label",
+        "temporal_split_counts": f"WITH {dates} SELECT CASE WHEN d < TIMESTAMP '{CUTOFF}' THEN 'train' ELSE 'test' END AS split, label, count(*) AS n FROM o GROUP BY ALL",
+        "stratified_split": f"WITH {_split_sql()} SELECT doc_id, label, split FROM parts",
+        "stratified_folds": f"WITH {_CORPUS} SELECT doc_id, label, CAST((row_number() OVER (PARTITION BY label ORDER BY md5(doc_id || '-42'), doc_id) - 1) % 3 AS INTEGER) AS fold FROM corpus",
+        "seeded_sample": "SELECT doc_id FROM documents ORDER BY md5(doc_id || '-42'), doc_id LIMIT 100",
+        "balanced_subsample": f"WITH {_CORPUS}, x AS (SELECT doc_id, label, row_number() OVER (PARTITION BY label ORDER BY md5(doc_id || '-42'), doc_id) AS k FROM corpus) SELECT doc_id, label FROM x WHERE k <= (SELECT min(c) FROM (SELECT count(*) AS c FROM corpus GROUP BY label))",
+        "vocabulary_ranking": f"WITH {_CORPUS}, {_terms_sql('corpus')}, {_vocab_sql(2, 500)} SELECT * FROM vocab",
+        "discriminative_terms": f"WITH {_CORPUS}, {_terms_sql('corpus')}, {_vocab_sql(5, 40000)}, x AS (SELECT term, df, round(ln(((df_fake + 1) / sum(df_fake + 1) OVER ()) / ((df_real + 1) / sum(df_real + 1) OVER ())), 6) AS log_ratio FROM vocab), y AS (SELECT *, row_number() OVER (ORDER BY log_ratio DESC, term) AS a, row_number() OVER (ORDER BY log_ratio, term) AS b FROM x) SELECT CASE WHEN a <= 20 THEN 'fake' ELSE 'real' END AS side, term, log_ratio, df AS docs FROM y WHERE a <= 20 OR b <= 20",
+        "vocabulary_overlap": f"WITH {_CORPUS}, {_terms_sql('corpus')}, p AS (SELECT term, max(CAST(label = 0 AS INTEGER)) AS f, max(CAST(label = 1 AS INTEGER)) AS r FROM terms GROUP BY term) SELECT CAST(sum(f) AS BIGINT) AS fake_terms, CAST(sum(r) AS BIGINT) AS real_terms, count(*) FILTER (f = 1 AND r = 1) AS shared, round(count(*) FILTER (f = 1 AND r = 1) / count(*), 6) AS jaccard FROM p",
+        "length_histogram": f"WITH {_CORPUS}, w AS (SELECT least({_words()}, 2000) AS w, label FROM corpus), s AS (SELECT min(w) AS lo, max(w) AS hi FROM w) SELECT CAST(least(floor((w - lo) * 20 / greatest(hi - lo, 1)), 19) AS INTEGER) AS bin, count(*) FILTER (label = 0) AS fake, count(*) FILTER (label = 1) AS real FROM w CROSS JOIN s GROUP BY 1",
+        "ks_length": f"WITH {_CORPUS}, w AS (SELECT least({_words()}, 2000) AS w, label FROM corpus), p AS (SELECT w, count(*) FILTER (label = 0) AS a, count(*) FILTER (label = 1) AS b FROM w GROUP BY w), g AS (SELECT abs(sum(a) OVER (ORDER BY w ROWS UNBOUNDED PRECEDING) / sum(a) OVER () - sum(b) OVER (ORDER BY w ROWS UNBOUNDED PRECEDING) / sum(b) OVER ()) AS gap FROM p) SELECT round(max(gap), 6) AS ks_statistic FROM g",
+        "js_vocabulary": f"WITH {_CORPUS}, {_terms_sql('corpus')}, {_vocab_sql(3, 20000)}, x AS (SELECT df_fake / sum(df_fake) OVER () AS p, df_real / sum(df_real) OVER () AS q FROM vocab) SELECT round(sqrt(greatest(sum(CASE WHEN p > 0 THEN p * log2(p / ((p + q) / 2)) ELSE 0 END) / 2 + sum(CASE WHEN q > 0 THEN q * log2(q / ((p + q) / 2)) ELSE 0 END) / 2, 0)), 6) AS js_distance FROM x",
+        "tfidf_weights": _nb_sql() + "done AS (SELECT 1) SELECT doc_id, term, round(weight, 6) AS weight FROM weights",
+        "nb_log_probs": _nb_sql() + "done AS (SELECT 1) SELECT term, round(lp0, 6) AS lp0, round(lp1, 6) AS lp1 FROM model",
+        "nb_predictions": _nb_sql() + "done AS (SELECT 1) SELECT doc_id, label, proba, CAST(proba >= 0.5 AS INTEGER) AS pred FROM nb",
+        "linear_attribution": _nb_sql() + "x AS (SELECT doc_id, term, round(weight * (lp1 - lp0), 6) AS contribution FROM weights JOIN model USING (term)), y AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY abs(contribution) DESC, term) AS k FROM x) SELECT doc_id, CAST(k AS INTEGER) AS rank, term, contribution, CASE WHEN contribution >= 0 THEN 'REAL' ELSE 'FAKE' END AS pushes FROM y WHERE k <= 10",
+        "confusion_metrics": _eval_sql() + f", {cm}, m AS (SELECT *, coalesce(tp / nullif(tp + fp, 0), 0) AS p, coalesce(tp / nullif(tp + fn, 0), 0) AS r, coalesce(tn / nullif(tn + fp, 0), 0) AS s FROM c) SELECT system, tp, fn, fp, tn, round((tp + tn) / (tp + fn + fp + tn), 6) AS accuracy, round(p, 6) AS precision, round(r, 6) AS recall, round(coalesce(2 * tp / nullif(2 * tp + fp + fn, 0), 0), 6) AS f1, round((r + s) / 2, 6) AS balanced_accuracy, round(s, 6) AS recall_fake FROM m",
+        "error_direction": _eval_sql() + ", x AS (SELECT system, count(*) FILTER (label = 0 AND pred = 1) AS a, count(*) FILTER (label = 1 AND pred = 0) AS b, count(*) FILTER (label = 0) AS n0, count(*) FILTER (label = 1) AS n1 FROM scores GROUP BY system) SELECT system, a AS false_real, b AS false_fake, round(coalesce(a / nullif(n0, 0), 0), 6) AS false_real_rate, round(coalesce(b / nullif(n1, 0), 0), 6) AS false_fake_rate FROM x",
+        "threshold_sweep": _eval_sql() + ", t AS (SELECT unnest(range(5, 96)) AS t), x AS (SELECT system, t, count(*) FILTER (label = 1 AND floor(round(proba * 100, 4)) >= t) AS p, count(*) FILTER (floor(round(proba * 100, 4)) >= t) AS n, count(*) FILTER (label = 1) AS a FROM scores CROSS JOIN t GROUP BY system, t) SELECT system, round(t / 100, 6) AS threshold, round(CASE WHEN n = 0 THEN 1.0 ELSE p / n END, 6) AS precision, round(coalesce(p / nullif(a, 0), 0), 6) AS recall, round(coalesce(2 * p / nullif(n + a, 0), 0), 6) AS f1 FROM x",
+        "roc_pr_areas": _eval_sql() + f", {points}, l AS (SELECT *, coalesce(lag(fpr) OVER w, 0) AS f0, coalesce(lag(tpr) OVER w, 0) AS t0 FROM curve WINDOW w AS (PARTITION BY system ORDER BY proba DESC)) SELECT system, round(sum((fpr - f0) * (tpr + t0) / 2), 6) AS roc_auc, round(sum((tpr - t0) * precision), 6) AS average_precision FROM l GROUP BY system",
+        "brier": _eval_sql() + " SELECT system, round(avg((proba - label) * (proba - label)), 6) AS brier FROM scores GROUP BY system",
+        "error_by_length": _rate_sql(_eval_sql() + f", b AS (SELECT s.*, {_case(_words('d.text'), LENGTH_BINS)} AS bucket FROM scores s JOIN documents d USING (doc_id))", [b for _, b in LENGTH_BINS]),
+        "error_by_confidence": _rate_sql(_eval_sql() + f", b AS (SELECT *, {_case(conf, CONFIDENCE_BINS, True)} AS bucket FROM scores)", [b for _, b in CONFIDENCE_BINS]),
+        "model_overlap": _eval_sql() + f", {wide} SELECT array_to_string(wrong, ' + ') AS systems, count(*) AS articles, round(count(*) / sum(count(*)) OVER (), 6) AS share FROM wide WHERE len(wrong) > 0 GROUP BY 1",
+        "agreement_cells": _eval_sql() + f", {wide}, w AS (SELECT list_contains(wrong, 'nb') AS a, list_contains(wrong, 'rule') AS b FROM wide) SELECT 'nb' AS a, 'rule' AS b, count(*) FILTER (NOT w.a AND NOT w.b) AS both_right, count(*) FILTER (NOT w.a AND w.b) AS only_a, count(*) FILTER (w.a AND NOT w.b) AS only_b, count(*) FILTER (w.a AND w.b) AS both_wrong, round(count(*) FILTER (w.a = w.b) / count(*), 6) AS agree FROM w",
+        "mcnemar_counts": _eval_sql() + ", p AS (SELECT x.system AS a, y.system AS b, count(*) FILTER (x.label = x.pred AND y.label <> y.pred) AS only_a, count(*) FILTER (x.label <> x.pred AND y.label = y.pred) AS only_b FROM scores x JOIN scores y ON x.doc_id = y.doc_id AND x.system < y.system GROUP BY ALL) SELECT *, round(coalesce((abs(only_a - only_b) - 1) * (abs(only_a - only_b) - 1) / nullif(only_a + only_b, 0), 0), 6) AS chi2 FROM p",
+        "top_errors": _eval_sql() + f", e AS (SELECT system, doc_id, label, pred, {conf} AS confidence FROM scores WHERE label <> pred), r AS (SELECT *, row_number() OVER (PARTITION BY system ORDER BY confidence DESC, doc_id) AS k FROM e) SELECT system, CAST(k AS INTEGER) AS rank, doc_id, label, pred, confidence FROM r WHERE k <= 10",
+        "log_summary": _LOG + ", r AS (SELECT count(*) AS repeated_inputs FROM (SELECT input_hash FROM log GROUP BY 1 HAVING count(*) > 1)) SELECT count(*) AS total, count(*) FILTER (label = 'FAKE') AS fake, count(*) FILTER (label = 'REAL') AS real, round(avg(confidence), 6) AS avg_confidence, count(*) FILTER (confidence < 0.7) AS low_confidence, count(*) FILTER (true_label IS NOT NULL) AS reviewed, round(avg(CAST(true_label = prediction AS INTEGER)), 6) AS observed_accuracy, any_value(repeated_inputs) AS repeated_inputs FROM log CROSS JOIN r",
+        "log_groups": _LOG + " SELECT 'label' AS kind, label AS value, count(*) AS n FROM log GROUP BY 2 UNION ALL SELECT 'model', model, count(*) FROM log GROUP BY 2 UNION ALL SELECT 'source', source, count(*) FROM log GROUP BY 2",
+        "log_corrections": _LOG + " SELECT text_preview AS text, true_label AS label, model FROM log WHERE true_label IS NOT NULL",
+    }
