@@ -27,7 +27,7 @@ def js_distance(df: DataFrame, p: str, q: str) -> DataFrame:
     def part(c: Column) -> Column:
         return F.when(c > 0, c * F.log2(c / m)).otherwise(F.when(c.isNull(), None).otherwise(0.0))
 
-    return x.agg((F.sum(part(F.col("p"))) / 2 + F.sum(part(F.col("q"))) / 2).alias("d")).select(F.sqrt(F.greatest("d", F.lit(0.0))).alias("js_distance"))
+    return x.agg((F.sum(part(F.col("p"))) / 2 + F.sum(part(F.col("q"))) / 2).alias("d")).select(F.when(F.col("d").isNotNull(), F.sqrt(F.greatest("d", F.lit(0.0)))).alias("js_distance"))
 
 
 def ks_statistic(df: DataFrame, value: str, label: str) -> DataFrame:

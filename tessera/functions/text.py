@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import zipfile
 from functools import lru_cache
+from pathlib import Path
 
+import pyspark
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -15,10 +18,11 @@ WORD = r"[\p{L}\p{N}_]+"
 
 @lru_cache(1)
 def stop_words() -> tuple[str, ...]:
-    """Spark's own English list; pass another to ``clean_tokens`` if wanted."""
-    from pyspark.ml.feature import StopWordsRemover
-
-    return tuple(sorted(StopWordsRemover.loadDefaultStopWords("english")))
+    """Spark's own English list, read from its jar so that no session is needed."""
+    jars = Path(pyspark.__file__).parent / "jars"
+    with zipfile.ZipFile(next(jars.glob("spark-mllib_*.jar"))) as jar:
+        words = jar.read("org/apache/spark/ml/feature/stopwords/english.txt").decode().split()
+    return tuple(sorted(words))
 
 
 def ws_strip(col: Column) -> Column:
@@ -102,11 +106,14 @@ def char_ngrams(col: Column, low: int = 3, high: int = 5, most: int = 1500) -> C
     """Character n-grams within words padded by one space, case kept."""
     words = F.filter(F.split(F.substring(col, 1, most), r"\s+"), lambda w: w != "")
 
-    def grams(w: Column, n: int) -> Column:
-        padded = F.concat(F.lit(" "), w, F.lit(" "))
-        return F.transform(F.sequence(F.lit(1), F.greatest(F.length(padded) - n + 1, F.lit(1))), lambda i: F.substring(padded, i, n))
+    def of(n: int) -> Column:
+        def grams(w: Column) -> Column:
+            padded = F.concat(F.lit(" "), w, F.lit(" "))
+            return F.transform(F.sequence(F.lit(1), F.greatest(F.length(padded) - n + 1, F.lit(1))), lambda i: padded.substr(i, F.lit(n)))
+
+        return F.transform(words, grams)
 
-    return F.flatten(F.concat(*[F.transform(words, lambda w, n=n: grams(w, n)) for n in range(low, high + 1)]))
+    return F.flatten(F.concat(*[of(n) for n in range(low, high + 1)]))
 
 
 def preview(col: Column, pattern: str, around: int = 110) -> Column:

@@ -56,5 +56,5 @@ def forest_pipeline(columns: list[str], trees: int = 50, depth: int = 12, leaf:
 
 def stump(df: DataFrame, feature: str) -> DataFrame:
     """Majority label per value of one feature; ties go to class 0."""
-    per = df.groupBy(feature).agg(F.count_if(F.expr("label = 0")).alias("f"), F.count_if(F.expr("label = 1")).alias("r"))
-    return per.select(feature, (F.col("r") > F.col("f")).cast("int").alias("pred"), F.greatest("f", "r").cast("long").alias("hits"), (F.col("f") + F.col("r")).cast("long").alias("n"))
+    per = df.groupBy(feature).agg(F.count_if(F.expr("label = 0")).alias("_f"), F.count_if(F.expr("label = 1")).alias("_r"))
+    return per.select(feature, (F.col("_r") > F.col("_f")).cast("int").alias("pred"), F.greatest("_f", "_r").cast("long").alias("hits"), (F.col("_f") + F.col("_r")).cast("long").alias("n"))
