@@ -38,7 +38,7 @@ def _can_cut(ch: str) -> bool:
 class TreeEncoder:
     """Encodes and decodes with a tokenizers file whose words white space ends."""
 
-    def __init__(self, path: str, leaf: int = 2048, window: int = 256, cache: int = 500_000):
+    def __init__(self, path: str, leaf: int = 2048, window: int = 256, cache: int = 250_000):
         from tokenizers import Tokenizer
 
         self.tok = Tokenizer.from_file(path)
