@@ -102,7 +102,7 @@ def _from_five(data: bytes) -> np.ndarray:
 _GATHERED = "kind int, seg long, chunk long, x binary, y binary, z binary, w binary, learn binary"
 
 
-def _gather(n_bi: int, n_uni: int, flush: int = 1_800_000):
+def _gather(n_bi: int, n_uni: int, flush: int = 1_200_000):
     """Map side: rows (kind, segment, chunk, packed arrays) of about ``flush`` tokens.
 
     kind 1: bigram keys and counts of training texts.  kind 0: unigram hashes,
