@@ -12,7 +12,7 @@ from __future__ import annotations
 
 import re
 
-_LONG_RUN = re.compile(r"\s{3}|\s{2}\Z")
+LONG_RUN = re.compile(r"\s{3}|\s{2}\Z")
 _SINGLE = re.compile(r"(?<=\S)(?=[ \n]\S)")
 
 
@@ -49,7 +49,7 @@ class PieceCache(dict):
 
     def values_of(self, text: str) -> list:
         """Values of the pieces of a text without special strings, in order."""
-        if _LONG_RUN.search(text):
+        if LONG_RUN.search(text):
             return [self.plain(x) for x in _SINGLE.split(text)]
         first, *rest = text.replace("\n", " \n").split(" ")
         values = [self.plain(first)] if first else []

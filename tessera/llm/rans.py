@@ -28,13 +28,14 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import zstandard
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import chunks, strings, work_dir
-from .pieces import PieceCache
+from .pieces import LONG_RUN, PieceCache
 
 SCALE, LANES, EVERY, BLOCK = 20, 1024, 256, 1 << 20
 LOW = np.uint64(1 << 31)
@@ -153,31 +154,61 @@ class Encoder:
         if any(s[0] != "<" for s in self.special):
             raise ValueError(f"{path}: special strings are expected to begin with <")
         self.cache = PieceCache(self._piece, 1_600_000)
-        lead = [i for s, i in self.tok.get_vocab().items() if s.startswith("Ġ")]
-        self.leads = np.zeros(self.tok.get_vocab_size(), bool)
-        self.leads[lead] = True
+        vocab = self.tok.get_vocab()
+        self.leads = {c: np.zeros(self.tok.get_vocab_size(), bool) for c in "ĠĊ"}
+        for token, i in vocab.items():
+            if token[:1] in self.leads:
+                self.leads[token[0]][i] = True
 
     def _piece(self, piece: str) -> bytes:
         return np.array(self.tok.encode(piece, add_special_tokens=False).ids, self.kind).tobytes()
 
-    def warm(self, texts: list[str]) -> None:
-        """Encode the pieces of the texts that aren't kept yet, many at a time.
+    def warm(self, keys: list[str]) -> None:
+        """Encode those of the pieces that aren't kept yet, many at a time.
 
-        Pieces without white space or special strings are joined into one text;
-        each of them begins with the only token in it that has a leading space.
+        Pieces that differ in their first character only in kind, a space or a
+        newline, and have no other white space or special strings are joined
+        into one text; each begins with the only token in it that starts so.
         """
-        wanted = set().union(*(t.replace("\n", " \n").split(" ") for t in texts)).difference(self.cache)
-        plain = [x for x in wanted if 0 < len(x) <= 64 and not _ODD.search(x)]
-        if len(self.cache) + len(plain) > self.cache.limit:
-            self.cache.clear()
-        groups = [plain[i : i + 500] for i in range(0, len(plain), 500)]
-        for own, e in zip(groups, self.tok.encode_batch_fast([" " + " ".join(g) for g in groups], add_special_tokens=False), strict=True):
-            ids = np.array(e.ids, self.kind)
-            starts = np.flatnonzero(self.leads[ids])
-            if len(starts) == len(own):
-                data, size = ids.tobytes(), self.kind.itemsize
-                edges = [*(starts * size).tolist(), len(data)]
-                self.cache.update(zip(own, [data[a:b] for a, b in zip(edges, edges[1:], strict=False)], strict=True))
+        wanted = [x for x in keys if x not in self.cache and len(x) <= self.cache.longest]
+        for mark, lead, own in (("Ġ", " ", [x for x in wanted if x and not _ODD.search(x)]), ("Ċ", "", [x for x in wanted if x[:1] == "\n" and len(x) > 1 and not _ODD.search(x, 1)])):
+            if len(self.cache) + len(own) > self.cache.limit:
+                self.cache.clear()
+            groups = [own[i : i + 500] for i in range(0, len(own), 500)]
+            for group, e in zip(groups, self.tok.encode_batch_fast([lead + lead.join(g) for g in groups], add_special_tokens=False), strict=True):
+                ids = np.array(e.ids, self.kind)
+                starts = np.flatnonzero(self.leads[mark][ids])
+                if len(starts) == len(group):
+                    data, size = ids.tobytes(), self.kind.itemsize
+                    edges = [*(starts * size).tolist(), len(data)]
+                    self.cache.update(zip(group, [data[a:b] for a, b in zip(edges, edges[1:], strict=False)], strict=True))
+
+    def encode_rows(self, texts: list[str], end: int) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all texts one after another, ``end`` after each, and the rows' lengths.
+
+        Arrow cuts the texts and numbers the distinct pieces, so that only
+        these are looked up one by one; numpy lays their ids out in order.
+        """
+        odd = [bool(t) and (any(s in t for s in self.special) or LONG_RUN.search(t) is not None) for t in texts]
+        parts = pc.split_pattern(pa.array(["" if o else t.replace("\n", " \n") for t, o in zip(texts, odd, strict=True)], pa.string()), " ")
+        flat, bounds = parts.flatten(), np.concatenate([[0], np.cumsum(parts.value_lengths().to_numpy())])
+        heads = bounds[:-1]
+        firsts = flat.take(pa.array(heads)).to_pylist()
+        coded = flat.dictionary_encode()
+        keys, at = coded.dictionary.to_pylist(), coded.indices.to_numpy().astype(np.int64)
+        self.warm(keys)
+        values = [self.cache[k] for k in keys]
+        # A text's first piece has no space before it; an odd text is one piece.
+        values += [self.encode(t) if o else self.cache.plain(f) if f else b"" for t, o, f in zip(texts, odd, firsts, strict=True)]
+        values.append(np.array([end], self.kind).tobytes())
+        at[heads] = len(keys) + np.arange(len(texts))
+        at = np.insert(at, bounds[1:], len(values) - 1)
+        sizes = np.fromiter(map(len, values), np.int64, len(values)) // self.kind.itemsize
+        places = np.cumsum(sizes) - sizes
+        data, own = np.frombuffer(b"".join(values), self.kind), sizes[at]
+        ends = np.cumsum(own)
+        ids = data[np.arange(ends[-1]) - np.repeat(ends - own - places[at], own)]
+        return ids, np.add.reduceat(own, heads + np.arange(len(texts)))
 
     def encode(self, text: str) -> bytes:
         for s, i in self.special.items():
@@ -200,14 +231,12 @@ def _ids(path: str, end: int):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own, part, seq = encoder(path), TaskContext.get().partitionId(), 0
-        stop, z, width = np.array([end], own.kind).tobytes(), zstandard.ZstdCompressor(level=1), own.kind.itemsize
+        z, width = zstandard.ZstdCompressor(level=1), own.kind.itemsize
         for b in batches:
             keys, texts = b.column(0).to_pylist(), strings(b.column(1))
             for lo, hi in chunks(map(len, texts), 2_000_000, 1024):
-                own.warm(texts[lo:hi])
-                rows = [own.encode(t) + stop for t in texts[lo:hi]]
-                data = b"".join(rows)
-                yield pa.record_batch([pa.array([part], pa.int32()), pa.array([seq], pa.int64()), pa.array([keys[lo:hi]], pa.list_(pa.int64())), pa.array([[len(r) // width for r in rows]], pa.list_(pa.int64())), pa.array([z.compress(_planes(data, width))], pa.binary())], ["part", "seq", "keys", "lengths", "ids"])
+                ids, lengths = own.encode_rows(texts[lo:hi], end)
+                yield pa.record_batch([pa.array([part], pa.int32()), pa.array([seq], pa.int64()), pa.array([keys[lo:hi]], pa.list_(pa.int64())), pa.array([lengths.tolist()], pa.list_(pa.int64())), pa.array([z.compress(_planes(ids.tobytes(), width))], pa.binary())], ["part", "seq", "keys", "lengths", "ids"])
                 seq += 1
 
     return run
