@@ -20,7 +20,6 @@ the coder reads in the same order.
 from __future__ import annotations
 
 import gc
-import re
 import uuid
 import zlib
 from collections.abc import Iterator
@@ -35,7 +34,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import chunks, strings, work_dir
-from .pieces import LONG_RUN, PieceCache
+from .pieces import PieceCache
 
 SCALE, LANES, EVERY, BLOCK = 20, 1024, 256, 1 << 20
 LOW = np.uint64(1 << 31)
@@ -136,8 +135,14 @@ class Coder:
 
 # -- the library's ids -----------------------------------------------------
 
-#: White space, or what a special string may begin with.
-_ODD = re.compile(r"[\s<]")
+#: All texts with a run of white space that is cut otherwise (and perhaps a few more), for RE2.
+_RUNS = r"[\s\x0b\x1c-\x1f\x{85}\pZ]{3}|[\s\x0b\x1c-\x1f\x{85}\pZ]{2}\z"
+
+
+def _whole(piece: str) -> bool:
+    """Neither white space in it nor what a special string may begin with."""
+    return "<" not in piece and piece.split() == [piece]
+
 
 
 class Encoder:
@@ -171,7 +176,7 @@ class Encoder:
         into one text; each begins with the only token in it that starts so.
         """
         wanted = [x for x in keys if x not in self.cache and len(x) <= self.cache.longest]
-        for mark, lead, own in (("Ġ", " ", [x for x in wanted if x and not _ODD.search(x)]), ("Ċ", "", [x for x in wanted if x[:1] == "\n" and len(x) > 1 and not _ODD.search(x, 1)])):
+        for mark, lead, own in (("Ġ", " ", [x for x in wanted if _whole(x)]), ("Ċ", "", [x for x in wanted if x[:1] == "\n" and _whole(x[1:])])):
             if len(self.cache) + len(own) > self.cache.limit:
                 self.cache.clear()
             groups = [own[i : i + 500] for i in range(0, len(own), 500)]
@@ -189,8 +194,11 @@ class Encoder:
         Arrow cuts the texts and numbers the distinct pieces, so that only
         these are looked up one by one; numpy lays their ids out in order.
         """
-        odd = [bool(t) and (any(s in t for s in self.special) or LONG_RUN.search(t) is not None) for t in texts]
-        parts = pc.split_pattern(pa.array(["" if o else t.replace("\n", " \n") for t, o in zip(texts, odd, strict=True)], pa.string()), " ")
+        column = pa.array(texts, pa.string())
+        odd = pc.match_substring_regex(column, _RUNS)
+        for s in self.special:
+            odd = pc.or_(odd, pc.match_substring(column, s))
+        parts = pc.split_pattern(pc.replace_substring(pc.if_else(odd, "", column), "\n", " \n"), " ")
         flat, bounds = parts.flatten(), np.concatenate([[0], np.cumsum(parts.value_lengths().to_numpy())])
         heads = bounds[:-1]
         firsts = flat.take(pa.array(heads)).to_pylist()
@@ -199,7 +207,7 @@ class Encoder:
         self.warm(keys)
         values = [self.cache[k] for k in keys]
         # A text's first piece has no space before it; an odd text is one piece.
-        values += [self.encode(t) if o else self.cache.plain(f) if f else b"" for t, o, f in zip(texts, odd, firsts, strict=True)]
+        values += [self.encode(t) if o else self.cache.plain(f) if f else b"" for t, o, f in zip(texts, odd.to_pylist(), firsts, strict=True)]
         values.append(np.array([end], self.kind).tobytes())
         at[heads] = len(keys) + np.arange(len(texts))
         at = np.insert(at, bounds[1:], len(values) - 1)
