@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tessera.functions.stats import ratio
+from tessera.functions.stats import holm, mcnemar, ratio
 
 
 def _r(c: Column, name: str) -> Column:
@@ -103,3 +104,60 @@ def top_errors(scores: DataFrame, top: int = 10) -> DataFrame:
     w = Window.partitionBy("system").orderBy(F.desc("confidence"), "doc_id")
     x = scores.filter("label <> pred").withColumn("confidence", F.round(conf, 6)).withColumn("rank", F.row_number().over(w).cast("int"))
     return x.filter(F.col("rank") <= top).select("system", "rank", "doc_id", "label", "pred", "confidence")
+
+
+def calibration(scores: DataFrame, bins: int = 10) -> DataFrame:
+    """Mean prediction and observed share by quantile bin; an edge belongs to the bin below it."""
+    edges = scores.groupBy("system").agg(F.transform(F.percentile("proba", F.array(*[F.lit(i / bins) for i in range(1, bins)])), lambda e: F.round(e, 9)).alias("edges"))
+    x = scores.join(F.broadcast(edges), "system").withColumn("bin", F.size(F.filter("edges", lambda e: e < F.col("proba"))))
+    return x.groupBy("system", "bin").agg(F.count("*").cast("long").alias("n"), _r(F.avg("proba"), "mean_predicted"), _r(F.avg("label"), "observed"))
+
+
+def bootstrap(scores: DataFrame, draws: int = 300, seed: int = 42, level: float = 0.95) -> DataFrame:
+    """Accuracy and F1 of each system with percentile intervals.
+
+    Every system sees the same resample.  Documents with equal label and
+    predictions are alike to all statistics, so a resample is one multinomial
+    draw over these cells: the driver gets at most 2^(systems + 1) of them.
+    """
+    spark = scores.sparkSession
+    per = scores.groupBy("doc_id").agg(F.first("label").alias("label"), F.array_sort(F.collect_list(F.struct("system", "pred"))).alias("preds"))
+    cells = per.groupBy("label", "preds").agg(F.count("*").alias("n")).orderBy("label", "preds").collect()
+    schema = "system string, accuracy double, accuracy_low double, accuracy_high double, f1 double, f1_low double, f1_high double"
+    if not cells:
+        return spark.createDataFrame([], schema)
+    n, label = np.array([c["n"] for c in cells]), np.array([c["label"] for c in cells])
+    resampled = np.vstack([n, np.random.default_rng(seed).multinomial(n.sum(), n / n.sum(), draws)])
+    tail, rows = (1 - level) / 2, []
+    for system in sorted({p["system"] for c in cells for p in c["preds"]}):
+        pred = np.array([next((p["pred"] for p in c["preds"] if p["system"] == system), -1) for c in cells])
+        hits = resampled @ (pred == label) / n.sum()
+        both = resampled @ ((pred == 1) & (label == 1))
+        size = resampled @ ((pred == 1).astype(int) + (label == 1))
+        f1 = np.where(size > 0, 2 * both / np.maximum(size, 1), 0.0)
+        rows.append((system, *(round(float(v), 6) for s in (hits, f1) for v in (s[0], *np.quantile(s[1:], (tail, 1 - tail))))))
+    return spark.createDataFrame(rows, schema)
+
+
+def any_wrong(scores: DataFrame) -> DataFrame:
+    """doc_id, label, and whether any system is wrong on the document."""
+    return wide(scores).select("doc_id", "label", (F.size("wrong") > 0).cast("int").alias("any_wrong"))
+
+
+def marker_errors(wrong: DataFrame, markers: dict[str, str]) -> DataFrame:
+    """Documents and errors by marker, class and presence; empty groups are kept, with a null rate."""
+    keys = [(m, c, h) for m in markers for c in (0, 1) for h in (0, 1)]
+    hits = wrong.select("label", "any_wrong", *[F.col("content").rlike(f"(?m){p}").cast("int").alias(f"m{i}") for i, p in enumerate(markers.values())])
+    order = list(markers)
+    sums = []
+    for m, c, h in keys:
+        here = (F.col("label") == c) & (F.col(f"m{order.index(m)}") == h)
+        sums.append(F.struct(F.lit(m).alias("marker"), F.lit(c).alias("label"), F.lit(h).alias("present"), F.count_if(here).cast("long").alias("n"), F.count_if(here & (F.col("any_wrong") == 1)).cast("long").alias("errors")))
+    x = hits.agg(F.array(*sums).alias("g")).select(F.explode("g").alias("g")).select("g.*")
+    return x.withColumn("error_rate", F.round(F.try_divide(F.col("errors").cast("double"), F.col("n")), 6))
+
+
+def mcnemar_tests(scores: DataFrame) -> DataFrame:
+    """Every pair of systems: counts, p-value, and Holm's p over the pairs; one row a pair comes to the driver."""
+    rows = [(r["a"], r["b"], r["only_a"], r["only_b"], float(mcnemar(r["only_a"], r["only_b"])["p"])) for r in mcnemar_counts(scores).collect()]
+    return holm(scores.sparkSession.createDataFrame(rows, "a string, b string, only_a long, only_b long, p double"), "p")

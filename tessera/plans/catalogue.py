@@ -14,9 +14,10 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.config import BOILERPLATE, CONFIDENCE_BINS, LENGTH_BINS, MARKERS
+from tessera.config import BOILERPLATE, CONFIDENCE_BINS, COVERAGE_BINS, LENGTH_BINS, MARKERS
 from tessera.functions import stats, text
-from tessera.operators import eda, evaluation, models, predlog, quality
+from tessera.operators import eda, evaluation, models, neardup, predlog, quality
+from tessera.sources import pages
 from tessera.sources.corpus import labelled_documents as corpus
 
 RULE = r"(?i)\bthe\b"
@@ -139,6 +140,109 @@ def nb_log_probs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return model.select("term", F.round("lp0", 6).alias("lp0"), F.round("lp1", 6).alias("lp1"))
 
 
+def coverage(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """doc_id, matched: vocabulary terms in each test document."""
+    parts, weights, _ = _weights(spark, sf_dir)
+    matched = weights.groupBy("doc_id").agg(F.count("*").cast("long").alias("matched"))
+    return parts.filter("split = 'test'").select("doc_id").join(matched, "doc_id", "left").select("doc_id", F.coalesce("matched", F.lit(0)).cast("long").alias("matched"))
+
+
+def error_by_coverage(spark: SparkSession, sf_dir: str) -> DataFrame:
+    x = eval_scores(spark, sf_dir).join(coverage(spark, sf_dir), "doc_id")
+    return evaluation.rates_by(x, text.bucket(F.col("matched"), COVERAGE_BINS), [b for _, b in COVERAGE_BINS])
+
+
+def coverage_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    x = coverage(spark, sf_dir)
+    return x.agg(F.count("*").cast("long").alias("rows"), F.expr("percentile(matched, 0.5)").alias("median_matched"), F.round(F.avg((F.col("matched") < 5).cast("int")), 6).alias("low_share"))
+
+
+def feature_correlation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    words = documents(spark, sf_dir).select("doc_id", text.n_words(F.col("content")).alias("w"))
+    x = evaluation.any_wrong(eval_scores(spark, sf_dir)).join(coverage(spark, sf_dir), "doc_id").join(words, "doc_id")
+    return x.agg(F.round(F.corr("matched", "any_wrong"), 6).alias("matched_wrong"), F.round(F.corr("matched", "w"), 6).alias("matched_words"))
+
+
+def marker_class_errors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    wrong = evaluation.any_wrong(eval_scores(spark, sf_dir)).join(documents(spark, sf_dir).select("doc_id", "content"), "doc_id")
+    return evaluation.marker_errors(wrong, MARKERS)
+
+
+def style_of_errors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Mean style of wrong and right documents within each class."""
+    style = text.text_stats(F.col("content"))
+    x = evaluation.any_wrong(eval_scores(spark, sf_dir)).join(documents(spark, sf_dir).select("doc_id", "content"), "doc_id")
+    per = x.select("label", "any_wrong", *[c.cast("double").alias(k) for k, c in style.items()]).groupBy("label").agg(*[F.avg(F.when(F.col("any_wrong") == w, F.col(k))).alias(f"{k}_{w}") for k in style for w in (0, 1)])
+    each = F.explode(F.array(*[F.struct(F.lit(k).alias("feature"), F.col(f"{k}_1").alias("w"), F.col(f"{k}_0").alias("r")) for k in style]))
+    y = per.select("label", each.alias("x")).select("label", "x.*")
+    return y.select("label", "feature", F.round("w", 6).alias("wrong"), F.round("r", 6).alias("right"), F.round(F.try_divide(F.col("w"), F.nullif(F.col("r"), F.lit(0.0))), 6).alias("ratio"))
+
+
+def _parts(spark: SparkSession, sf_dir: str, content=None) -> tuple[DataFrame, DataFrame]:
+    """Training part with folds and test part, with cleaned tokens."""
+    parts = split(spark, sf_dir)
+    folds = eda.stratified_folds(corpus(spark, sf_dir)).select("doc_id", "fold")
+    x = parts.join(folds, "doc_id").withColumn("tokens", text.clean_tokens(F.col("content") if content is None else content(F.col("content"))))
+    return x.filter("split = 'train'"), x.filter("split = 'test'")
+
+
+def linear_eval(kind: str, tokens=None):
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        train, test = _parts(spark, sf_dir)
+        if tokens:
+            train, test = train.withColumn("tokens", tokens(F.col("content"))), test.withColumn("tokens", tokens(F.col("content")))
+        scores = models.calibrated_svm_scores(train, test, 2000) if kind == "svm" else models.ml_scores(train, test, models.linear_pipeline(kind, 2000, n=train.count()), kind)
+        return evaluation.confusion(scores)
+
+    return run
+
+
+def boosted_eval(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return evaluation.confusion(models.ml_scores(*_parts(spark, sf_dir), models.boosted_pipeline(), "boosted"))
+
+
+def _style_parts(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, list[str]]:
+    style = text.text_stats(F.col("content"))
+    x = split(spark, sf_dir).select("doc_id", "label", "split", *[c.cast("double").alias(k) for k, c in style.items()])
+    return x.filter("split = 'train'"), x.filter("split = 'test'"), list(style)
+
+
+def forest_eval(spark: SparkSession, sf_dir: str) -> DataFrame:
+    train, test, columns = _style_parts(spark, sf_dir)
+    return evaluation.confusion(models.ml_scores(train, test, models.forest_pipeline(columns), "forest"))
+
+
+def style_importance(spark: SparkSession, sf_dir: str) -> DataFrame:
+    train, test, columns = _style_parts(spark, sf_dir)
+    return models.permutation_importance(train, test, columns, models.forest_pipeline(columns))
+
+
+def stump_eval(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return models.stump(corpus(spark, sf_dir).withColumn("hit", F.col("content").rlike(RULE).cast("int")), "hit")
+
+
+def ablation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Accuracy by vocabulary size, with and without publisher boilerplate."""
+    out = None
+    for variant, content in (("raw", None), ("stripped", text.strip_boilerplate)):
+        train, test = _parts(spark, sf_dir, content)
+        for size in (50, 1000):
+            got = evaluation.confusion(models.ml_scores(train, test, models.linear_pipeline("nb", size), "nb")).select(F.lit(size).alias("features"), F.lit(variant).alias("variant"), "accuracy")
+            out = got if out is None else out.unionByName(got)
+    return out.groupBy("features").pivot("variant", ["raw", "stripped"]).agg(F.first("accuracy"))
+
+
+def learning_curve(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Scores of naive Bayes on growing parts of the training documents, by key hash."""
+    train, test = _parts(spark, sf_dir)
+    out = None
+    for percent in (25, 50, 100):
+        part = train.filter(F.pmod(F.xxhash64("doc_id"), F.lit(100)) < percent)
+        got = evaluation.confusion(models.ml_scores(part, test, models.linear_pipeline("nb", 2000), "nb")).withColumn("train_percent", F.lit(percent))
+        out = got if out is None else out.unionByName(got)
+    return out
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "leakage_audit": _with(eda.leakage_audit),
@@ -188,6 +292,29 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "agreement_cells": lambda s, d: evaluation.agreement(eval_scores(s, d), "nb", "rule"),
         "mcnemar_counts": _scores(evaluation.mcnemar_counts),
         "top_errors": _scores(evaluation.top_errors),
+        "error_by_coverage": error_by_coverage,
+        "coverage_stats": coverage_stats,
+        "feature_correlation": feature_correlation,
+        "marker_class_errors": marker_class_errors,
+        "style_of_errors": style_of_errors,
+        "roc_points": lambda s, d: evaluation.curve(eval_scores(s, d)).select("system", "proba", *[F.round(c, 6).alias(c) for c in ("fpr", "tpr", "precision")]),
+        "calibration_bins": _scores(evaluation.calibration),
+        "mcnemar_tests": _scores(evaluation.mcnemar_tests),
+        "bootstrap_ci": _scores(evaluation.bootstrap),
+        "minhash_classes": lambda s, d: neardup.classes(documents(s, d)),
+        "minhash_pairs": lambda s, d: neardup.pairs(documents(s, d)),
+        "html_extract": lambda s, d: pages.extract(table(s, d, "pages")),
+        "lr_eval": linear_eval("lr"),
+        "svm_eval": linear_eval("svm"),
+        "char_lr_eval": linear_eval("lr", lambda c: text.char_ngrams(c, most=1 << 30)),
+        "boosted_eval": boosted_eval,
+        "forest_eval": forest_eval,
+        "style_importance": style_importance,
+        "stump_eval": stump_eval,
+        "ablation": ablation,
+        "learning_curve": learning_curve,
+        "grid_search": lambda s, d: models.grid_search(_parts(s, d)[0]),
+        "parameter_effects": lambda s, d: models.parameter_effects(models.grid_search(_parts(s, d)[0])),
         "quality_checks": lambda s, d: quality.checks(corpus(s, d)),
         "quality_score": lambda s, d: quality.score(quality.checks(corpus(s, d))),
         "log_summary": lambda s, d: predlog.summary(log(s, d)),
@@ -293,6 +420,8 @@ def _case(col: str, bins, upper: bool = False) -> str:
     return "CASE " + " ".join(f"WHEN {col} {'<=' if upper else '>='} {e} THEN '{b}'" for e, b in order) + " END"
 
 
+_COVERAGE = "cov AS (SELECT p.doc_id, count(w.term) AS matched FROM parts p LEFT JOIN weights w ON w.doc_id = p.doc_id WHERE p.split = 'test' GROUP BY p.doc_id)"
+_WRONG = "wrong AS (SELECT doc_id, min(label) AS label, max(CAST(label <> pred AS INTEGER)) AS any_wrong FROM scores GROUP BY doc_id)"
 _LOG = """
     WITH base AS (SELECT conv_id * 1000 + turn AS id, text, role AS source, 'nb' AS model, (length(text) % 101) / 100.0::DOUBLE AS p, make_timestamp((1704067200 + conv_id * 1000 + turn) * 1000000) AS created_at FROM conversations),
     log AS (SELECT id, created_at, source, model, sha256(text) AS input_hash, left(text, 500) AS text_preview, CASE WHEN p >= 0.5 THEN 1 ELSE 0 END AS prediction, CASE WHEN p >= 0.5 THEN 'REAL' ELSE 'FAKE' END AS label,
@@ -358,6 +487,14 @@ def oracle_sql() -> dict[str, str]:
         "agreement_cells": _eval_sql() + f", {wide}, w AS (SELECT list_contains(wrong, 'nb') AS a, list_contains(wrong, 'rule') AS b FROM wide) SELECT 'nb' AS a, 'rule' AS b, count(*) FILTER (NOT w.a AND NOT w.b) AS both_right, count(*) FILTER (NOT w.a AND w.b) AS only_a, count(*) FILTER (w.a AND NOT w.b) AS only_b, count(*) FILTER (w.a AND w.b) AS both_wrong, round(count(*) FILTER (w.a = w.b) / count(*), 6) AS agree FROM w",
         "mcnemar_counts": _eval_sql() + ", p AS (SELECT x.system AS a, y.system AS b, count(*) FILTER (x.label = x.pred AND y.label <> y.pred) AS only_a, count(*) FILTER (x.label <> x.pred AND y.label = y.pred) AS only_b FROM scores x JOIN scores y ON x.doc_id = y.doc_id AND x.system < y.system GROUP BY ALL) SELECT *, round(coalesce((abs(only_a - only_b) - 1) * (abs(only_a - only_b) - 1) / nullif(only_a + only_b, 0), 0), 6) AS chi2 FROM p",
         "top_errors": _eval_sql() + f", e AS (SELECT system, doc_id, label, pred, {conf} AS confidence FROM scores WHERE label <> pred), r AS (SELECT *, row_number() OVER (PARTITION BY system ORDER BY confidence DESC, doc_id) AS k FROM e) SELECT system, CAST(k AS INTEGER) AS rank, doc_id, label, pred, confidence FROM r WHERE k <= 10",
+        "error_by_coverage": _rate_sql(_eval_sql() + f", {_COVERAGE}, b AS (SELECT s.*, {_case('matched', COVERAGE_BINS)} AS bucket FROM scores s JOIN cov USING (doc_id))", [b for _, b in COVERAGE_BINS]),
+        "coverage_stats": _eval_sql() + f", {_COVERAGE} SELECT count(*) AS rows, CAST(quantile_cont(matched, 0.5) AS DOUBLE) AS median_matched, round(avg(CAST(matched < 5 AS INTEGER)), 6) AS low_share FROM cov",
+        "feature_correlation": _eval_sql() + f", {_COVERAGE}, {_WRONG}, x AS (SELECT matched, any_wrong, {_words('d.text')} AS w FROM wrong JOIN cov USING (doc_id) JOIN documents d USING (doc_id)) SELECT round(corr(matched, any_wrong), 6) AS matched_wrong, round(corr(matched, w), 6) AS matched_words FROM x",
+        "marker_class_errors": _eval_sql() + f", {_WRONG}, m AS (" + " UNION ALL ".join(f"SELECT '{m.replace(chr(39), chr(39) * 2)}' AS marker, label, any_wrong, CAST(regexp_matches(d.text, '(?m){p.replace(chr(39), chr(39) * 2)}') AS INTEGER) AS present FROM wrong JOIN documents d USING (doc_id)" for m, p in MARKERS.items()) + "), dim AS (SELECT * FROM (SELECT DISTINCT marker FROM m) CROSS JOIN (VALUES (0), (1)) l(label) CROSS JOIN (VALUES (0), (1)) h(present)) SELECT dim.marker, dim.label, dim.present, count(m.label) AS n, CAST(coalesce(sum(any_wrong), 0) AS BIGINT) AS errors, round(sum(any_wrong) / nullif(count(m.label), 0), 6) AS error_rate FROM dim LEFT JOIN m ON m.marker = dim.marker AND m.label = dim.label AND m.present = dim.present GROUP BY ALL",
+        "style_of_errors": _eval_sql() + f", {_WRONG}, s AS (SELECT label, any_wrong, " + ", ".join(f"CAST({v} AS DOUBLE) AS {k}" for k, v in _stats_sql("d.text").items()) + " FROM wrong JOIN documents d USING (doc_id)), a AS (" + " UNION ALL ".join(f"SELECT label, '{k}' AS feature, avg({k}) FILTER (any_wrong = 1) AS w, avg({k}) FILTER (any_wrong = 0) AS r FROM s GROUP BY label" for k in style) + ") SELECT label, feature, round(w, 6) AS wrong, round(r, 6) AS \"right\", round(w / nullif(r, 0), 6) AS ratio FROM a",
+        "roc_points": _eval_sql() + f", {points} SELECT system, proba, round(fpr, 6) AS fpr, round(tpr, 6) AS tpr, round(precision, 6) AS precision FROM curve",
+        "calibration_bins": _eval_sql() + ", e AS (SELECT system, list_transform(quantile_cont(proba, [0.1, 0.2, 0.3, 0.4, 0.5, 0.6, 0.7, 0.8, 0.9]), lambda x: round(x, 9)) AS edges FROM scores GROUP BY system), x AS (SELECT s.*, CAST(len(list_filter(edges, lambda x: x < proba)) AS INTEGER) AS bin FROM scores s JOIN e USING (system)) SELECT system, bin, count(*) AS n, round(avg(proba), 6) AS mean_predicted, round(avg(label), 6) AS observed FROM x GROUP BY system, bin",
+        "stump_eval": f"WITH {_CORPUS}, x AS (SELECT CAST(regexp_matches(content, '{RULE}') AS INTEGER) AS hit, count(*) FILTER (label = 0) AS f, count(*) FILTER (label = 1) AS r FROM corpus GROUP BY 1) SELECT hit, CAST(r > f AS INTEGER) AS pred, greatest(f, r) AS hits, f + r AS n FROM x",
         "log_summary": _LOG + ", r AS (SELECT count(*) AS repeated_inputs FROM (SELECT input_hash FROM log GROUP BY 1 HAVING count(*) > 1)) SELECT count(*) AS total, count(*) FILTER (label = 'FAKE') AS fake, count(*) FILTER (label = 'REAL') AS real, round(avg(confidence), 6) AS avg_confidence, count(*) FILTER (confidence < 0.7) AS low_confidence, count(*) FILTER (true_label IS NOT NULL) AS reviewed, round(avg(CAST(true_label = prediction AS INTEGER)), 6) AS observed_accuracy, any_value(repeated_inputs) AS repeated_inputs FROM log CROSS JOIN r",
         "log_groups": _LOG + " SELECT 'label' AS kind, label AS value, count(*) AS n FROM log GROUP BY 2 UNION ALL SELECT 'model', model, count(*) FROM log GROUP BY 2 UNION ALL SELECT 'source', source, count(*) FROM log GROUP BY 2",
         "log_corrections": _LOG + " SELECT text_preview AS text, true_label AS label, model FROM log WHERE true_label IS NOT NULL",
