@@ -183,6 +183,7 @@ def _parts(spark: SparkSession, sf_dir: str, content=None) -> tuple[DataFrame, D
     parts = split(spark, sf_dir)
     folds = eda.stratified_folds(corpus(spark, sf_dir)).select("doc_id", "fold")
     x = parts.join(folds, "doc_id").withColumn("tokens", text.clean_tokens(F.col("content") if content is None else content(F.col("content"))))
+    x = x.select("doc_id", "label", "content", "fold", "split", "tokens").persist()  # the fits read it many times
     return x.filter("split = 'train'"), x.filter("split = 'test'")
 
 
