@@ -306,7 +306,6 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "minhash_pairs": lambda s, d: neardup.pairs(documents(s, d)),
         "html_extract": lambda s, d: pages.extract(table(s, d, "pages")),
         "lr_eval": linear_eval("lr"),
-        "svm_eval": linear_eval("svm"),
         "char_lr_eval": linear_eval("lr", lambda c: text.char_ngrams(c, most=1 << 30)),
         "boosted_eval": boosted_eval,
         "forest_eval": forest_eval,
