@@ -12,6 +12,7 @@ import uuid
 from collections.abc import Iterable, Iterator
 
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -66,6 +67,17 @@ def chunks(sizes: Iterable[int], limit: int, most: int = 4096) -> Iterator[tuple
         yield start, i
 
 
+def slices(column: pa.Array, limit: int = 4_000_000) -> Iterator[tuple[int, int, list[str]]]:
+    """(a, b, texts of rows [a, b)), about ``limit`` bytes at a time.
+
+    A batch can hold a whole input split; only one slice of it is held as
+    Python strings.
+    """
+    sizes = pc.fill_null(pc.binary_length(column), 0).to_pylist()
+    for a, b in chunks(sizes, limit):
+        yield a, b, strings(column.slice(a, b - a))
+
+
 def lower_words(text: str) -> list[bytes]:
     """Words ``[^\\x20\\x09-\\x0D]+`` of the text with A-Z in lower case, as UTF-8.
 

@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from xxhash import xxh64_intdigest
 
-from .common import lower_words, materialise, strings
+from .common import lower_words, materialise, slices
 from .components import components, forest
 
 RADIUS, SHINGLE, SEED = 2, 3, 42
@@ -63,7 +63,7 @@ def fingerprints(docs: DataFrame, key: str = "doc_id", text: str = "text") -> Da
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            fps = np.array([fingerprint(t) for t in strings(b.column(1))], np.uint64)
+            fps = np.array([fingerprint(t) for _, _, texts in slices(b.column(1)) for t in texts], np.uint64)
             yield pa.record_batch([b.column(0), pa.array(fps.view(np.int64))], ["key", "fp"])
 
     rows = docs.select(F.col(key).cast("long").alias("key"), F.col(text).cast("string").alias("text"))

@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import chunks, strings
+from .common import chunks, slices
 
 #: Tokens: ids and their [start, end) in the text.
 Tokens = list[tuple[int, int, int]]
@@ -163,8 +163,9 @@ def encode_texts(docs: DataFrame, path: str, key: str = "doc_id", text: str = "t
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = encoder(path)
         for b in batches:
-            ids = [own.encode(t) for t in strings(b.column(1))]
-            yield pa.record_batch([b.column(0), pa.array(ids, pa.list_(pa.int32())), pa.array([own.decode(i) for i in ids])], ["key", "ids", "decoded"])
+            for x, y, texts in slices(b.column(1)):
+                ids = [own.encode(t) for t in texts]
+                yield pa.record_batch([b.column(0).slice(x, y - x), pa.array(ids, pa.list_(pa.int32())), pa.array([own.decode(i) for i in ids])], ["key", "ids", "decoded"])
 
     return _rows(docs, key, text).mapInArrow(run, "key long, ids array<int>, decoded string").withColumnRenamed("key", key)
 
@@ -180,7 +181,8 @@ def round_trip_digests(docs: DataFrame, path: str, key: str = "doc_id", text: st
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = encoder(path)
         for b in batches:
-            n, ids, decoded = zip(*own.digests(strings(b.column(1))), strict=True) if b.num_rows else ((), (), ())
-            yield pa.record_batch([b.column(0), pa.array(n, pa.int64()), pa.array(ids, pa.string()), pa.array(decoded, pa.string())], ["key", "n_tokens", "ids_sha256", "decoded_sha256"])
+            for x, y, texts in slices(b.column(1)):
+                n, ids, decoded = zip(*own.digests(texts), strict=True)
+                yield pa.record_batch([b.column(0).slice(x, y - x), pa.array(n, pa.int64()), pa.array(ids, pa.string()), pa.array(decoded, pa.string())], ["key", "n_tokens", "ids_sha256", "decoded_sha256"])
 
     return _rows(docs, key, text).mapInArrow(run, "key long, n_tokens long, ids_sha256 string, decoded_sha256 string").withColumnRenamed("key", key)

@@ -19,13 +19,12 @@ import math
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import strings
+from .common import slices, strings
 
 BLOCK, LEVEL, DICTIONARY = 1000, 3, 112 << 10
 
@@ -94,7 +93,7 @@ def _features(dictionaries):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = Sizes(*dictionaries)
         for b in batches:
-            f = [own.features(t) for t in strings(b.column(1))]
+            f = [own.features(t) for _, _, texts in slices(b.column(1)) for t in texts]
             yield pa.record_batch([b.column(0), pa.array([x for x, _ in f], pa.float64()), pa.array([y for _, y in f], pa.float64())], ["label", "x", "y"])
 
     return run
@@ -158,10 +157,11 @@ def score(docs: DataFrame, model: Model, text: str = "text", name: str = "score"
         return docs.withColumn(name, F.lit(float(model.prior)))
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
-    @F.pandas_udf("double")
-    def run(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    @F.arrow_udf("double")
+    def run(columns: Iterator[pa.Array]) -> Iterator[pa.Array]:
         own = Sizes(*shared.value.dictionaries)
-        for batch in texts:
-            yield pd.Series(shared.value.scores(np.array([own.features(t or "") for t in batch]).reshape(-1, 2)))
+        for column in columns:
+            found = [own.features(t) for _, _, texts in slices(column) for t in texts]
+            yield pa.array(shared.value.scores(np.array(found).reshape(-1, 2)), pa.float64())
 
     return docs.withColumn(name, run(F.col(text).cast("string")))
