@@ -121,8 +121,10 @@ class TreeEncoder:
         missing = list(set().union(*texts).difference(self.kept))
         short = [x for x in missing if len(x) <= self.leaf]
         over = {}
-        for x, e in zip(short, self.tok.encode_batch_fast(short, add_special_tokens=False), strict=True):
-            (self.kept if len(x) <= 64 else over)[x] = self._value(e.ids)
+        # The library's encodings are far larger than their ids, so few are held at a time.
+        for a, b in chunks(map(len, short), 100_000, 2048):
+            for x, e in zip(short[a:b], self.tok.encode_batch_fast(short[a:b], add_special_tokens=False), strict=True):
+                (self.kept if len(x) <= 64 else over)[x] = self._value(e.ids)
         for x in missing:
             if len(x) > self.leaf:
                 over[x] = self._value([t[0] for t in self.spans(x)])
