@@ -20,6 +20,14 @@ def confusion(scores: DataFrame) -> DataFrame:
     return x.select("system", "tp", "fn", "fp", "tn", _r(ratio(tp + tn, tp + fn + fp + tn), "accuracy"), _r(p, "precision"), _r(r, "recall"), _r(ratio(2 * tp, 2 * tp + fp + fn), "f1"), _r((r + rf) / 2, "balanced_accuracy"), _r(rf, "recall_fake"))
 
 
+def corpus_drop(scores: DataFrame, corpus: str, home: str) -> DataFrame:
+    """Accuracy and F1 for each value of ``corpus``, and what is lost against ``home``."""
+    x = confusion(scores.withColumn("system", F.col(corpus))).select(F.col("system").alias("corpus"), (F.col("tp") + F.col("fn") + F.col("fp") + F.col("tn")).alias("n"), "accuracy", "f1")
+    every = Window.orderBy(F.lit(1)).rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)  # one row a corpus
+    own = {c: F.max(F.when(F.col("corpus") == home, F.col(c))).over(every) for c in ("accuracy", "f1")}
+    return x.select("corpus", "n", "accuracy", "f1", *[_r(v - F.col(c), f"{c}_drop") for c, v in own.items()])
+
+
 def error_direction(scores: DataFrame) -> DataFrame:
     x = scores.groupBy("system").agg(F.count_if(F.expr("label = 0 and pred = 1")).cast("long").alias("false_real"), F.count_if(F.expr("label = 1 and pred = 0")).cast("long").alias("false_fake"), F.count_if(F.expr("label = 0")).alias("n0"), F.count_if(F.expr("label = 1")).alias("n1"))
     return x.select("system", "false_real", "false_fake", _r(ratio(F.col("false_real"), F.col("n0")), "false_real_rate"), _r(ratio(F.col("false_fake"), F.col("n1")), "false_fake_rate"))

@@ -244,6 +244,15 @@ def learning_curve(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out
 
 
+def cross_corpus(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Naive Bayes learned on English, judged on its test part and on all documents of each other language."""
+    lang = documents(spark, sf_dir).select("doc_id", "lang")
+    train, test = (x.join(lang, "doc_id") for x in _parts(spark, sf_dir))
+    home = train.filter("lang = 'en'")
+    scores = models.ml_scores(home, test.unionByName(train.filter("lang <> 'en'")), models.linear_pipeline("nb", 2000), "nb")
+    return evaluation.corpus_drop(scores.join(lang, "doc_id"), "lang", "en")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "leakage_audit": _with(eda.leakage_audit),
@@ -313,6 +322,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "stump_eval": stump_eval,
         "ablation": ablation,
         "learning_curve": learning_curve,
+        "cross_corpus": cross_corpus,
         "grid_search": lambda s, d: models.grid_search(_parts(s, d)[0]),
         "parameter_effects": lambda s, d: models.parameter_effects(models.grid_search(_parts(s, d)[0])),
         "quality_checks": lambda s, d: quality.checks(corpus(s, d)),

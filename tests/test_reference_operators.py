@@ -41,6 +41,15 @@ def test_bootstrap(spark):
     assert evaluation.bootstrap(scores.limit(0)).count() == 0
 
 
+def test_corpus_drop(spark):
+    rows = [(1, "a", 1, 1), (2, "a", 0, 0), (3, "a", 1, 1), (4, "a", 0, 1), (5, "b", 1, 0), (6, "b", 0, 0)]
+    scores = spark.createDataFrame(rows, "doc_id long, corpus string, label int, pred int")
+    found = {r.corpus: r for r in evaluation.corpus_drop(scores, "corpus", "a").collect()}
+    assert found["a"].n == 4 and found["a"].accuracy == 0.75 and found["a"].accuracy_drop == 0 and found["a"].f1 == 0.8
+    assert found["b"].accuracy_drop == 0.25 and found["b"].f1 == 0 and found["b"].f1_drop == 0.8
+    assert evaluation.corpus_drop(scores, "corpus", "none").filter("accuracy_drop IS NULL").count() == 2
+
+
 def test_shuffled_column_is_a_permutation(spark):
     df = spark.range(500).select(F.col("id").alias("doc_id"), (F.col("id") * 3).alias("v"), F.lit(1).alias("w"))
     out = models.shuffled_column(df, "v", 7, size=50).collect()
