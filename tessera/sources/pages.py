@@ -9,9 +9,9 @@ from html.parser import HTMLParser
 import pandas as pd
 from pyspark.sql import DataFrame
 
-# Tags whose content is no article text; shortest text that is believed; longest text; where the headline is looked for.
+# Tags whose content is no article text; shortest text that is believed; where the headline is looked for.
 JUNK = {"script", "style", "nav", "header", "footer", "aside", "form", "noscript", "iframe", "figcaption"}
-SHORTEST, LONGEST, HEAD = 50, 50_000, 200
+SHORTEST, HEAD = 50, 200
 
 VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "source", "track", "wbr"}
 
@@ -60,11 +60,12 @@ class _Reader(HTMLParser):
                 sink.append(data)
 
 
-def article_text(html: str | None) -> str:
+def article_text(html: str | None, most: int | None = None) -> str:
     """Headline and paragraphs of the first article, main or page; "" for none.
 
     Pages with next to no paragraph text give all text of the body.  A new
-    paragraph ends an open one.
+    paragraph ends an open one.  The text is whole unless ``most`` characters
+    are asked for.
     """
     page = _Reader()
     page.feed(html or "")
@@ -76,7 +77,7 @@ def article_text(html: str | None) -> str:
     headline = " ".join(page.first.get("title", []))
     if headline and headline.lower() not in text[:HEAD].lower():
         text = f"{headline}. {text}"
-    return re.sub(r"\s+", " ", text).strip()[:LONGEST]
+    return re.sub(r"\s+", " ", text).strip()[:most]
 
 
 def extract(pages: DataFrame, key: str = "page_id", html: str = "html") -> DataFrame:

@@ -17,6 +17,15 @@ def test_article_text():
     assert pages.article_text(f"<main><p>{body}</p></main><p>other</p>") == body.strip()
 
 
+def test_long_pages_are_whole(spark):
+    body = " ".join(f"word{i}" for i in range(10_000))
+    page = f"<article><p>{body}</p><p>the end</p></article>"
+    assert len(body) > 50_000 and pages.article_text(page) == f"{body} the end"
+    assert pages.article_text(page, 50_000) == body[:50_000]
+    out = pages.extract(spark.createDataFrame([(1, page)], "page_id long, html string")).collect()
+    assert [r.text for r in out] == [f"{body} the end"]
+
+
 def test_minhash(spark):
     words = [f"w{i}" for i in range(200)]
     near = words.copy()
