@@ -24,8 +24,9 @@ def signature(content: Column, permutations: int = PERMUTATIONS, seed: int = SEE
     draw = random.Random(seed)
     params = F.array(*[F.struct(F.lit(draw.randrange(1, PRIME)).cast("long").alias("a"), F.lit(draw.randrange(PRIME)).cast("long").alias("b")) for _ in range(permutations)])
     words = F.filter(F.split(normalise(F.coalesce(content, F.lit(""))), " "), lambda w: w != "")
-    hashes = F.transform(shingles(words), lambda s: F.crc32(s.cast("binary")) % PRIME)
-    one = F.transform(F.array(hashes), lambda h: F.transform(params, lambda p: F.coalesce(F.array_min(F.transform(h, lambda x: (p["a"] * x + p["b"]) % PRIME)), F.lit(PRIME).cast("long"))))
+    # Arrays of one bind the words and the hashes: an expression inside a lambda is evaluated anew for every item.
+    hashes = F.transform(F.array(words), lambda w: F.transform(shingles(w), lambda s: F.crc32(s.cast("binary")) % PRIME))
+    one = F.transform(hashes, lambda h: F.transform(params, lambda p: F.coalesce(F.array_min(F.transform(h, lambda x: (p["a"] * x + p["b"]) % PRIME)), F.lit(PRIME).cast("long"))))
     return one[0]
 
 
@@ -35,9 +36,15 @@ def classes(docs: DataFrame, key: str = "doc_id", content: str = "content") -> D
     return signed.join(signed.groupBy("sig").agg(F.min(key).alias("class_id")), "sig").select(key, "class_id")
 
 
-def pairs(docs: DataFrame, agreement: float = AGREEMENT, key: str = "doc_id", content: str = "content") -> DataFrame:
-    """Pairs of class representatives (a < b) that share a band, with similarity at least ``agreement`` and the classes' sizes."""
-    reps = docs.select(key, signature(F.col(content)).alias("sig")).groupBy("sig").agg(F.min(key).alias("rep"), F.count("*").cast("long").alias("n"))
+def representatives(docs: DataFrame, key: str = "doc_id", content: str = "content", *more: Column) -> DataFrame:
+    """(sig, rep, n) and ``more`` aggregates, one row a class of equal signatures: its smallest key and its size."""
+    kept = [c for c in docs.columns if c not in (key, content)]
+    signed = docs.select(key, *kept, signature(F.col(content)).alias("sig"))
+    return signed.groupBy("sig").agg(F.min(key).alias("rep"), F.count("*").cast("long").alias("n"), *more)
+
+
+def meet(reps: DataFrame, agreement: float = AGREEMENT) -> DataFrame:
+    """Pairs (a < b) of ``representatives`` that share a band, with similarity at least ``agreement`` and the classes' sizes."""
     rows = PERMUTATIONS // BANDS
     bands = F.transform(F.sequence(F.lit(0), F.lit(BANDS - 1)), lambda i: F.xxhash64(i, F.slice("sig", i * rows + 1, F.lit(rows))))
     banded = reps.select("rep", F.posexplode(bands).alias("band", "code"))
@@ -48,3 +55,23 @@ def pairs(docs: DataFrame, agreement: float = AGREEMENT, key: str = "doc_id", co
     same = F.aggregate(F.zip_with("sig_a", "sig_b", lambda p, q: (p == q).cast("int")), F.lit(0), lambda s, v: s + v)
     found = met.join(left, "a").join(right, "b").withColumn("similarity", same / PERMUTATIONS)
     return found.filter(F.col("similarity") >= agreement).select("a", "b", "n_a", "n_b", "similarity")
+
+
+def pairs(docs: DataFrame, agreement: float = AGREEMENT, key: str = "doc_id", content: str = "content") -> DataFrame:
+    """Pairs of class representatives (a < b) that share a band, with similarity at least ``agreement`` and the classes' sizes."""
+    return meet(representatives(docs.select(key, content), key, content), agreement)
+
+
+def involvement(corpus: DataFrame, agreement: float = AGREEMENT) -> DataFrame:
+    """One row: distinct texts, near (those that have a near copy among the others), cross (classes with near copies under both labels).
+
+    All texts are taken; those that occur with both labels count for both.
+    """
+    texts = corpus.groupBy("content").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).withColumn("key", F.md5(F.col("content").cast("binary")))
+    reps = representatives(texts, "key", "content", F.min("lo").alias("lo"), F.max("hi").alias("hi")).persist()  # read five times
+    found = meet(reps, agreement).select("a", "b")
+    links = found.unionByName(found.select(F.col("b").alias("a"), F.col("a").alias("b")))
+    other = links.join(reps.select(F.col("rep").alias("b"), "lo", "hi"), "b").groupBy(F.col("a").alias("rep")).agg(F.min("lo").alias("other_lo"), F.max("hi").alias("other_hi"))
+    x = reps.select("rep", "n", "lo", "hi").join(other, "rep", "left")
+    near = F.col("other_lo").isNotNull() | (F.col("n") > 1)
+    return x.agg(F.sum("n").alias("texts"), F.sum(F.when(near, F.col("n")).otherwise(0)).alias("near"), F.count_if(near & (F.least("lo", "other_lo") != F.greatest("hi", "other_hi"))).alias("cross"))

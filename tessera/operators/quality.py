@@ -5,10 +5,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tessera.config import POINTS, THRESHOLDS
+from tessera.config import DATE_FORMATS, POINTS, THRESHOLDS
 from tessera.functions.stats import js_distance, ks_statistic, ratio, verdict
-from tessera.functions.text import n_words, normalise
-from tessera.operators import eda
+from tessera.functions.text import n_words, normalise, parse_date
+from tessera.operators import eda, neardup
 
 #: Patterns of decoding accidents, hard ones first.
 HARD = ("�", "Ã[\u0080-¿]|â€[\u0098-\u009d™¦]|Â[ -¿]")
@@ -49,17 +49,42 @@ def _check(df: DataFrame, name: str, weight: float, value: Column, threshold: st
     return df.select(F.lit(name).alias("check_id"), F.lit(float(weight)).alias("weight"), v.alias("value"), (verdict(v, warn, fail) if status is None else status).alias("status"))
 
 
+def _date_checks(corpus: DataFrame) -> list[DataFrame]:
+    """The three checks of the column date; a class without dates has no window and no distance."""
+    x = corpus.select("label", parse_date(F.col("date"), DATE_FORMATS).alias("d"))
+    bad = x.agg(F.count_if(F.col("d").isNull()).alias("bad"), F.count("*").alias("n"))
+    span = x.agg(*[f(F.when(F.col("label") == c, F.col("d"))).alias(f"{k}{c}") for c in (0, 1) for k, f in (("lo", F.min), ("hi", F.max))])
+    out = F.when(F.col("lo0").isNotNull() & F.col("lo1").isNotNull(), ~F.col("d").between(F.greatest("lo0", "lo1"), F.least("hi0", "hi1")))
+    outside = x.crossJoin(span).agg(F.count_if(out).alias("out"), F.count_if(out & (F.col("label") == 0)).alias("fake"), F.count("*").alias("n"))
+    months = eda.monthly_timeline(x.dropna(), "d", F.col("label"))
+    single = months.agg(F.count_if(F.expr("fake = 0 or real = 0")).alias("s"), F.count("*").alias("m"))
+    drift = js_distance(months, "fake", "real").crossJoin(single)
+    js, share = F.round("js_distance", 6), F.round(ratio(F.col("s"), F.col("m")), 6)
+    both = F.array(verdict(js, *THRESHOLDS["js_distance"]), verdict(share, *THRESHOLDS["single_class_month"]))
+    worst = F.when(F.array_contains(both, "FAIL"), "FAIL").when(F.array_contains(both, "WARN"), "WARN").otherwise("PASS")
+    return [
+        _check(bad, "validity.dates", 1.0, ratio(F.col("bad"), F.col("n")), "unparseable_date_rate"),
+        _check(outside, "consistency.date_label", 1.5, ratio(F.col("out"), F.col("n")), None, F.when(ratio(F.col("fake"), F.col("out")) > 0.99, "FAIL").when(F.col("out") > 0, "WARN").otherwise("PASS")),
+        _check(drift, "drift.dates", 1.5, js, None, worst),
+    ]
+
+
 def checks(corpus: DataFrame, marker: str = r"\breuters\b", known_subjects: list[str] | None = None) -> DataFrame:
     """(check_id, weight, value, status) of the checks that need the corpus only.
 
-    ``corpus``: doc_id, content, label, subject; optional columns title and
-    date add their checks.  File fingerprints and schemas have operators of
-    their own in ``tessera.sources.corpus``.
+    ``corpus``: doc_id, content, label, subject; optional columns title (two)
+    and date (three) add their checks.  The two integrity and two schema checks
+    are about files and are not made here.  Near duplicates are graded on the
+    worse of two rates over all texts, rows equal after normalising beyond
+    exact repeats and distinct texts with a MinHash near copy, and fail on any
+    near copy across labels.
     """
     c = F.col("content")
     n = F.count("*")
     exact = corpus.groupBy("content").agg(n.alias("c"), F.min("label").alias("a"), F.max("label").alias("b")).agg(F.sum(F.col("c") - 1).alias("extra"), F.sum("c").alias("n"), F.count_if(F.expr("a <> b")).alias("cross"))
-    norm = corpus.groupBy(normalise(c).alias("t")).agg(n.alias("c")).agg(F.sum(F.col("c") - 1).alias("extra"), F.sum("c").alias("n"))
+    norm = corpus.groupBy(normalise(c).alias("t")).agg(n.alias("c")).agg(F.sum(F.col("c") - 1).alias("norm_extra"))
+    near = exact.drop("cross").crossJoin(norm).crossJoin(neardup.involvement(corpus).withColumnRenamed("cross", "near_cross"))
+    near_rate = F.greatest(ratio(F.greatest(F.col("norm_extra") - F.col("extra"), F.lit(0)), F.col("n")), ratio(F.col("near"), F.col("texts")))
     flat = corpus.agg(n.alias("n"), F.count_if(F.regexp_replace(c, r"(?U)\s", "") == "").alias("blank"), F.count_if(n_words(c) < 20).alias("short"), F.count_if(c.rlike("|".join(HARD))).alias("hard"), F.count_if(c.rlike("|".join(SOFT))).alias("soft"), F.count_if(c.rlike(f"(?i){marker}") & (F.col("label") == 0)).alias("m0"), F.count_if(c.rlike(f"(?i){marker}") & (F.col("label") == 1)).alias("m1"), F.count_if(F.expr("label = 0")).alias("n0"), F.count_if(F.expr("label = 1")).alias("n1"))
     gap = F.abs(ratio(F.col("m1"), F.col("n1")) - ratio(F.col("m0"), F.col("n0")))
     rate = ratio(F.col("extra"), F.col("n"))
@@ -68,7 +93,7 @@ def checks(corpus: DataFrame, marker: str = r"\breuters\b", known_subjects: list
     out = [
         _check(flat, "completeness.nulls", 1.5, ratio(F.col("blank"), F.col("n")), "empty_rate"),
         _check(exact, "uniqueness.exact_duplicates", 2.0, rate, None, F.when(F.col("cross") > 0, "FAIL").otherwise(verdict(F.round(rate, 6), *THRESHOLDS["dup_rate"]))),
-        _check(norm, "uniqueness.near_duplicates", 1.5, rate, "near_dup_rate"),
+        _check(near, "uniqueness.near_duplicates", 1.5, near_rate, None, F.when(F.col("near_cross") > 0, "FAIL").otherwise(verdict(F.round(near_rate, 6), *THRESHOLDS["near_dup_rate"]))),
         _check(eda.shared_openings(corpus), "uniqueness.shared_openings", 1.0, F.col("rate"), "shared_opening_rate"),
         _check(flat, "validity.encoding", 1.0, ratio(F.col("hard") + F.col("soft"), F.col("n") * 2), "encoding_bad_rate"),
         _check(flat, "validity.length", 1.5, ratio(F.col("short"), F.col("n")), "short_article_rate"),
@@ -80,9 +105,12 @@ def checks(corpus: DataFrame, marker: str = r"\breuters\b", known_subjects: list
         _check(js_distance(words, "df_fake", "df_real"), "drift.vocabulary", 1.0, F.col("js_distance"), "js_distance"),
     ]
     if "title" in corpus.columns:
-        t = corpus.filter("title <> ''").groupBy("title").agg(n.alias("c")).agg(F.sum(F.col("c") - 1).alias("extra"), F.sum("c").alias("n"))
+        title = F.coalesce("title", F.lit(""))
+        t = corpus.groupBy(title.alias("t")).agg(n.alias("c")).agg(F.sum(F.col("c") - 1).alias("extra"), F.sum("c").alias("n"))
         out.append(_check(t, "uniqueness.duplicate_titles", 1.0, rate, "dup_title_rate"))
         out.append(_check(corpus.agg(F.count_if(F.col("title").rlike(r"https?://|www\.")).alias("u"), n.alias("n")), "validity.title_is_url", 1.0, ratio(F.col("u"), F.col("n")), "url_title_rate"))
+    if "date" in corpus.columns:
+        out += _date_checks(corpus)
     total = out[0]
     for x in out[1:]:
         total = total.unionByName(x)

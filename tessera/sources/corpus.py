@@ -75,7 +75,7 @@ def compare_runs(now: DataFrame, before: DataFrame) -> DataFrame:
 
 
 def labelled_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Canonical corpus of the document and label tables: quality is the label."""
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", F.col("text").alias("content"), F.col("source").alias("subject"))
+    """Canonical corpus of the document and label tables: quality is the label, the first line the title."""
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", F.col("text").alias("content"), ws_strip(F.substring_index("text", "\n", 1)).alias("title"), F.col("source").alias("subject"))
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet").select("doc_id", F.col("quality").cast("int").alias("label"))
     return docs.join(labels, "doc_id")

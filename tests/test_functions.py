@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 
 from tessera.config import CONFIDENCE_BINS, DATE_FORMATS, LENGTH_BINS
 from tessera.functions import stats, text
-from tessera.operators import eda, evaluation, models, predlog, quality
+from tessera.operators import eda, evaluation, models, neardup, predlog, quality
 from tessera.sources import corpus
 
 
@@ -64,6 +64,41 @@ def test_quality_score(spark):
     assert quality.score(t).first()[0] == 37.5 and not quality.gate(t)
 
 
+def test_quality_near_duplicates(spark):
+    words = [[f"{c}{i}" for i in range(200)] for c in "abcdefgh"]
+    texts = [" ".join(w) for w in words]
+
+    def near(label, other):
+        changed = " ".join(["other", *words[0][1:]])
+        rows = [(i, t, i % 2, "s", "https://x.org" if i < 2 else f"t{i}", "June 1, 2016") for i, t in enumerate(texts)]
+        rows += [(100, changed, label, "s", "t100", "not a date"), (101, texts[1], other, "s", "t101", "July 1, 2017")]
+        df = spark.createDataFrame(rows, "doc_id long, content string, label int, subject string, title string, date string")
+        return {r.check_id: (r.value, r.status) for r in quality.checks(df).collect()}
+
+    found = near(0, 1)
+    assert len(found) == 17 and found["uniqueness.near_duplicates"] == (round(2 / 9, 6), "FAIL")
+    assert found["uniqueness.duplicate_titles"] == (0.1, "FAIL") and found["validity.title_is_url"] == (0.2, "FAIL")
+    assert found["validity.dates"] == (0.1, "FAIL") and found["consistency.date_label"] == (0.1, "WARN") and found["drift.dates"][1] == "FAIL"
+
+
+def test_near_copies_across_labels(spark):
+    words = [f"w{i}" for i in range(200)]
+    far = [(i, " ".join(f"x{i}y{j}" for j in range(50)), i % 2) for i in range(200)]
+    copies = [" ".join(words), " ".join(["other", *words[1:]]), " ".join(words).upper()]
+    for labels, cross in (((0, 0, 0), 0), ((0, 1, 0), 2), ((0, 0, 1), 2)):
+        df = spark.createDataFrame([*far, *((1000 + i, t, y) for i, (t, y) in enumerate(zip(copies, labels, strict=True)))], "doc_id long, content string, label int")
+        assert neardup.involvement(df).first() == (203, 3, cross)
+    full = spark.createDataFrame([(i, t, y, "s") for i, t, y in [*far, (1000, copies[0], 0), (1001, copies[1], 1)]], "doc_id long, content string, label int, subject string")
+    found = {r.check_id: r for r in quality.checks(full).collect()}["uniqueness.near_duplicates"]
+    assert (found.value, found.status) == (round(2 / 202, 6), "FAIL")
+    assert neardup.involvement(full.limit(0)).first() == (None, None, 0)
+
+
+def test_labelled_documents_have_titles(spark):
+    rows = corpus.labelled_documents(spark, "/root/testdata/sf0.001").select("content", "title").collect()
+    assert rows and all(r.title == r.content.split("\n")[0].strip() for r in rows)
+
+
 def test_date_stump(spark):
     d = [("2015-04-01", 0), ("2015-05-01", 0), ("2016-06-01", 1), ("2016-07-01", 1)]
     df = spark.createDataFrame(d, "d string, label int").withColumn("d", F.to_timestamp("d"))
