@@ -21,7 +21,7 @@ from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from xxhash import xxh64_intdigest
 
@@ -58,16 +58,21 @@ def _signed(x: int) -> int:
     return x - (1 << 64) if x >> 63 else x
 
 
+def text_hash(text: str) -> Column:
+    """64-bit hash of a text, which tells rows with one key apart."""
+    return F.xxhash64(F.col(text).cast("string"))
+
+
 def fingerprints(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """(key, fp) per row, fp as a signed 64-bit integer; null texts are empty."""
+    """(_key, fp, hash) per row: fp as a signed 64-bit integer, null texts are empty; hash of the text."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             fps = np.array([fingerprint(t) for _, _, texts in slices(b.column(1)) for t in texts], np.uint64)
-            yield pa.record_batch([b.column(0), pa.array(fps.view(np.int64))], ["key", "fp"])
+            yield pa.record_batch([b.column(0), pa.array(fps.view(np.int64)), b.column(2)], ["_key", "fp", "hash"])
 
-    rows = docs.select(F.col(key).cast("long").alias("key"), F.col(text).cast("string").alias("text"))
-    return rows.mapInArrow(run, "key long, fp long").withColumnRenamed("key", key)
+    rows = docs.select(F.col(key).cast("long").alias("_key"), F.col(text).cast("string").alias("text"), text_hash(text).alias("hash"))
+    return rows.mapInArrow(run, "_key long, fp long, hash long")
 
 
 def _bucket_edges(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -98,6 +103,15 @@ def edges(distinct: DataFrame, cap: int = 128) -> DataFrame:
     return found.unionByName(star.filter("a <> b"))
 
 
+def _components(fps: DataFrame) -> DataFrame:
+    """(fp, top, component_id) of each distinct fingerprint: its component's smallest fingerprint and smallest key."""
+    distinct = materialise(fps.groupBy("fp").agg(F.min("_key").alias("rep")), "distinct")
+    label = components(edges(distinct.select("fp")))
+    named = distinct.join(label, distinct.fp == label.node, "left").select("fp", "rep", F.coalesce("component", "fp").alias("top"))
+    least = named.groupBy("top").agg(F.min("rep").alias("component_id"))
+    return named.join(least, "top").select("fp", "top", "component_id")
+
+
 def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """Per row: key, fingerprint (16 hex digits), component_id.
 
@@ -108,26 +122,27 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text") ->
     rows share a fingerprint and so a component.  An empty table gives an empty
     result; other columns are not read.
     """
-    fps = materialise(fingerprints(docs, key, text), "fingerprints")
-    distinct = materialise(fps.groupBy("fp").agg(F.min(key).alias("rep")), "distinct")
-    label = components(edges(distinct.select("fp")))
-    named = distinct.join(label, distinct.fp == label.node, "left").select("fp", "rep", F.coalesce("component", "fp").alias("top"))
-    least = named.groupBy("top").agg(F.min("rep").alias("component_id"))
-    named = named.join(least, "top").select("fp", "component_id")
-    return fps.join(named, "fp").select(key, F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+    fps = materialise(fingerprints(docs, key, text).drop("hash"), "fingerprints")
+    named = _components(fps).drop("top")
+    return fps.join(named, "fp").select(F.col("_key").alias(key), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
 def keep_one(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """The rows of ``docs`` whose key is their component's id, all columns kept.
+    """One row of ``docs`` for each component, all columns kept.
 
-    Rows that repeat the kept key are one document and leave one row; rows with
-    a null key are kept, one of them, where no key is in reach.
+    It is the row with the smallest key, null keys last; of rows with that key
+    and other texts, the one with the smallest fingerprint and text hash.  Rows
+    are told apart by key and text, so null keys and keys that occur with
+    several texts lose no component.  Rows that repeat both are one document.
     """
-    best = near_duplicates(docs, key, text).filter(F.col(key).eqNullSafe(F.col("component_id")))
-    best = materialise(best.groupBy(F.col(key).alias("_kept")).agg(F.count("*").alias("_rows")), "kept")
-    own = F.col(key).cast("long").eqNullSafe(F.col("_kept"))
+    fps = materialise(fingerprints(docs, key, text), "fingerprints")
+    rows = fps.join(_components(fps).select("fp", "top"), "fp").groupBy("top", "fp", "_key", "hash").agg(F.count("*").alias("n"))
+    first = rows.groupBy("top").agg(F.min(F.struct(F.col("_key").isNull().alias("none"), "_key", "fp", "hash", "n")).alias("x"))
+    best = materialise(first.select(F.col("x._key").alias("_kept"), F.col("x.hash").alias("_kept_hash"), F.col("x.n").alias("_rows")), "kept")
+    own = F.col(key).cast("long").eqNullSafe(F.col("_kept")) & (text_hash(text) == F.col("_kept_hash"))
     kept = docs.join(best.filter("_rows = 1"), own, "left_semi")
     repeated = best.filter("_rows > 1")
     if repeated.isEmpty():
         return kept
-    return kept.unionByName(docs.join(repeated, own, "left_semi").dropDuplicates([key]))
+    again = docs.join(repeated, own, "left_semi").withColumn("_text_hash", text_hash(text))
+    return kept.unionByName(again.dropDuplicates([key, "_text_hash"]).drop("_text_hash"))

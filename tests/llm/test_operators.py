@@ -190,6 +190,15 @@ def test_simhash(spark, docs, none):
     assert covering_simhash.near_duplicates(none).count() == 0 and covering_simhash.keep_one(none).count() == 0
 
 
+def test_simhash_keeps_a_row_of_each_component(spark):
+    a, b, c, d, e, f = (" ".join(f"{x}{i}" for i in range(60)) for x in "abcdef")
+    rows = [(None, a), (None, b), (None, b), (None, c), (7, c), (8, d), (8, e), (8, e), (9, d), (None, f), (None, f.upper())]
+    kept = covering_simhash.keep_one(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert len(kept) == 6 and {(r.doc_id, r.text.lower()) for r in kept} == {(None, a), (None, b), (7, c), (8, d), (8, e), (None, f)}
+    kept = covering_simhash.keep_one(spark.createDataFrame([(None, a), (None, c), (7, c)], "doc_id long, text string")).collect()
+    assert {(r.doc_id, r.text) for r in kept} == {(None, a), (7, c)} and len(kept) == 2
+
+
 @pytest.mark.parametrize("cap", [2, 64])
 def test_covering_edges(spark, cap):
     rng = np.random.default_rng(3)
