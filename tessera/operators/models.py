@@ -38,14 +38,14 @@ def linear_pipeline(kind: str = "lr", features: int = 1 << 12, c: float = 1.0, n
 
     stages = [CountVectorizer(inputCol="tokens", outputCol="tf", vocabSize=features, minDF=2.0), IDF(inputCol="tf", outputCol="idf"), Normalizer(inputCol="idf", outputCol="features")]
     models = {
-        "lr": LogisticRegression(regParam=1 / (c * max(n, 1)), elasticNetParam=0.0, standardization=False, maxIter=50),
+        "lr": LogisticRegression(regParam=1 / (c * max(n, 1)), elasticNetParam=0.0, standardization=False, maxIter=1000),
         "svm": LinearSVC(regParam=1 / (c * max(n, 1)), maxIter=50, standardization=False),
         "nb": NaiveBayes(smoothing=1.0),
     }
     return Pipeline(stages=[*stages, models[kind]])
 
 
-def forest_pipeline(columns: list[str], trees: int = 50, depth: int = 12, leaf: int = 5, seed: int = 42):
+def forest_pipeline(columns: list[str], trees: int = 300, depth: int = 12, leaf: int = 5, seed: int = 42):
     """Random forest on stylometric columns."""
     from pyspark.ml import Pipeline
     from pyspark.ml.classification import RandomForestClassifier
@@ -119,7 +119,7 @@ def shuffled_column(df: DataFrame, column: str, seed: int, size: int = 1000, key
     return df.withColumn("_group", group).withColumn("_moved", moved).drop("_group", column).withColumnRenamed("_moved", column)
 
 
-def permutation_importance(train: DataFrame, test: DataFrame, columns: list[str], pipeline, repeats: int = 2) -> DataFrame:
+def permutation_importance(train: DataFrame, test: DataFrame, columns: list[str], pipeline, repeats: int = 5) -> DataFrame:
     """Mean loss of accuracy when one column is shuffled."""
     model, spark = pipeline.fit(train), train.sparkSession
 

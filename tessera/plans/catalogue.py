@@ -187,12 +187,11 @@ def _parts(spark: SparkSession, sf_dir: str, content=None) -> tuple[DataFrame, D
     return x.filter("split = 'train'"), x.filter("split = 'test'")
 
 
-def linear_eval(kind: str, tokens=None):
+def linear_eval(kind: str, tokens, features: int):
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
         train, test = _parts(spark, sf_dir)
-        if tokens:
-            train, test = train.withColumn("tokens", tokens(F.col("content"))), test.withColumn("tokens", tokens(F.col("content")))
-        scores = models.calibrated_svm_scores(train, test, 2000) if kind == "svm" else models.ml_scores(train, test, models.linear_pipeline(kind, 2000, n=train.count()), kind)
+        train, test = train.withColumn("tokens", tokens), test.withColumn("tokens", tokens)
+        scores = models.calibrated_svm_scores(train, test, features) if kind == "svm" else models.ml_scores(train, test, models.linear_pipeline(kind, features, n=train.count()), kind)
         return evaluation.confusion(scores)
 
     return run
@@ -314,8 +313,8 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "minhash_classes": lambda s, d: neardup.classes(documents(s, d)),
         "minhash_pairs": lambda s, d: neardup.pairs(documents(s, d)),
         "html_extract": lambda s, d: pages.extract(table(s, d, "pages")),
-        "lr_eval": linear_eval("lr"),
-        "char_lr_eval": linear_eval("lr", lambda c: text.char_ngrams(c, most=1 << 30)),
+        "lr_eval": lambda s, d: linear_eval("lr", text.word_ngrams(F.col("tokens")), 5000)(s, d),
+        "char_lr_eval": lambda s, d: linear_eval("lr", text.char_ngrams(F.col("content"), most=1 << 30), 30_000)(s, d),
         "boosted_eval": boosted_eval,
         "forest_eval": forest_eval,
         "style_importance": style_importance,

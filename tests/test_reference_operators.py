@@ -1,3 +1,4 @@
+import inspect
 import json
 
 import pytest
@@ -5,6 +6,7 @@ from pyspark.sql import functions as F
 
 from tessera.functions.text import normalise
 from tessera.operators import evaluation, models, neardup
+from tessera.plans import catalogue
 from tessera.sources import pages, reports
 
 
@@ -71,3 +73,16 @@ def test_reports(spark, tmp_path):
     assert json.loads(reports.json_report({"t": df}))["t"][1] == {"k": "c", "x": None, "n": 2}
     reports.write_csv(df, str(tmp_path / "out"), one_file=True)
     assert spark.read.csv(str(tmp_path / "out"), header=True).count() == 2
+
+
+def test_registered_models_have_the_reference_parameters(spark, monkeypatch):
+    made = []
+    monkeypatch.setattr(models, "ml_scores", lambda train, test, pipeline, system: made.append((train, pipeline)))
+    monkeypatch.setattr(evaluation, "confusion", lambda scores: scores)
+    for name in ("lr_eval", "char_lr_eval", "forest_eval"):
+        catalogue.queries()[name](spark, "/root/testdata/sf0.001")
+    (train, words), (_, chars), (_, forest) = made
+    assert [p.getStages()[0].getVocabSize() for p in (words, chars)] == [5000, 30_000] and words.getStages()[-1].getMaxIter() == 1000
+    assert any(" " in t for r in train.limit(20).collect() for t in r.tokens)
+    assert forest.getStages()[-1].getNumTrees() == 300
+    assert inspect.signature(models.permutation_importance).parameters["repeats"].default == 5
