@@ -15,6 +15,19 @@ BOILERPLATE = (
     ("agency word", r"(?i)\b(?:reuters|thomson\s+reuters|associated\s+press|agence\s+france[-\s]presse)\b"),
 )
 
+# English stop words, the list that Apache Spark's StopWordsRemover has.
+STOP_WORDS = tuple(
+    """
+i me my myself we our ours ourselves you your yours yourself yourselves he him his himself she her hers herself it its itself they them their theirs
+themselves what which who whom this that these those am is are was were be been being have has had having do does did doing a an the and but if or
+because as until while of at by for with about against between into through during before after above below to from up down in out on off over under
+again further then once here there when where why how all any both each few more most other some such no nor not only own same so than too very s t
+can will just don should now i'll you'll he'll she'll we'll they'll i'd you'd he'd she'd we'd they'd i'm you're he's she's it's we're they're i've
+we've you've they've isn't aren't wasn't weren't haven't hasn't hadn't don't doesn't didn't won't wouldn't shan't shouldn't mustn't can't couldn't
+cannot could here's how's let's ought that's there's what's when's where's who's why's would
+""".split()
+)
+
 # Leakage markers, case-sensitive, ^ at line starts.
 MARKERS = {
     "(Reuters) tag": r"\(\s*Reuters\s*\)",
@@ -52,7 +65,7 @@ THRESHOLDS = {
     "js_distance": (0.30, 0.50),
     "single_class_month": (0.05, 0.20),
 }
-#: Points of a status; INFO does not count.
+# Points of a status; INFO does not count.
 POINTS = {"PASS": 1.0, "WARN": 0.5, "FAIL": 0.0}
-#: Formats of dates, tried in this order.
+# Formats of dates, tried in this order.
 DATE_FORMATS = ("MMMM d, yyyy", "MMM d, yyyy", "d-MMM-yy")

@@ -2,29 +2,15 @@
 
 from __future__ import annotations
 
-import zipfile
-from functools import lru_cache
-from pathlib import Path
-
-import pyspark
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from tessera.config import BOILERPLATE
+from tessera.config import BOILERPLATE, STOP_WORDS
 
 #: Words as letters, digits and underscore of any script; Java's \w is ASCII only.
 WORD = r"[\p{L}\p{N}_]+"
 
 
-@lru_cache(1)
-def stop_words() -> tuple[str, ...]:
-    """Spark's own English list, read from its jar so that no session is needed."""
-    jars = Path(pyspark.__file__).parent / "jars"
-    with zipfile.ZipFile(next(jars.glob("spark-mllib_*.jar"))) as jar:
-        words = jar.read("org/apache/spark/ml/feature/stopwords/english.txt").decode().split()
-    return tuple(sorted(words))
-
-
 def ws_strip(col: Column) -> Column:
     """Without white space at both ends, of any kind; ``trim`` knows spaces only."""
     return F.regexp_replace(col, r"(?U)^\s+|\s+$", "")
@@ -42,7 +28,7 @@ def clean_tokens(col: Column, stops: tuple[str, ...] | None = None) -> Column:
     words = F.split(F.trim(F.regexp_replace(text, r"\s+", " ")), " ")
     kept = F.filter(words, lambda w: F.length(w) > 2)
     # array_except would drop repeats, so stop words go by membership in one hashed literal.
-    return F.filter(kept, lambda w: ~w.isin(list(stop_words() if stops is None else stops)))
+    return F.filter(kept, lambda w: ~w.isin(list(STOP_WORDS if stops is None else stops)))
 
 
 def strip_boilerplate(col: Column) -> Column:

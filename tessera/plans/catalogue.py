@@ -14,7 +14,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.config import BOILERPLATE, CONFIDENCE_BINS, COVERAGE_BINS, LENGTH_BINS, MARKERS
+from tessera.config import BOILERPLATE, CONFIDENCE_BINS, COVERAGE_BINS, LENGTH_BINS, MARKERS, STOP_WORDS
 from tessera.functions import stats, text
 from tessera.operators import eda, evaluation, models, neardup, predlog, quality
 from tessera.sources import pages
@@ -348,7 +348,7 @@ def _norm(c: str = "content") -> str:
 
 
 def _clean(c: str = "content") -> str:
-    stops = ", ".join("'" + w.replace("'", "''") + "'" for w in text.stop_words())
+    stops = ", ".join("'" + w.replace("'", "''") + "'" for w in sorted(STOP_WORDS))
     t = f"lower({c})"
     for p in (r"http\S+|www\.\S+", "<.*?>", r"[^a-z\s]"):
         t = f"regexp_replace({t}, '{p}', ' ', 'g')"

@@ -36,3 +36,9 @@ def test_query(spark, duck, name):
 
 def test_sql_has_queries():
     assert set(SQL) <= set(catalogue.queries())
+
+
+def test_sql_needs_no_jars(monkeypatch, tmp_path):
+    monkeypatch.setattr("pyspark.__file__", str(tmp_path / "__init__.py"))
+    monkeypatch.setattr("zipfile.ZipFile", None)
+    assert set(catalogue.oracle_sql()) == set(SQL)
