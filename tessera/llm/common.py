@@ -2,7 +2,7 @@
 
 Work folders: intermediate tables go below ``spark.checkpoint.dir``, which a
 cluster must point at storage that the driver and all executors see.  Only
-where it is unset (tests on one machine) a temporary folder is made for it.
+where it is unset on one machine (tests) a temporary folder is made for it.
 """
 
 from __future__ import annotations
@@ -21,6 +21,8 @@ def work_dir(spark: SparkSession) -> str:
     """Shared folder for intermediate tables, as the session names it."""
     path = spark.conf.get("spark.checkpoint.dir", None)
     if not path:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         path = "file://" + tempfile.mkdtemp(prefix="tessera-")
         spark.conf.set("spark.checkpoint.dir", path)
     return path.rstrip("/")
@@ -37,6 +39,22 @@ def materialise(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def release(df: DataFrame, path: str) -> None:
+    """Empty a table of the shared folder that is no longer read; its schema stays."""
+    df.sparkSession.createDataFrame([], df.schema).coalesce(1).write.mode("overwrite").parquet(path)
+
+
+def fresh(df: DataFrame, *names: str) -> list[str]:
+    """The names, with underscores before those that ``df`` has already."""
+    taken, out = {c.lower() for c in df.columns}, []
+    for name in names:
+        while name.lower() in taken:
+            name = f"_{name}"
+        taken.add(name.lower())
+        out.append(name)
+    return out
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
@@ -67,14 +85,14 @@ def chunks(sizes: Iterable[int], limit: int, most: int = 4096) -> Iterator[tuple
         yield start, i
 
 
-def slices(column: pa.Array, limit: int = 4_000_000) -> Iterator[tuple[int, int, list[str]]]:
+def slices(column: pa.Array, limit: int = 4_000_000, most: int = 4096) -> Iterator[tuple[int, int, list[str]]]:
     """(a, b, texts of rows [a, b)), about ``limit`` bytes at a time.
 
     A batch can hold a whole input split; only one slice of it is held as
     Python strings.
     """
     sizes = pc.fill_null(pc.binary_length(column), 0).to_pylist()
-    for a, b in chunks(sizes, limit):
+    for a, b in chunks(sizes, limit, most):
         yield a, b, strings(column.slice(a, b - a))
 
 

@@ -7,16 +7,19 @@ expected domain token totals match the targets:
     minimise  1/2 |sum_i w_i r_i p_i - t|^2 + ridge/2 sum_i w_i (r_i - 1)^2,  r >= 0
 
 with w_i the document's share of all tokens, p_i its posterior and t the target
-weights.  Posteriors are kept to 1/64, so documents fall into a bounded number
-of cells with equal posterior, and what has to be summed over all documents is
-summed once, per cell, with partial sums before the shuffle.  Projected
-gradient steps then run on the cells: each is one aggregate of a few numbers,
-scaled by the inverse of the Hessian on the cells above zero (by the plain step
-1/L where that does not lower the objective).  A rate is a fold of its cell's
+weights.  The classifier is a softmax regression on the presence of word stems
+and marks of style, fitted on the labelled sample, so its posteriors add up to
+the true numbers there.  Posteriors are kept to 1/1024; documents with equal
+ones fall into one cell, and what has to be summed over all documents is summed
+once, per cell, with partial sums before the shuffle.  Projected gradient steps
+then run on the table of cells: each is one aggregate of a few numbers, scaled
+by the inverse of the Hessian on the cells above zero (by the plain step 1/L
+where that does not lower the objective).  A rate is a fold of its cell's
 posterior over the steps taken, so it is a plain column of the document: no
 join, no shuffle of texts, and no state to lose.
 
-Only DataFrame and SQL functions are used.
+Only DataFrame and SQL functions touch the tables.  The coefficients, a few for
+each stem, are fitted on the driver from the bounded sample.
 """
 
 from __future__ import annotations
@@ -24,89 +27,140 @@ from __future__ import annotations
 import math
 
 import numpy as np
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import materialise
+from .common import fresh, materialise
 
 #: Posteriors are multiples of 1 / GRID.
-GRID = 64
+GRID = 1024
+#: Words stand for their first letters.
+STEM = 5
+#: Runs of ASCII marks.
+_MARKS = r"[!-/:-@\[-^`{-~]{2,}"
+
+
+def plain(text: str | Column) -> Column:
+    """The text in lower case, empty for null."""
+    return F.lower(F.coalesce(F.col(text).cast("string") if isinstance(text, str) else text, F.lit("")))
 
 
 def words(text: str | Column) -> Column:
-    """Lower-case words, cut at white space, and marks of style as words.
+    """Lower-case words, cut at white space."""
+    return F.filter(F.split(F.translate(plain(text), "\n\t\r\x0b\x0c", "     "), " "), lambda w: w != "")
 
-    The marks: the share of distinct words, in tenths; the mean word length;
-    the length of the text by powers of four.
-    """
-    col = F.coalesce(F.col(text).cast("string") if isinstance(text, str) else text, F.lit(""))
-    return F.filter(F.split(F.translate(F.lower(col), "\n\t\r\x0b\x0c", "     "), " "), lambda w: w != "")
 
+def features(tokens: Column, text: Column) -> Column:
+    """Distinct stems, and marks of style as words.
 
-def features(tokens: Column) -> Column:
-    distinct = F.array_distinct(tokens)
+    The marks: the share of distinct stems, in tenths; the number of words, by
+    powers of four; marks by word, by powers of two.
+    """
+    stems = F.array_distinct(F.transform(tokens, lambda w: F.substring(w, 1, STEM)))
     n = F.size(tokens)
-    share = F.floor(F.size(distinct) * 10 / F.greatest(n, F.lit(1)))
+    share = F.floor(F.size(stems) * 10 / F.greatest(n, F.lit(1)))
     length = F.floor(F.log2(n + F.lit(1)) / 2)
-    return F.concat(distinct, F.array(F.concat(F.lit("\x01share "), share.cast("string")), F.concat(F.lit("\x01length "), length.cast("string"))))
+    marks = F.floor(F.log2(1 + 64 * F.regexp_count(text, F.lit(_MARKS)) / F.greatest(n, F.lit(1))))
+    style = [F.concat(F.lit(f"\x01{k} "), v.cast("string")) for k, v in (("share", share), ("length", length), ("marks", marks))]
+    return F.concat(stems, F.array(*style))
+
+
+def softmax_fit(x: np.ndarray, y: np.ndarray, ridge: float = 0.3, steps: int = 40) -> np.ndarray:
+    """Weights (features and intercept, by domain) of a ridge softmax regression, by Newton's method."""
+    x = np.c_[x, np.ones(len(x))]
+    (n, f), k = x.shape, y.shape[1]
+    w, pull = np.zeros((f, k)), np.r_[np.full(f - 1, ridge), 1e-6]
+
+    def look(w: np.ndarray) -> tuple[np.ndarray, float]:
+        z = x @ w
+        z -= z.max(1, keepdims=True)
+        logs = z - np.log(np.exp(z).sum(1, keepdims=True))
+        return np.exp(logs), float(-(y * logs).sum() + 0.5 * (pull[:, None] * w**2).sum())
+
+    p, loss = look(w)
+    for _ in range(steps):
+        slope = x.T @ (p - y) + pull[:, None] * w
+        hess = np.empty((k * f, k * f))
+        for i in range(k):
+            for j in range(i, k):
+                part = x.T @ (x * (p[:, i] * ((i == j) - p[:, j]))[:, None]) + (np.diag(pull) if i == j else 0)
+                hess[i * f : (i + 1) * f, j * f : (j + 1) * f] = hess[j * f : (j + 1) * f, i * f : (i + 1) * f] = part
+        step, size = np.linalg.solve(hess, slope.T.ravel()).reshape(k, f).T, 1.0
+        while size > 1e-4 and (found := look(w - size * step))[1] > loss:
+            size /= 2
+        before, w, (p, loss) = loss, w - size * step, found
+        if before - loss < 1e-9 * max(1.0, abs(before)):
+            break
+    return w
 
 
 class Classifier:
-    """Naive Bayes over the presence and absence of a bounded list of terms."""
+    """Softmax regression over the presence of a bounded list of terms."""
 
-    def __init__(self, domains: list[str], prior: list[float], terms: dict[str, list[float]], temper: float):
-        self.domains, self.prior, self.terms, self.temper = domains, prior, terms, temper
+    def __init__(self, domains: list[str], start: list[float], terms: dict[str, list[float]]):
+        self.domains, self.start, self.terms = domains, start, terms
 
-    def posterior(self, tokens: Column) -> Column:
-        """array<double>, one a domain, that sums to 1."""
-        size = len(self.domains)
-        start = F.array(*[F.lit(float(p)) for p in self.prior])
+    def posterior(self, found: Column) -> Column:
+        """array<double>, one a domain, that sums to 1, from an array of features."""
+        start = F.array(*[F.lit(float(p)) for p in self.start])
         if self.terms:
             table = F.create_map(*[x for t, w in self.terms.items() for x in (F.lit(t), F.array(*[F.lit(float(v)) for v in w]))])
-            found = F.array_intersect(features(tokens), F.array(*[F.lit(t) for t in self.terms]))
-            logs = F.aggregate(F.transform(found, lambda t: F.element_at(table, t)), start, lambda a, w: F.zip_with(a, w, lambda x, y: x + y * F.lit(self.temper)))
+            found = F.array_intersect(found, F.array(*[F.lit(t) for t in self.terms]))
+            logs = F.aggregate(F.transform(found, lambda t: F.element_at(table, t)), start, lambda a, w: F.zip_with(a, w, lambda x, y: x + y))
         else:
             logs = start
-        top = F.transform(F.array(logs), lambda a: F.transform(a, lambda x: F.exp(x - F.array_max(a))))[0]
-        total = F.transform(F.array(top), lambda a: F.transform(a, lambda x: F.round(x / F.aggregate(a, F.lit(0.0), lambda s, y: s + y) * GRID)))[0]
-        grid = F.transform(F.array(total), lambda a: F.transform(a, lambda x: x / F.aggregate(a, F.lit(0.0), lambda s, y: s + y)))[0]
-        return F.coalesce(grid, F.array(*[F.lit(1.0 / size)] * size))
+        # Arrays of one bind a value: an expression inside a lambda is evaluated anew for every item.
+        top = F.transform(F.array(logs), lambda a: F.transform(a, lambda x: F.exp(x - F.array_max(a))))
+        total = F.transform(top, lambda a: F.transform(a, lambda x: F.round(x / F.aggregate(a, F.lit(0.0), lambda s, y: s + y) * GRID)))
+        return F.transform(total, lambda a: F.transform(a, lambda x: x / F.aggregate(a, F.lit(0.0), lambda s, y: s + y)))[0]
 
 
-def fit(docs: DataFrame, labels: DataFrame, domain: Column, sample: int = 6000, n_terms: int = 128, temper: float = 0.5, lift: float = 1.5, key: str = "doc_id", text: str = "text") -> Classifier:
+def fit(docs: DataFrame, labels: DataFrame, domain: Column, sample: int = 8000, n_terms: int = 512, lift: float = 1.5, ridge: float = 0.3, key: str = "doc_id", text: str = "text") -> Classifier:
     """Learn from up to ``sample`` labelled documents, the lowest by key's hash.
 
     ``domain`` is an expression over ``labels``; rows where it or the key is
-    null are passed over, and a key with several domains has the smallest.  The
-    terms are the ``n_terms`` that tell most about the
-    domain, of those at least ``lift`` times as frequent in some domain as overall.  With no labelled documents there is one domain, "all".
+    null are passed over, a key with several domains has the smallest, and one
+    with several texts the smallest.  The terms are, for each domain, its share
+    of ``n_terms``: those that tell most about domains among the stems at least
+    ``lift`` times as frequent in it as overall and more so than in others; and
+    all marks of style.  Ties go by term.  With no labelled documents there is
+    one domain, "all".
     """
     marks = labels.select(F.col(key).cast("long").alias("_key"), domain.cast("string").alias("_domain")).dropna()
     marks = marks.groupBy("_key").agg(F.min("_domain").alias("_domain"))
     chosen = materialise(marks.orderBy(F.xxhash64("_key"), "_key").limit(sample), "labelled")
-    rows = docs.select(F.col(key).cast("long").alias("_key"), words(text).alias("_words")).join(F.broadcast(chosen), "_key").dropDuplicates(["_key"])
-    rows = materialise(rows.select("_domain", features(F.col("_words")).alias("_terms")), "taught")
+    rows = docs.select(F.col(key).cast("long").alias("_key"), plain(text).alias("_text")).join(F.broadcast(chosen), "_key")
+    rows = rows.groupBy("_key", "_domain").agg(F.min("_text").alias("_text"))
+    rows = materialise(rows.select("_domain", features(words(F.col("_text")), F.col("_text")).alias("_terms")), "taught")
     size = {r["_domain"]: r["count"] for r in rows.groupBy("_domain").count().collect()}
     if not size:
-        return Classifier(["all"], [0.0], {}, temper)
+        return Classifier(["all"], [0.0], {})
     domains, n = sorted(size), sum(size.values())
+    if len(domains) == 1:
+        return Classifier(domains, [0.0], {})
     seen = rows.select("_domain", F.explode("_terms").alias("term")).groupBy("term").agg(F.count("*").alias("df"), *[F.count_if(F.col("_domain") == d).alias(f"d{i}") for i, d in enumerate(domains)])
-    seen = seen.filter(F.col("df").between(max(5, n // 500), n - 1))
+    seen = seen.filter(F.col("df").between(max(5, n // 1000), n - 1))
     # Terms that some domain is rich in; one that a domain only lacks is a common word of one language.
-    seen = seen.filter(F.greatest(F.lit(0.0), *[F.col(f"d{i}") * n / (F.col("df") * size[d]) for i, d in enumerate(domains)]) >= lift)
+    lifts = F.array(*[F.col(f"d{i}") * n / (F.col("df") * size[d]) for i, d in enumerate(domains)])
+    style = F.col("term").startswith("\x01")
+    seen = seen.withColumn("lift", F.array_max(lifts)).withColumn("of", F.array_position(lifts, F.array_max(lifts))).filter((F.col("lift") >= lift) | style)
     gain = F.lit(0.0)
     for i, d in enumerate(domains):
         for k, of in ((F.col(f"d{i}"), F.col("df")), (F.lit(size[d]) - F.col(f"d{i}"), F.lit(n) - F.col("df"))):
             gain = gain + F.when(k > 0, k / n * F.log(k * n / (of * size[d]))).otherwise(0.0)
-    best = seen.withColumn("gain", gain).orderBy(F.desc("gain"), "term").limit(n_terms).collect()
-    total = dict.fromkeys(domains, 0.0)
-    terms = {}
-    for r in best:
-        p = [(r[f"d{i}"] + 0.5) / (size[d] + 1) for i, d in enumerate(domains)]
-        terms[r["term"]] = [math.log(x / (1 - x)) for x in p]
-        for d, x in zip(domains, p, strict=True):
-            total[d] += math.log(1 - x)
-    return Classifier(domains, [math.log(size[d] / n) + temper * total[d] for d in domains], terms, temper)
+    rank = Window.partitionBy("of", style).orderBy(F.desc("gain"), "term")
+    best = seen.withColumn("gain", gain).withColumn("rank", F.row_number().over(rank)).filter(style | (F.col("rank") <= max(1, n_terms // len(domains))))
+    terms = [r["term"] for r in best.select("term").orderBy("term").collect()]
+    if not terms:
+        return Classifier(domains, [math.log(size[d] / n) for d in domains], {})
+    place = {t: i for i, t in enumerate(terms)}
+    taught = rows.select("_domain", F.array_intersect("_terms", F.array(*[F.lit(t) for t in terms])).alias("found")).collect()
+    x, y = np.zeros((n, len(terms))), np.zeros((n, len(domains)))
+    for i, r in enumerate(sorted(taught)):
+        x[i, [place[t] for t in r["found"]]] = 1
+        y[i, domains.index(r["_domain"])] = 1
+    w = softmax_fit(x, y, ridge)
+    return Classifier(domains, w[-1].tolist(), {t: w[i].tolist() for t, i in place.items()})
 
 
 def _rate(p: Column, steps: list[list[float]], pull: list[float]) -> Column:
@@ -176,25 +230,29 @@ def fit_rates(cells: DataFrame, targets: list[float], ridge: float = 1e-3, steps
     return Mix(taken, pull, totals, t)
 
 
-def mix(docs: DataFrame, classifier: Classifier, targets: dict[str, float], text: str = "text", ridge: float = 1e-3, prefix: str = "") -> tuple[DataFrame, Mix]:
+def mix(docs: DataFrame, classifier: Classifier, targets: dict[str, float], text: str = "text", ridge: float = 1e-3, prefix: str = "", keep_text: bool = True) -> tuple[DataFrame, Mix]:
     """``docs`` with columns tokens, posterior and rate (names after ``prefix``).
 
     ``targets`` are weights by domain; those of domains without labels are left
     out and the rest scaled to sum to 1; domains without a target have 0.
     Null and empty texts have 0 tokens and the posterior of a text without
-    terms.  Every row has its own rate, a function of its text, so repeated
-    rows agree.  An empty table gives an empty result.  Columns of ``docs`` with
-    the new columns' names are replaced.
+    terms; texts of any length are read whole.  Every row has its own rate, a
+    function of its text, so repeated rows agree.  An empty table gives an empty
+    result.  Columns of ``docs`` with the three new names are replaced, all
+    others are kept.  Without ``keep_text`` the texts are left out and read
+    once: what is known of each row is written to the shared folder.
     """
     weights = np.array([max(0.0, targets.get(d, 0.0)) for d in classifier.domains])
     weights = weights / weights.sum() if weights.sum() > 0 else np.full(len(weights), 1 / len(weights))
-    tokens = words(text)
-    cells = docs.select(tokens.alias("w")).select(F.size("w").cast("long").alias("tokens"), classifier.posterior(F.col("w")).alias("p"))
-    cells = materialise(cells.groupBy("p").agg(F.sum("tokens").alias("tokens")), "cells")
-    fitted = fit_rates(cells, weights.tolist(), ridge)
-    own = docs.withColumn("_mix_words", tokens)
-    own = own.withColumns({f"{prefix}tokens": F.size("_mix_words").cast("long"), f"{prefix}posterior": classifier.posterior(F.col("_mix_words"))})
-    return own.withColumn(f"{prefix}rate", fitted.rate(F.col(f"{prefix}posterior"))).drop("_mix_words"), fitted
+    names = [f"{prefix}{k}" for k in ("tokens", "posterior", "rate")]
+    lower, split = fresh(docs, "_lower", "_split")
+    own = docs.withColumn(lower, plain(text)).withColumn(split, words(F.col(lower)))
+    own = own.withColumns({names[0]: F.size(split).cast("long"), names[1]: classifier.posterior(features(F.col(split), F.col(lower)))}).drop(lower, split)
+    if not keep_text:
+        own = materialise(own.drop(text), "measured")
+    cells = own.select(F.col(names[0]).alias("tokens"), F.col(names[1]).alias("p")).groupBy("p").agg(F.sum("tokens").alias("tokens"))
+    fitted = fit_rates(materialise(cells, "cells"), weights.tolist(), ridge)
+    return own.withColumn(names[2], fitted.rate(F.col(names[1]))), fitted
 
 
 def resample(docs: DataFrame, rate: str, key: str = "doc_id") -> DataFrame:
@@ -204,5 +262,6 @@ def resample(docs: DataFrame, rate: str, key: str = "doc_id") -> DataFrame:
     whenever a task is repeated.
     """
     chance = F.pmod(F.xxhash64(F.lit("copies"), F.col(key)), F.lit(1 << 30)) / F.lit(float(1 << 30))
-    copies = F.floor(F.col(rate) + chance).cast("int")
-    return docs.withColumn("_copies", copies).filter("_copies > 0").withColumn("_copy", F.explode(F.sequence(F.lit(1), "_copies"))).drop("_copies", "_copy", rate)
+    copies, copy = fresh(docs, "_copies", "_copy")
+    more = docs.withColumn(copies, F.floor(F.col(rate) + chance).cast("int")).filter(F.col(copies) > 0)
+    return more.withColumn(copy, F.explode(F.sequence(F.lit(1), copies))).drop(copies, copy, rate)

@@ -70,7 +70,7 @@ def domain_of_labels() -> Column:
 def op9_soft_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     classifier = mixing.fit(docs, table(spark, sf_dir, "labels"), domain_of_labels())
-    mixed, _ = mixing.mix(docs.select("doc_id", "text"), classifier, TARGETS)
+    mixed, _ = mixing.mix(docs.select("doc_id", "text"), classifier, TARGETS, keep_text=False)
     p = {d: F.col("posterior")[i] for i, d in enumerate(classifier.domains)}
     return mixed.select("doc_id", "tokens", *[p.get(d, F.lit(0.0)).alias(f"p_{d}") for d in DOMAINS], "rate")
 
