@@ -1,18 +1,26 @@
 """Main text of web pages by tree scoring.
 
 The page is read into a light element tree with the end tags that HTML leaves
-out put in.  Elements that are never article text (scripts, navigation, forms,
-adverts, notices, comments of readers and the like, by tag, role or class) are
-left out.  Each paragraph earns points for its length and its commas; its parent
-gets them whole, the grandparent half, further ancestors a third by level.  A
-container's points are discounted by the share of its text that stands in
-links.  The best container is kept with those siblings that score or read like
+out put in.  Each paragraph earns points for its length and its commas; its
+parent gets them whole, the grandparent half, the next three ancestors a third
+by level.  A container's points are discounted by the share of its text that
+stands in links.  The best container is kept with those siblings that read like
 the article, and its blocks are returned in page order.
+
+Scripts and the like are never text.  Elements whose tag, role, class or id says
+navigation, form, advert, notice or comment are judged by what they hold: one
+with more than half of the page's points is a wrapper and stays, whatever its
+name (comments: more than four fifths); one with an ambiguous name goes only if
+it holds links or next to no text; the others go.
+
+All work is in proportion to the page: tags are read once, open elements are
+counted by tag and scope, and sums are taken over the nodes once.
 """
 
 from __future__ import annotations
 
 import re
+from collections import Counter
 from collections.abc import Iterator
 from html import unescape
 
@@ -20,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import strings
+from .common import slices
 
 _TOKEN = re.compile(
     r"<!--.*?(?:-->|\Z)"
@@ -29,6 +37,7 @@ _TOKEN = re.compile(
     r"|<[!?/][^>]*>|<[a-zA-Z][^>]*>",
     re.S | re.I,
 )
+_CLOSED = re.compile(r"(?:</\w+\s*|--)>\Z")
 _ATTR = re.compile(r"""([\w:-]+)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))|([\w:-]+)""")
 _VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 _INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark q rp rt ruby s samp small span strike strong sub sup time tt u var br wbr img".split())
@@ -44,25 +53,45 @@ _IMPLIED = {
     "th": ({"td", "th"}, {"tr", "table"}),
     "option": ({"option"}, {"select"}),
 }
+#: What bounds the search of an end tag that may be a stray.
+_SCOPE = frozenset("article section div main body".split())
 _DROP = frozenset("nav aside footer form button menu dialog head fieldset".split())
 _ROLES = frozenset("navigation banner contentinfo complementary search dialog alertdialog alert menu menubar form".split())
+_EDGES = r"(?:^|[\s_-])(?:%s)(?=$|[\s_\d-])"
 _BAD = re.compile(
-    r"(?:^|[\s_-])(?:nav|navbar|navigation|menu|sidebar|side-?bar|side|rail|ad|ads|adv|advert\w*|adsense|sponsor\w*|promo\w*|banner|cookies?|consent|gdpr|notice|notification|alert|popup|modal|overlay"
-    r"|newsletter|subscri\w*|signup|share|sharing|social|breadcrumbs?|pagination|pager|related|recommend\w*|comments?|commentlist|disqus|discussion|respond|repl(?:y|ies)|footer|foot|masthead|toolbar"
-    r"|widget|hidden|login|search|skip|copyright|legal|disclaimer|teaser|outbrain|taboola)(?=$|[\s_\d-])",
+    _EDGES % r"nav|navbar|navigation|menu|sidebar|side-?bar|ad|ads|adv|advert\w*|adsense|sponsor\w*|promo\w*|banner|cookies?|consent|gdpr|popup|modal|overlay"
+    r"|newsletter|subscri\w*|signup|share|sharing|social|breadcrumbs?|pagination|pager|footer|foot|masthead|toolbar|hidden|login|skip|copyright|outbrain|taboola",
     re.I,
 )
+_WEAK = re.compile(_EDGES % r"side|rail|notice|notification|alert|related|recommend\w*|discussion|repl(?:y|ies)|widget|search|legal|disclaimer|teaser", re.I)
+_COMMENTS = re.compile(_EDGES % r"comments?|commentlist|comment-?list|disqus|respond", re.I)
 _HEADER = re.compile(r"(?:^|[\s_-])(?:site-?)?header(?=$|[\s_\d-])", re.I)
 _HIDDEN = re.compile(r"display\s*:\s*none|visibility\s*:\s*hidden", re.I)
 _GOOD = re.compile(r"article|content|post|entry|story|body|text|main", re.I)
 
 
+#: How far points reach, and what each ancestor gets of them.
+_SHARES = (1, 1 / 2, 1 / 6, 1 / 9, 1 / 12)
+#: What marks an element as one that may go: an ambiguous name, a clear name or tag, reader comments.
+WEAK, CLEAR, COMMENTS = 1, 2, 3
+
+
+_STRAYS = frozenset("p li td tr dd dt".split())
+_HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
+_NO_POINTS = _HEADINGS | {"li", "dt", "th"}
+_PARAGRAPHS = frozenset("p pre blockquote td dd".split())
+_TEXT = frozenset("p ul ol dl pre blockquote table figure".split())
+_LISTS = frozenset("ul ol div table section dl".split())
+
+
 class Node:
-    __slots__ = ("tag", "up", "kids", "name", "drop", "points", "chars", "linked", "links", "paragraph")
+    """own: points of the blocks in it and below; points: what it has as an ancestor."""
+
+    __slots__ = ("tag", "up", "name", "mark", "drop", "take", "own", "points", "chars", "linked", "links", "paragraph")
 
     def __init__(self, tag: str, up: Node | None):
-        self.tag, self.up, self.kids, self.name, self.drop = tag, up, [], "", False
-        self.points, self.chars, self.linked, self.links, self.paragraph = 0.0, 0, 0, 0, False
+        self.tag, self.up, self.name, self.mark, self.drop, self.take = tag, up, "", 0, False, False
+        self.own, self.points, self.chars, self.linked, self.links, self.paragraph = 0.0, 0.0, 0, 0, 0, False
 
 
 class Block:
@@ -76,25 +105,27 @@ def _attributes(source: str) -> dict[str, str]:
     return {m[1].lower() if m[1] else m[5].lower(): m[2] or m[3] or m[4] or "" for m in _ATTR.finditer(source)}
 
 
-def _unwanted(node: Node, attrs: dict[str, str]) -> bool:
-    tag = node.tag
+def _mark(tag: str, name: str, attrs: dict[str, str], inside: bool) -> int:
+    """Whether an element may go; ``inside`` an article, a header has its title."""
     if tag in ("html", "body", "article", "main"):
-        return False
+        return 0
     if tag in _DROP or attrs.get("role", "").lower() in _ROLES or "hidden" in attrs or attrs.get("aria-hidden", "").lower() == "true" or _HIDDEN.search(attrs.get("style", "")):
-        return True
-    inside = node.up
-    while inside is not None and inside.tag not in ("article", "main"):
-        inside = inside.up
-    if tag == "header" or _HEADER.search(node.name):
-        return inside is None  # an article's own header has its title
-    return bool(node.name and _BAD.search(node.name))
-
-
-def parse(html: str) -> tuple[Node, list[Block]]:
-    """The element tree, and the blocks of text in page order."""
-    root = Node("#root", None)
-    at, blocks, run = root, [], []
+        return CLEAR
+    if tag == "header" or _HEADER.search(name):
+        return 0 if inside else CLEAR
+    if not name:
+        return 0
+    return COMMENTS if _COMMENTS.search(name) else CLEAR if _BAD.search(name) else WEAK if _WEAK.search(name) else 0
+
+
+def parse(html: str) -> tuple[list[Node], list[Block]]:
+    """The elements in page order, the root first, and the blocks of text."""
+    at = Node("#root", None)
+    nodes, blocks, run = [at], [], []
     linked = links = anchors = last = 0
+    # Open elements by tag: in all, and within the innermost element that bounds the search of stray end tags.
+    opened: Counter[str] = Counter()
+    scopes: list[Counter[str]] = [Counter()]
 
     def add(source: str) -> None:
         nonlocal linked
@@ -112,17 +143,39 @@ def parse(html: str) -> tuple[Node, list[Block]]:
             run.clear()
         linked = links = 0
 
-    def close(node: Node) -> None:
+    def enter(tag: str, attrs: dict[str, str]) -> None:
         nonlocal at
-        flush()
-        at = node.up
+        node = Node(tag, at)
+        node.name = f"{attrs.get('class', '')} {attrs.get('id', '')}".strip()
+        node.mark = _mark(tag, node.name, attrs, opened["article"] + opened["main"] > 0)
+        nodes.append(node)
+        at = node
+        opened[tag] += 1
+        if tag in _SCOPE:
+            scopes.append(Counter())
+        scopes[-1][tag] += 1
 
-    for m in _TOKEN.finditer(html):
+    def leave(node: Node) -> None:
+        """Close all up to and with ``node``."""
+        nonlocal at
+        while True:
+            done, at = at, at.up
+            opened[done.tag] -= 1
+            scopes[-1][done.tag] -= 1
+            if done.tag in _SCOPE:
+                scopes.pop()
+            if done is node:
+                return
+
+    end, whole = html.rfind(">") + 1, True
+    for m in _TOKEN.finditer(html, 0, end):
         if m.start() > last:
             add(html[last : m.start()])
         last = m.end()
         tag = m["tag"]
         if tag is None:
+            # A script or comment that nothing closes goes on to the end of the page.
+            whole = last < end or not (m["raw"] or m[0].startswith("<!--")) or _CLOSED.search(m[0]) is not None
             continue
         tag = tag.lower()
         if tag in _INLINE:
@@ -131,97 +184,99 @@ def parse(html: str) -> tuple[Node, list[Block]]:
                 links += not m["end"]
             elif tag == "br":
                 run.append("\n")
-            elif not m["end"] and m["attrs"] and (node := _hidden_inline(tag, m["attrs"], at)) is not None:
-                flush()
-                at = node
-            elif m["end"] and at.tag == tag:
-                close(at)
+            elif m["end"]:
+                if at.tag == tag:
+                    flush()
+                    leave(at)
+            elif tag not in _VOID and m["attrs"]:
+                attrs = _attributes(m["attrs"])
+                if _mark(tag, f"{attrs.get('class', '')} {attrs.get('id', '')}".strip(), attrs, True):
+                    flush()
+                    enter(tag, attrs)
             continue
         if m["end"]:
-            node = at
-            while node is not None and node.tag != tag:
-                # A paragraph's or list item's stray end does not close what holds it.
-                if tag in ("p", "li", "td", "tr", "dd", "dt") and node.tag in ("article", "section", "div", "main", "body"):
-                    node = None
-                    break
-                node = node.up
             flush()
-            if node is not None and node.up is not None:
-                at, anchors = node.up, 0
+            # A paragraph's or list item's stray end does not close what holds it.
+            if (scopes[-1] if tag in _STRAYS else opened)[tag] > 0:
+                node = at
+                while node.tag != tag:
+                    node = node.up
+                leave(node)
+                anchors = 0
             continue
         flush()
-        if tag in _VOID:
-            continue
-        if tag in ("html", "body") and any(n.tag == tag for n in _line(at)):
+        if tag in _VOID or (tag in ("html", "body") and opened[tag]):
             continue
         anchors = 0
-        if tag in _ENDS_P:
-            for n in _line(at):
-                if n.tag == "p":
-                    at = n.up
-                    break
-                if n.tag not in ("p", "#inline"):
-                    break
+        if tag in _ENDS_P and at.tag == "p":
+            leave(at)
         ends, stops = _IMPLIED.get(tag, ((), ()))
-        if ends:
-            for n in _line(at):
-                if n.tag in stops:
-                    break
-                if n.tag in ends:
-                    at = n.up
-                    if tag != "tr" or n.tag == "tr":
-                        break
-        node = Node(tag, at)
-        attrs = _attributes(m["attrs"]) if m["attrs"] else {}
-        node.name = f"{attrs.get('class', '')} {attrs.get('id', '')}".strip()
-        node.drop = at.drop or _unwanted(node, attrs)
-        at.kids.append(node)
-        at = node
-    if last < len(html):
-        add(html[last:])
+        if any(opened[e] for e in ends):
+            node = at
+            while node is not None and node.tag not in stops and node.tag not in ends:
+                node = node.up
+            if node is not None and node.tag in ends:
+                row = node.up if tag == "tr" and node.tag != "tr" else None
+                leave(node)
+                if row is not None and row.tag == "tr":
+                    leave(row)
+        enter(tag, _attributes(m["attrs"]) if m["attrs"] else {})
+    rest = html[last:]
+    if rest and whole:
+        # A tag that the end of the page cuts off is no text.
+        cut = re.search(r"<[a-zA-Z/!?]", html[end:])
+        add(rest[: end - last + cut.start()] if cut else rest)
     flush()
-    return root, blocks
+    return nodes, blocks
 
 
-def _hidden_inline(tag: str, source: str, at: Node) -> Node | None:
-    """A node for an inline element that is left out, if it is."""
-    if tag == "img":
-        return None
-    attrs = _attributes(source)
-    node = Node(tag, at)
-    node.name = f"{attrs.get('class', '')} {attrs.get('id', '')}".strip()
-    if not _unwanted(node, attrs):
-        return None
-    node.drop = True
-    at.kids.append(node)
-    return node
-
-
-def _line(node: Node | None) -> Iterator[Node]:
-    while node is not None:
-        yield node
-        node = node.up
+def earned(block: Block) -> float:
+    """Points of a block of text: for length and commas, less what stands in links."""
+    n = len(block.text)
+    points = min(n / 100, 3) + block.text.count(",") + block.text.count("、") + block.text.count("，") + (n >= 25)
+    return points * (1 - min(1, block.linked / n))
 
 
-def _weigh(blocks: list[Block]) -> list[Node]:
-    """Points, text and links of all nodes above the blocks; the nodes."""
-    seen: dict[int, Node] = {}
+def _judge(nodes: list[Node], blocks: list[Block]) -> None:
+    """Marks what goes."""
     for b in blocks:
-        n = len(b.text)
-        for node in _line(b.node):
-            seen[id(node)] = node
-            node.chars += n
-            node.linked += b.linked
-            node.links += b.links
-        if b.node.tag in ("h1", "h2", "h3", "h4", "h5", "h6", "li", "dt", "th"):
+        b.node.own += earned(b)
+        b.node.chars += len(b.text)
+        b.node.linked += b.linked
+        b.node.links += b.links
+    for node in reversed(nodes[1:]):
+        up = node.up
+        up.own, up.chars, up.linked, up.links = up.own + node.own, up.chars + node.chars, up.linked + node.linked, up.links + node.links
+    total = nodes[0].own
+    for node in nodes[1:]:
+        if node.up.drop:
+            node.drop = True
+        elif node.mark:
+            share = node.own / total if total else 0.0
+            node.drop = share <= (0.8 if node.mark == COMMENTS else 0.5) and (node.mark != WEAK or node.own < 3 or _density(node) > 1 / 3)
+
+
+def _weigh(nodes: list[Node], blocks: list[Block]) -> None:
+    """Points, text and links of the nodes above the blocks that stay."""
+    for node in nodes:
+        node.chars = node.linked = node.links = 0
+    for b in blocks:
+        node = b.node
+        node.chars += len(b.text)
+        node.linked += b.linked
+        node.links += b.links
+        if node.tag in _NO_POINTS:
             continue
-        b.node.paragraph = b.node.tag in ("p", "pre", "blockquote", "td", "dd")
-        points = min(n / 100, 3) + b.text.count(",") + b.text.count("、") + b.text.count("，") + (n >= 25)
-        points *= 1 - min(1, b.linked / n)
-        ancestors = _line(b.node.up if b.node.paragraph else b.node)
-        for level, node in enumerate(ancestors):
-            node.points += points / (1 if level == 0 else 2 if level == 1 else 3 * level)
-    return list(seen.values())
+        node.paragraph = node.tag in _PARAGRAPHS
+        points, up = earned(b), node.up if node.paragraph else node
+        for share in _SHARES:
+            if up is None:
+                break
+            up.points += points * share
+            up = up.up
+    for node in reversed(nodes[1:]):
+        up = node.up
+        up.chars, up.linked, up.links = up.chars + node.chars, up.linked + node.linked, up.links + node.links
 
 
 def _density(node: Node) -> float:
@@ -237,45 +292,39 @@ def _value(node: Node) -> float:
     return points * (1 - _density(node))
 
 
+def _like_text(node: Node) -> bool:
+    """Whether a sibling of the best container reads like the article."""
+    if node.tag in _HEADINGS:
+        return _density(node) < 0.5
+    return _density(node) < 0.25 and (node.tag in _TEXT or node.chars >= 80)
+
+
 def main_blocks(html: str) -> list[str]:
     """Blocks of the main text in page order; none where the page has no text."""
-    root, every = parse(html)
-    blocks = [b for b in every if not b.node.drop]
-    nodes = [n for n in _weigh(blocks) if n.tag not in ("#root", "html") and not n.paragraph]
-    if not nodes:
+    nodes, blocks = parse(html)
+    _judge(nodes, blocks)
+    blocks = [b for b in blocks if not b.node.drop]
+    _weigh(nodes, blocks)
+    able = [n for n in nodes if n.chars and n.tag not in ("#root", "html") and not n.paragraph]
+    if not able:
         return [b.text for b in blocks]
-    best = max(nodes, key=_value)
-    for node in _line(best):
-        if node.tag in ("article", "main") and node.chars >= best.chars:
+    best = max(able, key=_value)
+    node = best
+    while node is not None:
+        if node.tag in ("article", "main"):
             best = node
             break
-    kept = {id(best)}
-    up = best.up
-    if up is not None and best.tag not in ("article", "main", "body", "html"):
-        bar = max(10.0, 0.2 * _value(best))
-        for kid in up.kids:
-            if kid is best or kid.drop or not kid.chars:
-                continue
-            if kid.tag == "p":
-                good = kid.chars > 80 and _density(kid) < 0.25 or _density(kid) == 0 and kid.chars > 0
-            elif kid.tag in ("h1", "h2", "h3", "h4", "h5", "h6"):
-                good = _density(kid) < 0.5
-            else:
-                good = _value(kid) >= bar
-            if good:
-                kept.add(id(kid))
-    out = []
-    for b in blocks:
-        take = False
-        for node in _line(b.node):
-            if node.tag in ("ul", "ol", "div", "table", "section", "dl") and node.links >= 2 and _density(node) > 0.5 and id(node) not in kept:
-                break  # a list of links within the article
-            if id(node) in kept:
-                take = True
-                break
-        if take:
-            out.append(b.text)
-    return out
+        node = node.up
+    best.take = True
+    if best.up is not None and best.tag not in ("article", "main", "body", "html"):
+        for node in nodes:
+            if node.up is best.up and node is not best and node.chars and not node.drop:
+                node.take = _like_text(node)
+    for node in nodes[1:]:
+        # A list of links within the article is left out.
+        if not node.take and node.up.take:
+            node.take = not (node.tag in _LISTS and node.links >= 2 and _density(node) > 0.5)
+    return [b.text for b in blocks if b.node.take]
 
 
 def main_text(html: str | None) -> str:
@@ -285,15 +334,18 @@ def main_text(html: str | None) -> str:
 def extract(pages: DataFrame, key: str = "page_id", url: str = "url", html: str = "html") -> DataFrame:
     """Per row: key, url, text, n_chars (code points).
 
-    Null and empty pages, and pages without text, have the empty text.  Rows are
-    read alone: repeated rows agree, null keys and urls stay null, other columns
-    are not read, an empty table gives an empty result.
+    Null and empty pages, and pages without text, have the empty text.  Pages of
+    any length are read whole, in time in proportion to it.  Of containers with
+    equal scores the first on the page is taken.  Rows are read alone: repeated
+    rows agree, null keys and urls stay null, other columns are not read, an
+    empty table gives an empty result.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            texts = [main_text(h) for h in strings(b.column(2))]
-            yield pa.record_batch([b.column(0), b.column(1), pa.array(texts, pa.string()), pa.array(map(len, texts), pa.int64())], ["key", "url", "text", "n_chars"])
+            for x, y, pages in slices(b.column(2)):
+                texts = list(map(main_text, pages))
+                yield pa.record_batch([b.column(0).slice(x, y - x), b.column(1).slice(x, y - x), pa.array(texts, pa.string()), pa.array(list(map(len, texts)), pa.int64())], ["key", "url", "text", "n_chars"])
 
     rows = pages.select(F.col(key).cast("long").alias("key"), F.col(url).cast("string").alias("url"), F.col(html).cast("string").alias("html"))
     return rows.mapInArrow(run, "key long, url string, text string, n_chars long").withColumnRenamed("key", key)
