@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import strings
+from .common import slices
 from .pieces import PieceCache
 
 
@@ -88,7 +88,7 @@ def counter(path: str) -> TokenCounter:
 def count_tokens(docs: DataFrame, path: str, limit: int = 1024, key: str = "doc_id", text: str = "text") -> DataFrame:
     """Per row: key, n_bytes (UTF-8), n_tokens, over_limit (n_tokens > ``limit``).
 
-    Null and empty texts have 0 bytes and 0 tokens; a null key stays null;
+    Null and empty texts have 0 bytes and 0 tokens; long ones are counted whole; a null key stays null;
     repeated rows are counted each; an empty table gives an empty result; other
     columns are not read.  One pass over the table, no shuffle.
     """
@@ -97,8 +97,8 @@ def count_tokens(docs: DataFrame, path: str, limit: int = 1024, key: str = "doc_
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = counter(path)
         for b in batches:
-            texts = strings(b.column(1))
-            yield pa.record_batch([b.column(0), pa.array([len(t.encode("utf-8", "replace")) for t in texts], pa.int64()), pa.array(map(own.count, texts), pa.int64())], out)
+            for x, y, texts in slices(b.column(1)):
+                yield pa.record_batch([b.column(0).slice(x, y - x), pa.array([len(t.encode("utf-8", "replace")) for t in texts], pa.int64()), pa.array(list(map(own.count, texts)), pa.int64())], out)
 
     rows = docs.select(F.col(key).cast("long").alias("key"), F.col(text).cast("string").alias("text"))
     rows = rows.mapInArrow(run, "key long, n_bytes long, n_tokens long")

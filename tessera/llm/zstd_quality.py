@@ -8,8 +8,8 @@ logistic curve together with the log of the compression ratio, because a
 difference of a few bytes means more in text that hardly compresses.
 
 The dictionaries and the curve are learned from a bounded sample of labelled
-texts (``sample`` of each class for each of the two), the lowest by hash of
-their key, and only labels choose the class.  Everything else is one pass over
+rows (``sample`` of each class for each of the two), the lowest by hash of
+their key, whole texts, and only labels choose the class.  Everything else is one pass over
 the table without a shuffle.
 """
 
@@ -24,7 +24,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import slices, strings
+from .common import materialise, slices
 
 BLOCK, LEVEL, DICTIONARY = 1000, 3, 112 << 10
 
@@ -69,15 +69,6 @@ def logistic(x: np.ndarray, y: np.ndarray, ridge: float = 0.01, steps: int = 60)
     return w
 
 
-def _excerpts(text: str, key: int, size: int = 2000, most: int = 4) -> list[bytes]:
-    """Up to ``most`` stretches of a sample text, at places set by its key."""
-    data = text.encode("utf-8", "replace")
-    if len(data) <= size:
-        return [data] if data else []
-    rng = np.random.default_rng(key & 0xFFFFFFFF)
-    return [data[i : i + size] for i in rng.integers(0, len(data) - size, min(most, len(data) // size)).tolist()]
-
-
 class Model:
     """What scoring needs: dictionaries, curve and the share of good labels."""
 
@@ -99,17 +90,20 @@ def _features(dictionaries):
     return run
 
 
-def _sampled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for b in batches:
-        for key, label, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strings(b.column(2)), strict=True):
-            yield pa.record_batch([pa.array([label], pa.int32()), pa.array([_excerpts(text, key)], pa.list_(pa.binary()))], ["label", "parts"])
+def _cut(text: str, size: int) -> list[bytes]:
+    """All of a sample text, in parts of ``size`` bytes for the dictionary's trainer."""
+    data = text.encode("utf-8", "replace")
+    return [data[i : i + size] for i in range(0, len(data), size)]
 
 
-def fit(docs: DataFrame, labels: DataFrame, sample: int = 2000, key: str = "doc_id", text: str = "text", label: str = "quality") -> Model:
+def fit(docs: DataFrame, labels: DataFrame, sample: int = 2000, part_bytes: int = 2000, key: str = "doc_id", text: str = "text", label: str = "quality") -> Model:
     """Learn from the rows of ``docs`` that ``labels`` marks 0 or 1.
 
-    A key with several labels has the smallest.  With one class only, or none,
-    the model knows no more than the share of good labels (0.5 with none).
+    ``sample`` texts of each class teach the dictionaries and as many others the
+    curve, all of each text.  A key with several labels has the smallest, one
+    with several texts the smallest of them, ties by hash go to the smaller key:
+    a repeated run learns the same.  With one class only, or none, the model
+    knows no more than the share of good labels (0.5 with none).
     """
     marks = labels.filter(F.col(label).isin(0, 1) & F.col(key).isNotNull()).groupBy(F.col(key).cast("long").alias("_key")).agg(F.min(label).cast("int").alias("label"))
     kind = {r["label"]: r["count"] for r in marks.groupBy("label").count().collect()}
@@ -128,9 +122,11 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = 2000, key: str = "doc_
     spark = docs.sparkSession
     wanted = spark.createDataFrame(keys, "_key long, label int, part int")
     rows = docs.select(F.col(key).cast("long").alias("_key"), F.coalesce(F.col(text).cast("string"), F.lit("")).alias("_text"))
-    rows = rows.join(F.broadcast(wanted), "_key").dropDuplicates(["_key"])
-    taught = rows.filter("part = 0").select("_key", "label", "_text").mapInArrow(_sampled, "label int, parts array<binary>").collect()
-    parts = {c: [bytes(p) for r in taught if r["label"] == c for p in r["parts"]] for c in (0, 1)}
+    rows = rows.join(F.broadcast(wanted), "_key").groupBy("_key", "label", "part").agg(F.min("_text").alias("_text"))
+    rows = materialise(rows, "taught")
+    taught = sorted((r["label"], r["_key"], r["_text"]) for r in rows.filter("part = 0").collect())
+    parts = {c: [x for own, _, text in taught if own == c for x in _cut(text, part_bytes)] for c in (0, 1)}
+    del taught
     if not (parts[0] and parts[1]):
         return flat
     dictionaries = tuple(train_dictionary(parts[c]) for c in (0, 1))
@@ -150,7 +146,8 @@ def score(docs: DataFrame, model: Model, text: str = "text", name: str = "score"
     """``docs`` with a column of scores from 0 to 1.
 
     Null texts are empty; an empty text has the score of a text that compresses
-    to nothing.  Every row is scored alone, so repeated rows agree.  All other
+    to nothing.  Texts of any length are compressed whole, block by block.  An
+    empty table gives an empty result.  Every row is scored alone, so repeated rows agree.  All other
     columns are kept, but one with the same name is replaced.
     """
     if model.dictionaries is None:
