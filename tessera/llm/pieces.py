@@ -11,6 +11,9 @@ are only cut outside.
 from __future__ import annotations
 
 import re
+from collections.abc import Callable
+
+import numpy as np
 
 _LONG_RUN = re.compile(r"\s{3}|\s{2}\Z")
 _SINGLE = re.compile(r"(?<=\S)(?=[ \n]\S)")
@@ -55,3 +58,37 @@ class PieceCache(dict):
         values = [self.plain(first)] if first else []
         values.extend(map(self.__getitem__, rest))
         return values
+
+
+class Generations:
+    """Values by key in two generations: memory stays bounded, and keys that come again stay."""
+
+    def __init__(self, limit: int = 400_000, longest: int = 64):
+        self.limit, self.longest, self.young, self.old = limit, longest, {}, {}
+
+    def values(self, keys: list[str], make: Callable[[list[str]], list]) -> list:
+        """Values of distinct keys; ``make`` gives those of the keys that aren't kept."""
+        out = list(map(self.young.get, keys))
+        gaps = [i for i, v in enumerate(out) if v is None]
+        if not gaps:
+            return out
+        wanted = [keys[i] for i in gaps]
+        found = list(map(self.old.get, wanted))
+        made = iter(make([k for k, v in zip(wanted, found, strict=True) if v is None]))
+        found = [next(made) if v is None else v for v in found]
+        for i, v in zip(gaps, found, strict=True):
+            out[i] = v
+        if len(self.young) + len(gaps) > self.limit:
+            self.old, self.young = self.young, {}
+        self.young.update((k, v) for k, v in zip(wanted, found, strict=True) if len(k) <= self.longest)
+        return out
+
+
+def lay_out(values: list[bytes], at: np.ndarray, kind: np.dtype) -> tuple[np.ndarray, np.ndarray]:
+    """The ids of ``values[i]`` for each i of ``at``, one after another, and their numbers."""
+    sizes = np.fromiter(map(len, values), np.int64, len(values)) // kind.itemsize
+    places = np.cumsum(sizes) - sizes
+    data, own = np.frombuffer(b"".join(values), kind), sizes[at]
+    ends = np.cumsum(own)
+    total = int(ends[-1]) if len(ends) else 0
+    return data[np.arange(total) - np.repeat(ends - own - places[at], own)], own

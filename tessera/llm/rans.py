@@ -7,19 +7,19 @@ renormalisation.  Every 256 steps the states and the place in the words are
 kept as a checkpoint, so the stretches of a block are decoded side by side, and
 each block carries the crc32 of its ids and its words.
 
-A dataset is a folder: ``blocks`` (one row a block, files in ascending key
-order, one range of keys a file), ``freqs`` (id, freq) and ``parts`` (where each
-range starts).  The rows are written by Spark's own writer, so any store works
-and a lost executor costs its tasks only.
+A dataset is a folder: ``freqs`` (id, freq) and ``blocks``, with one file for
+each ``part=P/stretch=S``.  P is a range of keys and S a stretch of its texts,
+both with leading zeros, so that files in the order of their names, and blocks
+in the order of a file, have ascending keys.  The rows are written by Spark's
+own writer, so any store works and a lost executor costs its tasks only.
 
 The library encodes each text once: texts are ordered by key first, then
-encoded to a table of plain ids, whose counts give the frequencies and which
-the coder reads in the same order.
+encoded to a table of plain ids, which has the counts that give the frequencies
+and which the coder reads in the same order.  That table is emptied at the end.
 """
 
 from __future__ import annotations
 
-import gc
 import uuid
 import zlib
 from collections.abc import Iterator
@@ -33,10 +33,12 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import chunks, strings, work_dir
-from .pieces import PieceCache
+from .common import release, slices, work_dir
+from .pieces import Generations, PieceCache, lay_out
 
 SCALE, LANES, EVERY, BLOCK = 20, 1024, 256, 1 << 20
+#: Chunks of plain ids in a file, about 2 MB of text each: such a file is one row group, so one task reads all of it, in order.
+STRETCH = 32
 LOW = np.uint64(1 << 31)
 _U = np.uint64
 
@@ -138,11 +140,8 @@ class Coder:
 #: All texts with a run of white space that is cut otherwise (and perhaps a few more), for RE2.
 _RUNS = r"[\s\x0b\x1c-\x1f\x{85}\pZ]{3}|[\s\x0b\x1c-\x1f\x{85}\pZ]{2}\z"
 
-
-def _whole(piece: str) -> bool:
-    """Neither white space in it nor what a special string may begin with."""
-    return "<" not in piece and piece.split() == [piece]
-
+#: Other white space than the lead, or what a special string may begin with.
+_NOT_PLAIN = r"[\s\x0b\x1c-\x1f\x{85}\pZ<]"
 
 
 class Encoder:
@@ -158,65 +157,71 @@ class Encoder:
         self.special = {t.content: i for i, t in self.tok.get_added_tokens_decoder().items()}
         if any(s[0] != "<" for s in self.special):
             raise ValueError(f"{path}: special strings are expected to begin with <")
-        self.cache = PieceCache(self._piece, 1_600_000)
-        vocab = self.tok.get_vocab()
         self.leads = {c: np.zeros(self.tok.get_vocab_size(), bool) for c in "ĠĊ"}
-        for token, i in vocab.items():
+        for token, i in self.tok.get_vocab().items():
             if token[:1] in self.leads:
                 self.leads[token[0]][i] = True
+        self.kept, self.firsts = Generations(700_000), Generations(50_000)
+        self.cache = PieceCache(self._piece, 50_000)
 
     def _piece(self, piece: str) -> bytes:
         return np.array(self.tok.encode(piece, add_special_tokens=False).ids, self.kind).tobytes()
 
-    def warm(self, keys: list[str]) -> None:
-        """Encode those of the pieces that aren't kept yet, many at a time.
+    def _many(self, pieces: list[str]) -> list[bytes]:
+        """Ids of each piece as if alone; pieces of one kind are encoded as one text.
 
-        Pieces that differ in their first character only in kind, a space or a
-        newline, and have no other white space or special strings are joined
-        into one text; each begins with the only token in it that starts so.
+        A piece here is what stands between a space or newline, its lead, and
+        the next, without other white space or special strings; each begins
+        with the only token in it that starts with its lead.
         """
-        wanted = [x for x in keys if x not in self.cache and len(x) <= self.cache.longest]
-        for mark, lead, own in (("Ġ", " ", [x for x in wanted if _whole(x)]), ("Ċ", "", [x for x in wanted if x[:1] == "\n" and _whole(x[1:])])):
-            if len(self.cache) + len(own) > self.cache.limit:
-                self.cache.clear()
+        out: list[bytes] = [b""] * len(pieces)
+        plain = pc.invert(pc.match_substring_regex(pc.utf8_slice_codeunits(pa.array(pieces, pa.string()), 1), _NOT_PLAIN)).to_numpy(zero_copy_only=False)
+        left = np.ones(len(pieces), bool)
+        for lead, mark in ((" ", "Ġ"), ("\n", "Ċ")):
+            own = [i for i in np.flatnonzero(plain).tolist() if pieces[i][0] == lead and len(pieces[i]) > 1]
             groups = [own[i : i + 500] for i in range(0, len(own), 500)]
-            for group, e in zip(groups, self.tok.encode_batch_fast([lead + lead.join(g) for g in groups], add_special_tokens=False), strict=True):
-                ids = np.array(e.ids, self.kind)
-                starts = np.flatnonzero(self.leads[mark][ids])
-                if len(starts) == len(group):
-                    data, size = ids.tobytes(), self.kind.itemsize
-                    edges = [*(starts * size).tolist(), len(data)]
-                    self.cache.update(zip(group, [data[a:b] for a, b in zip(edges, edges[1:], strict=False)], strict=True))
-
-    def encode_rows(self, texts: list[str], end: int) -> tuple[np.ndarray, np.ndarray]:
+            for at in range(0, len(groups), 16):
+                few = groups[at : at + 16]
+                for group, e in zip(few, self.tok.encode_batch_fast(["".join([pieces[i] for i in g]) for g in few], add_special_tokens=False), strict=True):
+                    ids = np.array(e.ids, self.kind)
+                    starts = np.flatnonzero(self.leads[mark][ids])
+                    if len(starts) == len(group):
+                        data, edges = ids.tobytes(), [*(starts * self.kind.itemsize).tolist(), len(ids) * self.kind.itemsize]
+                        for i, a, b in zip(group, edges, edges[1:], strict=False):
+                            out[i] = data[a:b]
+                        left[group] = False
+        for i in np.flatnonzero(left).tolist():
+            out[i] = self._piece(pieces[i]) if pieces[i] else b""
+        return out
+
+    def encode_rows(self, column: pa.Array, end: int) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts one after another, ``end`` after each, and the rows' lengths.
 
         Arrow cuts the texts and numbers the distinct pieces, so that only
         these are looked up one by one; numpy lays their ids out in order.
         """
-        column = pa.array(texts, pa.string())
         odd = pc.match_substring_regex(column, _RUNS)
         for s in self.special:
             odd = pc.or_(odd, pc.match_substring(column, s))
         parts = pc.split_pattern(pc.replace_substring(pc.if_else(odd, "", column), "\n", " \n"), " ")
         flat, bounds = parts.flatten(), np.concatenate([[0], np.cumsum(parts.value_lengths().to_numpy())])
         heads = bounds[:-1]
-        firsts = flat.take(pa.array(heads)).to_pylist()
-        coded = flat.dictionary_encode()
-        keys, at = coded.dictionary.to_pylist(), coded.indices.to_numpy().astype(np.int64)
-        self.warm(keys)
-        values = [self.cache[k] for k in keys]
         # A text's first piece has no space before it; an odd text is one piece.
-        values += [self.encode(t) if o else self.cache.plain(f) if f else b"" for t, o, f in zip(texts, odd.to_pylist(), firsts, strict=True)]
+        coded = flat.take(pa.array(heads)).dictionary_encode()
+        firsts = self.firsts.values(_python(coded.dictionary), lambda new: [self._piece(x) if x else b"" for x in new])
+        first_at = coded.indices.to_numpy().astype(np.int64)
+        coded = flat.dictionary_encode()
+        values = self.kept.values(_python(coded.dictionary), lambda new: self._many([x if x[:1] == "\n" else " " + x for x in new]))
+        at = coded.indices.to_numpy().astype(np.int64)
+        at[heads] = len(values) + first_at
+        values += firsts
+        whole = np.flatnonzero(odd.to_numpy(zero_copy_only=False))
+        at[heads[whole]] = len(values) + np.arange(len(whole))
+        values += [self.encode(t) for t in column.take(pa.array(whole)).to_pylist()]
         values.append(np.array([end], self.kind).tobytes())
-        at[heads] = len(keys) + np.arange(len(texts))
         at = np.insert(at, bounds[1:], len(values) - 1)
-        sizes = np.fromiter(map(len, values), np.int64, len(values)) // self.kind.itemsize
-        places = np.cumsum(sizes) - sizes
-        data, own = np.frombuffer(b"".join(values), self.kind), sizes[at]
-        ends = np.cumsum(own)
-        ids = data[np.arange(ends[-1]) - np.repeat(ends - own - places[at], own)]
-        return ids, np.add.reduceat(own, heads + np.arange(len(texts)))
+        ids, own = lay_out(values, at, self.kind)
+        return ids, np.add.reduceat(own, heads + np.arange(len(column)))
 
     def encode(self, text: str) -> bytes:
         for s, i in self.special.items():
@@ -225,6 +230,11 @@ class Encoder:
         return b"".join(self.cache.values_of(text))
 
 
+def _python(column: pa.Array) -> list[str]:
+    """Strings of an Arrow column without nulls; much faster than ``to_pylist``."""
+    return column.to_numpy(zero_copy_only=False).tolist()
+
+
 @lru_cache(2)
 def encoder(path: str) -> Encoder:
     return Encoder(path)
@@ -235,22 +245,30 @@ def _planes(data: bytes, size: int) -> bytes:
 
 
 def _ids(path: str, end: int):
-    """Chunks of rows in key order: keys, lengths and ids, and their counts."""
+    """Chunks of rows in key order: keys, lengths and ids; last the counts of a task's ids."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own, part, seq = encoder(path), TaskContext.get().partitionId(), 0
-        z, width = zstandard.ZstdCompressor(level=1), own.kind.itemsize
+        z, width, total = zstandard.ZstdCompressor(level=1), own.kind.itemsize, np.zeros(own.tok.get_vocab_size(), np.int64)
+
+        def row(seq, keys, lengths, data, counts) -> pa.RecordBatch:
+            return pa.record_batch([pa.array([v], f.type) for v, f in zip((part, seq, keys, lengths, data, counts), _ID_SCHEMA, strict=True)], _ID_SCHEMA)
+
         for b in batches:
-            keys, texts = b.column(0).to_pylist(), strings(b.column(1))
-            for lo, hi in chunks(map(len, texts), 2_000_000, 1024):
-                ids, lengths = own.encode_rows(texts[lo:hi], end)
-                yield pa.record_batch([pa.array([part], pa.int32()), pa.array([seq], pa.int64()), pa.array([keys[lo:hi]], pa.list_(pa.int64())), pa.array([lengths.tolist()], pa.list_(pa.int64())), pa.array([z.compress(_planes(ids.tobytes(), width))], pa.binary())], ["part", "seq", "keys", "lengths", "ids"])
+            keys = b.column(0)
+            for lo, hi, texts in slices(b.column(1), 2_000_000, 1024):
+                ids, lengths = own.encode_rows(pa.array(texts, pa.string()), end)
+                total += np.bincount(ids, minlength=len(total))
+                yield row(seq, keys.slice(lo, hi - lo).to_pylist(), lengths, z.compress(_planes(ids.tobytes(), width)), None)
                 seq += 1
+        if seq:
+            yield row(seq, None, None, None, z.compress(total.astype("<i8").tobytes()))
 
     return run
 
 
-_IDS = "part int, seq long, keys array<long>, lengths array<long>, ids binary"
+_IDS = "part int, seq long, keys array<long>, lengths array<long>, ids binary, counts binary"
+_ID_SCHEMA = pa.schema([("part", pa.int32()), ("seq", pa.int64()), ("keys", pa.list_(pa.int64())), ("lengths", pa.list_(pa.int64())), ("ids", pa.binary()), ("counts", pa.binary())])
 
 
 def _unplane(data: bytes, kind: np.dtype) -> np.ndarray:
@@ -258,17 +276,16 @@ def _unplane(data: bytes, kind: np.dtype) -> np.ndarray:
     return np.frombuffer(np.frombuffer(raw, np.uint8).reshape(kind.itemsize, -1).T.tobytes(), kind)
 
 
-def _counts(kind: np.dtype, size: int):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros(size, np.int64)
-        for b in batches:
-            for data in b.column(0).to_pylist():
-                total += np.bincount(_unplane(data, kind), minlength=size)
+def _counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    total = None
+    for b in batches:
+        for data in b.column(0).to_pylist():
+            own = np.frombuffer(zstandard.ZstdDecompressor().decompress(data), "<i8")
+            total = own + (0 if total is None else total)
+    if total is not None:
         at = np.flatnonzero(total)
         yield pa.record_batch([pa.array(at), pa.array(total[at])], ["id", "n"])
 
-    return run
-
 
 _BLOCKS = "part int, seq long, keys array<long>, lengths array<long>, n long, lanes int, places array<long>, states binary, words binary, crc long, words_crc long"
 _FIELDS = ("n", "lanes", "places", "states", "words", "crc", "words_crc")
@@ -276,7 +293,7 @@ _BLOCK_SCHEMA = pa.schema([("part", pa.int32()), ("seq", pa.int64()), ("keys", p
 
 
 def _encode(freq, kind: np.dtype):
-    """Blocks of about BLOCK ids of whole texts, numbered by their first chunk."""
+    """Blocks of about BLOCK ids of whole texts of one stretch, numbered by their first chunk."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         coder, part, first, keys, lengths, ids, n = Coder(freq.value), None, 0, [], [], [], 0
@@ -291,7 +308,7 @@ def _encode(freq, kind: np.dtype):
 
         for b in batches:
             for p, q, k, size, data in zip(*(b.column(i).to_pylist() for i in range(5)), strict=True):
-                if p != part:
+                if keys and (p, q // STRETCH) != (part, first // STRETCH):
                     yield from flush()
                 if not keys:
                     part, first = p, q
@@ -327,29 +344,32 @@ def write_tokens(docs: DataFrame, path: str, out: str, end: int = 0, key: str =
     """Write the ids of all texts, ``end`` after each, in ascending key order.
 
     Null texts are empty; null keys come first; rows with equal keys stand next
-    to each other, ordered by text.  An empty table writes an empty dataset.
+    to each other, ordered by their texts' hashes.  Texts of any length are taken
+    whole, and a block holds whole texts.  Other columns are not read.  An empty table writes an empty dataset.
     """
     spark = docs.sparkSession
     own = encoder(path)
     kind, vocab = own.kind, own.tok.get_vocab_size()
     rows = docs.select(F.col(key).cast("long").alias("key"), F.coalesce(F.col(text).cast("string"), F.lit("")).alias("text"))
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    rows = rows.repartitionByRange(n, "key").sortWithinPartitions("key", "text")
+    # The text breaks ties of the range, so that a key that many rows share is dealt to many tasks.
+    rows = rows.repartitionByRange(n, "key", F.xxhash64("text")).sortWithinPartitions("key", F.xxhash64("text"), "text")
     plain = f"{work_dir(spark)}/ids-{uuid.uuid4().hex}"
-    rows.mapInArrow(_ids(path, end), _IDS).write.option("compression", "uncompressed").parquet(plain)
-    del rows
-    gc.collect()  # lets Spark drop the shuffled texts: the ids are in the shared folder now
-    spark.sparkContext._jvm.System.gc()
+    rows.mapInArrow(_ids(path, end), _IDS).write.option("compression", "uncompressed").option("maxRecordsPerFile", STRETCH).parquet(plain)
     ids = spark.read.schema(_IDS).parquet(plain)
-    counts = ids.select("ids").mapInArrow(_counts(kind, vocab), "id long, n long").groupBy("id").agg(F.sum("n").alias("n")).collect()
+    counts = ids.filter("counts is not null").select("counts").mapInArrow(_counts, "id long, n long").groupBy("id").agg(F.sum("n").alias("n")).collect()
     total = np.zeros(vocab, np.int64)
     for r in counts:  # no more rows than the vocabulary has ids
         total[r["id"]] = r["n"]
     freq = scaled(total)
     spark.createDataFrame([(int(i), int(freq[i])) for i in np.flatnonzero(freq)], "id long, freq long").coalesce(1).write.parquet(f"{out}/freqs")
     shared = spark.sparkContext.broadcast(freq)
-    # A file has its part's chunks in order, and so has any split of it: no shuffle is needed.
-    ids.select("part", "seq", "keys", "lengths", "ids").mapInArrow(_encode(shared, kind), _BLOCKS).write.option("compression", "uncompressed").parquet(f"{out}/blocks")
+    blocks = ids.filter("counts is null").select("part", "seq", "keys", "lengths", "ids").mapInArrow(_encode(shared, kind), _BLOCKS)
+    # Each stretch is in one file and so in one task; its blocks stay in order.
+    place = [F.format_string("%08d", F.col("part")).alias("part"), F.format_string("%08d", (F.col("seq") / STRETCH).cast("long")).alias("stretch")]
+    blocks = blocks.select(*place, *[c for c in blocks.columns if c != "part"]).sortWithinPartitions("part", "stretch", "seq")
+    blocks.write.partitionBy("part", "stretch").option("compression", "uncompressed").parquet(f"{out}/blocks")
+    release(ids, plain)
 
 
 def read_tokens(spark: SparkSession, out: str, key: str = "doc_id") -> DataFrame:
@@ -360,8 +380,8 @@ def read_tokens(spark: SparkSession, out: str, key: str = "doc_id") -> DataFrame
     for r in rows:
         freq[r["id"]] = r["freq"]
     shared = spark.sparkContext.broadcast(freq)
-    blocks = spark.read.schema(_BLOCKS).parquet(f"{out}/blocks")
-    texts = blocks.mapInArrow(_decode(shared), "part int, seq long, key long, at long, n_tokens long, ids_crc32 long")
+    blocks = spark.read.schema(f"{_BLOCKS}, stretch int").parquet(f"{out}/blocks")
+    texts = blocks.drop("stretch").mapInArrow(_decode(shared), "part int, seq long, key long, at long, n_tokens long, ids_crc32 long")
     # One row a range of keys: as many as the writer had partitions.
     sizes, before = sorted((r["part"], r["n"]) for r in blocks.groupBy("part").agg(F.sum("n").alias("n")).collect()), 0
     starts = []
