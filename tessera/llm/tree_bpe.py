@@ -1,15 +1,21 @@
 """BPE encoding and decoding by tree concatenation.
 
-White space always ends a word here, so a text is cut at spaces and newlines
-and each piece is encoded alone.  A piece that no white space splits and that
-is longer than a leaf is halved until its parts are leaves; the leaves are
-encoded at once as one batch.  Two neighbours are then joined: a window around
-the cut is encoded again, and grows until it has a token in common with the
-left side and one with the right side, same place and same id, away from the
-window's own ends.  BPE merges are decided between neighbours, and the pattern
-scans forward without looking back, so from a common token on both encodings go
-on alike and the join is exact.  A window that has grown over both sides is the
-plain encoding of them.
+A text is halved, wherever the middles fall, until its parts are leaves.  All
+leaves of many texts are encoded together.  Two neighbours are then joined: a
+window around the cut is encoded again, and grows until it has a whole piece in
+common with the left side and one with the right side, same place and same
+encoding, away from the window's own ends; what lies between the two comes from
+the window, the rest from the sides.  A window that has grown over both sides is
+the plain encoding of them.
+
+White space always ends a word here, so the encoding of a leaf is kept as that
+of its pieces between spaces and newlines, and a dictionary of encodings is
+asked once for each distinct piece: equal pieces have equal encodings.  A piece
+that is longer than a leaf goes through a second tree of the same kind, over
+single tokens: its parts are encoded at once as one batch, and windows must
+share a token with either side.  BPE merges are decided between neighbours, and
+the pattern scans forward without looking back, so from a common token on both
+encodings go on alike and the join is exact.
 """
 
 from __future__ import annotations
@@ -19,12 +25,16 @@ import json
 import unicodedata
 from collections.abc import Iterator
 from functools import lru_cache
+from itertools import chain
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import chunks, slices
+from .pieces import Generations, lay_out
 
 #: Tokens: ids and their [start, end) in the text.
 Tokens = list[tuple[int, int, int]]
@@ -38,7 +48,7 @@ def _can_cut(ch: str) -> bool:
 class TreeEncoder:
     """Encodes and decodes with a tokenizers file whose words white space ends."""
 
-    def __init__(self, path: str, leaf: int = 2048, window: int = 256, cache: int = 250_000):
+    def __init__(self, path: str, leaf: int = 2048, window: int = 256, cache: int = 300_000):
         from tokenizers import Tokenizer
 
         self.tok = Tokenizer.from_file(path)
@@ -46,15 +56,64 @@ class TreeEncoder:
         self.tok.no_padding()
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
+        if spec.get("decoder") is not None:
+            raise ValueError(f"{path}: a file without a decoder is expected, whose texts are tokens joined by spaces")
         #: No decision looks further than the longest special string and a few characters.
         self.margin = 32 + max([0, *(len(t["content"]) for t in spec.get("added_tokens", []))])
-        self.leaf, self.window, self.limit = max(leaf, 4 * self.margin), window, cache
-        self.kept: dict[str, tuple[bytes, bytes, int]] = {"": (b"", b"", 0)}
+        self.leaf, self.window, self.long = leaf, window, max(leaf, 4 * self.margin)
+        size = self.tok.get_vocab_size()
+        self.kind, self.kept = np.dtype("<u2" if size <= 1 << 16 else "<u4"), Generations(cache)
+        tokens = [self.tok.id_to_token(i) or "" for i in range(size)]
+        self.decimals, self.tokens = pa.array([b"%d" % i for i in range(size)], pa.binary()), pa.array([t.encode() for t in tokens], pa.binary())
 
     # -- the tree ---------------------------------------------------------
 
-    def _cuts(self, text: str, a: int, b: int, out: list[int]) -> None:
+    def _meet(self, text: str, left: list[str], right: list[str], a: int, m: int, b: int) -> list[str]:
+        """Pieces of text[a:b] from those of text[a:m] and text[m:b]."""
+        size = self.window
+        while True:
+            lo, hi = max(a, m - size), min(b, m + size)
+            mid = text[lo:hi].split(" ")
+            if lo == a and hi == b:
+                return mid
+            place, at = {}, lo
+            for k, x in enumerate(mid):
+                if x:
+                    place[at] = k
+                at += len(x) + 1
+            # The pieces next to the cut may be parts of one; the others are whole if white space bounds them in the window.
+            head, i, end = (0, 0), len(left) - 2, m - len(left[-1]) - 1
+            if lo > a:
+                head = None
+                while i >= 0 and (start := end - len(left[i])) > lo:
+                    if left[i] and (k := place.get(start)) is not None and mid[k] == left[i]:
+                        head = i, k
+                        break
+                    i, end = i - 1, start - 1
+            tail, i, start = (len(right), len(mid)), 1, m + len(right[0]) + 1
+            if hi < b:
+                tail = None
+                while i < len(right) and (end := start + len(right[i])) < hi:
+                    if right[i] and (k := place.get(start)) is not None and mid[k] == right[i]:
+                        tail = i, k
+                        break
+                    i, start = i + 1, end + 1
+            if head and tail:
+                return left[: head[0]] + mid[head[1] : tail[1]] + right[tail[0] :]
+            size *= 2
+
+    def pieces(self, text: str, a: int = 0, b: int | None = None) -> list[str]:
+        """The pieces of a text between white space, joined from those of its halves."""
+        b = len(text) if b is None else b
         if b - a <= self.leaf:
+            return text[a:b].split(" ")
+        m = (a + b) // 2
+        return self._meet(text, self.pieces(text, a, m), self.pieces(text, m, b), a, m, b)
+
+    # -- the tree of a long piece -----------------------------------------
+
+    def _cuts(self, text: str, a: int, b: int, out: list[int]) -> None:
+        if b - a <= self.long:
             return
         m = (a + b) // 2
         while m < b and not _can_cut(text[m]):
@@ -110,44 +169,42 @@ class TreeEncoder:
 
     # -- texts ------------------------------------------------------------
 
-    def _value(self, ids: list[int]) -> tuple[bytes, bytes, int]:
-        decoded = self.tok.decode(ids, skip_special_tokens=False) if ids else ""
-        return b" ".join(b"%d" % i for i in ids), decoded.encode(), len(ids)
-
-    def _fill(self, texts: list[list[str]]) -> dict[str, tuple[bytes, bytes, int]]:
-        """Values of all pieces of the texts; short ones are kept for later texts."""
-        if len(self.kept) > self.limit:
-            self.kept = {"": (b"", b"", 0)}
-        missing = list(set().union(*texts).difference(self.kept))
-        short = [x for x in missing if len(x) <= self.leaf]
-        over = {}
-        # The library's encodings are far larger than their ids, so few are held at a time.
-        for a, b in chunks(map(len, short), 100_000, 2048):
-            for x, e in zip(short[a:b], self.tok.encode_batch_fast(short[a:b], add_special_tokens=False), strict=True):
-                (self.kept if len(x) <= 64 else over)[x] = self._value(e.ids)
-        for x in missing:
-            if len(x) > self.leaf:
-                over[x] = self._value([t[0] for t in self.spans(x)])
-        return over
+    def _encode_pieces(self, pieces: list[str]) -> list[bytes]:
+        """Packed ids of pieces; the library's encodings are far larger, so few are held at a time."""
+        out = []
+        for a, b in chunks(map(len, pieces), 100_000, 2048):
+            short = [x for x in pieces[a:b] if len(x) <= self.long]
+            found = iter(self.tok.encode_batch_fast(short, add_special_tokens=False))
+            for x in pieces[a:b]:
+                ids = next(found).ids if len(x) <= self.long else [t[0] for t in self.spans(x)]
+                out.append(np.array(ids, self.kind).tobytes())
+        return out
+
+    def encode_many(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all texts one after another, and their numbers."""
+        parts = [self.pieces(t.replace("\n", " ")) for t in texts]
+        coded = pa.array(list(chain.from_iterable(parts)), pa.string()).dictionary_encode()
+        values = self.kept.values(coded.dictionary.to_numpy(zero_copy_only=False).tolist(), self._encode_pieces)
+        ids, own = lay_out(values, coded.indices.to_numpy(), self.kind)
+        sizes = np.fromiter(map(len, parts), np.int64, len(parts))
+        return ids, np.add.reduceat(own, np.cumsum(sizes) - sizes)
 
     def digests(self, texts: list[str]) -> Iterator[tuple[int, str, str]]:
         """Per text: number of ids, sha256 of the ids, sha256 of the decoded text."""
         for a, b in chunks(map(len, texts), 2_000_000, 1024):
-            pieces = [t.replace("\n", " ").split(" ") for t in texts[a:b]]
-            over, kept = self._fill(pieces), self.kept
-            for own in pieces:
-                values = [kept[x] if x in kept else over[x] for x in own if x] if over else [kept[x] for x in own if x]
-                values = [v for v in values if v[2]]
-                ids, decoded = b" ".join([v[0] for v in values]), b" ".join([v[1] for v in values])
-                yield sum([v[2] for v in values]), hashlib.sha256(ids).hexdigest(), hashlib.sha256(decoded).hexdigest()
+            ids, n = self.encode_many(texts[a:b])
+            at = pa.array(ids)
+            offsets = pa.array(np.concatenate([[0], np.cumsum(n)]).astype(np.int32))
+            joined = [pc.binary_join(pa.ListArray.from_arrays(offsets, names.take(at)), b" ").to_pylist() for names in (self.decimals, self.tokens)]
+            for size, x, y in zip(n.tolist(), *joined, strict=True):
+                yield size, hashlib.sha256(x).hexdigest(), hashlib.sha256(y).hexdigest()
 
     def encode(self, text: str) -> list[int]:
-        pieces = text.replace("\n", " ").split(" ")
-        over = self._fill([pieces])
-        return [int(i) for x in pieces for i in (self.kept.get(x) or over[x])[0].split()]
+        return self.encode_many([text])[0].tolist()
 
     def decode(self, ids: list[int]) -> str:
-        return self.tok.decode(ids, skip_special_tokens=False)
+        """The tokens joined by spaces, as the library decodes without a decoder."""
+        return b" ".join(self.tokens.take(pa.array(ids, pa.int64())).to_pylist()).decode()
 
 
 @lru_cache(2)
@@ -160,14 +217,14 @@ def _rows(docs: DataFrame, key: str, text: str) -> DataFrame:
 
 
 def encode_texts(docs: DataFrame, path: str, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """Per row: key, ids array<int>, decoded string."""
+    """Per row: key, ids array<int>, decoded string; rows as ``round_trip_digests`` has them."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = encoder(path)
         for b in batches:
             for x, y, texts in slices(b.column(1)):
                 ids = [own.encode(t) for t in texts]
-                yield pa.record_batch([b.column(0).slice(x, y - x), pa.array(ids, pa.list_(pa.int32())), pa.array([own.decode(i) for i in ids])], ["key", "ids", "decoded"])
+                yield pa.record_batch([b.column(0).slice(x, y - x), pa.array(ids, pa.list_(pa.int32())), pa.array([own.decode(i) for i in ids], pa.string())], ["key", "ids", "decoded"])
 
     return _rows(docs, key, text).mapInArrow(run, "key long, ids array<int>, decoded string").withColumnRenamed("key", key)
 
@@ -176,7 +233,8 @@ def round_trip_digests(docs: DataFrame, path: str, key: str = "doc_id", text: st
     """Per row: key, n_tokens, ids_sha256, decoded_sha256.
 
     Null and empty texts have no ids: 0 and the sha256 of nothing, twice.
-    Repeated rows are encoded each, null keys stay null, other columns are not
+    Texts of any length are taken whole; an unbroken one goes through the tree
+    of tokens, whose work is in proportion to its length.  Repeated rows are encoded each, null keys stay null, other columns are not
     read, an empty table gives an empty result.  One pass, no shuffle.
     """
 
