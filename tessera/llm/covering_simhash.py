@@ -25,7 +25,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from xxhash import xxh64_intdigest
 
-from .common import lower_words, materialise, slices
+from .common import fresh, lower_words, materialise, slices
 from .components import components, forest
 
 RADIUS, SHINGLE, SEED = 2, 3, 42
@@ -58,21 +58,17 @@ def _signed(x: int) -> int:
     return x - (1 << 64) if x >> 63 else x
 
 
-def text_hash(text: str) -> Column:
-    """64-bit hash of a text, which tells rows with one key apart."""
-    return F.xxhash64(F.col(text).cast("string"))
-
-
-def fingerprints(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """(_key, fp, hash) per row: fp as a signed 64-bit integer, null texts are empty; hash of the text."""
+def fingerprints(docs: DataFrame, key: str = "doc_id", text: str = "text", *more: Column) -> DataFrame:
+    """(_key, fp, and ``more`` columns) per row: fp as a signed 64-bit integer, null texts are empty."""
+    rows = docs.select(F.col(key).cast("long").alias("_key"), F.col(text).cast("string").alias("text"), *more)
+    names = ["_key", "fp", *rows.columns[2:]]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             fps = np.array([fingerprint(t) for _, _, texts in slices(b.column(1)) for t in texts], np.uint64)
-            yield pa.record_batch([b.column(0), pa.array(fps.view(np.int64)), b.column(2)], ["_key", "fp", "hash"])
+            yield pa.record_batch([b.column(0), pa.array(fps.view(np.int64)), *b.columns[2:]], names)
 
-    rows = docs.select(F.col(key).cast("long").alias("_key"), F.col(text).cast("string").alias("text"), text_hash(text).alias("hash"))
-    return rows.mapInArrow(run, "_key long, fp long, hash long")
+    return rows.mapInArrow(run, ", ".join(["_key long, fp long", *(f"{n} {t}" for n, t in rows.dtypes[2:])]))
 
 
 def _bucket_edges(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -103,13 +99,10 @@ def edges(distinct: DataFrame, cap: int = 128) -> DataFrame:
     return found.unionByName(star.filter("a <> b"))
 
 
-def _components(fps: DataFrame) -> DataFrame:
-    """(fp, top, component_id) of each distinct fingerprint: its component's smallest fingerprint and smallest key."""
-    distinct = materialise(fps.groupBy("fp").agg(F.min("_key").alias("rep")), "distinct")
+def _components(distinct: DataFrame) -> DataFrame:
+    """``distinct`` (fp and other columns, a row a fingerprint) with top: its component's smallest fingerprint."""
     label = components(edges(distinct.select("fp")))
-    named = distinct.join(label, distinct.fp == label.node, "left").select("fp", "rep", F.coalesce("component", "fp").alias("top"))
-    least = named.groupBy("top").agg(F.min("rep").alias("component_id"))
-    return named.join(least, "top").select("fp", "top", "component_id")
+    return distinct.join(label, distinct.fp == label.node, "left").withColumn("top", F.coalesce("component", "fp")).drop("node", "component")
 
 
 def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -122,27 +115,41 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text") ->
     rows share a fingerprint and so a component.  An empty table gives an empty
     result; other columns are not read.
     """
-    fps = materialise(fingerprints(docs, key, text).drop("hash"), "fingerprints")
-    named = _components(fps).drop("top")
+    fps = materialise(fingerprints(docs, key, text), "fingerprints")
+    named = _components(materialise(fps.groupBy("fp").agg(F.min("_key").alias("rep")), "distinct"))
+    least = named.groupBy("top").agg(F.min("rep").alias("component_id"))
+    named = named.join(least, "top").select("fp", "component_id")
     return fps.join(named, "fp").select(F.col("_key").alias(key), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-def keep_one(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
+def keep_one(docs: DataFrame, key: str = "doc_id", text: str = "text", as_read: bool = False, most: int = 300_000) -> DataFrame:
     """One row of ``docs`` for each component, all columns kept.
 
-    It is the row with the smallest key, null keys last; of rows with that key
-    and other texts, the one with the smallest fingerprint and text hash.  Rows
-    are told apart by key and text, so null keys and keys that occur with
-    several texts lose no component.  Rows that repeat both are one document.
+    It is the row with the smallest key, null keys last; of several such rows
+    the one with the smallest fingerprint, then the first by file and place.
+    Rows are told apart by their file and place in it, so null, shared and
+    repeated keys lose no component.  Columns of any name are kept as they are;
+    an empty table gives an empty result.
+
+    ``as_read`` says that ``docs`` is a table just as a reader gives it; any
+    other is written to the shared folder first.  The kept rows are marked by
+    one bit each, 64 rows to a word.  Up to ``most`` words, 60 MB or so, are
+    broadcast and no text is moved; beyond it both
+    sides meet by a sort-merge join on file and word.
     """
-    fps = materialise(fingerprints(docs, key, text), "fingerprints")
-    rows = fps.join(_components(fps).select("fp", "top"), "fp").groupBy("top", "fp", "_key", "hash").agg(F.count("*").alias("n"))
-    first = rows.groupBy("top").agg(F.min(F.struct(F.col("_key").isNull().alias("none"), "_key", "fp", "hash", "n")).alias("x"))
-    best = materialise(first.select(F.col("x._key").alias("_kept"), F.col("x.hash").alias("_kept_hash"), F.col("x.n").alias("_rows")), "kept")
-    own = F.col(key).cast("long").eqNullSafe(F.col("_kept")) & (text_hash(text) == F.col("_kept_hash"))
-    kept = docs.join(best.filter("_rows = 1"), own, "left_semi")
-    repeated = best.filter("_rows > 1")
-    if repeated.isEmpty():
-        return kept
-    again = docs.join(repeated, own, "left_semi").withColumn("_text_hash", text_hash(text))
-    return kept.unionByName(again.dropDuplicates([key, "_text_hash"]).drop("_text_hash"))
+    if not as_read:
+        docs = materialise(docs, "documents")
+    place = docs.metadataColumn("_metadata")
+    fps = materialise(fingerprints(docs, key, text, place["file_path"].alias("file"), place["row_index"].alias("row")), "fingerprints")
+    # The first row of each fingerprint, then of each component; both combine before they are sent.
+    order = F.struct(F.col("_key").isNull().alias("none"), "_key", "fp", "file", "row")
+    first = materialise(fps.groupBy("fp").agg(F.min(order).alias("first")), "distinct")
+    kept = _components(first).groupBy("top").agg(F.min("first").alias("first")).select("first.file", "first.row")
+    words = kept.groupBy("file", F.shiftright("row", 6).alias("word")).agg(F.bit_or(F.expr("shiftleft(1L, CAST(row & 63 AS INT))")).alias("bits"))
+    words = materialise(words, "kept")
+    file, word, bits, own, row = fresh(docs, "_file", "_word", "_bits", "_own_file", "_row")
+    marks = words.select(F.col("file").alias(file), F.col("word").alias(word), F.col("bits").alias(bits))
+    marks = F.broadcast(marks) if words.count() <= most else marks.hint("merge")
+    rows = docs.select("*", place["file_path"].alias(own), place["row_index"].alias(row))
+    rows = rows.join(marks, (F.col(own) == F.col(file)) & (F.shiftright(row, 6) == F.col(word)))
+    return rows.filter(F.expr(f"shiftright({bits}, CAST({row} & 63 AS INT)) & 1 = 1")).drop(file, word, bits, own, row)

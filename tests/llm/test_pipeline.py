@@ -4,6 +4,7 @@ from tokenizers import Tokenizer
 
 import corpus_pipeline
 from tessera.llm import covering_simhash, queries
+from tessera.llm.common import materialise
 
 SF = "/root/testdata/sf0.001"
 
@@ -11,7 +12,7 @@ SF = "/root/testdata/sf0.001"
 def test_stages(spark):
     docs = spark.read.parquet(f"{SF}/documents.parquet")
     for name, stage in corpus_pipeline.STAGES[:-1]:
-        out = stage(spark, docs, SF).cache()
+        out = materialise(stage(spark, docs, SF), f"test-{name}")
         assert out.columns == docs.columns, name
         assert 0 < out.count()
         if name == "quality":
@@ -25,3 +26,19 @@ def test_stages(spark):
     wanted = {r.doc_id: len(tok.encode(r.text, add_special_tokens=False).ids) for r in docs.collect()}
     found = corpus_pipeline.STAGES[-1][1](spark, docs, SF).collect()
     assert len(found) == docs.count() and {r.doc_id: r.n_tokens for r in found} == wanted
+
+
+def test_stages_take_odd_tables(spark):
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    odd = [(None, None), (None, "x y z"), (1, None), (2, ""), (3, "a  b"), (3, "a  b"), (4, "word " * 50_000)]
+    odd = spark.createDataFrame(odd, "doc_id long, text string").selectExpr("*", "'en' AS lang", "'s' AS source", "0L AS n_chars")
+    extra = ("_kept", "_copies", "_mix_words", "_quality", "_file", "tokens", "fp", "rate")
+    docs = docs.unionByName(odd).selectExpr("*", *[f"{i} AS {n}" for i, n in enumerate(extra)])
+    for name, stage in corpus_pipeline.STAGES:
+        docs = materialise(docs, f"test-{name}")
+        out = stage(spark, docs, SF)
+        assert out.count() and stage(spark, materialise(docs.limit(0), "none"), SF).count() == 0, name
+        if name != "tokens":
+            assert out.columns == docs.columns
+            assert {tuple(r) for r in out.select(*extra).distinct().collect()} == {tuple(range(len(extra)))}, name
+            docs = out
