@@ -12,26 +12,28 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.llm import covering_simhash, mixing, tree_bpe, zstd_quality
-from tessera.llm.common import materialise, table
+from tessera.llm.common import fresh, materialise, table
 from tessera.llm.queries import GOOD, TARGETS, WORD_BPE, domain_of_labels, quality_model
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps the documents whose quality score is at least 0.7."""
     model = quality_model(docs, table(spark, sf_dir, "labels"))
-    return zstd_quality.score(docs, model, name="_quality").filter(F.col("_quality") >= GOOD).select(*docs.columns)
+    (name,) = fresh(docs, "_quality")
+    return zstd_quality.score(docs, model, name=name).filter(F.col(name) >= GOOD).select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps the document with the smallest id of each SimHash component."""
-    return covering_simhash.keep_one(docs)
+    return covering_simhash.keep_one(docs, as_read=True)
 
 
 def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Repeats or leaves out documents so that domains get their target weights."""
     classifier = mixing.fit(docs, table(spark, sf_dir, "labels"), domain_of_labels())
-    mixed, _ = mixing.mix(docs, classifier, TARGETS, prefix="_mix_")
-    return mixing.resample(mixed, "_mix_rate").select(*docs.columns)
+    prefix = fresh(docs, "_mix_tokens", "_mix_posterior", "_mix_rate")[0].removesuffix("tokens")
+    mixed, _ = mixing.mix(docs, classifier, TARGETS, prefix=prefix)
+    return mixing.resample(mixed, f"{prefix}rate").select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
