@@ -169,11 +169,12 @@ def _rate(p: Column, steps: list[list[float]], pull: list[float]) -> Column:
         return F.lit(1.0)
     moves = F.array(*[F.struct(F.array(*[F.lit(float(v)) for v in s]).alias("g"), F.lit(float(m)).alias("m")) for s, m in zip(steps, pull, strict=True)])
 
-    def move(r: Column, s: Column) -> Column:
-        dot = F.aggregate(F.zip_with(p, s["g"], lambda a, b: a * b), F.lit(0.0), lambda a, b: a + b)
+    def move(q: Column, r: Column, s: Column) -> Column:
+        dot = F.aggregate(F.zip_with(q, s["g"], lambda a, b: a * b), F.lit(0.0), lambda a, b: a + b)
         return F.greatest(F.lit(0.0), r - dot - s["m"] * (r - 1))
 
-    return F.aggregate(moves, F.lit(1.0), move)
+    # An array of one binds the posterior, which would be worked out again for every step.
+    return F.transform(F.array(p), lambda q: F.aggregate(moves, F.lit(1.0), lambda r, s: move(q, r, s)))[0]
 
 
 class Mix:
@@ -262,6 +263,6 @@ def resample(docs: DataFrame, rate: str, key: str = "doc_id") -> DataFrame:
     whenever a task is repeated.
     """
     chance = F.pmod(F.xxhash64(F.lit("copies"), F.col(key)), F.lit(1 << 30)) / F.lit(float(1 << 30))
-    copies, copy = fresh(docs, "_copies", "_copy")
-    more = docs.withColumn(copies, F.floor(F.col(rate) + chance).cast("int")).filter(F.col(copies) > 0)
-    return more.withColumn(copy, F.explode(F.sequence(F.lit(1), copies))).drop(copies, copy, rate)
+    (copy,) = fresh(docs, "_copy")
+    # The number of copies stands once in the plan: a filter on it would work out the posterior a second time.
+    return docs.withColumn(copy, F.explode(F.array_repeat(F.lit(True), F.floor(F.col(rate) + chance).cast("int")))).drop(copy, rate)
