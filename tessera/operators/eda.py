@@ -57,25 +57,31 @@ def subject_rule(corpus: DataFrame) -> DataFrame:
     return x.select("subjects", "exclusive", F.round(ratio(F.col("exclusive"), F.col("subjects")), 6).alias("purity"), F.round(ratio(F.col("hits"), F.col("rows")), 6).alias("rule_accuracy"))
 
 
+def digest(text: Column) -> tuple[Column, Column]:
+    """What stands for a text as a key: its md5 and length, so that no text is shuffled."""
+    return F.md5(text.cast("binary")).alias("_h"), F.length(text).alias("_n")
+
+
 def duplicates(docs: DataFrame, text: Column) -> DataFrame:
     """rows, distinct, extra (rows beyond the first of each text), groups."""
-    per = docs.groupBy(text.alias("t")).agg(F.count("*").alias("c"))
+    per = docs.groupBy(*digest(text)).agg(F.count("*").alias("c"))
     return per.agg(F.coalesce(F.sum("c"), F.lit(0)).cast("long").alias("rows"), n("*").alias("distinct_texts"), F.coalesce(F.sum(F.col("c") - 1), F.lit(0)).cast("long").alias("extra"), F.count_if(F.expr("c > 1")).cast("long").alias("groups"))
 
 
 def keep_first(docs: DataFrame, text: str = "content", key: str = "doc_id") -> DataFrame:
     """The smallest key of every text; partial minima combine before the shuffle."""
-    return docs.groupBy(F.md5(F.col(text).cast("binary")).alias("_h"), F.length(text)).agg(F.min(key).alias(key)).select(key)
+    return docs.groupBy(*digest(F.col(text))).agg(F.min(key).alias(key)).select(key)
 
 
 def cross_label_texts(corpus: DataFrame) -> DataFrame:
-    per = corpus.groupBy("content").agg(F.min("label").alias("a"), F.max("label").alias("b"), F.count("*").alias("c"))
+    per = corpus.groupBy(*digest(F.col("content"))).agg(F.min("label").alias("a"), F.max("label").alias("b"), F.count("*").alias("c"))
     return per.filter("a <> b").agg(n("*").alias("texts"), F.coalesce(F.sum("c"), F.lit(0)).cast("long").alias("rows"))
 
 
 def shared_openings(docs: DataFrame, size: int = 120) -> DataFrame:
     """Repeats of the first characters of the normalised text beyond exact repeats."""
-    x = docs.select(F.substring(normalise(F.col("content")), 1, size).alias("o"), "content").agg(F.count("*").alias("c"), F.countDistinct("o").alias("o"), F.countDistinct("content").alias("d"))
+    keys = docs.select(digest(F.substring(normalise(F.col("content")), 1, size))[0].alias("o"), digest(F.col("content"))[0].alias("d"))
+    x = keys.agg(F.count("*").alias("c"), F.countDistinct("o").alias("o"), F.countDistinct("d").alias("d"))
     return x.select(F.greatest(F.col("d") - F.col("o"), F.lit(0)).cast("long").alias("repeats"), F.round(ratio(F.greatest(F.col("d") - F.col("o"), F.lit(0)), F.col("c")), 6).alias("rate"))
 
 
@@ -125,11 +131,31 @@ def shuffled(key: str, seed: int = SEED) -> Column:
     return F.md5(F.concat_ws("-", F.col(key).cast("string"), F.lit(str(seed))).cast("binary"))
 
 
+def _first_of_each(df: DataFrame, wanted, label: str, key: str, seed: int) -> Column:
+    """Whether a row is among the first ``wanted(n)`` of the n of its class by hash.
+
+    Only hashes and keys are ranked; the place of the last wanted row of each
+    class comes to the driver, and rows are compared with it where they are.
+    Rows that tie with it, repeating its key, are all taken.
+    """
+    slim = df.select(F.col(label).alias("_c"), shuffled(key, seed).alias("_h"), F.col(key).alias("_k"))
+    sizes = {r["_c"]: r["count"] for r in slim.groupBy("_c").count().collect()}
+    last = {c: wanted(n) for c, n in sizes.items()}
+    by = Window.partitionBy("_c").orderBy("_h", "_k")
+    any_last = F.lit(False)
+    for c, n in last.items():
+        any_last = any_last | (F.col("_c").eqNullSafe(F.lit(c)) & (F.col("_r") == n))
+    first, own = F.lit(False), shuffled(key, seed)
+    for r in slim.withColumn("_r", F.row_number().over(by)).filter(any_last).collect():
+        upto = (own < r["_h"]) | ((own == r["_h"]) & (F.col(key) <= r["_k"]))
+        first = F.when(F.col(label).eqNullSafe(F.lit(r["_c"])), upto).otherwise(first)
+    return first
+
+
 def stratified_split(df: DataFrame, label: str = "label", key: str = "doc_id", test: float = 0.2, seed: int = SEED) -> DataFrame:
     """``df`` with split: the first share of each class by hash is the test part."""
-    w = Window.partitionBy(label).orderBy(shuffled(key, seed), key)
-    size = Window.partitionBy(label)
-    return df.withColumn("split", F.when(F.row_number().over(w) <= F.round(F.count("*").over(size) * test), "test").otherwise("train"))
+    first = _first_of_each(df, lambda n: int(n * test + 0.5), label, key, seed)
+    return df.withColumn("split", F.when(first, "test").otherwise("train"))
 
 
 def stratified_folds(df: DataFrame, k: int = 3, label: str = "label", key: str = "doc_id", seed: int = SEED) -> DataFrame:
@@ -144,8 +170,7 @@ def seeded_sample(df: DataFrame, size: int, key: str = "doc_id", seed: int = SEE
 def balanced_subsample(df: DataFrame, label: str = "label", key: str = "doc_id", seed: int = SEED) -> DataFrame:
     """As many rows of every class as the smallest has."""
     least = df.groupBy(label).count().agg(F.min("count")).first()[0] or 0
-    w = Window.partitionBy(label).orderBy(shuffled(key, seed), key)
-    return df.withColumn("_k", F.row_number().over(w)).filter(F.col("_k") <= least).drop("_k")
+    return df.filter(_first_of_each(df, lambda n: least, label, key, seed))
 
 
 # -- terms -----------------------------------------------------------------

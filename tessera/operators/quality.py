@@ -11,8 +11,8 @@ from tessera.functions.text import n_words, normalise, parse_date
 from tessera.operators import eda, neardup
 
 #: Patterns of decoding accidents, hard ones first.
-HARD = ("�", "Ã[\u0080-¿]|â€[\u0098-\u009d™¦]|Â[ -¿]")
-SOFT = ("[\\x00-\\x08\\x0b\\x0c\\x0e-\\x1f]", "[­​-‏‪-‮⁠﻿]")
+HARD = ("\ufffd", "\u00c3[\u0080-\u00bf]|\u00e2\u20ac[\u0098-\u009d\u2122\u00a6]|\u00c2[\u00a0-\u00bf]")
+SOFT = ("[\\x00-\\x08\\x0b\\x0c\\x0e-\\x1f]", "[\u00ad\u200b-\u200f\u202a-\u202e\u2060\ufeff]")
 
 
 def encoding_profile(df: DataFrame, name: str) -> DataFrame:
@@ -81,8 +81,8 @@ def checks(corpus: DataFrame, marker: str = r"\breuters\b", known_subjects: list
     """
     c = F.col("content")
     n = F.count("*")
-    exact = corpus.groupBy("content").agg(n.alias("c"), F.min("label").alias("a"), F.max("label").alias("b")).agg(F.sum(F.col("c") - 1).alias("extra"), F.sum("c").alias("n"), F.count_if(F.expr("a <> b")).alias("cross"))
-    norm = corpus.groupBy(normalise(c).alias("t")).agg(n.alias("c")).agg(F.sum(F.col("c") - 1).alias("norm_extra"))
+    exact = corpus.groupBy(*eda.digest(c)).agg(n.alias("c"), F.min("label").alias("a"), F.max("label").alias("b")).agg(F.sum(F.col("c") - 1).alias("extra"), F.sum("c").alias("n"), F.count_if(F.expr("a <> b")).alias("cross"))
+    norm = corpus.groupBy(*eda.digest(normalise(c))).agg(n.alias("c")).agg(F.sum(F.col("c") - 1).alias("norm_extra"))
     near = exact.drop("cross").crossJoin(norm).crossJoin(neardup.involvement(corpus).withColumnRenamed("cross", "near_cross"))
     near_rate = F.greatest(ratio(F.greatest(F.col("norm_extra") - F.col("extra"), F.lit(0)), F.col("n")), ratio(F.col("near"), F.col("texts")))
     flat = corpus.agg(n.alias("n"), F.count_if(F.regexp_replace(c, r"(?U)\s", "") == "").alias("blank"), F.count_if(n_words(c) < 20).alias("short"), F.count_if(c.rlike("|".join(HARD))).alias("hard"), F.count_if(c.rlike("|".join(SOFT))).alias("soft"), F.count_if(c.rlike(f"(?i){marker}") & (F.col("label") == 0)).alias("m0"), F.count_if(c.rlike(f"(?i){marker}") & (F.col("label") == 1)).alias("m1"), F.count_if(F.expr("label = 0")).alias("n0"), F.count_if(F.expr("label = 1")).alias("n1"))
