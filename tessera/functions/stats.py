@@ -18,6 +18,12 @@ def verdict(value: Column, warn: float, fail: float) -> Column:
     return F.when(value >= fail, "FAIL").when(value > warn, "WARN").otherwise("PASS")
 
 
+def worst(*statuses: Column) -> Column:
+    """The gravest of several verdicts: FAIL, WARN, INFO, PASS."""
+    ranks = F.array(F.lit("FAIL"), F.lit("WARN"), F.lit("INFO"), F.lit("PASS"))
+    return F.element_at(ranks, F.array_min(F.array(*[F.array_position(ranks, s) for s in statuses])).cast("int"))
+
+
 def js_distance(df: DataFrame, p: str, q: str) -> DataFrame:
     """Jensen-Shannon distance, base 2, of two columns of counts; null if one sums to 0."""
     total = df.agg(F.sum(p).alias("p"), F.sum(q).alias("q")).first()

@@ -97,6 +97,39 @@ def agreement(scores: DataFrame, a: str, b: str) -> DataFrame:
     return x.select(F.lit(a).alias("a"), F.lit(b).alias("b"), "both_right", "only_a", "only_b", "both_wrong", _r(ratio(F.col("both_right") + F.col("both_wrong"), F.col("n")), "agree"))
 
 
+def shared_and_unique(scores: DataFrame) -> DataFrame:
+    """Errors of each system: in all, those that it makes alone, and those that all systems make."""
+    k = scores.select("system").distinct().count()
+    x = wide(scores).select(F.explode("wrong").alias("system"), F.size("wrong").alias("k"))
+    return x.groupBy("system").agg(F.count("*").cast("long").alias("errors"), F.count_if(F.col("k") == 1).cast("long").alias("unique_errors"), F.count_if(F.col("k") == k).cast("long").alias("shared_by_all"))
+
+
+def agreement_rates(scores: DataFrame, a: str, b: str) -> DataFrame:
+    """The four cells of two systems and their agreement as shares of the documents."""
+    x = agreement(scores, a, b)
+    n = F.col("both_right") + F.col("only_a") + F.col("only_b") + F.col("both_wrong")
+    return x.select("a", "b", *[_r(ratio(F.col(c), n), c) for c in ("both_right", "only_a", "only_b", "both_wrong")], "agree")
+
+
+def best_threshold(sweep: DataFrame) -> DataFrame:
+    """The threshold with the highest F1 of each system, the lowest of equal ones."""
+    best = F.max(F.struct("f1", (-F.col("threshold")).alias("t"))).alias("x")
+    return sweep.groupBy("system").agg(best).select("system", (-F.col("x.t")).alias("threshold"), "x.f1")
+
+
+def decide(scored: DataFrame, threshold: float = 0.5, few: int = 5, low: float = 0.7) -> DataFrame:
+    """Verdicts from proba at a threshold, with warnings.
+
+    ``scored`` has doc_id, proba, tokens (words left after cleaning) and matched
+    (terms of the vocabulary).  Texts without words are UNUSABLE and have no
+    probability; fewer than ``few`` matched terms, or a confidence below
+    ``low``, are marked.
+    """
+    usable, p = F.col("tokens") > 0, F.col("proba")
+    verdict = F.when(~usable, "UNUSABLE").when(p >= threshold, "REAL").otherwise("FAKE")
+    return scored.select("doc_id", verdict.alias("verdict"), F.when(usable, p).alias("proba"), (F.col("matched") < few).alias("low_evidence"), F.when(usable, F.greatest(p, 1 - p) < low).alias("low_confidence"))
+
+
 def mcnemar_counts(scores: DataFrame) -> DataFrame:
     """b, c and the corrected chi-square of every pair of systems."""
     w = scores.select("doc_id", "system", (F.col("label") == F.col("pred")).alias("ok"))

@@ -19,6 +19,13 @@ def append(rows: DataFrame, path: str) -> None:
     rows.write.mode("append").partitionBy("model").parquet(path)
 
 
+def delete_all(log: DataFrame, path: str) -> int:
+    """Empty the log at ``path``, read as ``log``; the number of rows it had."""
+    n = log.count()
+    log.sparkSession.createDataFrame([], log.schema).write.mode("overwrite").parquet(path)
+    return n
+
+
 def fetch(log: DataFrame, model: str | None = None, label: str | None = None, since=None, limit: int = 50) -> DataFrame:
     """Newest first; a limit of 0 is none."""
     for column, value in (("model", model), ("label", label)):

@@ -21,6 +21,8 @@ from tessera.sources import pages
 from tessera.sources.corpus import labelled_documents as corpus
 
 RULE = r"(?i)\bthe\b"
+KNOWN = [f"src{i}" for i in range(10)]
+STRICT = 0.6
 CUTOFF = "1995-06-17 00:00:00"
 
 
@@ -147,6 +149,13 @@ def coverage(spark: SparkSession, sf_dir: str) -> DataFrame:
     return parts.filter("split = 'test'").select("doc_id").join(matched, "doc_id", "left").select("doc_id", F.coalesce("matched", F.lit(0)).cast("long").alias("matched"))
 
 
+def batch_verdicts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Naive Bayes' verdicts on the test documents at a threshold of its own, with warnings."""
+    tokens = documents(spark, sf_dir).select("doc_id", F.size(text.clean_tokens(F.col("content"))).alias("tokens"))
+    scored = nb_scores(spark, sf_dir).join(coverage(spark, sf_dir), "doc_id").join(tokens, "doc_id")
+    return evaluation.decide(scored, STRICT)
+
+
 def error_by_coverage(spark: SparkSession, sf_dir: str) -> DataFrame:
     x = eval_scores(spark, sf_dir).join(coverage(spark, sf_dir), "doc_id")
     return evaluation.rates_by(x, text.bucket(F.col("matched"), COVERAGE_BINS), [b for _, b in COVERAGE_BINS])
@@ -300,6 +309,12 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "model_overlap": _scores(evaluation.model_overlap),
         "agreement_cells": lambda s, d: evaluation.agreement(eval_scores(s, d), "nb", "rule"),
         "mcnemar_counts": _scores(evaluation.mcnemar_counts),
+        "shared_and_unique": _scores(evaluation.shared_and_unique),
+        "agreement_rates": lambda s, d: evaluation.agreement_rates(eval_scores(s, d), "nb", "rule"),
+        "best_threshold": lambda s, d: evaluation.best_threshold(evaluation.threshold_sweep(eval_scores(s, d))),
+        "batch_verdicts": batch_verdicts,
+        "unknown_subjects": lambda s, d: quality.unknown_subjects(documents(s, d), KNOWN),
+        "usable_documents": lambda s, d: documents(s, d).filter(F.size(text.clean_tokens(F.col("content"))) > 0).select("doc_id"),
         "top_errors": _scores(evaluation.top_errors),
         "error_by_coverage": error_by_coverage,
         "coverage_stats": coverage_stats,
@@ -495,6 +510,12 @@ def oracle_sql() -> dict[str, str]:
         "model_overlap": _eval_sql() + f", {wide} SELECT array_to_string(wrong, ' + ') AS systems, count(*) AS articles, round(count(*) / sum(count(*)) OVER (), 6) AS share FROM wide WHERE len(wrong) > 0 GROUP BY 1",
         "agreement_cells": _eval_sql() + f", {wide}, w AS (SELECT list_contains(wrong, 'nb') AS a, list_contains(wrong, 'rule') AS b FROM wide) SELECT 'nb' AS a, 'rule' AS b, count(*) FILTER (NOT w.a AND NOT w.b) AS both_right, count(*) FILTER (NOT w.a AND w.b) AS only_a, count(*) FILTER (w.a AND NOT w.b) AS only_b, count(*) FILTER (w.a AND w.b) AS both_wrong, round(count(*) FILTER (w.a = w.b) / count(*), 6) AS agree FROM w",
         "mcnemar_counts": _eval_sql() + ", p AS (SELECT x.system AS a, y.system AS b, count(*) FILTER (x.label = x.pred AND y.label <> y.pred) AS only_a, count(*) FILTER (x.label <> x.pred AND y.label = y.pred) AS only_b FROM scores x JOIN scores y ON x.doc_id = y.doc_id AND x.system < y.system GROUP BY ALL) SELECT *, round(coalesce((abs(only_a - only_b) - 1) * (abs(only_a - only_b) - 1) / nullif(only_a + only_b, 0), 0), 6) AS chi2 FROM p",
+        "shared_and_unique": _eval_sql() + f", {wide}, e AS (SELECT unnest(wrong) AS system, len(wrong) AS k FROM wide) SELECT system, count(*) AS errors, count(*) FILTER (k = 1) AS unique_errors, count(*) FILTER (k = (SELECT count(DISTINCT system) FROM scores)) AS shared_by_all FROM e GROUP BY system",
+        "agreement_rates": _eval_sql() + f", {wide}, w AS (SELECT list_contains(wrong, 'nb') AS a, list_contains(wrong, 'rule') AS b FROM wide) SELECT 'nb' AS a, 'rule' AS b, round(count(*) FILTER (NOT w.a AND NOT w.b) / count(*), 6) AS both_right, round(count(*) FILTER (NOT w.a AND w.b) / count(*), 6) AS only_a, round(count(*) FILTER (w.a AND NOT w.b) / count(*), 6) AS only_b, round(count(*) FILTER (w.a AND w.b) / count(*), 6) AS both_wrong, round(count(*) FILTER (w.a = w.b) / count(*), 6) AS agree FROM w",
+        "best_threshold": _eval_sql() + ", t AS (SELECT unnest(range(5, 96)) AS t), x AS (SELECT system, t, count(*) FILTER (label = 1 AND floor(round(proba * 100, 4)) >= t) AS p, count(*) FILTER (floor(round(proba * 100, 4)) >= t) AS n, count(*) FILTER (label = 1) AS a FROM scores CROSS JOIN t GROUP BY system, t), f AS (SELECT system, round(t / 100, 6) AS threshold, round(coalesce(2 * p / nullif(n + a, 0), 0), 6) AS f1 FROM x), r AS (SELECT *, row_number() OVER (PARTITION BY system ORDER BY f1 DESC, threshold) AS k FROM f) SELECT system, threshold, f1 FROM r WHERE k = 1",
+        "batch_verdicts": _nb_sql() + f"{_COVERAGE}, x AS (SELECT nb.doc_id, nb.proba, cov.matched, len({_clean('p.content')}) AS tokens FROM nb JOIN cov USING (doc_id) JOIN parts p ON p.doc_id = nb.doc_id) SELECT doc_id, CASE WHEN tokens = 0 THEN 'UNUSABLE' WHEN proba >= {STRICT} THEN 'REAL' ELSE 'FAKE' END AS verdict, CASE WHEN tokens > 0 THEN proba END AS proba, matched < 5 AS low_evidence, CASE WHEN tokens > 0 THEN greatest(proba, 1 - proba) < 0.7 END AS low_confidence FROM x",
+        "unknown_subjects": f"SELECT source AS subject, count(*) AS rows FROM documents WHERE source NOT IN ({', '.join(repr(k) for k in KNOWN)}) GROUP BY source",
+        "usable_documents": f"WITH {_DOCS} SELECT doc_id FROM docs WHERE len({_clean()}) > 0",
         "top_errors": _eval_sql() + f", e AS (SELECT system, doc_id, label, pred, {conf} AS confidence FROM scores WHERE label <> pred), r AS (SELECT *, row_number() OVER (PARTITION BY system ORDER BY confidence DESC, doc_id) AS k FROM e) SELECT system, CAST(k AS INTEGER) AS rank, doc_id, label, pred, confidence FROM r WHERE k <= 10",
         "error_by_coverage": _rate_sql(_eval_sql() + f", {_COVERAGE}, b AS (SELECT s.*, {_case('matched', COVERAGE_BINS)} AS bucket FROM scores s JOIN cov USING (doc_id))", [b for _, b in COVERAGE_BINS]),
         "coverage_stats": _eval_sql() + f", {_COVERAGE} SELECT count(*) AS rows, CAST(quantile_cont(matched, 0.5) AS DOUBLE) AS median_matched, round(avg(CAST(matched < 5 AS INTEGER)), 6) AS low_share FROM cov",

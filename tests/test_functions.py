@@ -143,3 +143,15 @@ def test_sources(spark, tmp_path):
     odd = spark.createDataFrame([("x", "1"), ("y", "7"), ("z", "0.0")], "Content string, Class string")
     assert sorted((r.content, r.label) for r in corpus.second_corpus(odd).collect()) == [("x", 1), ("z", 0)]
     assert corpus.text_column(spark.createDataFrame([("a", "long text")], "id string, note string")) == "note"
+
+
+def test_worst_verdict(spark):
+    cases = [("PASS", "WARN", "WARN"), ("FAIL", "PASS", "FAIL"), ("INFO", "PASS", "INFO"), ("PASS", "PASS", "PASS")]
+    rows = spark.createDataFrame(cases, "a string, b string, want string").select(stats.worst(F.col("a"), F.col("b")).alias("got"), "want").collect()
+    assert all(r.got == r.want for r in rows)
+
+
+def test_log_is_emptied(spark, tmp_path):
+    path = str(tmp_path / "log")
+    spark.range(7).write.parquet(path)
+    assert predlog.delete_all(spark.read.parquet(path), path) == 7 and spark.read.parquet(path).count() == 0
