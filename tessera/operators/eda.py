@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from tessera.config import MARKERS, SEED
 from tessera.functions.stats import ratio
-from tessera.functions.text import clean_tokens, n_words, normalise, text_stats
+from tessera.functions.text import clean_tokens, n_words, normalise, text_stats, word_ngrams
 
 
 def n(col) -> Column:
@@ -98,6 +98,13 @@ def monthly_timeline(df: DataFrame, ts: str, label: Column) -> DataFrame:
     return df.select(month, label.alias("label")).groupBy("month").agg(F.count_if(F.expr("label = 0")).cast("long").alias("fake"), F.count_if(F.expr("label = 1")).cast("long").alias("real"))
 
 
+def single_class_months(df: DataFrame, ts: str, label: Column) -> DataFrame:
+    """Months, those with one class only, the rows in these, and the share of such months."""
+    alone = F.expr("fake = 0 or real = 0")
+    x = monthly_timeline(df, ts, label).agg(n("*").alias("months"), F.count_if(alone).cast("long").alias("single"), F.coalesce(F.sum(F.when(alone, F.col("fake") + F.col("real"))), F.lit(0)).cast("long").alias("rows"))
+    return x.withColumn("share", F.round(ratio(F.col("single"), F.col("months")), 6))
+
+
 def date_stump(df: DataFrame, ts: str, label: Column) -> DataFrame:
     """Best single cut of the dates, either way round; ties: fake first, earliest.
 
@@ -131,6 +138,22 @@ def shuffled(key: str, seed: int = SEED) -> Column:
     return F.md5(F.concat_ws("-", F.col(key).cast("string"), F.lit(str(seed))).cast("binary"))
 
 
+def _ranked(df: DataFrame, label: str, hashed: str, key: str, digits: int = 4) -> DataFrame:
+    """``df`` with _r, the place of each row in its class by hash and key.
+
+    Rows are ranked within the first hex digits of their hash and moved on by
+    the number of rows before these: no task sorts a class.  At most
+    16^digits counts a class are broadcast.
+    """
+    x = df.withColumn("_p", F.substring(hashed, 1, digits))
+    before = Window.partitionBy("_l").orderBy("_q").rowsBetween(Window.unboundedPreceding, -1)
+    sizes = x.groupBy(F.col(label).alias("_l"), F.col("_p").alias("_q")).agg(F.count("*").alias("_s"))
+    starts = sizes.select("_l", "_q", F.coalesce(F.sum("_s").over(before), F.lit(0)).alias("_b"))
+    within = Window.partitionBy(label, "_p").orderBy(hashed, key)
+    y = x.withColumn("_w", F.row_number().over(within)).join(F.broadcast(starts), F.col(label).eqNullSafe(F.col("_l")) & (F.col("_p") == F.col("_q")))
+    return y.withColumn("_r", F.col("_w") + F.col("_b")).drop("_p", "_w", "_l", "_q", "_b")
+
+
 def _first_of_each(df: DataFrame, wanted, label: str, key: str, seed: int) -> Column:
     """Whether a row is among the first ``wanted(n)`` of the n of its class by hash.
 
@@ -140,13 +163,11 @@ def _first_of_each(df: DataFrame, wanted, label: str, key: str, seed: int) -> Co
     """
     slim = df.select(F.col(label).alias("_c"), shuffled(key, seed).alias("_h"), F.col(key).alias("_k"))
     sizes = {r["_c"]: r["count"] for r in slim.groupBy("_c").count().collect()}
-    last = {c: wanted(n) for c, n in sizes.items()}
-    by = Window.partitionBy("_c").orderBy("_h", "_k")
     any_last = F.lit(False)
-    for c, n in last.items():
-        any_last = any_last | (F.col("_c").eqNullSafe(F.lit(c)) & (F.col("_r") == n))
+    for c, n in sizes.items():
+        any_last = any_last | (F.col("_c").eqNullSafe(F.lit(c)) & (F.col("_r") == wanted(n)))
     first, own = F.lit(False), shuffled(key, seed)
-    for r in slim.withColumn("_r", F.row_number().over(by)).filter(any_last).collect():
+    for r in _ranked(slim, "_c", "_h", "_k").filter(any_last).collect():
         upto = (own < r["_h"]) | ((own == r["_h"]) & (F.col(key) <= r["_k"]))
         first = F.when(F.col(label).eqNullSafe(F.lit(r["_c"])), upto).otherwise(first)
     return first
@@ -159,8 +180,8 @@ def stratified_split(df: DataFrame, label: str = "label", key: str = "doc_id", t
 
 
 def stratified_folds(df: DataFrame, k: int = 3, label: str = "label", key: str = "doc_id", seed: int = SEED) -> DataFrame:
-    w = Window.partitionBy(label).orderBy(shuffled(key, seed), key)
-    return df.withColumn("fold", ((F.row_number().over(w) - 1) % k).cast("int"))
+    x = _ranked(df.withColumn("_h", shuffled(key, seed)), label, "_h", key)
+    return x.withColumn("fold", ((F.col("_r") - 1) % k).cast("int")).drop("_h", "_r")
 
 
 def seeded_sample(df: DataFrame, size: int, key: str = "doc_id", seed: int = SEED) -> DataFrame:
@@ -176,9 +197,12 @@ def balanced_subsample(df: DataFrame, label: str = "label", key: str = "doc_id",
 # -- terms -----------------------------------------------------------------
 
 
-def term_table(corpus: DataFrame) -> DataFrame:
-    """(doc_id, label, term, tf) in long form."""
-    words = corpus.select("doc_id", "label", F.explode(clean_tokens(F.col("content"))).alias("term"))
+def term_table(corpus: DataFrame, pairs: bool = False) -> DataFrame:
+    """(doc_id, label, term, tf) in long form; with ``pairs`` also of neighbouring words."""
+    tokens = clean_tokens(F.col("content"))
+    if pairs:  # an array of one binds the tokens, which are read four times
+        tokens = F.flatten(F.transform(F.array(tokens), word_ngrams))
+    words = corpus.select("doc_id", "label", F.explode(tokens).alias("term"))
     return words.groupBy("doc_id", "label", "term").agg(n("*").alias("tf"))
 
 
@@ -200,6 +224,17 @@ def discriminative_terms(terms: DataFrame, min_df: int = 5, size: int = 40000, t
     return y.select(side.alias("side"), "term", "log_ratio", F.col("df").alias("docs")).filter("side is not null")
 
 
+def term_rates(terms: DataFrame, sizes: DataFrame, min_df: int = 2, size: int = 500) -> DataFrame:
+    """The vocabulary by rank, with each class's share of documents that hold the term and their gap.
+
+    ``sizes`` has one row: n0 and n1, the documents of each class.
+    """
+    v = vocabulary(terms, min_df, size).crossJoin(F.broadcast(sizes))  # one row
+    x = v.withColumn("rank", F.row_number().over(Window.orderBy(F.desc("tf"), "term")).cast("int"))
+    fake, real = ratio(F.col("df_fake"), F.col("n0")), ratio(F.col("df_real"), F.col("n1"))
+    return x.select("rank", "term", "tf", F.round(fake, 6).alias("fake_rate"), F.round(real, 6).alias("real_rate"), F.round(F.abs(real - fake), 6).alias("gap"))
+
+
 def vocabulary_overlap(terms: DataFrame) -> DataFrame:
     per = terms.groupBy("term").agg(F.max((F.col("label") == 0).cast("int")).alias("f"), F.max((F.col("label") == 1).cast("int")).alias("r"))
     x = per.agg(F.sum("f").cast("long").alias("fake_terms"), F.sum("r").cast("long").alias("real_terms"), F.count_if(F.expr("f = 1 and r = 1")).cast("long").alias("shared"), n("*").alias("all_terms"))

@@ -198,6 +198,26 @@ def marker_errors(wrong: DataFrame, markers: dict[str, str]) -> DataFrame:
     return x.withColumn("error_rate", F.round(F.try_divide(F.col("errors").cast("double"), F.col("n")), 6))
 
 
+def marker_mismatch(scores: DataFrame, marker: str) -> DataFrame:
+    """Where the errors fall: by system, those in the slice of class 0 with the marker and class 1 without.
+
+    ``scores`` has content too.  ``concentration`` is the slice's share of the
+    errors over its share of the documents; null for an empty slice.
+    """
+    odd = F.coalesce(F.col("content"), F.lit("")).rlike(marker) == (F.col("label") == 0)
+    x = scores.select("system", odd.alias("odd"), (F.col("label") != F.col("pred")).alias("wrong"))
+    y = x.groupBy("system").agg(F.count("*").alias("n"), F.count_if("odd").alias("k"), F.count_if("wrong").cast("long").alias("errors"), F.count_if(F.col("odd") & F.col("wrong")).cast("long").alias("in_slice"))
+    share, base = F.col("in_slice") / F.greatest(F.col("errors"), F.lit(1)), F.col("k") / F.col("n")
+    return y.select("system", "errors", "in_slice", _r(share, "share"), _r(base, "slice_share"), _r(F.try_divide(share, F.nullif(base, F.lit(0.0))), "concentration"))
+
+
+def metric_drift(found: DataFrame, stored: DataFrame, tolerance: float = 1e-9) -> DataFrame:
+    """Accuracies beside stored ones of the same systems: their distance, and whether it is within tolerance; the others are left out."""
+    x = found.select("system", "accuracy").join(stored.select("system", F.col("accuracy").alias("stored")), "system")
+    gap = F.abs(F.col("accuracy") - F.col("stored"))
+    return x.filter("stored IS NOT NULL").select("system", "accuracy", "stored", gap.alias("drift"), (gap < tolerance).alias("same"))
+
+
 def mcnemar_tests(scores: DataFrame) -> DataFrame:
     """Every pair of systems: counts, p-value, and Holm's p over the pairs; one row a pair comes to the driver."""
     rows = [(r["a"], r["b"], r["only_a"], r["only_b"], float(mcnemar(r["only_a"], r["only_b"])["p"])) for r in mcnemar_counts(scores).collect()]

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from pyspark.ml import Estimator
+from pyspark.ml.feature import IDF, ElementwiseProduct
+from pyspark.ml.linalg import Vectors
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -30,13 +33,29 @@ def attribution(weights: DataFrame, model: DataFrame, top: int = 10) -> DataFram
     return y.select("doc_id", "rank", "term", "contribution", F.when(F.col("contribution") >= 0, "REAL").otherwise("FAKE").alias("pushes"))
 
 
+class SmoothIDF(Estimator):
+    """Learns ln((1 + n) / (1 + df)) + 1 on the column tf; its model scales tf by that into idf."""
+
+    def _fit(self, dataset: DataFrame) -> ElementwiseProduct:
+        idf = IDF(inputCol="tf", outputCol="idf").fit(dataset).idf
+        return ElementwiseProduct(scalingVec=Vectors.dense(idf.toArray() + 1.0), inputCol="tf", outputCol="idf")
+
+
+def attribution_totals(weights: DataFrame, model: DataFrame, kept: DataFrame) -> DataFrame:
+    """For each row of ``kept`` (doc_id, words_kept): the sums that push to REAL and to FAKE (both positive), and the matched terms."""
+    x = weights.join(model.select("term", (F.col("lp1") - F.col("lp0")).alias("coef")), "term").withColumn("c", F.col("weight") * F.col("coef"))
+    per = x.groupBy("doc_id").agg(F.sum(F.greatest("c", F.lit(0.0))).alias("to_real"), F.sum(F.greatest(-F.col("c"), F.lit(0.0))).alias("to_fake"), F.count("*").cast("long").alias("terms_matched"))
+    y = kept.join(per, "doc_id", "left")
+    return y.select("doc_id", "words_kept", F.coalesce("terms_matched", F.lit(0)).cast("long").alias("terms_matched"), *[F.round(F.coalesce(k, F.lit(0.0)), 6).alias(k) for k in ("to_real", "to_fake")])
+
+
 def linear_pipeline(kind: str = "lr", features: int = 1 << 12, c: float = 1.0, n: int = 1):
     """TF-IDF pipeline over an array<string> column ``tokens``: lr, svm or nb."""
     from pyspark.ml import Pipeline
     from pyspark.ml.classification import LinearSVC, LogisticRegression, NaiveBayes
-    from pyspark.ml.feature import IDF, CountVectorizer, Normalizer
+    from pyspark.ml.feature import CountVectorizer, Normalizer
 
-    stages = [CountVectorizer(inputCol="tokens", outputCol="tf", vocabSize=features, minDF=2.0), IDF(inputCol="tf", outputCol="idf"), Normalizer(inputCol="idf", outputCol="features")]
+    stages = [CountVectorizer(inputCol="tokens", outputCol="tf", vocabSize=features, minDF=2.0), SmoothIDF(), Normalizer(inputCol="idf", outputCol="features")]
     models = {
         "lr": LogisticRegression(regParam=1 / (c * max(n, 1)), elasticNetParam=0.0, standardization=False, maxIter=1000),
         "svm": LinearSVC(regParam=1 / (c * max(n, 1)), maxIter=50, standardization=False),
@@ -60,6 +79,24 @@ def stump(df: DataFrame, feature: str) -> DataFrame:
     return per.select(feature, (F.col("_r") > F.col("_f")).cast("int").alias("pred"), F.greatest("_f", "_r").cast("long").alias("hits"), (F.col("_f") + F.col("_r")).cast("long").alias("n"))
 
 
+def save(model, path: str) -> None:
+    """Write a fitted pipeline, replacing what is there."""
+    model.write().overwrite().save(path)
+
+
+def load(path: str):
+    """A fitted pipeline as ``save`` wrote it; an error that names the path if there is none."""
+    from pyspark.errors import AnalysisException
+    from pyspark.ml import PipelineModel
+
+    try:
+        return PipelineModel.load(path)
+    except AnalysisException as e:
+        if e.getCondition() != "PATH_NOT_FOUND":
+            raise
+        raise FileNotFoundError(f"no model at {path}") from e
+
+
 def ml_scores(train: DataFrame, test: DataFrame, pipeline, system: str) -> DataFrame:
     """(doc_id, system, label, pred, proba) of a fitted pipeline; margins pass through a sigmoid."""
     from pyspark.ml.functions import vector_to_array

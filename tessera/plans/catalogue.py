@@ -88,8 +88,8 @@ def log_events(rows: DataFrame) -> DataFrame:
     return x.withColumn("true_label", ((F.col("id") + F.col("event_ts")) % 2).cast("int"))
 
 
-def _terms(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return eda.term_table(corpus(spark, sf_dir))
+def _terms(spark: SparkSession, sf_dir: str, pairs: bool = False) -> DataFrame:
+    return eda.term_table(corpus(spark, sf_dir), pairs)
 
 
 def _with(f):
@@ -149,6 +149,17 @@ def coverage(spark: SparkSession, sf_dir: str) -> DataFrame:
     return parts.filter("split = 'test'").select("doc_id").join(matched, "doc_id", "left").select("doc_id", F.coalesce("matched", F.lit(0)).cast("long").alias("matched"))
 
 
+def term_rates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    sizes = corpus(spark, sf_dir).agg(F.count_if(F.expr("label = 0")).alias("n0"), F.count_if(F.expr("label = 1")).alias("n1"))
+    return eda.term_rates(_terms(spark, sf_dir), sizes)
+
+
+def attribution_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    _, weights, model = nb_model(spark, sf_dir)
+    kept = corpus(spark, sf_dir).select("doc_id", F.size(text.clean_tokens(F.col("content"))).cast("long").alias("words_kept"))
+    return models.attribution_totals(weights, model, kept)
+
+
 def batch_verdicts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Naive Bayes' verdicts on the test documents at a threshold of its own, with warnings."""
     tokens = documents(spark, sf_dir).select("doc_id", F.size(text.clean_tokens(F.col("content"))).alias("tokens"))
@@ -177,6 +188,11 @@ def marker_class_errors(spark: SparkSession, sf_dir: str) -> DataFrame:
     return evaluation.marker_errors(wrong, MARKERS)
 
 
+def marker_mismatch(spark: SparkSession, sf_dir: str) -> DataFrame:
+    text_of = documents(spark, sf_dir).select("doc_id", "content")
+    return evaluation.marker_mismatch(eval_scores(spark, sf_dir).join(text_of, "doc_id"), RULE)
+
+
 def style_of_errors(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Mean style of wrong and right documents within each class."""
     style = text.text_stats(F.col("content"))
@@ -282,6 +298,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "formatting_checks": lambda s, d: quality.formatting_checks(documents(s, d)),
         "class_balance": _with(quality.class_balance),
         "monthly_timeline": lambda s, d: eda.monthly_timeline(orders(s, d), "o_orderdate", F.col("label")),
+        "single_class_months": lambda s, d: eda.single_class_months(orders(s, d), "o_orderdate", F.col("label")),
         "date_stump": lambda s, d: eda.date_stump(orders(s, d), "o_orderdate", F.col("label")),
         "date_window": lambda s, d: eda.outside_window(orders(s, d), "o_orderdate", F.col("label")),
         "temporal_split_counts": lambda s, d: _count(eda.temporal_split(orders(s, d), "o_orderdate", CUTOFF), "split", "label"),
@@ -291,6 +308,9 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "balanced_subsample": lambda s, d: eda.balanced_subsample(corpus(s, d)).select("doc_id", "label"),
         "vocabulary_ranking": lambda s, d: eda.vocabulary(_terms(s, d), 2, 500),
         "discriminative_terms": lambda s, d: eda.discriminative_terms(_terms(s, d)),
+        "discriminative_pairs": lambda s, d: eda.discriminative_terms(_terms(s, d, True)),
+        "vocabulary_pairs": lambda s, d: eda.vocabulary(_terms(s, d, True), 2, 5000),
+        "term_rates": term_rates,
         "vocabulary_overlap": lambda s, d: eda.vocabulary_overlap(_terms(s, d)),
         "length_histogram": _with(eda.length_histogram),
         "ks_length": ks_length,
@@ -299,6 +319,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "nb_log_probs": nb_log_probs,
         "nb_predictions": lambda s, d: nb_scores(s, d),
         "linear_attribution": lambda s, d: models.attribution(nb_model(s, d)[1], nb_model(s, d)[2], 10),
+        "attribution_totals": attribution_totals,
         "confusion_metrics": _scores(evaluation.confusion),
         "error_direction": _scores(evaluation.error_direction),
         "threshold_sweep": _scores(evaluation.threshold_sweep),
@@ -320,6 +341,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "coverage_stats": coverage_stats,
         "feature_correlation": feature_correlation,
         "marker_class_errors": marker_class_errors,
+        "marker_mismatch": marker_mismatch,
         "style_of_errors": style_of_errors,
         "roc_points": lambda s, d: evaluation.curve(eval_scores(s, d)).select("system", "proba", *[F.round(c, 6).alias(c) for c in ("fpr", "tpr", "precision")]),
         "calibration_bins": _scores(evaluation.calibration),
@@ -409,6 +431,14 @@ def _terms_sql(source: str) -> str:
     return f"words AS (SELECT doc_id, label, unnest({_clean()}) AS term FROM {source}), terms AS (SELECT doc_id, label, term, count(*) AS tf FROM words GROUP BY ALL)"
 
 
+def _pairs_sql(source: str) -> str:
+    return f"kept AS (SELECT doc_id, label, {_clean()} AS w FROM {source}), words AS (SELECT doc_id, label, unnest(list_concat(w, list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1]))) AS term FROM kept), terms AS (SELECT doc_id, label, term, count(*) AS tf FROM words GROUP BY ALL)"
+
+
+def _ratios_sql(terms: str) -> str:
+    return f"WITH {_CORPUS}, {terms}, {_vocab_sql(5, 40000)}, x AS (SELECT term, df, round(ln(((df_fake + 1) / sum(df_fake + 1) OVER ()) / ((df_real + 1) / sum(df_real + 1) OVER ())), 6) AS log_ratio FROM vocab), y AS (SELECT *, row_number() OVER (ORDER BY log_ratio DESC, term) AS a, row_number() OVER (ORDER BY log_ratio, term) AS b FROM x) SELECT CASE WHEN a <= 20 THEN 'fake' ELSE 'real' END AS side, term, log_ratio, df AS docs FROM y WHERE a <= 20 OR b <= 20"
+
+
 def _vocab_sql(min_df: int, size: int, source: str = "terms") -> str:
     return f"vocab AS (SELECT term, CAST(sum(tf) AS BIGINT) AS tf, count(*) AS df, count(*) FILTER (label = 0) AS df_fake, count(*) FILTER (label = 1) AS df_real FROM {source} GROUP BY term HAVING count(*) >= {min_df} ORDER BY 2 DESC, term LIMIT {size})"
 
@@ -483,6 +513,7 @@ def oracle_sql() -> dict[str, str]:
         "formatting_checks": r"WITH x AS (SELECT len(regexp_extract_all(text, '\p{Lu}')) / nullif(length(text), 0) AS u, len(regexp_extract_all(text, '[A-Za-z]')) / nullif(length(text), 0) AS l FROM documents) SELECT count(*) AS rows, count(*) FILTER (coalesce(u, 0) > 0.6) AS shouting, count(*) FILTER (coalesce(l, 0) < 0.5) AS few_letters, round((count(*) FILTER (coalesce(u, 0) > 0.6) + count(*) FILTER (coalesce(l, 0) < 0.5)) / count(*), 6) AS rate FROM x",
         "class_balance": f"WITH {_CORPUS}, x AS (SELECT count(*) FILTER (label = 0) AS fake, count(*) FILTER (label = 1) AS real FROM corpus), y AS (SELECT *, least(fake, real) / (fake + real) AS m FROM x) SELECT fake, real, round(m, 6) AS minority, CASE WHEN m > 0.35 THEN 'PASS' WHEN m > 0.2 THEN 'WARN' ELSE 'FAIL' END AS status FROM y",
         "monthly_timeline": f"WITH {dates} SELECT strftime(d, '%Y-%m') AS month, count(*) FILTER (label = 0) AS fake, count(*) FILTER (label = 1) AS real FROM o GROUP BY 1",
+        "single_class_months": f"WITH {dates}, m AS (SELECT strftime(d, '%Y-%m') AS month, count(*) FILTER (label = 0) AS fake, count(*) FILTER (label = 1) AS real FROM o GROUP BY 1) SELECT count(*) AS months, count(*) FILTER (fake = 0 OR real = 0) AS single, CAST(coalesce(sum(fake + real) FILTER (fake = 0 OR real = 0), 0) AS BIGINT) AS rows, round(coalesce(count(*) FILTER (fake = 0 OR real = 0) / nullif(count(*), 0), 0), 6) AS share FROM m",
         "date_stump": f"WITH {dates}, p AS (SELECT d, count(*) FILTER (label = 0) AS f, count(*) FILTER (label = 1) AS r FROM o GROUP BY d), x AS (SELECT d, coalesce(sum(f) OVER b, 0) AS fb, coalesce(sum(r) OVER b, 0) AS rb, sum(f) OVER () AS fn, sum(r) OVER () AS rn FROM p WINDOW b AS (ORDER BY d ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)), y AS (SELECT d, 0 AS o, 'fake first' AS direction, fb + rn - rb AS hits, fn + rn AS total FROM x UNION ALL SELECT d, 1, 'real first', rb + fn - fb, fn + rn FROM x) SELECT strftime(d, '%Y-%m-%d') AS cutoff, direction, round(hits / total, 6) AS accuracy FROM y ORDER BY hits DESC, o, d LIMIT 1",
         "date_window": f"WITH {dates}, s AS (SELECT min(d) FILTER (label = 0) AS lo0, max(d) FILTER (label = 0) AS hi0, min(d) FILTER (label = 1) AS lo1, max(d) FILTER (label = 1) AS hi1 FROM o) SELECT label, count(*) AS rows, count(*) FILTER (CASE WHEN label = 0 THEN NOT d BETWEEN lo1 AND hi1 ELSE NOT d BETWEEN lo0 AND hi0 END) AS outside FROM o CROSS JOIN s GROUP BY label",
         "temporal_split_counts": f"WITH {dates} SELECT CASE WHEN d < TIMESTAMP '{CUTOFF}' THEN 'train' ELSE 'test' END AS split, label, count(*) AS n FROM o GROUP BY ALL",
@@ -491,7 +522,10 @@ def oracle_sql() -> dict[str, str]:
         "seeded_sample": "SELECT doc_id FROM documents ORDER BY md5(doc_id || '-42'), doc_id LIMIT 100",
         "balanced_subsample": f"WITH {_CORPUS}, x AS (SELECT doc_id, label, row_number() OVER (PARTITION BY label ORDER BY md5(doc_id || '-42'), doc_id) AS k FROM corpus) SELECT doc_id, label FROM x WHERE k <= (SELECT min(c) FROM (SELECT count(*) AS c FROM corpus GROUP BY label))",
         "vocabulary_ranking": f"WITH {_CORPUS}, {_terms_sql('corpus')}, {_vocab_sql(2, 500)} SELECT * FROM vocab",
-        "discriminative_terms": f"WITH {_CORPUS}, {_terms_sql('corpus')}, {_vocab_sql(5, 40000)}, x AS (SELECT term, df, round(ln(((df_fake + 1) / sum(df_fake + 1) OVER ()) / ((df_real + 1) / sum(df_real + 1) OVER ())), 6) AS log_ratio FROM vocab), y AS (SELECT *, row_number() OVER (ORDER BY log_ratio DESC, term) AS a, row_number() OVER (ORDER BY log_ratio, term) AS b FROM x) SELECT CASE WHEN a <= 20 THEN 'fake' ELSE 'real' END AS side, term, log_ratio, df AS docs FROM y WHERE a <= 20 OR b <= 20",
+        "discriminative_terms": _ratios_sql(_terms_sql("corpus")),
+        "discriminative_pairs": _ratios_sql(_pairs_sql("corpus")),
+        "vocabulary_pairs": f"WITH {_CORPUS}, {_pairs_sql('corpus')}, {_vocab_sql(2, 5000)} SELECT * FROM vocab",
+        "term_rates": f"WITH {_CORPUS}, {_terms_sql('corpus')}, {_vocab_sql(2, 500)}, s AS (SELECT count(*) FILTER (label = 0) AS n0, count(*) FILTER (label = 1) AS n1 FROM corpus) SELECT CAST(row_number() OVER (ORDER BY tf DESC, term) AS INTEGER) AS rank, term, tf, round(coalesce(df_fake / nullif(n0, 0), 0), 6) AS fake_rate, round(coalesce(df_real / nullif(n1, 0), 0), 6) AS real_rate, round(abs(coalesce(df_real / nullif(n1, 0), 0) - coalesce(df_fake / nullif(n0, 0), 0)), 6) AS gap FROM vocab CROSS JOIN s",
         "vocabulary_overlap": f"WITH {_CORPUS}, {_terms_sql('corpus')}, p AS (SELECT term, max(CAST(label = 0 AS INTEGER)) AS f, max(CAST(label = 1 AS INTEGER)) AS r FROM terms GROUP BY term) SELECT CAST(sum(f) AS BIGINT) AS fake_terms, CAST(sum(r) AS BIGINT) AS real_terms, count(*) FILTER (f = 1 AND r = 1) AS shared, round(count(*) FILTER (f = 1 AND r = 1) / count(*), 6) AS jaccard FROM p",
         "length_histogram": f"WITH {_CORPUS}, w AS (SELECT least({_words()}, 2000) AS w, label FROM corpus), s AS (SELECT min(w) AS lo, max(w) AS hi FROM w) SELECT CAST(least(floor((w - lo) * 20 / greatest(hi - lo, 1)), 19) AS INTEGER) AS bin, count(*) FILTER (label = 0) AS fake, count(*) FILTER (label = 1) AS real FROM w CROSS JOIN s GROUP BY 1",
         "ks_length": f"WITH {_CORPUS}, w AS (SELECT least({_words()}, 2000) AS w, label FROM corpus), p AS (SELECT w, count(*) FILTER (label = 0) AS a, count(*) FILTER (label = 1) AS b FROM w GROUP BY w), g AS (SELECT abs(sum(a) OVER (ORDER BY w ROWS UNBOUNDED PRECEDING) / sum(a) OVER () - sum(b) OVER (ORDER BY w ROWS UNBOUNDED PRECEDING) / sum(b) OVER ()) AS gap FROM p) SELECT round(max(gap), 6) AS ks_statistic FROM g",
@@ -500,6 +534,7 @@ def oracle_sql() -> dict[str, str]:
         "nb_log_probs": _nb_sql() + "done AS (SELECT 1) SELECT term, round(lp0, 6) AS lp0, round(lp1, 6) AS lp1 FROM model",
         "nb_predictions": _nb_sql() + "done AS (SELECT 1) SELECT doc_id, label, proba, CAST(proba >= 0.5 AS INTEGER) AS pred FROM nb",
         "linear_attribution": _nb_sql() + "x AS (SELECT doc_id, term, round(weight * (lp1 - lp0), 6) AS contribution FROM weights JOIN model USING (term)), y AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY abs(contribution) DESC, term) AS k FROM x) SELECT doc_id, CAST(k AS INTEGER) AS rank, term, contribution, CASE WHEN contribution >= 0 THEN 'REAL' ELSE 'FAKE' END AS pushes FROM y WHERE k <= 10",
+        "attribution_totals": _nb_sql() + f"pushes AS (SELECT doc_id, sum(greatest(weight * (lp1 - lp0), 0.0)) AS to_real, sum(greatest(-weight * (lp1 - lp0), 0.0)) AS to_fake, count(*) AS terms_matched FROM weights JOIN model USING (term) GROUP BY doc_id) SELECT c.doc_id, CAST(len({_clean('c.content')}) AS BIGINT) AS words_kept, coalesce(terms_matched, 0) AS terms_matched, round(coalesce(to_real, 0.0), 6) AS to_real, round(coalesce(to_fake, 0.0), 6) AS to_fake FROM corpus c LEFT JOIN pushes ON pushes.doc_id = c.doc_id",
         "confusion_metrics": _eval_sql() + f", {cm}, m AS (SELECT *, coalesce(tp / nullif(tp + fp, 0), 0) AS p, coalesce(tp / nullif(tp + fn, 0), 0) AS r, coalesce(tn / nullif(tn + fp, 0), 0) AS s FROM c) SELECT system, tp, fn, fp, tn, round((tp + tn) / (tp + fn + fp + tn), 6) AS accuracy, round(p, 6) AS precision, round(r, 6) AS recall, round(coalesce(2 * tp / nullif(2 * tp + fp + fn, 0), 0), 6) AS f1, round((r + s) / 2, 6) AS balanced_accuracy, round(s, 6) AS recall_fake FROM m",
         "error_direction": _eval_sql() + ", x AS (SELECT system, count(*) FILTER (label = 0 AND pred = 1) AS a, count(*) FILTER (label = 1 AND pred = 0) AS b, count(*) FILTER (label = 0) AS n0, count(*) FILTER (label = 1) AS n1 FROM scores GROUP BY system) SELECT system, a AS false_real, b AS false_fake, round(coalesce(a / nullif(n0, 0), 0), 6) AS false_real_rate, round(coalesce(b / nullif(n1, 0), 0), 6) AS false_fake_rate FROM x",
         "threshold_sweep": _eval_sql() + ", t AS (SELECT unnest(range(5, 96)) AS t), x AS (SELECT system, t, count(*) FILTER (label = 1 AND floor(round(proba * 100, 4)) >= t) AS p, count(*) FILTER (floor(round(proba * 100, 4)) >= t) AS n, count(*) FILTER (label = 1) AS a FROM scores CROSS JOIN t GROUP BY system, t) SELECT system, round(t / 100, 6) AS threshold, round(CASE WHEN n = 0 THEN 1.0 ELSE p / n END, 6) AS precision, round(coalesce(p / nullif(a, 0), 0), 6) AS recall, round(coalesce(2 * p / nullif(n + a, 0), 0), 6) AS f1 FROM x",
@@ -521,6 +556,7 @@ def oracle_sql() -> dict[str, str]:
         "coverage_stats": _eval_sql() + f", {_COVERAGE} SELECT count(*) AS rows, CAST(quantile_cont(matched, 0.5) AS DOUBLE) AS median_matched, round(avg(CAST(matched < 5 AS INTEGER)), 6) AS low_share FROM cov",
         "feature_correlation": _eval_sql() + f", {_COVERAGE}, {_WRONG}, x AS (SELECT matched, any_wrong, {_words('d.text')} AS w FROM wrong JOIN cov USING (doc_id) JOIN documents d USING (doc_id)) SELECT round(corr(matched, any_wrong), 6) AS matched_wrong, round(corr(matched, w), 6) AS matched_words FROM x",
         "marker_class_errors": _eval_sql() + f", {_WRONG}, m AS (" + " UNION ALL ".join(f"SELECT '{m.replace(chr(39), chr(39) * 2)}' AS marker, label, any_wrong, CAST(regexp_matches(d.text, '(?m){p.replace(chr(39), chr(39) * 2)}') AS INTEGER) AS present FROM wrong JOIN documents d USING (doc_id)" for m, p in MARKERS.items()) + "), dim AS (SELECT * FROM (SELECT DISTINCT marker FROM m) CROSS JOIN (VALUES (0), (1)) l(label) CROSS JOIN (VALUES (0), (1)) h(present)) SELECT dim.marker, dim.label, dim.present, count(m.label) AS n, CAST(coalesce(sum(any_wrong), 0) AS BIGINT) AS errors, round(sum(any_wrong) / nullif(count(m.label), 0), 6) AS error_rate FROM dim LEFT JOIN m ON m.marker = dim.marker AND m.label = dim.label AND m.present = dim.present GROUP BY ALL",
+        "marker_mismatch": _eval_sql() + f", x AS (SELECT system, regexp_matches(coalesce(d.text, ''), '{RULE}') = (label = 0) AS odd, label <> pred AS wrong FROM scores JOIN documents d USING (doc_id)), y AS (SELECT system, count(*) AS n, count(*) FILTER (odd) AS k, count(*) FILTER (wrong) AS errors, count(*) FILTER (odd AND wrong) AS in_slice FROM x GROUP BY system) SELECT system, errors, in_slice, round(in_slice / greatest(errors, 1), 6) AS share, round(k / n, 6) AS slice_share, round((in_slice / greatest(errors, 1)) / nullif(k / n, 0), 6) AS concentration FROM y",
         "style_of_errors": _eval_sql() + f", {_WRONG}, s AS (SELECT label, any_wrong, " + ", ".join(f"CAST({v} AS DOUBLE) AS {k}" for k, v in _stats_sql("d.text").items()) + " FROM wrong JOIN documents d USING (doc_id)), a AS (" + " UNION ALL ".join(f"SELECT label, '{k}' AS feature, avg({k}) FILTER (any_wrong = 1) AS w, avg({k}) FILTER (any_wrong = 0) AS r FROM s GROUP BY label" for k in style) + ") SELECT label, feature, round(w, 6) AS wrong, round(r, 6) AS \"right\", round(w / nullif(r, 0), 6) AS ratio FROM a",
         "roc_points": _eval_sql() + f", {points} SELECT system, proba, round(fpr, 6) AS fpr, round(tpr, 6) AS tpr, round(precision, 6) AS precision FROM curve",
         "calibration_bins": _eval_sql() + ", e AS (SELECT system, list_transform(quantile_cont(proba, [0.1, 0.2, 0.3, 0.4, 0.5, 0.6, 0.7, 0.8, 0.9]), lambda x: round(x, 9)) AS edges FROM scores GROUP BY system), x AS (SELECT s.*, CAST(len(list_filter(edges, lambda x: x < proba)) AS INTEGER) AS bin FROM scores s JOIN e USING (system)) SELECT system, bin, count(*) AS n, round(avg(proba), 6) AS mean_predicted, round(avg(label), 6) AS observed FROM x GROUP BY system, bin",

@@ -1,11 +1,12 @@
 import inspect
 import json
+import math
 
 import pytest
 from pyspark.sql import functions as F
 
 from tessera.functions.text import normalise
-from tessera.operators import evaluation, models, neardup
+from tessera.operators import eda, evaluation, models, neardup
 from tessera.plans import catalogue
 from tessera.sources import pages, reports
 
@@ -61,6 +62,39 @@ def test_corpus_drop(spark):
     assert evaluation.corpus_drop(scores, "corpus", "none").filter("accuracy_drop IS NULL").count() == 2
 
 
+def test_smooth_idf_and_saved_models(spark, tmp_path):
+    docs = [(1, 0, ["a", "b", "a"]), (2, 1, ["a", "c"]), (3, 1, ["b", "c", "c"]), (4, 0, [])]
+    df = spark.createDataFrame(docs, "doc_id long, label int, tokens array<string>")
+    model = models.linear_pipeline("nb", 10).fit(df)
+    vocab = model.stages[0].vocabulary
+    for r in model.transform(df).collect():
+        raw = [r.tokens.count(t) * (math.log(5 / (1 + sum(t in d[2] for d in docs))) + 1) for t in vocab]
+        norm = math.sqrt(sum(x * x for x in raw)) or 1.0
+        assert r.features.toArray() == pytest.approx([x / norm for x in raw])
+    models.save(model, str(tmp_path / "m"))
+    again = models.load(str(tmp_path / "m"))
+    assert [r.probability for r in again.transform(df).collect()] == [r.probability for r in model.transform(df).collect()]
+    with pytest.raises(FileNotFoundError, match="none_here"):
+        models.load(str(tmp_path / "none_here"))
+
+
+def test_folds_have_a_row_each(spark):
+    rows = [(None if i % 7 == 0 else i % 90, i % 2 if i % 5 else None, "t" * i) for i in range(200)]
+    df = spark.createDataFrame(rows, "doc_id long, label int, content string")
+    out = eda.stratified_folds(df, 4).collect()
+    assert sorted((r.doc_id or -1, r.label is None, r.content) for r in out) == sorted((k or -1, c is None, t) for k, c, t in rows)
+    for c in (0, 1, None):
+        sizes = [sum(r.label == c and r.fold == f for r in out) for f in range(4)]
+        assert max(sizes) - min(sizes) <= 1
+    assert eda.stratified_folds(df.limit(0)).count() == eda.stratified_split(df.limit(0)).count() == 0
+
+
+def test_metric_drift(spark):
+    found = spark.createDataFrame([("a", 0.5), ("b", 0.25), ("c", 1.0)], "system string, accuracy double")
+    stored = spark.createDataFrame([("a", 0.5), ("b", 0.75), ("d", 0.1), ("c", None)], "system string, accuracy double")
+    assert [tuple(r) for r in evaluation.metric_drift(found, stored).orderBy("system").collect()] == [("a", 0.5, 0.5, 0.0, True), ("b", 0.25, 0.75, 0.5, False)]
+
+
 def test_shuffled_column_is_a_permutation(spark):
     df = spark.range(500).select(F.col("id").alias("doc_id"), (F.col("id") * 3).alias("v"), F.lit(1).alias("w"))
     out = models.shuffled_column(df, "v", 7, size=50).collect()
