@@ -138,7 +138,7 @@ def shuffled(key: str, seed: int = SEED) -> Column:
     return F.md5(F.concat_ws("-", F.col(key).cast("string"), F.lit(str(seed))).cast("binary"))
 
 
-def _ranked(df: DataFrame, label: str, hashed: str, key: str, digits: int = 4) -> DataFrame:
+def ranked(df: DataFrame, label: str, hashed: str, key: str, digits: int = 4) -> DataFrame:
     """``df`` with _r, the place of each row in its class by hash and key.
 
     Rows are ranked within the first hex digits of their hash and moved on by
@@ -167,7 +167,7 @@ def _first_of_each(df: DataFrame, wanted, label: str, key: str, seed: int) -> Co
     for c, n in sizes.items():
         any_last = any_last | (F.col("_c").eqNullSafe(F.lit(c)) & (F.col("_r") == wanted(n)))
     first, own = F.lit(False), shuffled(key, seed)
-    for r in _ranked(slim, "_c", "_h", "_k").filter(any_last).collect():
+    for r in ranked(slim, "_c", "_h", "_k").filter(any_last).collect():
         upto = (own < r["_h"]) | ((own == r["_h"]) & (F.col(key) <= r["_k"]))
         first = F.when(F.col(label).eqNullSafe(F.lit(r["_c"])), upto).otherwise(first)
     return first
@@ -180,7 +180,7 @@ def stratified_split(df: DataFrame, label: str = "label", key: str = "doc_id", t
 
 
 def stratified_folds(df: DataFrame, k: int = 3, label: str = "label", key: str = "doc_id", seed: int = SEED) -> DataFrame:
-    x = _ranked(df.withColumn("_h", shuffled(key, seed)), label, "_h", key)
+    x = ranked(df.withColumn("_h", shuffled(key, seed)), label, "_h", key)
     return x.withColumn("fold", ((F.col("_r") - 1) % k).cast("int")).drop("_h", "_r")
 
 

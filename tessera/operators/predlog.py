@@ -6,12 +6,39 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessera.functions.text import n_words
+from tessera.operators import eda
 
 
 def entries(scored: DataFrame, text: str, model: str, source: Column, created: Column, key: str = "id") -> DataFrame:
     """Log rows of scored texts: hash, preview, counts, label, confidence."""
     t, p = F.col(text), F.col("proba")
-    return scored.select(F.col(key).alias("id"), created.alias("created_at"), source.alias("source"), F.lit(model).alias("model"), F.sha2(t.cast("binary"), 256).alias("input_hash"), F.substring(t, 1, 500).alias("text_preview"), F.length(t).alias("char_count"), n_words(t).cast("int").alias("word_count"), F.when(p >= 0.5, 1).otherwise(0).alias("prediction"), F.when(p >= 0.5, "REAL").otherwise("FAKE").alias("label"), F.round(F.greatest(p, 1 - p), 6).alias("confidence"))
+    return scored.select(F.col(key).alias("id"), created.alias("created_at"), source.alias("source"), F.lit(model).alias("model"), F.sha2(t.cast("binary"), 256).alias("input_hash"), F.substring(t, 1, 500).alias("text_preview"), F.length(t).alias("char_count"), n_words(t).cast("int").alias("word_count"), F.when(p >= 0.5, 1).otherwise(0).alias("prediction"), F.when(p >= 0.5, "REAL").otherwise("FAKE").alias("label"), F.round(F.greatest(p, 1 - p), 6).alias("confidence"), F.round(1 - p, 6).alias("proba_fake"), F.round(p, 6).alias("proba_real"))
+
+
+def numbered(rows: DataFrame, last: int = 0, key: str = "id") -> DataFrame:
+    """``rows`` with ids of their own, from ``last`` + 1 on without gaps.
+
+    The order within a batch is that of a hash of ``key``, so that no task sorts
+    the whole batch; later batches have greater ids.  ``last`` is the greatest
+    id of the log (``last_id``).  Batches must not be numbered at once.
+    """
+    x = eda.ranked(rows.withColumn("_l1", F.lit(1)).withColumn("_h", eda.shuffled(key)), "_l1", "_h", key)
+    return x.withColumn(key, (F.col("_r") + F.lit(last)).cast("long")).drop("_l1", "_h", "_r")
+
+
+def last_id(log: DataFrame) -> int:
+    return log.agg(F.max("id")).first()[0] or 0
+
+
+def with_top_terms(rows: DataFrame, contributions: DataFrame, most: int = 10) -> DataFrame:
+    """``rows`` with top_terms: JSON list of [term, contribution], largest first; null without terms.
+
+    ``contributions``: doc_id (the id of a row), rank, term, contribution, as ``models.attribution`` gives them.
+    """
+    pair = F.concat(F.lit("["), F.to_json(F.array("term")).substr(F.lit(2), F.length(F.to_json(F.array("term"))) - 2), F.lit(", "), F.round("contribution", 5).cast("decimal(20,5)").cast("string"), F.lit("]"))
+    kept = contributions.filter(F.col("rank") <= most).select(F.col("doc_id").alias("id"), F.struct("rank", pair.alias("p")).alias("x"))
+    terms = kept.groupBy("id").agg(F.array_sort(F.collect_list("x")).getField("p").alias("t"))
+    return rows.join(terms.select("id", F.concat(F.lit("["), F.array_join("t", ", "), F.lit("]")).alias("top_terms")), "id", "left")
 
 
 def append(rows: DataFrame, path: str) -> None:

@@ -9,6 +9,7 @@ from tessera.config import DATE_FORMATS, POINTS, THRESHOLDS
 from tessera.functions.stats import js_distance, ks_statistic, ratio, verdict, worst
 from tessera.functions.text import n_words, normalise, parse_date
 from tessera.operators import eda, neardup
+from tessera.sources.corpus import compare_runs
 
 #: Patterns of decoding accidents, hard ones first.
 HARD = ("\ufffd", "\u00c3[\u0080-\u00bf]|\u00e2\u20ac[\u0098-\u009d\u2122\u00a6]|\u00c2[\u00a0-\u00bf]")
@@ -78,7 +79,7 @@ def checks(corpus: DataFrame, marker: str = r"\breuters\b", known_subjects: list
 
     ``corpus``: doc_id, content, label, subject; optional columns title (two)
     and date (three) add their checks.  The two integrity and two schema checks
-    are about files and are not made here.  Near duplicates are graded on the
+    are in ``file_checks``.  Near duplicates are graded on the
     worse of two rates over all texts, rows equal after normalising beyond
     exact repeats and distinct texts with a MinHash near copy, and fail on any
     near copy across labels.
@@ -121,6 +122,32 @@ def checks(corpus: DataFrame, marker: str = r"\breuters\b", known_subjects: list
     return total
 
 
+def file_checks(files: DataFrame, tables: dict[str, DataFrame], expected: dict[str, dict[str, str]], before: DataFrame | None = None) -> DataFrame:
+    """The two integrity and two schema checks.
+
+    ``files``: file and sha256, as ``corpus.fingerprints`` gives them; ``before``
+    the same of an earlier run, without which the second check is INFO.
+    ``expected``: the columns and types of each table.  Values are numbers of
+    files, of changed and new files, and of deviating columns; a label that
+    comes from elsewhere than its row is always a WARN.
+    """
+    one = files.sparkSession.range(1)
+    found = files.agg(F.count("sha256").alias("files"))
+    if before is None:
+        same = _check(one, "integrity.unchanged", 1.0, F.lit(None), None, F.lit("INFO"))
+    else:
+        states = compare_runs(files, before).agg(F.count_if(F.expr("state = 'changed'")).alias("changed"), F.count_if(F.expr("state = 'new'")).alias("new"))
+        same = _check(states, "integrity.unchanged", 1.0, F.col("changed") + F.col("new"), None, F.when(F.col("changed") > 0, "FAIL").when(F.col("new") > 0, "WARN").otherwise("PASS"))
+    wrong = extra = 0
+    for name, columns in expected.items():
+        have = dict(tables[name].dtypes)
+        wrong += sum(have.get(c) != t for c, t in columns.items())
+        extra += len(set(have) - set(columns))
+    columns = _check(one, "schema.columns", 1.5, F.lit(wrong + extra), None, F.lit("FAIL" if wrong else "WARN" if extra else "PASS"))
+    provenance = _check(one, "schema.label_provenance", 1.0, F.lit(None), None, F.lit("WARN"))
+    return _check(found, "integrity.fingerprint", 1.0, F.col("files"), None, F.lit("PASS")).unionByName(same).unionByName(columns).unionByName(provenance)
+
+
 def score(table: DataFrame) -> DataFrame:
     """100 times the weighted mean of points; INFO rows do not count."""
     points = F.create_map(*[x for k, v in POINTS.items() for x in (F.lit(k), F.lit(v))])

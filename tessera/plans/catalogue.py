@@ -18,12 +18,15 @@ from tessera.config import BOILERPLATE, CONFIDENCE_BINS, COVERAGE_BINS, LENGTH_B
 from tessera.functions import stats, text
 from tessera.operators import eda, evaluation, models, neardup, predlog, quality
 from tessera.sources import pages
+from tessera.sources.corpus import fingerprints
 from tessera.sources.corpus import labelled_documents as corpus
 
 RULE = r"(?i)\bthe\b"
 KNOWN = [f"src{i}" for i in range(10)]
 STRICT = 0.6
 CUTOFF = "1995-06-17 00:00:00"
+#: Columns and types that the tables of the corpus should have.
+SCHEMA = {"documents": {"doc_id": "bigint", "text": "string", "lang": "string", "source": "string", "n_chars": "bigint"}, "labels": {"doc_id": "bigint", "quality": "int", "toxic": "int"}}
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -268,6 +271,22 @@ def learning_curve(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out
 
 
+def file_checks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fingerprints and columns of the two tables of the corpus; no earlier run."""
+    files = fingerprints(spark, f"{sf_dir}/documents.parquet").unionByName(fingerprints(spark, f"{sf_dir}/labels.parquet"))
+    return quality.file_checks(files, {k: table(spark, sf_dir, k) for k in SCHEMA}, SCHEMA)
+
+
+def quality_checks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.checks(corpus(spark, sf_dir)).unionByName(file_checks(spark, sf_dir))
+
+
+def log_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Log rows under ids of the log's own, after an earlier batch of 1,000."""
+    rows = log(spark, sf_dir).withColumn("turn_id", F.col("id"))
+    return predlog.numbered(rows, 1000).select("id", "turn_id", "label", "proba_fake", "proba_real")
+
+
 def cross_corpus(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Naive Bayes learned on English, judged on its test part and on all documents of each other language."""
     lang = documents(spark, sf_dir).select("doc_id", "lang")
@@ -361,8 +380,10 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "cross_corpus": cross_corpus,
         "grid_search": lambda s, d: models.grid_search(_parts(s, d)[0]),
         "parameter_effects": lambda s, d: models.parameter_effects(models.grid_search(_parts(s, d)[0])),
-        "quality_checks": lambda s, d: quality.checks(corpus(s, d)),
-        "quality_score": lambda s, d: quality.score(quality.checks(corpus(s, d))),
+        "quality_checks": quality_checks,
+        "quality_score": lambda s, d: quality.score(quality_checks(s, d)),
+        "file_checks": file_checks,
+        "log_ids": log_ids,
         "log_summary": lambda s, d: predlog.summary(log(s, d)),
         "log_groups": lambda s, d: predlog.by(log(s, d)),
         "log_corrections": lambda s, d: predlog.corrections(log(s, d)).select("text", "label", "model"),
@@ -562,6 +583,7 @@ def oracle_sql() -> dict[str, str]:
         "calibration_bins": _eval_sql() + ", e AS (SELECT system, list_transform(quantile_cont(proba, [0.1, 0.2, 0.3, 0.4, 0.5, 0.6, 0.7, 0.8, 0.9]), lambda x: round(x, 9)) AS edges FROM scores GROUP BY system), x AS (SELECT s.*, CAST(len(list_filter(edges, lambda x: x < proba)) AS INTEGER) AS bin FROM scores s JOIN e USING (system)) SELECT system, bin, count(*) AS n, round(avg(proba), 6) AS mean_predicted, round(avg(label), 6) AS observed FROM x GROUP BY system, bin",
         "stump_eval": f"WITH {_CORPUS}, x AS (SELECT CAST(regexp_matches(content, '{RULE}') AS INTEGER) AS hit, count(*) FILTER (label = 0) AS f, count(*) FILTER (label = 1) AS r FROM corpus GROUP BY 1) SELECT hit, CAST(r > f AS INTEGER) AS pred, greatest(f, r) AS hits, f + r AS n FROM x",
         "log_summary": _LOG + ", r AS (SELECT count(*) AS repeated_inputs FROM (SELECT input_hash FROM log GROUP BY 1 HAVING count(*) > 1)) SELECT count(*) AS total, count(*) FILTER (label = 'FAKE') AS fake, count(*) FILTER (label = 'REAL') AS real, round(avg(confidence), 6) AS avg_confidence, count(*) FILTER (confidence < 0.7) AS low_confidence, count(*) FILTER (true_label IS NOT NULL) AS reviewed, round(avg(CAST(true_label = prediction AS INTEGER)), 6) AS observed_accuracy, any_value(repeated_inputs) AS repeated_inputs FROM log CROSS JOIN r",
+        "log_ids": _LOG + ", x AS (SELECT l.*, b.p FROM log l JOIN base b USING (id)) SELECT 1000 + row_number() OVER (ORDER BY md5(id || '-42'), id) AS id, id AS turn_id, label, round(1 - p, 6) AS proba_fake, round(p, 6) AS proba_real FROM x",
         "log_groups": _LOG + " SELECT 'label' AS kind, label AS value, count(*) AS n FROM log GROUP BY 2 UNION ALL SELECT 'model', model, count(*) FROM log GROUP BY 2 UNION ALL SELECT 'source', source, count(*) FROM log GROUP BY 2",
         "log_corrections": _LOG + " SELECT text_preview AS text, true_label AS label, model FROM log WHERE true_label IS NOT NULL",
     }

@@ -64,7 +64,7 @@ def text_column(df: DataFrame, wanted: str | None = None) -> str:
 
 
 def fingerprints(spark: SparkSession, path: str) -> DataFrame:
-    """file, sha256, bytes, modified of every file of a path."""
+    """file, sha256, bytes, modified of every file of a path; a file is held whole, 2 GB at most."""
     return spark.read.format("binaryFile").load(path).select(F.col("path").alias("file"), F.sha2("content", 256).alias("sha256"), F.col("length").alias("bytes"), F.col("modificationTime").alias("modified"))
 
 

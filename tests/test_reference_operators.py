@@ -1,14 +1,15 @@
 import inspect
 import json
 import math
+import zipfile
 
 import pytest
 from pyspark.sql import functions as F
 
 from tessera.functions.text import normalise
-from tessera.operators import eda, evaluation, models, neardup
+from tessera.operators import eda, evaluation, models, neardup, predlog, quality
 from tessera.plans import catalogue
-from tessera.sources import pages, reports
+from tessera.sources import archive, pages, reports
 
 
 def test_article_text():
@@ -120,3 +121,61 @@ def test_registered_models_have_the_reference_parameters(spark, monkeypatch):
     assert any(" " in t for r in train.limit(20).collect() for t in r.tokens)
     assert forest.getStages()[-1].getNumTrees() == 300
     assert inspect.signature(models.permutation_importance).parameters["repeats"].default == 5
+
+
+def test_file_checks(spark):
+    def files(*rows):
+        return spark.createDataFrame(list(rows), "file string, sha256 string")
+
+    def found(now, before=None, have="a string, b int"):
+        t = spark.createDataFrame([], have)
+        return {r.check_id: (r.value, r.status) for r in quality.file_checks(now, {"t": t}, {"t": {"a": "string", "b": "int"}}, before).collect()}
+
+    now = files(("x", "1"), ("y", "2"))
+    first = found(now)
+    assert first == {"integrity.fingerprint": (2.0, "PASS"), "integrity.unchanged": (None, "INFO"), "schema.columns": (0.0, "PASS"), "schema.label_provenance": (None, "WARN")}
+    states = [found(now, files(*b))["integrity.unchanged"] for b in ((("x", "1"), ("y", "2")), (("x", "1"),), (("x", "0"),))]
+    assert states == [(0.0, "PASS"), (1.0, "WARN"), (2.0, "FAIL")]
+    schemas = [found(now, None, h)["schema.columns"] for h in ("a string, b int, c int", "a string", "a string, b string")]
+    assert schemas == [(1.0, "WARN"), (1.0, "FAIL"), (1.0, "FAIL")]
+
+
+def test_log_ids_and_terms(spark):
+    rows = spark.range(300).select(F.col("id"), F.concat(F.lit("t"), "id").alias("t"), (F.col("id") / 300).alias("proba"))
+    log = predlog.entries(rows, "t", "nb", F.lit("cli"), F.current_timestamp())
+    a = predlog.numbered(log)
+    assert sorted(r.id for r in a.collect()) == list(range(1, 301)) and predlog.last_id(a) == 300
+    assert sorted(r.id for r in predlog.numbered(log, predlog.last_id(a)).collect()) == list(range(301, 601))
+    assert predlog.last_id(log.limit(0)) == 0 and predlog.numbered(log.limit(0)).count() == 0
+    terms = spark.createDataFrame([(5, 2, 'b"', -0.25), (5, 1, "a", 1.5), (5, 3, "c", 1e-7)], "doc_id long, rank int, term string, contribution double")
+    out = {r.id: r.top_terms for r in predlog.with_top_terms(log, terms, 2).collect()}
+    assert json.loads(out[5]) == [["a", 1.5], ['b"', -0.25]] and out[6] is None and len(out) == 300
+
+
+def test_run_files(spark, tmp_path):
+    assert [reports.format_p(p) for p in (None, float("nan"), 0.00001, 0.25)] == ["", "", "1.00e-05", "0.2500"]
+    assert [reports.percent(v) for v in (None, 0.123)] == ["", "12.3%"]
+    assert [reports.scored_path(p) for p in ("/d/a.csv", "a.csv", "hdfs://n/d/a.b.csv")] == ["/d/a_scored.csv", "a_scored.csv", "hdfs://n/d/a.b_scored.csv"]
+    run, results, base = {"seed": 42}, {"nb": {"accuracy": 0.9, "f1": 0.8}, "lr": {"accuracy": 0.95}}, {"majority": 0.5}
+    reports.write_run(spark, str(tmp_path), run, results, base)
+    text = spark.read.text(str(tmp_path / "metrics.json"), wholetext=True).first()[0]
+    assert json.loads(text) == {"run": run, "models": results, "baselines": base}
+    card = reports.model_card(run, results, base, True)
+    assert "| nb | 0.9000 | 0.8000 |" in card and "| lr | 0.9500 |  |" in card and "| majority | 0.5000 |" in card and "was stripped" in card
+    assert "  accuracy: 0.9000" in reports.metrics_text(run, results, base)
+    assert {p.name for p in tmp_path.iterdir()} == {"metrics.json", "metrics.txt", "run_metadata.json", "MODEL_CARD.md"}
+
+
+def test_archive(tmp_path):
+    path, folder = str(tmp_path / "z.zip"), tmp_path / "data"
+    with zipfile.ZipFile(path, "w") as z:
+        z.writestr("top/a.csv", "one")
+        z.writestr("b.csv", "two")
+    with pytest.raises(KeyError):
+        archive.extract(path, ["a.csv", "c.csv"], str(folder))
+    assert not folder.exists()
+    assert archive.extract(path, ["a.csv", "b.csv"], str(folder)) == [str(folder / "a.csv"), str(folder / "b.csv")]
+    (folder / "a.csv").write_text("changed")
+    assert archive.extract(path, ["a.csv"], str(folder)) == [] and (folder / "a.csv").read_text() == "changed"
+    archive.extract(path, ["a.csv"], str(folder), force=True)
+    assert (folder / "a.csv").read_text() == "one"
