@@ -5,9 +5,11 @@ k-means on a bounded sample, and the product of the two is a grid of cells; all
 vectors are indexed.  A vector visits the cells nearest to it in the order of
 the multi-sequence traversal, as many as reach the target recall, and is
 compared in double precision with the vectors of each.  How many that are is
-measured: for a sample of vectors all links are found by brute force, and the
-place of each partner's cell in the traversal gives the recall of any number of
-visits.
+measured: for a sample of vectors, none of which the codebooks were learned
+from, all links are found by brute force, and the place of each partner's cell
+in the traversal gives the recall of any number of visits.  It is the mean over
+the sampled vectors that have links, so that a group of very many links counts
+no more than one of few.
 
 A pair is linked if either visits the other's cell.  Where only one does, the
 cell credits both, so the numbers of links agree.  Equal vectors are one vertex
@@ -23,7 +25,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import materialise
@@ -31,6 +33,8 @@ from .components import components
 from .vectors import by_dim, matrix, usable
 
 ROWS = 1024
+#: Entries of each half's codebook at most; the product bounds the cells.
+ENTRIES = 1024
 
 
 def kmeans(x: np.ndarray, k: int, seed: int = 0, rounds: int = 12) -> np.ndarray:
@@ -80,7 +84,7 @@ class Index:
 
 
 def _links(shared, threshold: float):
-    """For sampled queries: place of each linked vector's cell in the traversal."""
+    """For sampled queries: places of the linked vectors' cells in the traversal, and the links there."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         index, ids, x = shared.value
@@ -93,29 +97,33 @@ def _links(shared, threshold: float):
             own = batch.column(0).to_numpy()[col] != ids[row]
             row, col = row[own], col[own]
             cell = index.cells(other[col]) if len(col) else np.empty(0, np.int64)
-            places: dict[int, int] = {}
+            places: dict[tuple[int, int], int] = {}
             for r in np.unique(row).tolist():
                 sums = a[r][:, None] + b[r][None, :]
                 flat = np.sort(sums, axis=None)
                 mine = cell[row == r]
                 for p in np.searchsorted(flat, sums.ravel()[mine] - 1e-12).tolist():
-                    places[p] = places.get(p, 0) + 1
-            yield pa.record_batch([pa.array(list(places), pa.int64()), pa.array(list(places.values()), pa.int64())], ["place", "n"])
+                    places[r, p] = places.get((r, p), 0) + 1
+            yield pa.record_batch([pa.array([r for r, _ in places], pa.int64()), pa.array([p for _, p in places], pa.int64()), pa.array(list(places.values()), pa.int64())], ["query", "place", "n"])
 
     return run
 
 
-def build(units: DataFrame, dim: int, n: int, threshold: float, recall: float, sample: int, checks: int, least: int) -> Index:
-    """Codebooks from ``sample`` vectors and visits from ``checks`` queries."""
+def build(units: DataFrame, dim: int, n: int, threshold: float, recall: float, sample: int, checks: int, least: int, entries: int = ENTRIES) -> Index:
+    """Codebooks of at most ``entries`` from ``sample`` vectors, and visits from ``checks`` other ones (of few vectors, half each)."""
     spark = units.sparkSession
-    drawn = [(r["id"], r["u"]) for r in units.filter(F.size("u") == dim).orderBy(F.xxhash64("id", F.lit(1))).limit(sample).collect()]
+    drawn = [(r["id"], r["u"]) for r in units.filter(F.size("u") == dim).orderBy(F.xxhash64("id", F.lit(1))).limit(sample + checks).collect()]
     x = np.array([u for _, u in drawn], np.float64).reshape(len(drawn), dim)
-    k = int(np.clip(np.sqrt(n / 16), 2, 1024))
+    asked = min(checks, len(drawn) // 2)
+    k = int(np.clip(np.sqrt(n / 16), 2, entries))
     half = max(1, dim // 2)
-    index = Index(kmeans(x[:, :half], k), kmeans(x[:, half:], k, 1))
-    ids, queries = np.array([i for i, _ in drawn[:checks]], np.int64), x[:checks]
+    index = Index(kmeans(x[asked:, :half], k), kmeans(x[asked:, half:], k, 1))
+    ids, queries = np.array([i for i, _ in drawn[:asked]], np.int64), x[:asked]
     shared = spark.sparkContext.broadcast((index, ids, queries))
-    places = units.select("id", "u").mapInArrow(_links(shared, threshold), "place long, n long").groupBy("place").agg(F.sum("n").alias("n"))
+    per = units.select("id", "u").mapInArrow(_links(shared, threshold), "query long, place long, n long").groupBy("query", "place").agg(F.sum("n").alias("n"))
+    # Each query shares out one thousand million, in whole numbers that add up alike in any order.
+    share = F.floor(F.col("n") * F.lit(1e9) / F.sum("n").over(Window.partitionBy("query")))
+    places = per.select("place", share.alias("n")).groupBy("place").agg(F.sum("n").alias("n"))
     found = sorted((r["place"], r["n"]) for r in places.collect())
     total, seen, index.visits = sum(c for _, c in found), 0, least
     for place, c in found:
@@ -200,7 +208,7 @@ def _compare(threshold: float):
     return run
 
 
-def near_duplicates(vectors: DataFrame, threshold: float = 0.95, recall: float = 0.995, sample: int = 8192, checks: int = 512, least: int = 4, key: str = "vec_id", vector: str = "embedding") -> DataFrame:
+def near_duplicates(vectors: DataFrame, threshold: float = 0.95, recall: float = 0.995, sample: int = 8192, checks: int = 512, least: int = 4, entries: int = ENTRIES, key: str = "vec_id", vector: str = "embedding") -> DataFrame:
     """Per row: key, n_links, component_id, kept.
 
     Vectors that are null, zero, or hold a null or non-finite component link
@@ -218,7 +226,7 @@ def near_duplicates(vectors: DataFrame, threshold: float = 0.95, recall: float =
     distinct = good.groupBy("v").agg(F.min("vec_id").alias("id"), F.count("*").alias("weight"), F.first("norm").alias("norm"))
     units = materialise(distinct.select("id", F.transform("v", lambda x: x / F.col("norm")).alias("u"), "weight", "v"), "units")
     sizes = {r["dim"]: r["n"] for r in units.groupBy(F.size("u").alias("dim")).agg(F.count("*").alias("n")).collect()}
-    indexes = {d: build(units, d, n, threshold, recall, sample, checks, least) for d, n in sizes.items()}
+    indexes = {d: build(units, d, n, threshold, recall, sample, checks, least, entries) for d, n in sizes.items()}
     shared = spark.sparkContext.broadcast(indexes)
     placed = units.select("id", "u", "weight").mapInArrow(_place(shared), _PLACED).withColumn("dim", F.length("v") / 8)
     placed = materialise(placed.withColumn("dim", F.col("dim").cast("int")), "placed")

@@ -412,6 +412,21 @@ def test_multi_index(spark):
     assert multi_index.near_duplicates(spark.createDataFrame([], VECTORS)).count() == 0
 
 
+def test_multi_index_visits_do_not_hang_on_one_group(spark):
+    """A tight group with most of the links, and pairs at the threshold: those are found too."""
+    rng = np.random.default_rng(8)
+    unit = lambda x: x / np.linalg.norm(x, axis=1)[:, None]
+    group = unit(unit(rng.normal(size=(1, 16))) + rng.normal(size=(400, 16)) * 0.01)
+    a = unit(rng.normal(size=(1000, 16)))
+    side = rng.normal(size=a.shape)
+    side = unit(side - (side * a).sum(1)[:, None] * a)
+    pairs = 0.955 * a + np.sqrt(1 - 0.955**2) * side
+    x = np.concatenate([group, a, pairs])
+    found = {r.vec_id: r.n_links for r in multi_index.near_duplicates(spark.createDataFrame([(i, v.tolist(), 0, 0) for i, v in enumerate(x)], VECTORS), sample=1500).collect()}
+    assert np.mean([found[400 + i] > 0 and found[1400 + i] > 0 for i in range(1000)]) >= 0.98
+    assert all(found[i] >= 399 for i in range(400))
+
+
 def test_top_k(spark):
     rng = np.random.default_rng(6)
     x = rng.normal(size=(500, 20)).astype(np.float32)
