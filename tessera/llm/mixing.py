@@ -30,7 +30,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import fresh, materialise
+from .common import fresh, lowest, materialise
 
 #: Posteriors are multiples of 1 / GRID.
 GRID = 1024
@@ -128,7 +128,7 @@ def fit(docs: DataFrame, labels: DataFrame, domain: Column, sample: int = 8000,
     """
     marks = labels.select(F.col(key).cast("long").alias("_key"), domain.cast("string").alias("_domain")).dropna()
     marks = marks.groupBy("_key").agg(F.min("_domain").alias("_domain"))
-    chosen = materialise(marks.orderBy(F.xxhash64("_key"), "_key").limit(sample), "labelled")
+    chosen = materialise(lowest(marks, F.xxhash64("_key"), sample, marks.count(), "_key"), "labelled")
     rows = docs.select(F.col(key).cast("long").alias("_key"), plain(text).alias("_text")).join(F.broadcast(chosen), "_key")
     rows = rows.groupBy("_key", "_domain").agg(F.min("_text").alias("_text"))
     rows = materialise(rows.select("_domain", features(words(F.col("_text")), F.col("_text")).alias("_terms")), "taught")

@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import materialise
+from .common import lowest, materialise
 from .components import components
 from .vectors import by_dim, matrix, usable
 
@@ -112,7 +112,7 @@ def _links(shared, threshold: float):
 def build(units: DataFrame, dim: int, n: int, threshold: float, recall: float, sample: int, checks: int, least: int, entries: int = ENTRIES) -> Index:
     """Codebooks of at most ``entries`` from ``sample`` vectors, and visits from ``checks`` other ones (of few vectors, half each)."""
     spark = units.sparkSession
-    drawn = [(r["id"], r["u"]) for r in units.filter(F.size("u") == dim).orderBy(F.xxhash64("id", F.lit(1))).limit(sample + checks).collect()]
+    drawn = [(r["id"], r["u"]) for r in lowest(units.filter(F.size("u") == dim), F.xxhash64("id", F.lit(1)), sample + checks, n, "id").collect()]
     x = np.array([u for _, u in drawn], np.float64).reshape(len(drawn), dim)
     asked = min(checks, len(drawn) // 2)
     k = int(np.clip(np.sqrt(n / 16), 2, entries))

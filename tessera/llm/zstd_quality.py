@@ -24,7 +24,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialise, slices
+from .common import lowest, materialise, slices
 
 BLOCK, LEVEL, DICTIONARY = 1000, 3, 112 << 10
 
@@ -116,7 +116,7 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = 2000, part_bytes: int
     hashed = marks.withColumn("h", F.xxhash64("_key"))
     chosen = None
     for c in (0, 1):
-        own = hashed.filter(F.col("label") == c).orderBy("h", "_key").limit(2 * sample)
+        own = lowest(hashed.filter(F.col("label") == c), F.col("h"), 2 * sample, kind[c], "_key")
         chosen = own if chosen is None else chosen.unionByName(own)
     keys = [(r["_key"], r["label"], i % 2) for i, r in enumerate(chosen.collect())]
     spark = docs.sparkSession

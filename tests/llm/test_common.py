@@ -1,7 +1,9 @@
 import pyarrow as pa
 import pytest
 
-from tessera.llm.common import slices
+from pyspark.sql import functions as F
+
+from tessera.llm.common import lowest, slices
 
 
 @pytest.mark.parametrize("kind", [pa.string(), pa.large_string()])
@@ -19,3 +21,17 @@ def test_slices(kind):
 def test_slices_of_bad_utf8():
     column = pa.array([b"ok", b"\xff\xfe"]).view(pa.string())
     assert list(slices(column)) == [(0, 2, ["ok", "��"])]
+
+
+@pytest.mark.parametrize("want", [0, 1, 50, 5000])
+def test_lowest(spark, want):
+    df = spark.range(20_000).withColumn("h", F.xxhash64("id"))
+    found = [r.id for r in lowest(df, F.col("h"), want, 20_000, "id").collect()]
+    assert found == [r.id for r in sorted(df.collect(), key=lambda r: (r.h, r.id))[:want]]
+    assert lowest(df.limit(0), F.col("h"), want, 0, "id").count() == 0
+
+
+def test_lowest_leaves_rows_out_beforehand(spark):
+    df = spark.range(1_000_000)
+    plan = lowest(df, F.xxhash64("id"), 100, 1_000_000, "id")._jdf.queryExecution().optimizedPlan().toString()
+    assert "Filter" in plan
