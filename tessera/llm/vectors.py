@@ -6,6 +6,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -25,6 +26,6 @@ def matrix(column: pa.Array, dim: int) -> np.ndarray:
 def by_dim(batches: Iterator[pa.RecordBatch], column: int = 1) -> Iterator[tuple[int, pa.RecordBatch]]:
     """Batches split by the length of their vectors."""
     for b in batches:
-        sizes = np.array([len(x) for x in b.column(column)], np.int64)
+        sizes = pc.fill_null(pc.list_value_length(b.column(column)), 0).to_numpy(zero_copy_only=False)
         for d in np.unique(sizes).tolist():
             yield d, b.filter(pa.array(sizes == d))
