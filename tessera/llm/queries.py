@@ -9,7 +9,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bloom_lm, branch_topk, covering_simhash, html_tree, mixing, multi_index, rans, token_count, tree_bpe, vector_codes, zorder_layout, zstd_quality
+from . import bloom_lm, branch_topk, covering_simhash, html_tree, mixing, multi_index, rans, subsequence_svm, token_count, tree_bpe, vector_codes, zorder_layout, zstd_quality
 from .common import fold, table, work_dir
 
 BYTE_BPE, WORD_BPE = "byte_bpe_50k.json", "word_bpe_49k.json"
@@ -87,8 +87,15 @@ def op12_zorder_layout(spark: SparkSession, sf_dir: str) -> DataFrame:
     return zorder_layout.layout(table(spark, sf_dir, "documents"))
 
 
+def op13_subsequence_svm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
+    model = subsequence_svm.fit(docs, labels.filter(fold("doc_id", 5) != 0))
+    scored = subsequence_svm.score(docs.select("doc_id", "text"), model)
+    return scored.select("doc_id", (fold("doc_id", 5) == 0).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    own = (op1_rans_tokens, op2_branch_topk, op3_token_count, op4_bloom_lm, op5_zstd_quality, op6_html_tree, op7_multi_index, op8_tree_bpe, op9_soft_mixing, op10_covering_simhash, op11_vector_codes, op12_zorder_layout)
+    own = (op1_rans_tokens, op2_branch_topk, op3_token_count, op4_bloom_lm, op5_zstd_quality, op6_html_tree, op7_multi_index, op8_tree_bpe, op9_soft_mixing, op10_covering_simhash, op11_vector_codes, op12_zorder_layout, op13_subsequence_svm)
     return {f.__name__: f for f in own}
 
 
