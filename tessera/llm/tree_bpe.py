@@ -1,21 +1,24 @@
 """BPE encoding and decoding by tree concatenation.
 
-A text is halved, wherever the middles fall, until its parts are leaves.  All
-leaves of many texts are encoded together.  Two neighbours are then joined: a
-window around the cut is encoded again, and grows until it has a whole piece in
-common with the left side and one with the right side, same place and same
-encoding, away from the window's own ends; what lies between the two comes from
-the window, the rest from the sides.  A window that has grown over both sides is
-the plain encoding of them.
-
-White space always ends a word here, so the encoding of a leaf is kept as that
-of its pieces between spaces and newlines, and a dictionary of encodings is
-asked once for each distinct piece: equal pieces have equal encodings.  A piece
-that is longer than a leaf goes through a second tree of the same kind, over
-single tokens: its parts are encoded at once as one batch, and windows must
-share a token with either side.  BPE merges are decided between neighbours, and
-the pattern scans forward without looking back, so from a common token on both
-encodings go on alike and the join is exact.
+A text longer than a leaf is halved, wherever the middles fall, until its parts
+are leaves.  The leaves of many texts are encoded together, each as if it stood
+alone, to tokens with their places in the text.  Then neighbours are joined,
+level by level, all pairs of a level together: a window around the cut is
+encoded, and grows until it has a token in common with the left side and one
+with the right side, same id and same place, away from the cut and from the
+window's own ends.  What lies between the two comes from the window, the rest
+from the sides.  A window that has grown over both sides is the plain encoding
+of them.
+
+The join is exact.  A sequence of tokens is the BPE encoding of its text if and
+only if any two neighbours are that of theirs, and the pattern that cuts words
+scans forward without looking back; so from a common token on both encodings go
+on alike, and all neighbours of the joined sequence are neighbours in one of
+the encodings that it is made of.
+
+Below the leaves stands a cache only: white space always ends a word here, so a
+part is encoded by its pieces between spaces and newlines, and each distinct
+piece is asked of the library once.
 """
 
 from __future__ import annotations
@@ -25,7 +28,7 @@ import json
 import unicodedata
 from collections.abc import Iterator
 from functools import lru_cache
-from itertools import chain
+from itertools import accumulate, chain, pairwise
 
 import numpy as np
 import pyarrow as pa
@@ -36,19 +39,20 @@ from pyspark.sql import functions as F
 from .common import chunks, slices
 from .pieces import Generations, lay_out
 
-#: Tokens: ids and their [start, end) in the text.
-Tokens = list[tuple[int, int, int]]
-
-
 def _can_cut(ch: str) -> bool:
     """Whether normalisation never joins ``ch`` to what stands before it."""
     return unicodedata.category(ch)[0] != "M" and not 0x1160 <= ord(ch) <= 0x11FF
 
 
 class TreeEncoder:
-    """Encodes and decodes with a tokenizers file whose words white space ends."""
+    """Encodes and decodes with a tokenizers file whose words white space ends.
+
+    Tokens are arrays with the fields id, a and b: the token stands for [a, b)
+    of the text.  ``joins`` and ``grown`` count the joins made and the windows
+    that had to grow.
+    """
 
-    def __init__(self, path: str, leaf: int = 2048, window: int = 256, cache: int = 300_000):
+    def __init__(self, path: str, leaf: int = 4096, window: int = 256, cache: int = 300_000):
         from tokenizers import Tokenizer
 
         self.tok = Tokenizer.from_file(path)
@@ -58,62 +62,52 @@ class TreeEncoder:
             spec = json.load(f)
         if spec.get("decoder") is not None:
             raise ValueError(f"{path}: a file without a decoder is expected, whose texts are tokens joined by spaces")
-        #: No decision looks further than the longest special string and a few characters.
+        #: No decision of the pattern looks further than the longest special string and a few characters.
         self.margin = 32 + max([0, *(len(t["content"]) for t in spec.get("added_tokens", []))])
-        self.leaf, self.window, self.long = leaf, window, max(leaf, 4 * self.margin)
+        self.leaf, self.window, self.joins, self.grown = max(leaf, 4 * self.margin), window, 0, 0
         size = self.tok.get_vocab_size()
-        self.kind, self.kept = np.dtype("<u2" if size <= 1 << 16 else "<u4"), Generations(cache)
+        self.kind = np.dtype([("id", "<u2" if size <= 1 << 16 else "<u4"), ("a", "<i4"), ("b", "<i4")])
+        self.kept = Generations(cache)
         tokens = [self.tok.id_to_token(i) or "" for i in range(size)]
         self.decimals, self.tokens = pa.array([b"%d" % i for i in range(size)], pa.binary()), pa.array([t.encode() for t in tokens], pa.binary())
 
-    # -- the tree ---------------------------------------------------------
+    # -- leaves and windows -----------------------------------------------
 
-    def _meet(self, text: str, left: list[str], right: list[str], a: int, m: int, b: int) -> list[str]:
-        """Pieces of text[a:b] from those of text[a:m] and text[m:b]."""
-        size = self.window
-        while True:
-            lo, hi = max(a, m - size), min(b, m + size)
-            mid = text[lo:hi].split(" ")
-            if lo == a and hi == b:
-                return mid
-            place, at = {}, lo
-            for k, x in enumerate(mid):
-                if x:
-                    place[at] = k
-                at += len(x) + 1
-            # The pieces next to the cut may be parts of one; the others are whole if white space bounds them in the window.
-            head, i, end = (0, 0), len(left) - 2, m - len(left[-1]) - 1
-            if lo > a:
-                head = None
-                while i >= 0 and (start := end - len(left[i])) > lo:
-                    if left[i] and (k := place.get(start)) is not None and mid[k] == left[i]:
-                        head = i, k
-                        break
-                    i, end = i - 1, start - 1
-            tail, i, start = (len(right), len(mid)), 1, m + len(right[0]) + 1
-            if hi < b:
-                tail = None
-                while i < len(right) and (end := start + len(right[i])) < hi:
-                    if right[i] and (k := place.get(start)) is not None and mid[k] == right[i]:
-                        tail = i, k
-                        break
-                    i, start = i + 1, end + 1
-            if head and tail:
-                return left[: head[0]] + mid[head[1] : tail[1]] + right[tail[0] :]
-            size *= 2
-
-    def pieces(self, text: str, a: int = 0, b: int | None = None) -> list[str]:
-        """The pieces of a text between white space, joined from those of its halves."""
-        b = len(text) if b is None else b
-        if b - a <= self.leaf:
-            return text[a:b].split(" ")
-        m = (a + b) // 2
-        return self._meet(text, self.pieces(text, a, m), self.pieces(text, m, b), a, m, b)
+    def _library(self, pieces: list[str]) -> list[bytes]:
+        """Packed tokens of pieces; the library's encodings are far larger, so few are held at a time."""
+        out, wide = [], self.kind.itemsize
+        for a, b in chunks(map(len, pieces), 100_000, 2048):
+            found = self.tok.encode_batch(pieces[a:b], add_special_tokens=False)
+            ids = [e.ids for e in found]
+            ends = list(accumulate(map(len, ids), initial=0))
+            own = np.empty(ends[-1], self.kind)
+            own["id"] = list(chain.from_iterable(ids))
+            places = np.fromiter(chain.from_iterable(chain.from_iterable(e.offsets for e in found)), np.int32, 2 * ends[-1])
+            own["a"], own["b"] = places[::2], places[1::2]
+            packed = own.tobytes()
+            out += [packed[x * wide : y * wide] for x, y in pairwise(ends)]
+        return out
+
+    def _encode(self, parts: list[str], at: list[int]) -> list[np.ndarray]:
+        """Tokens of each part, as if it stood alone; ``at`` is where the part begins in its text."""
+        pieces = [x.replace("\n", " ").split(" ") for x in parts]
+        coded = pa.array(list(chain.from_iterable(pieces)), pa.string()).dictionary_encode()
+        values = self.kept.values(coded.dictionary.to_numpy(zero_copy_only=False).tolist(), self._library)
+        tokens, own = lay_out(values, coded.indices.to_numpy(), self.kind)
+        # Where the pieces begin: lengths and a space each, counted anew in every part.
+        n = np.fromiter(map(len, pieces), np.int64, len(pieces))
+        sizes = pc.utf8_length(coded.dictionary).take(coded.indices).to_numpy().astype(np.int64) + 1
+        begin, first = np.cumsum(sizes) - sizes, np.cumsum(n) - n
+        begin += np.repeat(np.array(at, np.int64) - begin[first], n)
+        shift = np.repeat(begin, own).astype(np.int32)
+        tokens["a"] += shift
+        tokens["b"] += shift
+        return np.split(tokens, np.cumsum(np.add.reduceat(own, first))[:-1])
 
-    # -- the tree of a long piece -----------------------------------------
+    # -- the tree ---------------------------------------------------------
 
     def _cuts(self, text: str, a: int, b: int, out: list[int]) -> None:
-        if b - a <= self.long:
+        if b - a <= self.leaf:
             return
         m = (a + b) // 2
         while m < b and not _can_cut(text[m]):
@@ -123,71 +117,73 @@ class TreeEncoder:
             out.append(m)
             self._cuts(text, m, b, out)
 
-    def _spans(self, texts: list[str], starts: list[int]) -> list[Tokens]:
-        found = self.tok.encode_batch(texts, add_special_tokens=False)
-        return [[(i, a + s, b + s) for i, (a, b) in zip(e.ids, e.offsets, strict=True)] for e, s in zip(found, starts, strict=True)]
-
-    def _join(self, text: str, left: Tokens, right: Tokens, a: int, m: int, b: int) -> Tokens:
-        """Tokens of text[a:b] from those of text[a:m] and text[m:b]."""
-        size = self.window
-        while True:
-            lo, hi = max(a, m - size), min(b, m + size)
-            while lo > a and not _can_cut(text[lo]):
-                lo -= 1
-            while hi < b and not _can_cut(text[hi]):
-                hi += 1
-            (mid,) = self._spans([text[lo:hi]], [lo])
-            if lo == a and hi == b:
-                return mid
-            head = 0 if lo == a else self._common(left, mid, lo + self.margin, m - self.margin)
-            tail = (len(right), len(mid)) if hi == b else self._common(right, mid, m + self.margin, hi - self.margin, last=True)
-            if head is not None and tail is not None:
-                at, start = (0, 0) if head == 0 else head
-                after, end = tail
-                if start <= end:
-                    return left[:at] + mid[start:end] + right[after:]
-            size *= 2
+    def _window(self, text: str, a: int, m: int, b: int, size: int) -> tuple[int, int]:
+        lo, hi = max(a, m - size), min(b, m + size)
+        while lo > a and not _can_cut(text[lo]):
+            lo -= 1
+        while hi < b and not _can_cut(text[hi]):
+            hi += 1
+        return lo, hi
 
     @staticmethod
-    def _common(side: Tokens, mid: Tokens, lo: int, hi: int, last: bool = False) -> tuple[int, int] | None:
-        """Places in both of a token they share within [lo, hi)."""
-        at = {t: k for k, t in enumerate(mid) if lo <= t[1] and t[2] <= hi and t[1] < t[2]}
-        shared = [(k, at[t]) for k, t in enumerate(side) if t in at]
-        return (shared[-1] if last else shared[0]) if shared else None
-
-    def spans(self, text: str) -> Tokens:
-        """Tokens with offsets of any text, long ones by the tree."""
-        cuts: list[int] = []
-        self._cuts(text, 0, len(text), cuts)
-        edges = [0, *cuts, len(text)]
-        parts = self._spans([text[a:b] for a, b in zip(edges, edges[1:], strict=False)], edges[:-1])
-        level = list(zip(edges, edges[1:], parts, strict=False))
-        while len(level) > 1:
-            pairs = [level[k : k + 2] for k in range(0, len(level), 2)]
-            level = [(p[0][0], p[1][1], self._join(text, p[0][2], p[1][2], p[0][0], p[0][1], p[1][1])) if len(p) == 2 else p[0] for p in pairs]
-        return level[0][2]
+    def _common(side: np.ndarray, mid: np.ndarray, lo: int, hi: int, last: bool = False) -> tuple[int, int] | None:
+        """Places in both of a token they share within [lo, hi): the first, or the last."""
+        x, y = np.searchsorted(side["a"], (lo, hi)).tolist()
+        u, v = np.searchsorted(mid["a"], (lo, hi)).tolist()
+        # Tokens of one character that takes several have one place; they are no mark.
+        starts = mid["a"][u:v].tolist()
+        at = {t: k for k, t in enumerate(mid[u:v].tolist(), u) if t[2] <= hi and starts.count(t[1]) == 1}
+        own = side[x:y].tolist()
+        for k in range(len(own) - 1, -1, -1) if last else range(len(own)):
+            place = at.get(own[k])
+            if place is not None and (k == 0 or own[k - 1][1] != own[k][1]) and (k + 1 == len(own) or own[k + 1][1] != own[k][1]):
+                return x + k, place
+        return None
+
+    def _join(self, left: np.ndarray, right: np.ndarray, mid: np.ndarray, ends: tuple[int, int, int, int, int]) -> np.ndarray | None:
+        """Tokens of [a, b) from those of [a, m) and [m, b) and of the window [lo, hi), or None if it is too small."""
+        a, m, b, lo, hi = ends
+        head = (0, 0) if lo == a else self._common(left, mid, lo + self.margin, m - self.margin)
+        tail = (len(right), len(mid)) if hi == b else self._common(right, mid, m + self.margin, hi - self.margin, last=True)
+        if head is None or tail is None:
+            return None
+        return np.concatenate([left[: head[0]], mid[head[1] : tail[1]], right[tail[0] :]])
+
+    def spans(self, texts: list[str]) -> list[np.ndarray]:
+        """Tokens of each text."""
+        edges = []
+        for t in texts:
+            cuts: list[int] = []
+            self._cuts(t, 0, len(t), cuts)
+            edges.append([0, *cuts, len(t)])
+        leaves = [(t, e[k], e[k + 1]) for t, e in zip(texts, edges, strict=True) for k in range(len(e) - 1)]
+        found = iter(self._encode([t[a:b] for t, a, b in leaves], [a for _, a, _ in leaves]) if leaves else [])
+        nodes = [[(e[k], e[k + 1], next(found)) for k in range(len(e) - 1)] for e in edges]
+        while any(len(n) > 1 for n in nodes):
+            # All pairs of neighbours of this level, by text and place.
+            todo = {(i, k): self.window for i, n in enumerate(nodes) for k in range(0, len(n) - 1, 2)}
+            joined: dict[tuple[int, int], np.ndarray] = {}
+            self.joins += len(todo)
+            while todo:
+                ends = {(i, k): self._window(texts[i], nodes[i][k][0], nodes[i][k][1], nodes[i][k + 1][1], size) for (i, k), size in todo.items()}
+                windows = self._encode([texts[i][lo:hi] for (i, _), (lo, hi) in ends.items()], [lo for lo, _ in ends.values()])
+                for ((i, k), (lo, hi)), mid in zip(ends.items(), windows, strict=True):
+                    (a, m, left), (_, b, right) = nodes[i][k : k + 2]
+                    one = mid if lo == a and hi == b else self._join(left, right, mid, (a, m, b, lo, hi))
+                    if one is not None:
+                        joined[i, k] = one
+                        del todo[i, k]
+                self.grown += len(todo)
+                todo = {at: 2 * size for at, size in todo.items()}
+            nodes = [[(n[k][0], n[k + 1][1], joined[i, k]) if k + 1 < len(n) else n[k] for k in range(0, len(n), 2)] for i, n in enumerate(nodes)]
+        return [n[0][2] for n in nodes]
 
     # -- texts ------------------------------------------------------------
 
-    def _encode_pieces(self, pieces: list[str]) -> list[bytes]:
-        """Packed ids of pieces; the library's encodings are far larger, so few are held at a time."""
-        out = []
-        for a, b in chunks(map(len, pieces), 100_000, 2048):
-            short = [x for x in pieces[a:b] if len(x) <= self.long]
-            found = iter(self.tok.encode_batch_fast(short, add_special_tokens=False))
-            for x in pieces[a:b]:
-                ids = next(found).ids if len(x) <= self.long else [t[0] for t in self.spans(x)]
-                out.append(np.array(ids, self.kind).tobytes())
-        return out
-
     def encode_many(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts one after another, and their numbers."""
-        parts = [self.pieces(t.replace("\n", " ")) for t in texts]
-        coded = pa.array(list(chain.from_iterable(parts)), pa.string()).dictionary_encode()
-        values = self.kept.values(coded.dictionary.to_numpy(zero_copy_only=False).tolist(), self._encode_pieces)
-        ids, own = lay_out(values, coded.indices.to_numpy(), self.kind)
-        sizes = np.fromiter(map(len, parts), np.int64, len(parts))
-        return ids, np.add.reduceat(own, np.cumsum(sizes) - sizes)
+        found = self.spans(texts)
+        return np.concatenate([t["id"] for t in found]), np.array([len(t) for t in found], np.int64)
 
     def digests(self, texts: list[str]) -> Iterator[tuple[int, str, str]]:
         """Per text: number of ids, sha256 of the ids, sha256 of the decoded text."""
@@ -233,9 +229,9 @@ def round_trip_digests(docs: DataFrame, path: str, key: str = "doc_id", text: st
     """Per row: key, n_tokens, ids_sha256, decoded_sha256.
 
     Null and empty texts have no ids: 0 and the sha256 of nothing, twice.
-    Texts of any length are taken whole; an unbroken one goes through the tree
-    of tokens, whose work is in proportion to its length.  Repeated rows are encoded each, null keys stay null, other columns are not
-    read, an empty table gives an empty result.  One pass, no shuffle.
+    Texts of any length are taken whole; one longer than a leaf goes through the
+    tree.  Repeated rows are encoded each, null keys stay null, other columns
+    are not read, an empty table gives an empty result.  One pass, no shuffle.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -64,21 +64,35 @@ def test_tree_bpe(docs, none):
 
 def test_tree_joins_any_unbroken_text():
     own, tok, rng = tree_bpe.TreeEncoder(WORD, leaf=200, window=8), Tokenizer.from_file(WORD), np.random.default_rng(0)
-    for letters in ("abcdeéßthein", "ab", "a1.'s", "thing日́Σ"):
-        for n in (900, 3000):
-            text = "".join(rng.choice(list(letters), n))
-            assert [t[0] for t in own.spans(text)] == tok.encode(text, add_special_tokens=False).ids
+    for letters in ("abcdeéßthein", "ab", "a1.'s", "thing日́Σ", "🙂🙃a"):
+        texts = ["".join(rng.choice(list(letters), n)) for n in (900, 3000)]
+        for text, found in zip(texts, own.spans(texts), strict=True):
+            wanted = tok.encode(text, add_special_tokens=False)
+            assert found["id"].tolist() == wanted.ids and list(zip(found["a"].tolist(), found["b"].tolist(), strict=True)) == wanted.offsets
+    assert own.joins > 50 and own.grown > 50
 
 
 def test_tree_joins_texts_with_white_space():
     tok, rng = Tokenizer.from_file(WORD), np.random.default_rng(1)
-    texts = ["".join(rng.choice(list("abé ,.'\n"), n)) for n in (0, 1, 31, 500, 4000)] + [t or "" for t in TEXTS] + ["x" * 300 + " y  z " + "w" * 300]
+    texts = ["".join(rng.choice(list("abé ,.'\n"), n)) for n in (0, 1, 31, 500, 4000)] + [t or "" for t in TEXTS] + ["x" * 300 + " y  z " + "w" * 300, "<|endoftext|>" * 300]
     for leaf, window in ((16, 1), (64, 8), (2048, 256)):
         own = tree_bpe.TreeEncoder(WORD, leaf=leaf, window=window)
-        for t in texts:
-            assert own.pieces(t.replace("\n", " ")) == t.replace("\n", " ").split(" ")
-            ids = tok.encode(t, add_special_tokens=False).ids
-            assert own.encode(t) == ids and own.decode(ids) == tok.decode(ids, skip_special_tokens=False)
+        for t, found in zip(texts, own.spans(texts), strict=True):
+            assert found["id"].tolist() == tok.encode(t, add_special_tokens=False).ids
+
+
+def test_tree_is_the_way_of_the_given_documents(monkeypatch):
+    """Long documents are encoded as leaves and windows only, and come out as the library has them."""
+    texts = [t for t in pq.read_table("/root/testdata/sf0.1/documents.parquet", columns=["text"]).column(0).to_pylist() if t]
+    own, tok, seen = tree_bpe.TreeEncoder(WORD), Tokenizer.from_file(WORD), []
+    encode = tree_bpe.TreeEncoder._encode
+    monkeypatch.setattr(tree_bpe.TreeEncoder, "_encode", lambda self, parts, at: seen.extend(map(len, parts)) or encode(self, parts, at))
+    long = [t for t in texts if len(t) > own.leaf]
+    assert len(long) > 1000
+    ids, n = own.encode_many(long)
+    assert max(seen) <= own.leaf and own.joins >= len(long) and len(seen) >= 2 * own.joins
+    wanted = [e.ids for e in tok.encode_batch_fast(long, add_special_tokens=False)]
+    assert n.tolist() == list(map(len, wanted)) and ids.tolist() == [i for w in wanted for i in w]
 
 
 def test_tree_texts(docs, none):
