@@ -10,6 +10,7 @@ from collections import Counter
 import duckdb
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pyarrow.parquet as pq
 import pytest
 from pyspark.sql import functions as F
@@ -441,6 +442,39 @@ def test_multi_index_visits_do_not_hang_on_one_group(spark):
     assert all(found[i] >= 399 for i in range(400))
 
 
+@pytest.mark.parametrize(("n", "dim", "pairs", "kind"), [(20_000, 16, 400, "float"), (12_000, 64, 40, "double")])
+def test_multi_index_finds_rare_pairs(spark, n, dim, pairs, kind):
+    """Almost all links are those planted just above the threshold, among vectors without any; defaults."""
+    rng = np.random.default_rng(n)
+    unit = lambda x: x / np.linalg.norm(x, axis=1)[:, None]
+    x = unit(rng.normal(size=(n, dim)))
+    side = rng.normal(size=(pairs, dim))
+    side = unit(side - (side * x[:pairs]).sum(1)[:, None] * x[:pairs])
+    x = np.concatenate([x, 0.951 * x[:pairs] + np.sqrt(1 - 0.951**2) * side]).astype(np.float32)
+    table = spark.createDataFrame(pa.table({"vec_id": pa.array(range(len(x))), "embedding": pa.array(x.tolist(), pa.list_(pa.float32() if kind == "float" else pa.float64()))}))
+    found = {r.vec_id: r.n_links for r in multi_index.near_duplicates(table).collect()}
+    u = unit(x.astype(float))
+    wanted = np.array([(u @ u[at : at + 1000].T >= 0.95).sum(0) - 1 for at in range(0, len(u), 1000)], object)
+    wanted = np.concatenate([w for w in wanted]).astype(int)
+    assert wanted.sum() >= 2 * pairs and all(found[i] <= wanted[i] for i in range(len(x)))
+    assert sum(found.values()) >= 0.985 * wanted.sum()
+
+
+def test_traversal_is_the_order_of_the_sums():
+    rng = np.random.default_rng(4)
+    index, x = multi_index.Index(rng.normal(size=(9, 3)), rng.normal(size=(7, 3))), rng.normal(size=(600, 6))
+    a, b = index.distances(x)
+    sums = (a[:, :, None] + b[:, None, :]).reshape(len(x), -1)
+    for most in (1, 5, 63, 100):
+        found = index.traverse(x, most)
+        assert found.shape[1] == min(most, 63)
+        assert (np.take_along_axis(sums, found.astype(int), 1) == np.sort(sums, axis=1)[:, : found.shape[1]]).all()
+        assert all(len(set(r)) == len(r) for r in found.tolist())
+        # The same vectors in other batches have the same visits, to the last tie.
+        assert (np.concatenate([index.traverse(x[i : i + 7], most) for i in range(0, 600, 7)]) == found).all()
+    assert (index.traverse(x, 1)[:, 0] == index.cells(x)).all()
+
+
 def test_top_k(spark):
     rng = np.random.default_rng(6)
     x = rng.normal(size=(500, 20)).astype(np.float32)
