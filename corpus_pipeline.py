@@ -17,15 +17,21 @@ from tessera.llm.queries import GOOD, TARGETS, WORD_BPE, domain_of_labels, quali
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps the documents whose quality score is at least 0.7."""
+    """Keeps the documents whose quality score is at least 0.7.
+
+    Where the labels teach nothing, as they are all of one class or none has a
+    text here, no document can be told from another, and all are kept.
+    """
     model = quality_model(docs, table(spark, sf_dir, "labels"))
+    if model.dictionaries is None:
+        return docs
     (name,) = fresh(docs, "_quality")
     return zstd_quality.score(docs, model, name=name).filter(F.col(name) >= GOOD).select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps the document with the smallest id of each SimHash component."""
-    return covering_simhash.keep_one(docs, as_read=True)
+    return covering_simhash.keep_one(docs)
 
 
 def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -43,7 +49,7 @@ def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 STAGES = [("quality", quality), ("near_duplicates", near_duplicates), ("mixture", mixture), ("tokens", tokens)]
 
-#: Compression, SimHash and BPE are beyond SQL; tests hold each stage against brute force.
+#: Compression, SimHash and BPE are beyond SQL; tests hold each stage against a plain version of it.
 ORACLE_SQL = None
 
 
