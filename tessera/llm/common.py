@@ -13,6 +13,7 @@ from collections.abc import Iterable, Iterator
 
 import pyarrow as pa
 import pyarrow.compute as pc
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -52,6 +53,16 @@ def materialise(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def from_files(df: DataFrame) -> bool:
+    """Whether ``df`` is a table just as a reader of files gives it, whose rows can be told apart by file and place."""
+    try:
+        place = df.metadataColumn("_metadata")
+        df.select(place["file_path"], place["row_index"])
+    except AnalysisException:
+        return False
+    return True
+
+
 def release(df: DataFrame, path: str) -> None:
     """Empty a table of the shared folder that is no longer read; its schema stays."""
     df.sparkSession.createDataFrame([], df.schema).coalesce(1).write.mode("overwrite").parquet(path)

@@ -25,7 +25,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from xxhash import xxh64_intdigest
 
-from .common import fresh, lower_words, materialise, slices
+from .common import fresh, from_files, lower_words, materialise, slices
 from .components import components, forest
 
 RADIUS, SHINGLE, SEED = 2, 3, 42
@@ -122,7 +122,7 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text") ->
     return fps.join(named, "fp").select(F.col("_key").alias(key), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-def keep_one(docs: DataFrame, key: str = "doc_id", text: str = "text", as_read: bool = False, most: int = 300_000) -> DataFrame:
+def keep_one(docs: DataFrame, key: str = "doc_id", text: str = "text", most: int = 300_000) -> DataFrame:
     """One row of ``docs`` for each component, all columns kept.
 
     It is the row with the smallest key, null keys last; of several such rows
@@ -131,13 +131,13 @@ def keep_one(docs: DataFrame, key: str = "doc_id", text: str = "text", as_read:
     repeated keys lose no component.  Columns of any name are kept as they are;
     an empty table gives an empty result.
 
-    ``as_read`` says that ``docs`` is a table just as a reader gives it; any
-    other is written to the shared folder first.  The kept rows are marked by
+    A table that is not just as a reader of files gives it is written to the
+    shared folder first.  The kept rows are marked by
     one bit each, 64 rows to a word.  Up to ``most`` words, 60 MB or so, are
     broadcast and no text is moved; beyond it both
     sides meet by a sort-merge join on file and word.
     """
-    if not as_read:
+    if not from_files(docs):
         docs = materialise(docs, "documents")
     place = docs.metadataColumn("_metadata")
     fps = materialise(fingerprints(docs, key, text, place["file_path"].alias("file"), place["row_index"].alias("row")), "fingerprints")

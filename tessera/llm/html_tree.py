@@ -20,6 +20,7 @@ counted by tag and scope, and sums are taken over the nodes once.
 from __future__ import annotations
 
 import re
+from functools import lru_cache
 from collections import Counter
 from collections.abc import Iterator
 from html import unescape
@@ -57,16 +58,21 @@ _IMPLIED = {
 _SCOPE = frozenset("article section div main body".split())
 _DROP = frozenset("nav aside footer form button menu dialog head fieldset".split())
 _ROLES = frozenset("navigation banner contentinfo complementary search dialog alertdialog alert menu menubar form".split())
-_EDGES = r"(?:^|[\s_-])(?:%s)(?=$|[\s_\d-])"
+#: Words that name what is no article, whole; with words of place or form beside them, as in ad-box, but not as in ad-hoc.
 _BAD = re.compile(
-    _EDGES % r"nav|navbar|navigation|menu|sidebar|side-?bar|ad|ads|adv|advert\w*|adsense|sponsor\w*|promo\w*|banner|cookies?|consent|gdpr|popup|modal|overlay"
-    r"|newsletter|subscri\w*|signup|share|sharing|social|breadcrumbs?|pagination|pager|footer|foot|masthead|toolbar|hidden|login|skip|copyright|outbrain|taboola",
-    re.I,
+    r"nav|navbar|navigation|menus?|sidebar|ads?|adv|advert\w*|adsense|sponsor\w*|promo\w*|banners?|cookies?|consent|gdpr|popups?|modal|overlay|newsletter|subscri\w*|signup|shar(?:e|ing)"
+    r"|social|breadcrumbs?|pagination|pager|footer|masthead|toolbar|hidden|login|skip|copyright|outbrain|taboola"
 )
-_WEAK = re.compile(_EDGES % r"side|rail|notice|notification|alert|related|recommend\w*|discussion|repl(?:y|ies)|widget|search|legal|disclaimer|teaser", re.I)
-_COMMENTS = re.compile(_EDGES % r"comments?|commentlist|comment-?list|disqus|respond", re.I)
-_HEADER = re.compile(r"(?:^|[\s_-])(?:site-?)?header(?=$|[\s_\d-])", re.I)
+_WEAK = re.compile(r"side|rail|notices?|notifications?|alerts?|related|recommend\w*|discussions?|reply|replies|widgets?|search|legal|disclaimers?|teasers?")
+_COMMENTS = re.compile(r"comments?|commentlist|disqus|respond")
+_HEADER = re.compile(r"header")
+_BESIDE = re.compile(
+    r"\d+|[a-z]|box|boxes|block|blocks|container|wrap|wrapper|area|unit|units|slot|bar|strip|list|items?|links?|buttons?|icons?|panel|section|content|inner|outer|body|row|col|column|group|zone|holder|frame|layer"
+    r"|top|bottom|left|right|main|site|page|global|primary|secondary|mobile|desktop|small|large|sticky|fixed|form|text|title|label|media|post|posts|story|stories|article|articles|us|js|id"
+)
+_PARTS = re.compile(r"[-_]+|(?<=[a-z])(?=[A-Z])|(?<=[A-Za-z])(?=\d)")
 _HIDDEN = re.compile(r"display\s*:\s*none|visibility\s*:\s*hidden", re.I)
+_ENDED = re.compile(r"[.!?…。！？][\"'”’»)\]]*\Z")
 _GOOD = re.compile(r"article|content|post|entry|story|body|text|main", re.I)
 
 
@@ -87,11 +93,11 @@ _LISTS = frozenset("ul ol div table section dl".split())
 class Node:
     """own: points of the blocks in it and below; points: what it has as an ancestor."""
 
-    __slots__ = ("tag", "up", "name", "mark", "drop", "take", "own", "points", "chars", "linked", "links", "paragraph")
+    __slots__ = ("tag", "up", "name", "mark", "drop", "take", "own", "points", "chars", "linked", "links", "paragraph", "ended")
 
     def __init__(self, tag: str, up: Node | None):
         self.tag, self.up, self.name, self.mark, self.drop, self.take = tag, up, "", 0, False, False
-        self.own, self.points, self.chars, self.linked, self.links, self.paragraph = 0.0, 0.0, 0, 0, 0, False
+        self.own, self.points, self.chars, self.linked, self.links, self.paragraph, self.ended = 0.0, 0.0, 0, 0, 0, False, False
 
 
 class Block:
@@ -105,17 +111,29 @@ def _attributes(source: str) -> dict[str, str]:
     return {m[1].lower() if m[1] else m[5].lower(): m[2] or m[3] or m[4] or "" for m in _ATTR.finditer(source)}
 
 
+@lru_cache(4096)
+def _named(name: str) -> tuple[bool, bool, bool, bool]:
+    """Whether a class or id says comments, what is clearly no article, what may be none, or a header."""
+    out = [False] * 4
+    for token in name.split():
+        parts = [x.lower() for x in _PARTS.split(token) if x]
+        for i, kind in enumerate((_COMMENTS, _BAD, _WEAK, _HEADER)):
+            own = [bool(kind.fullmatch(x)) for x in parts]
+            other = (_BAD, _WEAK, _COMMENTS) if i < 3 else ()
+            out[i] = out[i] or (any(own) and all(k or _BESIDE.fullmatch(x) or any(o.fullmatch(x) for o in other) for k, x in zip(own, parts, strict=True)))
+    return tuple(out)
+
+
 def _mark(tag: str, name: str, attrs: dict[str, str], inside: bool) -> int:
     """Whether an element may go; ``inside`` an article, a header has its title."""
     if tag in ("html", "body", "article", "main"):
         return 0
     if tag in _DROP or attrs.get("role", "").lower() in _ROLES or "hidden" in attrs or attrs.get("aria-hidden", "").lower() == "true" or _HIDDEN.search(attrs.get("style", "")):
         return CLEAR
-    if tag == "header" or _HEADER.search(name):
+    comments, clear, weak, header = _named(name)
+    if tag == "header" or header:
         return 0 if inside else CLEAR
-    if not name:
-        return 0
-    return COMMENTS if _COMMENTS.search(name) else CLEAR if _BAD.search(name) else WEAK if _WEAK.search(name) else 0
+    return COMMENTS if comments else CLEAR if clear else WEAK if weak else 0
 
 
 def parse(html: str) -> tuple[list[Node], list[Block]]:
@@ -265,6 +283,7 @@ def _weigh(nodes: list[Node], blocks: list[Block]) -> None:
         node.chars += len(b.text)
         node.linked += b.linked
         node.links += b.links
+        node.ended = node.ended or bool(_ENDED.search(b.text))
         if node.tag in _NO_POINTS:
             continue
         node.paragraph = node.tag in _PARAGRAPHS
@@ -276,7 +295,7 @@ def _weigh(nodes: list[Node], blocks: list[Block]) -> None:
             up = up.up
     for node in reversed(nodes[1:]):
         up = node.up
-        up.chars, up.linked, up.links = up.chars + node.chars, up.linked + node.linked, up.links + node.links
+        up.chars, up.linked, up.links, up.ended = up.chars + node.chars, up.linked + node.linked, up.links + node.links, up.ended or node.ended
 
 
 def _density(node: Node) -> float:
@@ -293,10 +312,10 @@ def _value(node: Node) -> float:
 
 
 def _like_text(node: Node) -> bool:
-    """Whether a sibling of the best container reads like the article."""
+    """Whether a sibling of the best container reads like the article: few links, and an element of text or a whole sentence, however short."""
     if node.tag in _HEADINGS:
         return _density(node) < 0.5
-    return _density(node) < 0.25 and (node.tag in _TEXT or node.chars >= 80)
+    return _density(node) < 0.25 and (node.tag in _TEXT or node.ended or node.chars >= 80)
 
 
 def main_blocks(html: str) -> list[str]:

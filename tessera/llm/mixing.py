@@ -256,13 +256,18 @@ def mix(docs: DataFrame, classifier: Classifier, targets: dict[str, float], text
     return own.withColumn(names[2], fitted.rate(F.col(names[1]))), fitted
 
 
-def resample(docs: DataFrame, rate: str, key: str = "doc_id") -> DataFrame:
+def resample(docs: DataFrame, rate: str, key: str = "doc_id", text: str = "text") -> DataFrame:
     """Whole copies by rate: its floor, and one more with the rest's chance.
 
-    The chance is decided by the key's hash, so the same rows come out again
-    whenever a task is repeated.
+    The chance is decided by the hash of key and text, so the same rows come out
+    again whenever a task is repeated, and of a key's different texts each has
+    its own draw.  Rows whose key is null are told apart by their place in the
+    partition as well, so that any number of them keeps the rate.
     """
-    chance = F.pmod(F.xxhash64(F.lit("copies"), F.col(key)), F.lit(1 << 30)) / F.lit(float(1 << 30))
-    (copy,) = fresh(docs, "_copy")
+    copy, place, draw = fresh(docs, "_copy", "_place", "_draw")
+    rows = docs.withColumn(place, F.monotonically_increasing_id())
+    drawn = F.when(F.col(key).isNull(), F.xxhash64(F.lit("copies"), text, place)).otherwise(F.xxhash64(F.lit("copies"), key, text))
+    rows = rows.withColumn(draw, F.pmod(drawn, F.lit(1 << 30)) / F.lit(float(1 << 30)))
+    chance = F.col(draw)
     # The number of copies stands once in the plan: a filter on it would work out the posterior a second time.
-    return docs.withColumn(copy, F.explode(F.array_repeat(F.lit(True), F.floor(F.col(rate) + chance).cast("int")))).drop(copy, rate)
+    return rows.withColumn(copy, F.explode(F.array_repeat(F.lit(True), F.floor(F.col(rate) + chance).cast("int")))).drop(copy, rate, place, draw)

@@ -9,7 +9,9 @@ difference of a few bytes means more in text that hardly compresses.
 
 The dictionaries and the curve are learned from a bounded sample of labelled
 rows (``sample`` of each class for each of the two), the lowest by hash of
-their key, whole texts, and only labels choose the class.  Everything else is one pass over
+their key, and only labels choose the class.  The texts that teach the
+dictionaries go through the driver, at most ``longest`` characters of each; the
+curve learns from whole texts.  Everything else is one pass over
 the table without a shuffle.
 """
 
@@ -91,16 +93,18 @@ def _features(dictionaries):
 
 
 def _cut(text: str, size: int) -> list[bytes]:
-    """All of a sample text, in parts of ``size`` bytes for the dictionary's trainer."""
+    """A sample text in parts of ``size`` bytes for the dictionary's trainer."""
     data = text.encode("utf-8", "replace")
     return [data[i : i + size] for i in range(0, len(data), size)]
 
 
-def fit(docs: DataFrame, labels: DataFrame, sample: int = 2000, part_bytes: int = 2000, key: str = "doc_id", text: str = "text", label: str = "quality") -> Model:
+def fit(docs: DataFrame, labels: DataFrame, sample: int = 2000, part_bytes: int = 2000, longest: int = 8000, key: str = "doc_id", text: str = "text", label: str = "quality") -> Model:
     """Learn from the rows of ``docs`` that ``labels`` marks 0 or 1.
 
     ``sample`` texts of each class teach the dictionaries and as many others the
-    curve, all of each text.  A key with several labels has the smallest, one
+    curve.  Of a text beyond ``longest`` characters the dictionaries learn a
+    stretch of that length, so the driver holds 2 x sample x longest characters
+    at most; the curve learns from whole texts.  A key with several labels has the smallest, one
     with several texts the smallest of them, ties by hash go to the smaller key:
     a repeated run learns the same.  With one class only, or none, the model
     knows no more than the share of good labels (0.5 with none).
@@ -124,7 +128,9 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = 2000, part_bytes: int
     rows = docs.select(F.col(key).cast("long").alias("_key"), F.coalesce(F.col(text).cast("string"), F.lit("")).alias("_text"))
     rows = rows.join(F.broadcast(wanted), "_key").groupBy("_key", "label", "part").agg(F.min("_text").alias("_text"))
     rows = materialise(rows, "taught")
-    taught = sorted((r["label"], r["_key"], r["_text"]) for r in rows.filter("part = 0").collect())
+    begin = F.pmod(F.xxhash64("_key", F.lit("stretch")), F.greatest(F.length("_text") - longest, F.lit(0)) + 1).cast("int") + 1
+    stretch = F.substring("_text", begin, F.lit(longest)).alias("_text")
+    taught = sorted((r["label"], r["_key"], r["_text"]) for r in rows.filter("part = 0").select("label", "_key", stretch).collect())
     parts = {c: [x for own, _, text in taught if own == c for x in _cut(text, part_bytes)] for c in (0, 1)}
     del taught
     if not (parts[0] and parts[1]):

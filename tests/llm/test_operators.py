@@ -292,6 +292,40 @@ def test_html_sections_without_an_article():
     assert html_tree.main_blocks(FRAME % page) == [*PARAGRAPHS, short, "one", "two", "said"]
 
 
+@pytest.mark.parametrize("name", ["ad-hoc", "foot-note", "social-history", "share-price", "cookie-recipe", "hidden-gems", "menu-of-the-day", "adHoc", "promotion_law skip-tracing"])
+def test_html_compound_names_are_no_adverts(name):
+    inside = f"<article>{BODY}<div class='{name}'>Ad-hoc report text</div></article>"
+    assert html_tree.main_blocks(FRAME % inside) == [*PARAGRAPHS, "Ad-hoc report text"]
+    beside = f"<div class=post>{BODY}</div><div class='{name}'>A closing word.</div><div>And another.</div>"
+    assert html_tree.main_blocks(FRAME % f"<div>{beside}</div>") == [*PARAGRAPHS, "A closing word.", "And another."]
+
+
+@pytest.mark.parametrize("name", ["ad", "ad-box", "ads_2", "adBox", "social-share-buttons", "newsletter-signup", "cookie-notice", "site-footer", "sponsored-content"])
+def test_html_adverts_go(name):
+    for page in (f"<article>{BODY}<div class='{name}'>Buy now, cheap!</div></article>", f"<div><div class=post>{BODY}</div><div class='{name}'>Buy now, cheap!</div></div>"):
+        assert html_tree.main_blocks(FRAME % page) == PARAGRAPHS
+
+
+def test_html_precision_and_recall_without_an_article():
+    """Generated pages: sections of several kinds beside menus, adverts, teasers and comments; no article or main."""
+    rng = np.random.default_rng(9)
+    kept = wanted = right = 0
+    for page in range(300):
+        n, truth, parts = int(rng.integers(2, 7)), [], []
+        for i in range(n):
+            text = f"S{page}x{i} " + " ".join(rng.choice(["plain,", "words", "about", "rivers", "and", "towns."], int(rng.integers(4, 60)))) + "."
+            kind = rng.integers(0, 5)
+            truth.append(text)
+            parts.append([f"<p>{text}</p>", f"<div>{text}</div>", f"<section><p>{text}</p></section>", f"<blockquote>{text}</blockquote>", f"<div class={rng.choice(['ad-hoc', 'share-price', 'part'])}><p>{text}</p></div>"][kind])
+            if rng.random() < 0.3:
+                parts.append(str(rng.choice(["<div class=ad>Buy this thing. Now.</div>", "<ul class=share><li><a href=x>Tweet it</a><li><a href=y>Mail it</a></ul>", "<div class=related-posts><a href=q>Read this one too</a> <a href=r>And that one</a></div>"])))
+        body = f"<div class={rng.choice(['post', 'x', 'entry-content'])}>{''.join(parts)}</div>"
+        tail = str(rng.choice(["", "<div id=comments><p>Nice, thanks, really good.</p></div>", "<div class=sidebar><ul><li><a href=a>One more</a><li><a href=b>Two more</a></ul></div>"]))
+        found = html_tree.main_blocks(FRAME % f"<div id=wrap>{body}{tail}</div>")
+        kept, wanted, right = kept + len(found), wanted + len(truth), right + len(set(found) & set(truth))
+    assert right / wanted > 0.99 and right / kept > 0.97, (right / wanted, right / kept)
+
+
 def test_html_comments_go_even_if_they_are_long():
     page = f"<article>{BODY}<div id=comments>{BODY.replace('Paragraph', 'Comment') * 2}</div></article>"
     assert html_tree.main_blocks(FRAME % page) == PARAGRAPHS
