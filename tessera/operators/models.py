@@ -107,31 +107,6 @@ def ml_scores(train: DataFrame, test: DataFrame, pipeline, system: str) -> DataF
     return out.select("doc_id", F.lit(system).alias("system"), "label", F.col("prediction").cast("int").alias("pred"), proba.alias("proba"))
 
 
-def calibrated_svm_scores(train: DataFrame, test: DataFrame, features: int, folds: int = 3, system: str = "svm") -> DataFrame:
-    """Linear SVM calibrated by a sigmoid on each left-out fold; the folds' probabilities are averaged.
-
-    ``train`` has a column fold.
-    """
-    from pyspark.ml import Pipeline
-    from pyspark.ml.classification import LogisticRegression
-    from pyspark.ml.feature import VectorAssembler
-    from pyspark.ml.functions import vector_to_array
-
-    out = None
-    for k in range(folds):
-        fit = train.filter(F.col("fold") != k)
-        svm = linear_pipeline("svm", features, n=fit.count()).fit(fit)
-
-        def margins(df: DataFrame, model=svm) -> DataFrame:
-            return model.transform(df).select("doc_id", "label", vector_to_array("rawPrediction")[1].alias("margin"))
-
-        sigmoid = Pipeline(stages=[VectorAssembler(inputCols=["margin"], outputCol="m"), LogisticRegression(featuresCol="m")]).fit(margins(train.filter(F.col("fold") == k)))
-        part = sigmoid.transform(margins(test)).select("doc_id", "label", vector_to_array("probability")[1].alias("p"))
-        out = part if out is None else out.unionByName(part)
-    mean = out.groupBy("doc_id", "label").agg(F.avg("p").alias("proba"))
-    return mean.select("doc_id", F.lit(system).alias("system"), "label", (F.col("proba") >= 0.5).cast("int").alias("pred"), "proba")
-
-
 def boosted_pipeline(features: int = 500, parts: int = 20, rounds: int = 10, seed: int = 42):
     """Boosted trees on the leading principal components of TF-IDF (centred)."""
     from pyspark.ml import Pipeline
@@ -168,26 +143,15 @@ def permutation_importance(train: DataFrame, test: DataFrame, columns: list[str]
     return spark.createDataFrame(rows, "feature string, importance double")
 
 
-def grid_search(train: DataFrame, kind: str = "nb", sizes=(200, 2000), strengths=(0.1, 1.0)) -> DataFrame:
-    """Mean F1 of class 1 over the column fold, for each vocabulary size and strength (smoothing or C)."""
-    from pyspark.ml.evaluation import MulticlassClassificationEvaluator
-    from pyspark.ml.tuning import CrossValidator, ParamGridBuilder
-
-    n = train.count()
-    pipeline = linear_pipeline(kind, n=n)
-    counts, model = pipeline.getStages()[0], pipeline.getStages()[-1]
-    knob, values = (model.smoothing, list(strengths)) if kind == "nb" else (model.regParam, [1 / (c * max(n, 1)) for c in strengths])
-    grid = ParamGridBuilder().addGrid(counts.vocabSize, list(sizes)).addGrid(knob, values).build()
-    judge = MulticlassClassificationEvaluator(metricName="fMeasureByLabel", metricLabel=1.0)
-    found = CrossValidator(estimator=pipeline, estimatorParamMaps=grid, evaluator=judge, numFolds=3, foldCol="fold", parallelism=2).fit(train)
-    named = dict(zip(values, strengths, strict=True))
-    rows = [(kind, int(g[counts.vocabSize]), float(named[g[knob]]), round(float(f), 6)) for g, f in zip(grid, found.avgMetrics, strict=True)]
-    return train.sparkSession.createDataFrame(rows, "model string, features int, strength double, cv_f1 double")
-
-
 def parameter_effects(results: DataFrame, parameters=("features", "strength"), score: str = "cv_f1") -> DataFrame:
-    """Best, worst and spread of the mean score by value; parameters with one value are left out."""
-    long = results.select(F.explode(F.array(*[F.struct(F.lit(p).alias("parameter"), F.col(p).cast("string").alias("value"), F.col(score).alias("s")) for p in parameters])).alias("x")).select("x.*")
-    mean = long.groupBy("parameter", "value").agg(F.avg("s").alias("s"))
-    x = mean.groupBy("parameter").agg(F.count("*").alias("n"), F.max_by("value", "s").alias("best"), F.min_by("value", "s").alias("worst"), F.round(F.max("s") - F.min("s"), 6).alias("spread"))
+    """Best, worst and spread of the mean score by value; parameters with one value are left out.
+
+    Means are taken in millionths and cut down, so that they are alike in any
+    order of the rows; of values with equal means the larger text is the best,
+    the smaller the worst.
+    """
+    long = results.select(F.explode(F.array(*[F.struct(F.lit(p).alias("parameter"), F.col(p).cast("string").alias("value"), F.round(F.col(score) * 1e6).cast("long").alias("s")) for p in parameters])).alias("x")).select("x.*")
+    mean = long.groupBy("parameter", "value").agg(F.expr("sum(s) div count(*)").alias("s"))
+    order = F.struct("s", "value")
+    x = mean.groupBy("parameter").agg(F.count("*").alias("n"), F.max_by("value", order).alias("best"), F.min_by("value", order).alias("worst"), F.round((F.max("s") - F.min("s")) / 1e6, 6).alias("spread"))
     return x.filter("n > 1").drop("n")

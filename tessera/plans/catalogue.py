@@ -16,12 +16,19 @@ from pyspark.sql import functions as F
 
 from tessera.config import BOILERPLATE, CONFIDENCE_BINS, COVERAGE_BINS, LENGTH_BINS, MARKERS, STOP_WORDS
 from tessera.functions import stats, text
-from tessera.operators import eda, evaluation, models, neardup, predlog, quality
+from tessera.operators import eda, evaluation, linear, models, neardup, nested, predlog, quality
+from tessera.plans.kept import kept, written
 from tessera.sources import pages
 from tessera.sources.corpus import fingerprints
 from tessera.sources.corpus import labelled_documents as corpus
 
 RULE = r"(?i)\bthe\b"
+#: Terms and least documents of the models' vocabulary, of words and pairs of neighbours.
+FEATURES, MIN_DF = 5000, 2
+# Vocabulary sizes of the ablation, growing parts of the learning curve, grid of the search.
+ABLATION = [50, 100, 200, 500, 1000, 2000, 5000, 10000, 20000]
+PARTS = [0.05 + 0.95 * i / 7 for i in range(8)]
+GRID = {"max_features": [5000, 20000], "ngrams": [1, 2], "min_df": [2, 5], "sublinear": [False, True], "alpha": [0.1, 1.0]}
 KNOWN = [f"src{i}" for i in range(10)]
 STRICT = 0.6
 CUTOFF = "1995-06-17 00:00:00"
@@ -47,10 +54,10 @@ def split(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _weights(spark: SparkSession, sf_dir: str):
     """Split corpus, weights of all its documents, vocabulary of the training part."""
-    parts = split(spark, sf_dir)
-    terms = eda.term_table(parts).join(parts.select("doc_id", "split"), "doc_id")
+    parts = kept(spark, sf_dir, "split", split)
+    terms = kept(spark, sf_dir, "terms", lambda s, d: eda.term_table(corpus(s, d), True)).join(parts.select("doc_id", "split"), "doc_id")
     train = terms.filter("split = 'train'")
-    vocab = eda.vocabulary(train, 2, 2000)
+    vocab = eda.vocabulary(train, MIN_DF, FEATURES)
     n = parts.filter("split = 'train'").count()
     weights = eda.tfidf(terms.drop("split"), vocab, n).join(parts.select("doc_id", "split"), "doc_id")
     return parts, weights, vocab
@@ -69,11 +76,16 @@ def nb_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def eval_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
-    test = split(spark, sf_dir).filter("split = 'test'").select("doc_id", "label", "content")
+    """(doc_id, system, label, pred, proba) of the three systems; worked out once in a session."""
+    return kept(spark, sf_dir, "scores", _eval_scores)
+
+
+def _eval_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    test = kept(spark, sf_dir, "split", split).filter("split = 'test'").select("doc_id", "label", "content")
     rule = F.col("content").rlike(RULE).cast("int")
     fixed = test.select("doc_id", F.lit("majority").alias("system"), "label", F.lit(1).alias("pred"), F.lit(1.0).alias("proba"))
     ruled = test.select("doc_id", F.lit("rule").alias("system"), "label", rule.alias("pred"), F.when(rule == 1, 0.9).otherwise(0.1).cast("double").alias("proba"))
-    nb = nb_scores(spark, sf_dir).select("doc_id", F.lit("nb").alias("system"), "label", "pred", "proba")
+    nb = kept(spark, sf_dir, "nb", nb_scores).select("doc_id", F.lit("nb").alias("system"), "label", "pred", "proba")
     return fixed.unionByName(ruled).unionByName(nb)
 
 
@@ -215,11 +227,38 @@ def _parts(spark: SparkSession, sf_dir: str, content=None) -> tuple[DataFrame, D
     return x.filter("split = 'train'"), x.filter("split = 'test'")
 
 
+def svm_model(spark: SparkSession, sf_dir: str) -> tuple[linear.Linear, DataFrame]:
+    """The calibrated support vector machine on TF-IDF weights (C = 1), and the vectors of all documents."""
+    parts, weights, vocab = _weights(spark, sf_dir)
+    terms = written(linear.numbered(vocab), "numbered")
+    folds = eda.stratified_folds(corpus(spark, sf_dir)).select("doc_id", F.col("fold").cast("int").alias("fold"))
+    docs = parts.select("doc_id", F.col("label").cast("int").alias("label"), "split").join(folds, "doc_id")
+    rows = linear.vectors(weights, docs, terms)
+    return linear.calibrated_svm(rows.filter("split = 'train'"), terms), rows
+
+
+def svm_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    model, rows = svm_model(spark, sf_dir)
+    return linear.scores(rows.filter("split = 'test'"), model, "svm")
+
+
+def svm_terms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The terms that the support vector machine leans on most, for each class."""
+    return linear.top_features(linear.feature_weights(svm_model(spark, sf_dir)[0], spark))
+
+
+def svm_attribution(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The ten largest contributions of each document to the margin of the support vector machine."""
+    model, _ = svm_model(spark, sf_dir)
+    coefs = linear.feature_weights(model, spark).select("term", F.lit(0.0).alias("lp0"), F.col("weight").alias("lp1"))
+    return models.attribution(_weights(spark, sf_dir)[1], coefs, 10)
+
+
 def linear_eval(kind: str, tokens, features: int):
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
         train, test = _parts(spark, sf_dir)
         train, test = train.withColumn("tokens", tokens), test.withColumn("tokens", tokens)
-        scores = models.calibrated_svm_scores(train, test, features) if kind == "svm" else models.ml_scores(train, test, models.linear_pipeline(kind, features, n=train.count()), kind)
+        scores = models.ml_scores(train, test, models.linear_pipeline(kind, features, n=train.count()), kind)
         return evaluation.confusion(scores)
 
     return run
@@ -250,25 +289,33 @@ def stump_eval(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def ablation(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Accuracy by vocabulary size, with and without publisher boilerplate."""
-    out = None
-    for variant, content in (("raw", None), ("stripped", text.strip_boilerplate)):
-        train, test = _parts(spark, sf_dir, content)
-        for size in (50, 1000):
-            got = evaluation.confusion(models.ml_scores(train, test, models.linear_pipeline("nb", size), "nb")).select(F.lit(size).alias("features"), F.lit(variant).alias("variant"), "accuracy")
-            out = got if out is None else out.unionByName(got)
-    return out.groupBy("features").pivot("variant", ["raw", "stripped"]).agg(F.first("accuracy"))
+    """Naive Bayes on every vocabulary size, with and without publisher boilerplate."""
+    parts = kept(spark, sf_dir, "split", split)
+    stripped = parts.withColumn("content", text.strip_boilerplate(F.col("content")))
+    terms = [eda.term_table(x, True).withColumn("view", F.lit(v)) for v, x in (("raw", parts), ("stripped", stripped))]
+    own = parts.select("doc_id", "label", (F.col("split") == "train").alias("train"))
+    docs = own.withColumn("view", F.explode(F.array(F.lit("raw"), F.lit("stripped"))))
+    rows = written(terms[0].unionByName(terms[1]).join(own.select("doc_id", "train"), "doc_id"), "ablation")
+    return nested.ablation(rows, docs, ABLATION).withColumnRenamed("view", "variant")
+
+
+def _folds(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Training documents with their fold."""
+    folds = eda.stratified_folds(corpus(spark, sf_dir)).select("doc_id", "fold")
+    return kept(spark, sf_dir, "split", split).filter("split = 'train'").join(folds, "doc_id").select("doc_id", "label", "fold")
 
 
 def learning_curve(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Scores of naive Bayes on growing parts of the training documents, by key hash."""
-    train, test = _parts(spark, sf_dir)
-    out = None
-    for percent in (25, 50, 100):
-        part = train.filter(F.pmod(F.xxhash64("doc_id"), F.lit(100)) < percent)
-        got = evaluation.confusion(models.ml_scores(part, test, models.linear_pipeline("nb", 2000), "nb")).withColumn("train_percent", F.lit(percent))
-        out = got if out is None else out.unionByName(got)
-    return out
+    """Naive Bayes on growing parts of the training documents, for each fold; the terms' weights are those of all of them."""
+    _, weights, _ = _weights(spark, sf_dir)
+    docs = written(_folds(spark, sf_dir).withColumn("part", nested.part_of("doc_id", PARTS)), "curve")
+    return nested.learning_curve(weights.filter("split = 'train'"), docs, PARTS)
+
+
+def grid_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Mean F1 over the folds of the training documents, for every candidate of the grid."""
+    terms = kept(spark, sf_dir, "terms", lambda s, d: eda.term_table(corpus(s, d), True))
+    return nested.search(terms.withColumn("words", F.size(F.split("term", " "))), _folds(spark, sf_dir), GRID)
 
 
 def file_checks(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -290,9 +337,10 @@ def log_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
 def cross_corpus(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Naive Bayes learned on English, judged on its test part and on all documents of each other language."""
     lang = documents(spark, sf_dir).select("doc_id", "lang")
-    train, test = (x.join(lang, "doc_id") for x in _parts(spark, sf_dir))
-    home = train.filter("lang = 'en'")
-    scores = models.ml_scores(home, test.unionByName(train.filter("lang <> 'en'")), models.linear_pipeline("nb", 2000), "nb")
+    docs = kept(spark, sf_dir, "split", split).join(lang, "doc_id").filter("lang is not null")
+    docs = docs.select("doc_id", "label", "lang", ((F.col("split") == "train") & (F.col("lang") == "en")).alias("train"), F.lit("all").alias("view"))
+    terms = kept(spark, sf_dir, "terms", lambda s, d: eda.term_table(corpus(s, d), True)).join(docs.select("doc_id", "view", "train"), "doc_id")
+    scores = nested.naive_bayes(terms, docs.drop("lang"), [FEATURES]).select("doc_id", "label", (F.col("z0") >= 0).cast("int").alias("pred"))
     return evaluation.corpus_drop(scores.join(lang, "doc_id"), "lang", "en")
 
 
@@ -337,7 +385,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "tfidf_weights": tfidf_weights,
         "nb_log_probs": nb_log_probs,
         "nb_predictions": lambda s, d: nb_scores(s, d),
-        "linear_attribution": lambda s, d: models.attribution(nb_model(s, d)[1], nb_model(s, d)[2], 10),
+        "linear_attribution": lambda s, d: models.attribution(*nb_model(s, d)[1:], 10),
         "attribution_totals": attribution_totals,
         "confusion_metrics": _scores(evaluation.confusion),
         "error_direction": _scores(evaluation.error_direction),
@@ -371,6 +419,9 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "html_extract": lambda s, d: pages.extract(table(s, d, "pages")),
         "lr_eval": lambda s, d: linear_eval("lr", text.word_ngrams(F.col("tokens")), 5000)(s, d),
         "char_lr_eval": lambda s, d: linear_eval("lr", text.char_ngrams(F.col("content"), most=1 << 30), 30_000)(s, d),
+        "svm_eval": lambda s, d: evaluation.confusion(svm_scores(s, d)),
+        "svm_terms": svm_terms,
+        "svm_attribution": svm_attribution,
         "boosted_eval": boosted_eval,
         "forest_eval": forest_eval,
         "style_importance": style_importance,
@@ -378,8 +429,8 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "ablation": ablation,
         "learning_curve": learning_curve,
         "cross_corpus": cross_corpus,
-        "grid_search": lambda s, d: models.grid_search(_parts(s, d)[0]),
-        "parameter_effects": lambda s, d: models.parameter_effects(models.grid_search(_parts(s, d)[0])),
+        "grid_search": grid_search,
+        "parameter_effects": lambda s, d: models.parameter_effects(grid_search(s, d), tuple(GRID)),
         "quality_checks": quality_checks,
         "quality_score": lambda s, d: quality.score(quality_checks(s, d)),
         "file_checks": file_checks,
@@ -466,7 +517,7 @@ def _vocab_sql(min_df: int, size: int, source: str = "terms") -> str:
 
 def _nb_sql() -> str:
     return (
-        f"WITH {_split_sql()}, {_terms_sql('parts')}, trained AS (SELECT terms.* FROM terms JOIN parts USING (doc_id) WHERE split = 'train'), {_vocab_sql(2, 2000, 'trained')}, "
+        f"WITH {_split_sql()}, {_pairs_sql('parts')}, trained AS (SELECT terms.* FROM terms JOIN parts USING (doc_id) WHERE split = 'train'), {_vocab_sql(MIN_DF, FEATURES, 'trained')}, "
         "ntrain AS (SELECT count(*) AS n, count(*) FILTER (label = 0) AS n0, count(*) FILTER (label = 1) AS n1 FROM parts WHERE split = 'train'), "
         "raw AS (SELECT t.doc_id, t.label, t.term, t.tf * (ln((n + 1.0) / (v.df + 1.0)) + 1.0) AS raw FROM terms t JOIN vocab v USING (term) CROSS JOIN ntrain), "
         "weights AS (SELECT raw.doc_id, raw.label, term, raw / sqrt(sum(raw * raw) OVER (PARTITION BY raw.doc_id)) AS weight, split FROM raw JOIN parts USING (doc_id)), "
@@ -477,6 +528,84 @@ def _nb_sql() -> str:
     )
 
 
+def _view_terms_sql() -> str:
+    """CTEs words and terms of rows (view, doc_id, label, train, content)."""
+    pairs = "list_concat(w, list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1]))"
+    return f"kept AS (SELECT view, doc_id, label, train, {_clean()} AS w FROM rows), words AS (SELECT view, doc_id, label, train, unnest({pairs}) AS term FROM kept), terms AS MATERIALIZED (SELECT view, doc_id, label, train, term, count(*) AS tf FROM words GROUP BY ALL)"
+
+
+def _fits_sql(sizes: list[int], sublinear=(False,), alphas=(1.0,), min_df: str = "2") -> str:
+    """CTEs up to scored (view, k, s, alpha, doc_id, label, z), from terms and docs (view, doc_id, label, train): every fit by itself."""
+    values = lambda xs: ", ".join(f"({x})" for x in xs)
+    return (
+        f"ranked AS (SELECT view, term, count(*) AS df, row_number() OVER (PARTITION BY view ORDER BY sum(tf) DESC, term) AS rank FROM terms WHERE train GROUP BY view, term HAVING count(*) >= {min_df}), "
+        f"size(k) AS (VALUES {values(sizes)}), way(s) AS (VALUES {values(sublinear)}), smooth(alpha) AS (VALUES {values(f'{a}::DOUBLE' for a in alphas)}), "
+        "held AS (SELECT view, count(*) AS n, count(*) FILTER (label = 0) AS n0, count(*) FILTER (label = 1) AS n1 FROM docs WHERE train GROUP BY view), "
+        "raw AS (SELECT k, s, t.view, doc_id, label, train, t.term, (CASE WHEN s THEN ln(tf) + 1.0 ELSE tf END) * (ln((n + 1.0) / (df + 1.0)) + 1.0) AS raw FROM terms t JOIN ranked r ON r.view = t.view AND r.term = t.term JOIN held ON held.view = t.view JOIN size ON rank <= k CROSS JOIN way), "
+        "weighed AS MATERIALIZED (SELECT *, raw / sqrt(sum(raw * raw) OVER (PARTITION BY k, s, view, doc_id)) AS weight FROM raw), "
+        "class AS (SELECT k, s, view, term, coalesce(sum(weight) FILTER (label = 0), 0) AS w0, coalesce(sum(weight) FILTER (label = 1), 0) AS w1 FROM weighed WHERE train GROUP BY ALL), "
+        "fitted AS MATERIALIZED (SELECT k, s, alpha, view, term, ln(w1 + alpha) - ln(sum(w1 + alpha) OVER p) - ln(w0 + alpha) + ln(sum(w0 + alpha) OVER p) AS d FROM class CROSS JOIN smooth WINDOW p AS (PARTITION BY k, s, alpha, view)), "
+        "gaps AS (SELECT k, s, alpha, view, doc_id, sum(weight * d) AS gap FROM weighed JOIN fitted USING (k, s, view, term) WHERE NOT train GROUP BY ALL), "
+        "scored AS (SELECT d.view, k, s, alpha, d.doc_id, d.label, coalesce(gap, 0) + ln(greatest(n1, 1)) - ln(greatest(n0, 1)) AS z FROM docs d JOIN held USING (view) CROSS JOIN size CROSS JOIN way CROSS JOIN smooth LEFT JOIN gaps g USING (k, s, alpha, view, doc_id) WHERE NOT d.train), "
+        "fits AS (SELECT view, k, s, alpha, count(*) AS n, count(*) FILTER ((label = 1) = (z >= 0)) / count(*) AS accuracy, coalesce(2.0 * count(*) FILTER (label = 1 AND z >= 0) / nullif(count(*) FILTER (label = 1) + count(*) FILTER (z >= 0), 0), 0) AS f1 FROM scored GROUP BY ALL)"
+    )
+
+
+def _ablation_sql() -> str:
+    rows = f"rows AS (SELECT 'raw' AS view, doc_id, label, split = 'train' AS train, content FROM parts UNION ALL SELECT 'stripped', doc_id, label, split = 'train', {_stripped()} FROM parts)"
+    return f"WITH {_split_sql()}, {rows}, docs AS (SELECT view, doc_id, label, train FROM rows), {_view_terms_sql()}, {_fits_sql(ABLATION)}, there AS (SELECT view, least(count(*), {max(ABLATION)}) AS there FROM ranked GROUP BY view) SELECT view AS variant, CAST(k AS INTEGER) AS max_features, CAST(least(there, k) AS INTEGER) AS n_features, round(accuracy, 6) AS accuracy, round(f1, 6) AS f1 FROM fits JOIN there USING (view)"
+
+
+def _cross_sql() -> str:
+    rows = "rows AS (SELECT 'all' AS view, p.doc_id, label, split = 'train' AND lang = 'en' AS train, content, lang FROM parts p JOIN documents d USING (doc_id) WHERE lang IS NOT NULL)"
+    last = "c AS (SELECT lang AS corpus, count(*) AS n, count(*) FILTER ((scored.label = 1) = (z >= 0)) / count(*) AS accuracy, coalesce(2.0 * count(*) FILTER (scored.label = 1 AND z >= 0) / nullif(count(*) FILTER (scored.label = 1) + count(*) FILTER (z >= 0), 0), 0) AS f1 FROM scored JOIN rows USING (doc_id) GROUP BY lang), r AS (SELECT corpus, n, round(accuracy, 6) AS accuracy, round(f1, 6) AS f1 FROM c)"
+    home = "(SELECT {0} FROM r WHERE corpus = 'en')"
+    drops = ", ".join(f"round({home.format(c)} - {c}, 6) AS {c}_drop" for c in ("accuracy", "f1"))
+    return f"WITH {_split_sql()}, {rows}, docs AS (SELECT view, doc_id, label, train FROM rows), {_view_terms_sql()}, {_fits_sql([FEATURES])}, {last} SELECT corpus, n, accuracy, f1, {drops} FROM r"
+
+
+_FOLDS = "folded AS (SELECT p.doc_id, p.label, f.fold FROM parts p JOIN (SELECT doc_id, (row_number() OVER (PARTITION BY label ORDER BY md5(doc_id || '-42'), doc_id) - 1) % 3 AS fold FROM corpus) f USING (doc_id) WHERE split = 'train')"
+
+
+def _search_sql() -> str:
+    """Up to the table found: the parameters and cv_f1 of every candidate."""
+    views = ", ".join(f"({g}, {d})" for g in GRID["ngrams"] for d in GRID["min_df"])
+    named = "held || '-' || ngrams || '-' || min_df AS view"
+    pairs = "list_concat(w, list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1]))"
+    base = f"toks AS (SELECT f.doc_id, f.label, fold, {_clean('p.content')} AS w FROM folded f JOIN parts p USING (doc_id)), single AS MATERIALIZED (SELECT doc_id, label, fold, term, count(*) AS tf FROM (SELECT doc_id, label, fold, unnest({pairs}) AS term FROM toks) GROUP BY ALL)"
+    kinds = f"kind AS (SELECT * FROM range(3) AS h(held) CROSS JOIN (VALUES {views}) AS v(ngrams, min_df))"
+    terms = f"terms AS MATERIALIZED (SELECT {named}, doc_id, label, fold <> held AS train, term, tf FROM single JOIN kind ON len(string_split(term, ' ')) <= ngrams)"
+    docs = f"docs AS (SELECT {named}, doc_id, label, fold <> held AS train FROM folded CROSS JOIN kind)"
+    fits = _fits_sql(GRID["max_features"], GRID["sublinear"], GRID["alpha"], "CAST(split_part(view, '-', 3) AS INTEGER)")
+    found = "found AS (SELECT 'nb' AS model, CAST(k AS INTEGER) AS max_features, CAST(split_part(view, '-', 2) AS INTEGER) AS ngrams, CAST(split_part(view, '-', 3) AS INTEGER) AS min_df, s AS sublinear, alpha, round(avg(f1), 6) AS cv_f1 FROM fits GROUP BY ALL)"
+    return f"WITH {_split_sql()}, {_FOLDS}, {base}, {kinds}, {terms}, {docs}, {fits}, {found}"
+
+
+def _effects_sql() -> str:
+    # Values as Spark writes them: true, false, 0.1, 1.0.
+    long = " UNION ALL ".join(f"SELECT '{c}' AS parameter, CAST({c} AS VARCHAR) AS value, CAST(round(cv_f1 * 1000000) AS BIGINT) AS s FROM found" for c in GRID)
+    return _search_sql() + f", long AS ({long}), mean AS (SELECT parameter, value, sum(s)::BIGINT // count(*) AS s FROM long GROUP BY ALL) SELECT parameter, first(value ORDER BY s DESC, value DESC) AS best, first(value ORDER BY s, value) AS worst, round((max(s) - min(s)) / 1000000.0, 6) AS spread FROM mean GROUP BY parameter HAVING count(*) > 1"
+
+
+def _curve_sql() -> str:
+    place = "(('0x' || left(md5(doc_id || '-part-42'), 8))::UBIGINT) / 4294967296.0"
+    part = "CASE " + " ".join(f"WHEN {place} < {p!r}::DOUBLE THEN {i}" for i, p in enumerate(PARTS[:-1])) + f" ELSE {len(PARTS) - 1} END"
+    shares = ", ".join(f"({i}, {round(p, 6)}::DOUBLE)" for i, p in enumerate(PARTS))
+    return _nb_sql() + (
+        f"{_FOLDS}, d AS (SELECT *, {part} AS part FROM folded), fit(f) AS (VALUES (0), (1), (2)), share(p, train_share) AS (VALUES {shares}), "
+        "x AS MATERIALIZED (SELECT f, p, d.doc_id, d.label, fold <> f AND part <= p AS learns, fold = f AS judged, term, weight FROM d JOIN weights w ON w.doc_id = d.doc_id CROSS JOIN fit CROSS JOIN share), "
+        "c AS (SELECT f, p, term, coalesce(sum(weight) FILTER (learns AND label = 0), 0) AS w0, coalesce(sum(weight) FILTER (learns AND label = 1), 0) AS w1 FROM x GROUP BY ALL), "
+        "m AS MATERIALIZED (SELECT f, p, term, ln(w1 + 1) - ln(sum(w1 + 1) OVER o) - ln(w0 + 1) + ln(sum(w0 + 1) OVER o) AS d FROM c WINDOW o AS (PARTITION BY f, p)), "
+        "g AS (SELECT f, p, doc_id, sum(weight * d) AS gap FROM x JOIN m USING (f, p, term) GROUP BY ALL), "
+        "e AS (SELECT f, p, d.doc_id, label, fold <> f AND part <= p AS learns, fold = f AS judged FROM d CROSS JOIN fit CROSS JOIN share), "
+        "k AS (SELECT f, p, greatest(count(*) FILTER (learns AND label = 0), 1) AS n0, greatest(count(*) FILTER (learns AND label = 1), 1) AS n1, count(*) FILTER (learns) AS n_train FROM e GROUP BY ALL), "
+        "z AS (SELECT e.*, n_train, coalesce(gap, 0) + ln(n1) - ln(n0) >= 0 AS up FROM e JOIN k USING (f, p) LEFT JOIN g USING (f, p, doc_id)) "
+        "SELECT train_share, CAST(f AS INTEGER) AS fold, n_train, "
+        + ", ".join(f"round(coalesce(2.0 * count(*) FILTER ({side} AND label = 1 AND up) / nullif(count(*) FILTER ({side} AND label = 1) + count(*) FILTER ({side} AND up), 0), 0), 6) AS {name}_f1" for side, name in (("learns", "train"), ("judged", "validation")))
+        + " FROM z JOIN share USING (p) GROUP BY train_share, f, n_train"
+    )
+
+
 def _eval_sql() -> str:
     return _nb_sql() + (
         "scores AS (SELECT doc_id, 'majority' AS system, label, 1 AS pred, 1.0::DOUBLE AS proba FROM parts WHERE split = 'test' "
@@ -581,6 +710,11 @@ def oracle_sql() -> dict[str, str]:
         "style_of_errors": _eval_sql() + f", {_WRONG}, s AS (SELECT label, any_wrong, " + ", ".join(f"CAST({v} AS DOUBLE) AS {k}" for k, v in _stats_sql("d.text").items()) + " FROM wrong JOIN documents d USING (doc_id)), a AS (" + " UNION ALL ".join(f"SELECT label, '{k}' AS feature, avg({k}) FILTER (any_wrong = 1) AS w, avg({k}) FILTER (any_wrong = 0) AS r FROM s GROUP BY label" for k in style) + ") SELECT label, feature, round(w, 6) AS wrong, round(r, 6) AS \"right\", round(w / nullif(r, 0), 6) AS ratio FROM a",
         "roc_points": _eval_sql() + f", {points} SELECT system, proba, round(fpr, 6) AS fpr, round(tpr, 6) AS tpr, round(precision, 6) AS precision FROM curve",
         "calibration_bins": _eval_sql() + ", e AS (SELECT system, list_transform(quantile_cont(proba, [0.1, 0.2, 0.3, 0.4, 0.5, 0.6, 0.7, 0.8, 0.9]), lambda x: round(x, 9)) AS edges FROM scores GROUP BY system), x AS (SELECT s.*, CAST(len(list_filter(edges, lambda x: x < proba)) AS INTEGER) AS bin FROM scores s JOIN e USING (system)) SELECT system, bin, count(*) AS n, round(avg(proba), 6) AS mean_predicted, round(avg(label), 6) AS observed FROM x GROUP BY system, bin",
+        "ablation": _ablation_sql(),
+        "cross_corpus": _cross_sql(),
+        "grid_search": _search_sql() + " SELECT * FROM found",
+        "parameter_effects": _effects_sql(),
+        "learning_curve": _curve_sql(),
         "stump_eval": f"WITH {_CORPUS}, x AS (SELECT CAST(regexp_matches(content, '{RULE}') AS INTEGER) AS hit, count(*) FILTER (label = 0) AS f, count(*) FILTER (label = 1) AS r FROM corpus GROUP BY 1) SELECT hit, CAST(r > f AS INTEGER) AS pred, greatest(f, r) AS hits, f + r AS n FROM x",
         "log_summary": _LOG + ", r AS (SELECT count(*) AS repeated_inputs FROM (SELECT input_hash FROM log GROUP BY 1 HAVING count(*) > 1)) SELECT count(*) AS total, count(*) FILTER (label = 'FAKE') AS fake, count(*) FILTER (label = 'REAL') AS real, round(avg(confidence), 6) AS avg_confidence, count(*) FILTER (confidence < 0.7) AS low_confidence, count(*) FILTER (true_label IS NOT NULL) AS reviewed, round(avg(CAST(true_label = prediction AS INTEGER)), 6) AS observed_accuracy, any_value(repeated_inputs) AS repeated_inputs FROM log CROSS JOIN r",
         "log_ids": _LOG + ", x AS (SELECT l.*, b.p FROM log l JOIN base b USING (id)) SELECT 1000 + row_number() OVER (ORDER BY md5(id || '-42'), id) AS id, id AS turn_id, label, round(1 - p, 6) AS proba_fake, round(p, 6) AS proba_real FROM x",
