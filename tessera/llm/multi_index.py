@@ -39,7 +39,8 @@ from .common import lowest, materialise
 from .components import components
 from .vectors import by_dim, matrix, usable
 
-ROWS = 4096
+#: Vectors of a supercell as the grid is cut, and of a block of it and of its visitors at most.
+ROWS, HELD, SEEN = 4096, 16_384, 65_536
 #: Entries of each half's codebook at most; the product bounds the cells.
 ENTRIES = 1024
 #: Visits at most, whatever the recall.
@@ -327,8 +328,8 @@ def near_duplicates(vectors: DataFrame, threshold: float = 0.95, recall: float =
     placed = units.select("id", "v", "weight").mapInArrow(_place(shared), _PLACED).withColumn("dim", (F.length("v") / wide).cast("int"))
     placed = materialise(placed, "placed")
     # Supercells are bounded by the product of the codebooks; so is this table of their sizes.
-    n_base = placed.groupBy("dim", "super").agg(F.ceil(F.count("*") / ROWS).cast("int").alias("n_base"))
-    n_seen = placed.select("dim", F.explode("supers").alias("super")).groupBy("dim", "super").agg(F.ceil(F.count("*") / ROWS).cast("int").alias("n_seen"))
+    n_base = placed.groupBy("dim", "super").agg(F.ceil(F.count("*") / HELD).cast("int").alias("n_base"))
+    n_seen = placed.select("dim", F.explode("supers").alias("super")).groupBy("dim", "super").agg(F.ceil(F.count("*") / SEEN).cast("int").alias("n_seen"))
     blocks = materialise(n_base.join(n_seen, ["dim", "super"]), "blocks")
     cut = F.xxhash64("id", F.lit("block"))
     held = placed.join(blocks, ["dim", "super"]).withColumn("b", F.pmod(cut, "n_base").cast("int")).withColumn("s", F.explode(F.sequence(F.lit(0), F.col("n_seen") - 1)))
