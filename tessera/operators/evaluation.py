@@ -7,6 +7,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessera.functions.stats import holm, mcnemar, ratio
+from tessera.operators import order
 
 
 def _r(c: Column, name: str) -> Column:
@@ -52,20 +53,26 @@ def threshold_sweep(scores: DataFrame, low: int = 5, high: int = 95) -> DataFram
     return x.select("system", _r(F.col("t") / 100, "threshold"), _r(pr, "precision"), _r(rc, "recall"), _r(ratio(2 * F.col("p"), F.col("n") + F.col("all_p")), "f1"))
 
 
+def _steps(scores: DataFrame) -> DataFrame:
+    """One row per distinct score of a system: p and q of each class at it, tp and fp from the highest down to it, np and nq in all."""
+    per = scores.groupBy("system", "proba").agg(F.count_if(F.expr("label = 1")).alias("p"), F.count_if(F.expr("label = 0")).alias("q"))
+    x = order.running(per, "system", [F.desc("proba")], ["p", "q"])
+    every = scores.groupBy("system").agg(F.count_if(F.expr("label = 1")).alias("np"), F.count_if(F.expr("label = 0")).alias("nq"))  # one row a system
+    return x.join(F.broadcast(every), "system").withColumnsRenamed({"p_upto": "tp", "q_upto": "fp"})
+
+
 def curve(scores: DataFrame) -> DataFrame:
     """ROC and PR points: one row per distinct score, from the highest."""
-    per = scores.groupBy("system", "proba").agg(F.count_if(F.expr("label = 1")).alias("p"), F.count_if(F.expr("label = 0")).alias("q"))
-    upto = Window.partitionBy("system").orderBy(F.desc("proba")).rowsBetween(Window.unboundedPreceding, 0)
-    every = Window.partitionBy("system")
-    x = per.select("system", "proba", F.sum("p").over(upto).alias("tp"), F.sum("q").over(upto).alias("fp"), F.sum("p").over(every).alias("np"), F.sum("q").over(every).alias("nq"))
+    x = _steps(scores)
     return x.select("system", "proba", ratio(F.col("fp"), F.col("nq")).alias("fpr"), ratio(F.col("tp"), F.col("np")).alias("tpr"), ratio(F.col("tp"), F.col("tp") + F.col("fp")).alias("precision"))
 
 
 def areas(scores: DataFrame) -> DataFrame:
     """Area under the ROC curve, and average precision."""
-    w = Window.partitionBy("system").orderBy(F.desc("proba"))
-    x = curve(scores).withColumns({"f0": F.coalesce(F.lag("fpr").over(w), F.lit(0.0)), "t0": F.coalesce(F.lag("tpr").over(w), F.lit(0.0))})
-    return x.groupBy("system").agg(_r(F.sum((F.col("fpr") - F.col("f0")) * (F.col("tpr") + F.col("t0")) / 2), "roc_auc"), _r(F.sum((F.col("tpr") - F.col("t0")) * F.col("precision")), "average_precision"))
+    tp, fp, p, q = (F.col(c) for c in ("tp", "fp", "p", "q"))
+    # The step before this one is what stands above it.
+    wide, high = ratio(q, F.col("nq")), ratio(tp, F.col("np")) + ratio(tp - p, F.col("np"))
+    return _steps(scores).groupBy("system").agg(_r(F.sum(wide * high / 2), "roc_auc"), _r(F.sum(ratio(p, F.col("np")) * ratio(tp, tp + fp)), "average_precision"))
 
 
 def brier(scores: DataFrame) -> DataFrame:
@@ -149,9 +156,11 @@ def top_errors(scores: DataFrame, top: int = 10) -> DataFrame:
 
 def calibration(scores: DataFrame, bins: int = 10) -> DataFrame:
     """Mean prediction and observed share by quantile bin; an edge belongs to the bin below it."""
-    edges = scores.groupBy("system").agg(F.transform(F.percentile("proba", F.array(*[F.lit(i / bins) for i in range(1, bins)])), lambda e: F.round(e, 9)).alias("edges"))
+    edges = order.quantiles(scores, "system", "proba", [i / bins for i in range(1, bins)]).select("system", F.transform("edges", lambda e: F.round(e, 9)).alias("edges"))  # one row a system
     x = scores.join(F.broadcast(edges), "system").withColumn("bin", F.size(F.filter("edges", lambda e: e < F.col("proba"))))
-    return x.groupBy("system", "bin").agg(F.count("*").cast("long").alias("n"), _r(F.avg("proba"), "mean_predicted"), _r(F.avg("label"), "observed"))
+    # Means are added up in billionths and rounded as whole numbers, so that they are alike in any order of the rows.
+    y = x.groupBy("system", "bin").agg(F.count("*").cast("long").alias("n"), F.sum(F.round(F.col("proba") * 1e9).cast("long")).alias("s"), _r(F.avg("label"), "observed"))
+    return y.select("system", "bin", "n", (F.expr("(2 * s + 1000 * n) div (2000 * n)") / 1e6).alias("mean_predicted"), "observed")
 
 
 def bootstrap(scores: DataFrame, draws: int = 300, seed: int = 42, level: float = 0.95) -> DataFrame:
@@ -189,10 +198,10 @@ def marker_errors(wrong: DataFrame, markers: dict[str, str]) -> DataFrame:
     """Documents and errors by marker, class and presence; empty groups are kept, with a null rate."""
     keys = [(m, c, h) for m in markers for c in (0, 1) for h in (0, 1)]
     hits = wrong.select("label", "any_wrong", *[F.col("content").rlike(f"(?m){p}").cast("int").alias(f"m{i}") for i, p in enumerate(markers.values())])
-    order = list(markers)
+    places = list(markers)
     sums = []
     for m, c, h in keys:
-        here = (F.col("label") == c) & (F.col(f"m{order.index(m)}") == h)
+        here = (F.col("label") == c) & (F.col(f"m{places.index(m)}") == h)
         sums.append(F.struct(F.lit(m).alias("marker"), F.lit(c).alias("label"), F.lit(h).alias("present"), F.count_if(here).cast("long").alias("n"), F.count_if(here & (F.col("any_wrong") == 1)).cast("long").alias("errors")))
     x = hits.agg(F.array(*sums).alias("g")).select(F.explode("g").alias("g")).select("g.*")
     return x.withColumn("error_rate", F.round(F.try_divide(F.col("errors").cast("double"), F.col("n")), 6))

@@ -1,75 +1,172 @@
-"""MinHash near-duplicates with banding, as column expressions.
-
-Texts with equal signatures form a class, and only class representatives meet
-in the bands: a group of copies of any size costs one row a band.  No bucket is
-capped and texts are read whole.
+"""MinHash near-duplicates: banding finds candidates, exact similarity decides.
+
+Texts with the same set of shingles form a class, and only class representatives
+meet in the bands: a group of copies of any size costs one row a band.  A bucket
+of many representatives is divided by each other band in turn, as similar texts
+share several; what stays large is cut into blocks, and each pair of blocks is a
+group of its own that returns similar pairs only.  Candidates need to agree in
+fewer places of the signature than the similarity asks for; then the Jaccard
+similarity of their shingles is computed.  No bucket is capped and texts are
+read whole.
 """
 
 from __future__ import annotations
 
 import random
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tessera.config import SEED
 from tessera.functions.text import normalise, shingles
+from tessera.plans.kept import written
+
+# Permutations, their modulus, bands, and the least similarity.
+PERMUTATIONS, PRIME, BANDS, SIMILARITY = 64, (1 << 31) - 1, 16, 0.80
+#: Candidates agree in this share of the signature: three deviations of the estimate below the similarity.
+AGREEMENT = 0.65
+#: Representatives of a bucket that meet by a join; larger ones are divided, then cut into blocks of this size.
+BUCKET = 256
+
 
-# Permutations, their modulus, bands, and the least agreement of signatures.
-PERMUTATIONS, PRIME, BANDS, AGREEMENT = 64, (1 << 31) - 1, 16, 0.80
+def _words(content: Column) -> Column:
+    return F.filter(F.split(normalise(F.coalesce(content, F.lit(""))), " "), lambda w: w != "")
 
 
 def signature(content: Column, permutations: int = PERMUTATIONS, seed: int = SEED) -> Column:
     """array<long> of minima of (a h + b) mod p over the hashes of the 5-word shingles; p for empty texts."""
-    draw = random.Random(seed)
-    params = F.array(*[F.struct(F.lit(draw.randrange(1, PRIME)).cast("long").alias("a"), F.lit(draw.randrange(PRIME)).cast("long").alias("b")) for _ in range(permutations)])
-    words = F.filter(F.split(normalise(F.coalesce(content, F.lit(""))), " "), lambda w: w != "")
     # Arrays of one bind the words and the hashes: an expression inside a lambda is evaluated anew for every item.
-    hashes = F.transform(F.array(words), lambda w: F.transform(shingles(w), lambda s: F.crc32(s.cast("binary")) % PRIME))
-    one = F.transform(hashes, lambda h: F.transform(params, lambda p: F.coalesce(F.array_min(F.transform(h, lambda x: (p["a"] * x + p["b"]) % PRIME)), F.lit(PRIME).cast("long"))))
-    return one[0]
+    hashes = F.transform(F.array(_words(content)), lambda w: F.transform(shingles(w), lambda s: F.crc32(s.cast("binary")) % PRIME))
+    return F.transform(hashes, lambda h: minima(h, permutations, seed))[0]
 
 
-def classes(docs: DataFrame, key: str = "doc_id", content: str = "content") -> DataFrame:
-    """key and class_id: the smallest key whose text has the same signature."""
-    signed = docs.select(key, signature(F.col(content)).alias("sig"))
-    return signed.join(signed.groupBy("sig").agg(F.min(key).alias("class_id")), "sig").select(key, "class_id")
+def minima(hashes: Column, permutations: int = PERMUTATIONS, seed: int = SEED) -> Column:
+    draw = random.Random(seed)
+    params = F.array(*[F.struct(F.lit(draw.randrange(1, PRIME)).cast("long").alias("a"), F.lit(draw.randrange(PRIME)).cast("long").alias("b")) for _ in range(permutations)])
+    return F.transform(params, lambda p: F.coalesce(F.array_min(F.transform(hashes, lambda x: (p["a"] * x + p["b"]) % PRIME)), F.lit(PRIME).cast("long")))
 
 
-def representatives(docs: DataFrame, key: str = "doc_id", content: str = "content", *more: Column) -> DataFrame:
-    """(sig, rep, n) and ``more`` aggregates, one row a class of equal signatures: its smallest key and its size."""
-    kept = [c for c in docs.columns if c not in (key, content)]
-    signed = docs.select(key, *kept, signature(F.col(content)).alias("sig"))
-    return signed.groupBy("sig").agg(F.min(key).alias("rep"), F.count("*").cast("long").alias("n"), *more)
+def shingle_set(content: Column) -> Column:
+    """array<long>: the distinct 64-bit hashes of the 5-word shingles, in order."""
+    return F.transform(F.array(_words(content)), lambda w: F.array_sort(F.array_distinct(F.transform(shingles(w), lambda s: F.xxhash64(s)))))[0]
 
 
-def meet(reps: DataFrame, agreement: float = AGREEMENT) -> DataFrame:
-    """Pairs (a < b) of ``representatives`` that share a band, with similarity at least ``agreement`` and the classes' sizes."""
-    rows = PERMUTATIONS // BANDS
-    bands = F.transform(F.sequence(F.lit(0), F.lit(BANDS - 1)), lambda i: F.xxhash64(i, F.slice("sig", i * rows + 1, F.lit(rows))))
-    banded = reps.select("rep", F.posexplode(bands).alias("band", "code"))
-    x, y = banded.alias("x"), banded.alias("y")
-    met = x.join(y, (F.col("x.band") == F.col("y.band")) & (F.col("x.code") == F.col("y.code")) & (F.col("x.rep") < F.col("y.rep")))
-    met = met.select(F.col("x.rep").alias("a"), F.col("y.rep").alias("b")).distinct()
-    left, right = (reps.select(F.col("rep").alias(k), F.col("sig").alias(f"sig_{k}"), F.col("n").alias(f"n_{k}")) for k in "ab")
-    same = F.aggregate(F.zip_with("sig_a", "sig_b", lambda p, q: (p == q).cast("int")), F.lit(0), lambda s, v: s + v)
-    found = met.join(left, "a").join(right, "b").withColumn("similarity", same / PERMUTATIONS)
-    return found.filter(F.col("similarity") >= agreement).select("a", "b", "n_a", "n_b", "similarity")
+def _digest(content: Column) -> Column:
+    """Digest of the shingle set; equal for texts with the same one."""
+    return F.transform(F.array(shingle_set(content)), lambda s: F.md5(F.array_join(s.cast("array<string>"), ",").cast("binary")))[0]
 
 
-def pairs(docs: DataFrame, agreement: float = AGREEMENT, key: str = "doc_id", content: str = "content") -> DataFrame:
-    """Pairs of class representatives (a < b) that share a band, with similarity at least ``agreement`` and the classes' sizes."""
-    return meet(representatives(docs.select(key, content), key, content), agreement)
+def classes(docs: DataFrame, key: str = "doc_id", content: str = "content") -> DataFrame:
+    """key and class_id: the smallest key whose text has the same shingles."""
+    signed = written(docs.select(key, _digest(F.col(content)).alias("set")), "classes")
+    return signed.join(signed.groupBy("set").agg(F.min(key).alias("class_id")), "set").select(key, "class_id")
 
 
-def involvement(corpus: DataFrame, agreement: float = AGREEMENT) -> DataFrame:
+def representatives(docs: DataFrame, key: str = "doc_id", content: str = "content", *more: Column) -> DataFrame:
+    """(rep, n, set, sig) and ``more`` aggregates, one row a class, written to the shared folder.
+
+    The rep is the smallest key of the class and n its rows; set are the
+    shingles and sig their minima.  Texts are not moved: classes are formed by
+    digest, and a row of the smallest key gives the shingles.
+    """
+    kept = [c for c in docs.columns if c not in (key, content)]
+    signed = written(docs.select(key, *kept, shingle_set(F.col(content)).alias("set")), "shingles")
+    per = signed.groupBy(F.md5(F.array_join(F.col("set").cast("array<string>"), ",").cast("binary")).alias("digest")).agg(F.min(key).alias("rep"), F.count("*").cast("long").alias("n"), *more)
+    first = signed.select(F.col(key).alias("rep"), "set").groupBy("rep", F.md5(F.array_join(F.col("set").cast("array<string>"), ",").cast("binary")).alias("digest")).agg(F.first("set").alias("set"))
+    out = per.join(first, ["digest", "rep"]).drop("digest")
+    # The minima need numbers below the modulus.
+    return written(out.withColumn("sig", minima(F.transform("set", lambda h: F.pmod(h, F.lit(PRIME))))), "representatives")
+
+
+def _buckets(banded: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Rows of buckets (code) of two or more: the small and the large ones, with their size."""
+    sizes = banded.groupBy("code").agg(F.count("*").alias("size")).filter("size > 1")
+    sized = written(banded.join(sizes, "code"), "buckets")
+    return sized.filter(F.col("size") <= BUCKET), sized.filter(F.col("size") > BUCKET)
+
+
+def _join_within(small: DataFrame) -> DataFrame:
+    x, y = small.alias("x"), small.alias("y")
+    return x.join(y, (F.col("x.code") == F.col("y.code")) & (F.col("x.rep") < F.col("y.rep"))).select(F.col("x.rep").alias("a"), F.col("y.rep").alias("b"))
+
+
+def _between(agreement: float):
+    """Candidates between two blocks of a bucket, or within one: those whose first two common bands are the bucket's."""
+
+    def run(key: tuple, group: pa.Table) -> pa.Table:
+        _, first, second, p, q = (k.as_py() for k in key)
+        left, reps = group["left"].to_numpy(zero_copy_only=False), group["rep"].combine_chunks()
+        sig = np.array(group["sig"].to_pylist(), np.int64)
+        x = np.flatnonzero(left)
+        y = x if p == q else np.flatnonzero(~left)
+        rows = PERMUTATIONS // BANDS
+        agree, common = np.zeros((len(x), len(y)), np.int16), np.ones((len(x), len(y)), bool)
+        for band in range(BANDS):
+            whole = np.ones(agree.shape, bool)
+            for k in range(band * rows, (band + 1) * rows):
+                same = sig[x, k][:, None] == sig[y, k][None, :]
+                agree += same
+                whole &= same
+            if band in (first, second):
+                common &= whole
+            elif band < second:
+                common &= ~whole
+        i, j = np.nonzero((agree >= agreement * PERMUTATIONS) & common)
+        a, b = reps.take(pa.array(x[i])), reps.take(pa.array(y[j]))
+        swap = pc.greater(a, b)
+        out = pa.table({"a": pc.if_else(swap, b, a), "b": pc.if_else(swap, a, b)})
+        return out.filter(pc.not_equal(a, b))
+
+    return run
+
+
+def meet(reps: DataFrame, similarity: float = SIMILARITY, agreement: float = AGREEMENT) -> DataFrame:
+    """Pairs (a < b) of ``representatives`` with a Jaccard similarity of at least ``similarity``, and the classes' sizes.
+
+    A pair is found if it shares a band, or two where the first one's bucket is
+    large: of pairs at 0.8 more than 0.997 are, of pairs at 0.85 more than 0.9997.
+    """
+    rows = PERMUTATIONS // BANDS
+    bands = F.transform(F.sequence(F.lit(0), F.lit(BANDS - 1)), lambda i: F.xxhash64(i, F.slice("sig", i * rows + 1, F.lit(rows))))
+    filled = reps.filter(F.size("set") > 0)
+    small, large = _buckets(filled.select("rep", F.posexplode(bands).alias("band", "code")))
+    # Members of large buckets meet again where another band agrees as well.
+    own = filled.select("rep", bands.alias("bands"))
+    twice = large.select("rep", "band").join(own, "rep").select("rep", "band", "bands", F.explode(F.sequence(F.lit(0), F.lit(BANDS - 1))).alias("other")).filter("band <> other")
+    twice = twice.select("rep", F.least("band", "other").alias("first"), F.greatest("band", "other").alias("second"), "bands").distinct()
+    code = F.xxhash64("first", "second", F.element_at("bands", F.col("first") + 1), F.element_at("bands", F.col("second") + 1))
+    small_twice, hot = _buckets(twice.select("rep", "first", "second", code.alias("code")))
+    # What is large even so: blocks, and a group for each pair of them; only signatures travel.
+    n = F.ceil(F.col("size") / BUCKET).cast("int")
+    cut = hot.withColumn("n", n).withColumn("own", F.pmod(F.xxhash64("rep", F.lit("block")), F.col("n")).cast("int"))
+    cut = cut.join(filled.select("rep", F.col("sig").cast("array<int>").alias("sig")), "rep").withColumn("other", F.explode(F.sequence(F.lit(0), F.col("n") - 1)))
+    cut = cut.select("code", "first", "second", F.least("own", "other").alias("p"), F.greatest("own", "other").alias("q"), (F.col("own") <= F.col("other")).alias("left"), "rep", "sig")
+    kind = reps.schema["rep"].dataType.simpleString()
+    blocks = cut.groupBy("code", "first", "second", "p", "q").applyInArrow(_between(agreement), f"a {kind}, b {kind}")
+    met = _join_within(small).unionByName(_join_within(small_twice)).unionByName(blocks).distinct()
+    left, right = (reps.select(F.col("rep").alias(k), F.col("sig").alias(f"sig_{k}"), F.col("set").alias(f"set_{k}"), F.col("n").alias(f"n_{k}")) for k in "ab")
+    agree = F.aggregate(F.zip_with("sig_a", "sig_b", lambda p, q: (p == q).cast("int")), F.lit(0), lambda s, v: s + v)
+    near = met.join(left, "a").join(right, "b").filter(agree >= agreement * PERMUTATIONS).withColumn("both", F.size(F.array_intersect("set_a", "set_b")))
+    near = near.withColumn("similarity", F.col("both") / (F.size("set_a") + F.size("set_b") - F.col("both")))
+    return near.filter(F.col("similarity") >= similarity).select("a", "b", "n_a", "n_b", "similarity")
+
+
+def pairs(docs: DataFrame, similarity: float = SIMILARITY, key: str = "doc_id", content: str = "content") -> DataFrame:
+    """Pairs of class representatives (a < b) that are similar, with the classes' sizes."""
+    return meet(representatives(docs.select(key, content), key, content), similarity)
+
+
+def involvement(corpus: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
     """One row: distinct texts, near (those that have a near copy among the others), cross (classes with near copies under both labels).
 
     All texts are taken; those that occur with both labels count for both.
     """
-    texts = corpus.groupBy("content").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).withColumn("key", F.md5(F.col("content").cast("binary")))
-    reps = representatives(texts, "key", "content", F.min("lo").alias("lo"), F.max("hi").alias("hi")).persist()  # read five times
-    found = meet(reps, agreement).select("a", "b")
+    texts = corpus.groupBy(F.md5(F.col("content").cast("binary")).alias("key")).agg(F.min("content").alias("content"), F.min("label").alias("lo"), F.max("label").alias("hi"))
+    reps = representatives(texts, "key", "content", F.min("lo").alias("lo"), F.max("hi").alias("hi"))
+    found = meet(reps, similarity).select("a", "b")
     links = found.unionByName(found.select(F.col("b").alias("a"), F.col("a").alias("b")))
     other = links.join(reps.select(F.col("rep").alias("b"), "lo", "hi"), "b").groupBy(F.col("a").alias("rep")).agg(F.min("lo").alias("other_lo"), F.max("hi").alias("other_hi"))
     x = reps.select("rep", "n", "lo", "hi").join(other, "rep", "left")

@@ -564,6 +564,17 @@ def _cross_sql() -> str:
     return f"WITH {_split_sql()}, {rows}, docs AS (SELECT view, doc_id, label, train FROM rows), {_view_terms_sql()}, {_fits_sql([FEATURES])}, {last} SELECT corpus, n, accuracy, f1, {drops} FROM r"
 
 
+def _shingled_sql() -> str:
+    """CTE classes (doc_id, class_id, n, s): texts with the same 5-word shingles, and these in order."""
+    grams = "CASE WHEN len(w) = 0 THEN [] WHEN len(w) <= 5 THEN [array_to_string(w, ' ')] ELSE list_sort(list_distinct(list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i : i + 4], ' ')))) END"
+    return f"tokens AS (SELECT doc_id, list_filter(string_split({_norm('text')}, ' '), lambda x: x <> '') AS w FROM documents), grams AS (SELECT doc_id, {grams} AS s FROM tokens), classes AS MATERIALIZED (SELECT doc_id, min(doc_id) OVER (PARTITION BY s) AS class_id, count(*) OVER (PARTITION BY s) AS n, s FROM grams)"
+
+
+def _near_sql() -> str:
+    one = "reps AS (SELECT doc_id, n, len(s) AS k, s FROM classes WHERE doc_id = class_id), each AS MATERIALIZED (SELECT doc_id, unnest(s) AS g FROM reps), shared AS (SELECT x.doc_id AS a, y.doc_id AS b, count(*) AS c FROM each x JOIN each y ON x.g = y.g AND x.doc_id < y.doc_id GROUP BY ALL)"
+    return f"WITH {_shingled_sql()}, {one} SELECT a, b, p.n AS n_a, q.n AS n_b, c / (p.k + q.k - c) AS similarity FROM shared JOIN reps p ON p.doc_id = a JOIN reps q ON q.doc_id = b WHERE c / (p.k + q.k - c) >= {neardup.SIMILARITY}"
+
+
 _FOLDS = "folded AS (SELECT p.doc_id, p.label, f.fold FROM parts p JOIN (SELECT doc_id, (row_number() OVER (PARTITION BY label ORDER BY md5(doc_id || '-42'), doc_id) - 1) % 3 AS fold FROM corpus) f USING (doc_id) WHERE split = 'train')"
 
 
@@ -709,7 +720,9 @@ def oracle_sql() -> dict[str, str]:
         "marker_mismatch": _eval_sql() + f", x AS (SELECT system, regexp_matches(coalesce(d.text, ''), '{RULE}') = (label = 0) AS odd, label <> pred AS wrong FROM scores JOIN documents d USING (doc_id)), y AS (SELECT system, count(*) AS n, count(*) FILTER (odd) AS k, count(*) FILTER (wrong) AS errors, count(*) FILTER (odd AND wrong) AS in_slice FROM x GROUP BY system) SELECT system, errors, in_slice, round(in_slice / greatest(errors, 1), 6) AS share, round(k / n, 6) AS slice_share, round((in_slice / greatest(errors, 1)) / nullif(k / n, 0), 6) AS concentration FROM y",
         "style_of_errors": _eval_sql() + f", {_WRONG}, s AS (SELECT label, any_wrong, " + ", ".join(f"CAST({v} AS DOUBLE) AS {k}" for k, v in _stats_sql("d.text").items()) + " FROM wrong JOIN documents d USING (doc_id)), a AS (" + " UNION ALL ".join(f"SELECT label, '{k}' AS feature, avg({k}) FILTER (any_wrong = 1) AS w, avg({k}) FILTER (any_wrong = 0) AS r FROM s GROUP BY label" for k in style) + ") SELECT label, feature, round(w, 6) AS wrong, round(r, 6) AS \"right\", round(w / nullif(r, 0), 6) AS ratio FROM a",
         "roc_points": _eval_sql() + f", {points} SELECT system, proba, round(fpr, 6) AS fpr, round(tpr, 6) AS tpr, round(precision, 6) AS precision FROM curve",
-        "calibration_bins": _eval_sql() + ", e AS (SELECT system, list_transform(quantile_cont(proba, [0.1, 0.2, 0.3, 0.4, 0.5, 0.6, 0.7, 0.8, 0.9]), lambda x: round(x, 9)) AS edges FROM scores GROUP BY system), x AS (SELECT s.*, CAST(len(list_filter(edges, lambda x: x < proba)) AS INTEGER) AS bin FROM scores s JOIN e USING (system)) SELECT system, bin, count(*) AS n, round(avg(proba), 6) AS mean_predicted, round(avg(label), 6) AS observed FROM x GROUP BY system, bin",
+        "calibration_bins": _eval_sql() + ", e AS (SELECT system, list_transform(quantile_cont(proba, [0.1, 0.2, 0.3, 0.4, 0.5, 0.6, 0.7, 0.8, 0.9]), lambda x: round(x, 9)) AS edges FROM scores GROUP BY system), x AS (SELECT s.*, CAST(len(list_filter(edges, lambda x: x < proba)) AS INTEGER) AS bin FROM scores s JOIN e USING (system)) SELECT system, bin, count(*) AS n, CAST((2 * sum(CAST(round(proba * 1000000000) AS BIGINT)) + 1000 * count(*)) // (2000 * count(*)) AS BIGINT) / 1000000.0::DOUBLE AS mean_predicted, round(avg(label), 6) AS observed FROM x GROUP BY system, bin",
+        "minhash_classes": f"WITH {_shingled_sql()} SELECT doc_id, class_id FROM classes",
+        "minhash_pairs": _near_sql(),
         "ablation": _ablation_sql(),
         "cross_corpus": _cross_sql(),
         "grid_search": _search_sql() + " SELECT * FROM found",
