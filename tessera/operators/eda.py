@@ -249,7 +249,7 @@ def tfidf(terms: DataFrame, vocab: DataFrame, n_docs: int) -> DataFrame:
     return x.join(norm, "doc_id").select("doc_id", "label", "term", (F.col("raw") / F.col("norm")).alias("weight"))
 
 
-def length_histogram(corpus: DataFrame, bins: int = 20, clip: int = 2000) -> DataFrame:
+def length_histogram(corpus: DataFrame, bins: int = 60, clip: int = 2000) -> DataFrame:
     w = corpus.select(F.least(n_words(F.col("content")), F.lit(clip)).alias("w"), "label")
     s = w.agg(F.min("w").alias("lo"), F.max("w").alias("hi")).first()
     lo, hi = s["lo"] or 0, s["hi"] or 0

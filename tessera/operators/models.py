@@ -117,29 +117,32 @@ def boosted_pipeline(features: int = 500, parts: int = 20, rounds: int = 10, see
     return Pipeline(stages=[*stages, PCA(k=parts, inputCol="features", outputCol="components"), GBTClassifier(featuresCol="components", maxIter=rounds, maxDepth=4, seed=seed)])
 
 
-def shuffled_column(df: DataFrame, column: str, seed: int, size: int = 1000, key: str = "doc_id") -> DataFrame:
-    """``df`` with one column's values dealt to other rows.
+def shuffled_columns(df: DataFrame, columns: list[str], repeats: int, size: int = 1000, key: str = "doc_id") -> DataFrame:
+    """``df`` once as it is (column -1) and ``repeats`` times for each column with its values dealt to other rows.
 
-    Rows fall into random groups of about ``size`` by their key's hash, and in
-    each the values move on by one row in random order: a permutation without
-    any global order.
+    The new columns ``column`` and ``repeat`` tell the copies apart.  Rows fall
+    into random groups of about ``size`` by their key's hash, and in each the
+    values move on by one row in random order: a permutation without any global
+    order.
     """
     groups = max(1, -(-df.count() // size))
-    group = F.pmod(F.xxhash64(F.lit(seed), F.col(key)), F.lit(groups))
-    w = Window.partitionBy("_group").orderBy(F.md5(F.concat_ws("-", F.col(key), F.lit(seed))), key)
-    moved = F.coalesce(F.lead(column).over(w), F.first(column).over(w.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)))
-    return df.withColumn("_group", group).withColumn("_moved", moved).drop("_group", column).withColumnRenamed("_moved", column)
+    copies = [(-1, 0), *((i, s) for i in range(len(columns)) for s in range(repeats))]
+    x = df.select(*[c for c in df.columns if c not in columns], F.array(*columns).alias("_all"), F.explode(F.array(*[F.struct(F.lit(i).alias("column"), F.lit(s).alias("repeat")) for i, s in copies])).alias("_copy"))
+    x = x.select("*", "_copy.column", "_copy.repeat").withColumn("_group", F.pmod(F.xxhash64("repeat", key), F.lit(groups)))
+    w = Window.partitionBy("column", "repeat", "_group").orderBy(F.md5(F.concat_ws("-", key, "repeat")), key)
+    own = F.element_at("_all", F.greatest("column", F.lit(0)) + 1)
+    moved = F.coalesce(F.lead(own).over(w), F.first(own).over(w.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)))
+    x = x.withColumn("_moved", moved)
+    return x.select("*", *[F.when(F.col("column") == i, F.col("_moved")).otherwise(F.col("_all")[i]).alias(c) for i, c in enumerate(columns)]).drop("_all", "_copy", "_group", "_moved")
 
 
 def permutation_importance(train: DataFrame, test: DataFrame, columns: list[str], pipeline, repeats: int = 5) -> DataFrame:
-    """Mean loss of accuracy when one column is shuffled."""
+    """Mean loss of accuracy when one column is shuffled; all shuffles are scored in one job."""
     model, spark = pipeline.fit(train), train.sparkSession
-
-    def accuracy(df: DataFrame) -> float:
-        return model.transform(df).agg(F.avg((F.col("prediction") == F.col("label")).cast("double")).alias("a")).first()["a"] or 0.0
-
-    base = accuracy(test)
-    rows = [(c, round(base - sum(accuracy(shuffled_column(test, c, s)) for s in range(repeats)) / repeats, 6)) for c in columns]
+    hit = (F.col("prediction") == F.col("label")).cast("double")
+    found = {(r["column"], r["repeat"]): r["a"] for r in model.transform(shuffled_columns(test, columns, repeats)).groupBy("column", "repeat").agg(F.avg(hit).alias("a")).collect()}
+    base = found.get((-1, 0), 0.0)
+    rows = [(c, round(base - sum(found.get((i, s), 0.0) for s in range(repeats)) / repeats, 6)) for i, c in enumerate(columns)]
     return spark.createDataFrame(rows, "feature string, importance double")
 
 

@@ -55,6 +55,14 @@ def _check(df: DataFrame, name: str, weight: float, value: Column, threshold: st
     return df.select(F.lit(name).alias("check_id"), F.lit(float(weight)).alias("weight"), v.alias("value"), (verdict(v, warn, fail) if status is None else status).alias("status"))
 
 
+def date_checks(corpus: DataFrame) -> DataFrame:
+    """The three checks of a corpus with label and date, as rows of ``checks``."""
+    first, *rest = _date_checks(corpus)
+    for x in rest:
+        first = first.unionByName(x)
+    return first
+
+
 def _date_checks(corpus: DataFrame) -> list[DataFrame]:
     """The three checks of the column date; a class without dates has no window and no distance."""
     x = corpus.select("label", parse_date(F.col("date"), DATE_FORMATS).alias("d"))

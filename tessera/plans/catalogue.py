@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 
 from tessera.config import BOILERPLATE, CONFIDENCE_BINS, COVERAGE_BINS, LENGTH_BINS, MARKERS, STOP_WORDS
 from tessera.functions import stats, text
-from tessera.operators import eda, evaluation, linear, models, neardup, nested, predlog, quality
+from tessera.operators import eda, evaluation, linear, logstore, models, neardup, nested, predlog, quality
 from tessera.plans.kept import kept, written
 from tessera.sources import pages
 from tessera.sources.corpus import fingerprints
@@ -223,7 +223,7 @@ def _parts(spark: SparkSession, sf_dir: str, content=None) -> tuple[DataFrame, D
     parts = split(spark, sf_dir)
     folds = eda.stratified_folds(corpus(spark, sf_dir)).select("doc_id", "fold")
     x = parts.join(folds, "doc_id").withColumn("tokens", text.clean_tokens(F.col("content") if content is None else content(F.col("content"))))
-    x = x.select("doc_id", "label", "content", "fold", "split", "tokens").persist()  # the fits read it many times
+    x = written(x.select("doc_id", "label", "content", "fold", "split", "tokens"), "parts")  # the fits read it many times
     return x.filter("split = 'train'"), x.filter("split = 'test'")
 
 
@@ -270,7 +270,7 @@ def boosted_eval(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _style_parts(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, list[str]]:
     style = text.text_stats(F.col("content"))
-    x = split(spark, sf_dir).select("doc_id", "label", "split", *[c.cast("double").alias(k) for k, c in style.items()])
+    x = written(split(spark, sf_dir).select("doc_id", "label", "split", *[c.cast("double").alias(k) for k, c in style.items()]), "style")
     return x.filter("split = 'train'"), x.filter("split = 'test'"), list(style)
 
 
@@ -328,6 +328,26 @@ def quality_checks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.checks(corpus(spark, sf_dir)).unionByName(file_checks(spark, sf_dir))
 
 
+def date_checks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The checks of dates on the orders, whose dates are written out, one in 97 not as a date; label 1 ends a year early."""
+    x = table(spark, sf_dir, "orders")
+    day = F.when(F.expr("o_orderstatus = 'F'"), F.col("o_orderdate")).otherwise(F.add_months("o_orderdate", -12))
+    written_out = F.when(F.col("o_orderkey") % 97 == 0, F.lit("not known")).when(F.col("o_orderkey") % 2 == 0, F.date_format(day, "MMMM d, yyyy")).otherwise(F.date_format(day, "MMM d, yyyy"))
+    return quality.date_checks(x.select((F.col("o_orderstatus") != "F").cast("int").alias("label"), written_out.alias("date")))
+
+
+def log_fetch(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The newest 50 entries with the label REAL since a given time."""
+    return predlog.fetch(log(spark, sf_dir), label="REAL", since="2024-01-01 00:10:00").select("id", "label", "confidence", "source")
+
+
+def log_unknown(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Feedback on ids that the log does not have: events of every third turn, one id in seven off by half a million."""
+    rows = log(spark, sf_dir)
+    events = log_events(rows).withColumn("id", F.when(F.col("id") % 7 == 0, F.col("id") + 500_000_000).otherwise(F.col("id")))
+    return logstore.unknown(events, rows)
+
+
 def log_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Log rows under ids of the log's own, after an earlier batch of 1,000."""
     rows = log(spark, sf_dir).withColumn("turn_id", F.col("id"))
@@ -435,6 +455,9 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "quality_score": lambda s, d: quality.score(quality_checks(s, d)),
         "file_checks": file_checks,
         "log_ids": log_ids,
+        "date_checks": date_checks,
+        "log_fetch": log_fetch,
+        "log_unknown": log_unknown,
         "log_summary": lambda s, d: predlog.summary(log(s, d)),
         "log_groups": lambda s, d: predlog.by(log(s, d)),
         "log_corrections": lambda s, d: predlog.corrections(log(s, d)).select("text", "label", "model"),
@@ -644,6 +667,23 @@ _LOG = """
 """
 
 
+def _dates_sql() -> str:
+    limit = lambda k, v: f"CASE WHEN {v} >= {quality.THRESHOLDS[k][1]} THEN 'FAIL' WHEN {v} > {quality.THRESHOLDS[k][0]} THEN 'WARN' ELSE 'PASS' END"
+    js = "round(sqrt(greatest(sum(CASE WHEN p > 0 THEN p * log2(p / ((p + q) / 2)) ELSE 0 END) / 2 + sum(CASE WHEN q > 0 THEN q * log2(q / ((p + q) / 2)) ELSE 0 END) / 2, 0)), 6)"
+    return (
+        "WITH x AS (SELECT CAST(o_orderstatus <> 'F' AS INTEGER) AS label, CASE WHEN o_orderkey % 97 = 0 THEN NULL WHEN o_orderstatus = 'F' THEN CAST(o_orderdate AS DATE) ELSE CAST(CAST(o_orderdate AS DATE) - INTERVAL 12 MONTH AS DATE) END AS d FROM orders), "
+        "span AS (SELECT greatest(min(d) FILTER (label = 0), min(d) FILTER (label = 1)) AS lo, least(max(d) FILTER (label = 0), max(d) FILTER (label = 1)) AS hi FROM x), "
+        "v AS (SELECT round(count(*) FILTER (d IS NULL) / count(*), 6) AS v FROM x), "
+        "o AS (SELECT count(*) AS n, count(*) FILTER (d NOT BETWEEN lo AND hi) AS k, count(*) FILTER (d NOT BETWEEN lo AND hi AND label = 0) AS f FROM x CROSS JOIN span), "
+        "m AS (SELECT strftime(d, '%Y-%m') AS month, count(*) FILTER (label = 0) AS a, count(*) FILTER (label = 1) AS b FROM x WHERE d IS NOT NULL GROUP BY 1), "
+        "s AS (SELECT a / sum(a) OVER () AS p, b / sum(b) OVER () AS q, a, b FROM m), "
+        f"j AS (SELECT {js} AS js, round(count(*) FILTER (a = 0 OR b = 0) / count(*), 6) AS single FROM s) "
+        f"SELECT 'validity.dates' AS check_id, 1.0::DOUBLE AS weight, v AS value, {limit('unparseable_date_rate', 'v')} AS status FROM v "
+        "UNION ALL SELECT 'consistency.date_label', 1.5, round(k / n, 6), CASE WHEN coalesce(f / nullif(k, 0), 0) > 0.99 THEN 'FAIL' WHEN k > 0 THEN 'WARN' ELSE 'PASS' END FROM o "
+        f"UNION ALL SELECT 'drift.dates', 1.5, js, CASE WHEN 'FAIL' IN ({limit('js_distance', 'js')}, {limit('single_class_month', 'single')}) THEN 'FAIL' WHEN 'WARN' IN ({limit('js_distance', 'js')}, {limit('single_class_month', 'single')}) THEN 'WARN' ELSE 'PASS' END FROM j"
+    )
+
+
 def oracle_sql() -> dict[str, str]:
     style, docs_stats = _stats_sql(), _stats_sql()
     audit = " UNION ALL ".join(f"SELECT '{m.replace(chr(39), chr(39) * 2)}' AS marker, count(*) FILTER (label = 0 AND regexp_matches(content, '(?m){p}')) AS h0, count(*) FILTER (label = 1 AND regexp_matches(content, '(?m){p}')) AS h1, count(*) FILTER (label = 0) AS n0, count(*) FILTER (label = 1) AS n1 FROM corpus" for m, p in ((m, p.replace(chr(39), chr(39) * 2)) for m, p in MARKERS.items()))
@@ -688,7 +728,7 @@ def oracle_sql() -> dict[str, str]:
         "vocabulary_pairs": f"WITH {_CORPUS}, {_pairs_sql('corpus')}, {_vocab_sql(2, 5000)} SELECT * FROM vocab",
         "term_rates": f"WITH {_CORPUS}, {_terms_sql('corpus')}, {_vocab_sql(2, 500)}, s AS (SELECT count(*) FILTER (label = 0) AS n0, count(*) FILTER (label = 1) AS n1 FROM corpus) SELECT CAST(row_number() OVER (ORDER BY tf DESC, term) AS INTEGER) AS rank, term, tf, round(coalesce(df_fake / nullif(n0, 0), 0), 6) AS fake_rate, round(coalesce(df_real / nullif(n1, 0), 0), 6) AS real_rate, round(abs(coalesce(df_real / nullif(n1, 0), 0) - coalesce(df_fake / nullif(n0, 0), 0)), 6) AS gap FROM vocab CROSS JOIN s",
         "vocabulary_overlap": f"WITH {_CORPUS}, {_terms_sql('corpus')}, p AS (SELECT term, max(CAST(label = 0 AS INTEGER)) AS f, max(CAST(label = 1 AS INTEGER)) AS r FROM terms GROUP BY term) SELECT CAST(sum(f) AS BIGINT) AS fake_terms, CAST(sum(r) AS BIGINT) AS real_terms, count(*) FILTER (f = 1 AND r = 1) AS shared, round(count(*) FILTER (f = 1 AND r = 1) / count(*), 6) AS jaccard FROM p",
-        "length_histogram": f"WITH {_CORPUS}, w AS (SELECT least({_words()}, 2000) AS w, label FROM corpus), s AS (SELECT min(w) AS lo, max(w) AS hi FROM w) SELECT CAST(least(floor((w - lo) * 20 / greatest(hi - lo, 1)), 19) AS INTEGER) AS bin, count(*) FILTER (label = 0) AS fake, count(*) FILTER (label = 1) AS real FROM w CROSS JOIN s GROUP BY 1",
+        "length_histogram": f"WITH {_CORPUS}, w AS (SELECT least({_words()}, 2000) AS w, label FROM corpus), s AS (SELECT min(w) AS lo, max(w) AS hi FROM w) SELECT CAST(least(floor((w - lo) * 60 / greatest(hi - lo, 1)), 59) AS INTEGER) AS bin, count(*) FILTER (label = 0) AS fake, count(*) FILTER (label = 1) AS real FROM w CROSS JOIN s GROUP BY 1",
         "ks_length": f"WITH {_CORPUS}, w AS (SELECT least({_words()}, 2000) AS w, label FROM corpus), p AS (SELECT w, count(*) FILTER (label = 0) AS a, count(*) FILTER (label = 1) AS b FROM w GROUP BY w), g AS (SELECT abs(sum(a) OVER (ORDER BY w ROWS UNBOUNDED PRECEDING) / sum(a) OVER () - sum(b) OVER (ORDER BY w ROWS UNBOUNDED PRECEDING) / sum(b) OVER ()) AS gap FROM p) SELECT round(max(gap), 6) AS ks_statistic FROM g",
         "js_vocabulary": f"WITH {_CORPUS}, {_terms_sql('corpus')}, {_vocab_sql(3, 20000)}, x AS (SELECT df_fake / sum(df_fake) OVER () AS p, df_real / sum(df_real) OVER () AS q FROM vocab) SELECT round(sqrt(greatest(sum(CASE WHEN p > 0 THEN p * log2(p / ((p + q) / 2)) ELSE 0 END) / 2 + sum(CASE WHEN q > 0 THEN q * log2(q / ((p + q) / 2)) ELSE 0 END) / 2, 0)), 6) AS js_distance FROM x",
         "tfidf_weights": _nb_sql() + "done AS (SELECT 1) SELECT doc_id, term, round(weight, 6) AS weight FROM weights",
@@ -730,6 +770,9 @@ def oracle_sql() -> dict[str, str]:
         "learning_curve": _curve_sql(),
         "stump_eval": f"WITH {_CORPUS}, x AS (SELECT CAST(regexp_matches(content, '{RULE}') AS INTEGER) AS hit, count(*) FILTER (label = 0) AS f, count(*) FILTER (label = 1) AS r FROM corpus GROUP BY 1) SELECT hit, CAST(r > f AS INTEGER) AS pred, greatest(f, r) AS hits, f + r AS n FROM x",
         "log_summary": _LOG + ", r AS (SELECT count(*) AS repeated_inputs FROM (SELECT input_hash FROM log GROUP BY 1 HAVING count(*) > 1)) SELECT count(*) AS total, count(*) FILTER (label = 'FAKE') AS fake, count(*) FILTER (label = 'REAL') AS real, round(avg(confidence), 6) AS avg_confidence, count(*) FILTER (confidence < 0.7) AS low_confidence, count(*) FILTER (true_label IS NOT NULL) AS reviewed, round(avg(CAST(true_label = prediction AS INTEGER)), 6) AS observed_accuracy, any_value(repeated_inputs) AS repeated_inputs FROM log CROSS JOIN r",
+        "date_checks": _dates_sql(),
+        "log_fetch": _LOG + " SELECT id, label, confidence, source FROM log WHERE label = 'REAL' AND created_at >= TIMESTAMP '2024-01-01 00:10:00' ORDER BY id DESC LIMIT 50",
+        "log_unknown": _LOG + ", e AS (SELECT CASE WHEN id % 7 = 0 THEN id + 500000000 ELSE id END AS id FROM log CROSS JOIN range(2) WHERE id % 3 = 0) SELECT id, count(*) AS events FROM e WHERE id NOT IN (SELECT id FROM log) GROUP BY id",
         "log_ids": _LOG + ", x AS (SELECT l.*, b.p FROM log l JOIN base b USING (id)) SELECT 1000 + row_number() OVER (ORDER BY md5(id || '-42'), id) AS id, id AS turn_id, label, round(1 - p, 6) AS proba_fake, round(p, 6) AS proba_real FROM x",
         "log_groups": _LOG + " SELECT 'label' AS kind, label AS value, count(*) AS n FROM log GROUP BY 2 UNION ALL SELECT 'model', model, count(*) FROM log GROUP BY 2 UNION ALL SELECT 'source', source, count(*) FROM log GROUP BY 2",
         "log_corrections": _LOG + " SELECT text_preview AS text, true_label AS label, model FROM log WHERE true_label IS NOT NULL",

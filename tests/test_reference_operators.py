@@ -96,10 +96,14 @@ def test_metric_drift(spark):
     assert [tuple(r) for r in evaluation.metric_drift(found, stored).orderBy("system").collect()] == [("a", 0.5, 0.5, 0.0, True), ("b", 0.25, 0.75, 0.5, False)]
 
 
-def test_shuffled_column_is_a_permutation(spark):
-    df = spark.range(500).select(F.col("id").alias("doc_id"), (F.col("id") * 3).alias("v"), F.lit(1).alias("w"))
-    out = models.shuffled_column(df, "v", 7, size=50).collect()
-    assert sorted(r.v for r in out) == [3 * i for i in range(500)] and sum(r.v == 3 * r.doc_id for r in out) < 20
+def test_shuffled_columns_are_permutations(spark):
+    df = spark.range(500).select(F.col("id").alias("doc_id"), (F.col("id") * 3).cast("double").alias("v"), (F.col("id") % 7).cast("double").alias("w"), F.lit(1).alias("label"))
+    out = models.shuffled_columns(df, ["v", "w"], 2, size=50)
+    assert sorted(out.columns) == ["column", "doc_id", "label", "repeat", "v", "w"] and out.count() == 500 * 5
+    for column, repeat, v_moves, w_moves in ((-1, 0, False, False), (0, 0, True, False), (0, 1, True, False), (1, 0, False, True)):
+        rows = out.filter((F.col("column") == column) & (F.col("repeat") == repeat)).collect()
+        assert sorted(r.v for r in rows) == [3.0 * i for i in range(500)] and sorted(r.w for r in rows) == sorted(float(i % 7) for i in range(500))
+        assert (sum(r.v == 3 * r.doc_id for r in rows) < 20) == v_moves and (sum(r.w == r.doc_id % 7 for r in rows) < 200) == w_moves
 
 
 def test_reports(spark, tmp_path):
