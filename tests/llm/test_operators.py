@@ -578,7 +578,8 @@ def test_mixing(spark, docs, none):
 
 def test_sql(spark):
     con = duckdb.connect()
-    con.execute(f"CREATE VIEW embeddings AS SELECT * FROM '{SF}/embeddings.parquet'")
+    for name in ("documents", "embeddings"):
+        con.execute(f"CREATE VIEW {name} AS SELECT * FROM '{SF}/{name}.parquet'")
     for name, sql in queries.oracle_sql().items():
         found, wanted = queries.queries()[name](spark, SF).toPandas(), con.execute(sql).df()
         cols = sorted(found.columns)
