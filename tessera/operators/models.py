@@ -107,16 +107,6 @@ def ml_scores(train: DataFrame, test: DataFrame, pipeline, system: str) -> DataF
     return out.select("doc_id", F.lit(system).alias("system"), "label", F.col("prediction").cast("int").alias("pred"), proba.alias("proba"))
 
 
-def boosted_pipeline(features: int = 500, parts: int = 20, rounds: int = 10, seed: int = 42):
-    """Boosted trees on the leading principal components of TF-IDF (centred)."""
-    from pyspark.ml import Pipeline
-    from pyspark.ml.classification import GBTClassifier
-    from pyspark.ml.feature import PCA
-
-    stages = linear_pipeline("lr", features).getStages()[:-1]
-    return Pipeline(stages=[*stages, PCA(k=parts, inputCol="features", outputCol="components"), GBTClassifier(featuresCol="components", maxIter=rounds, maxDepth=4, seed=seed)])
-
-
 def shuffled_columns(df: DataFrame, columns: list[str], repeats: int, size: int = 1000, key: str = "doc_id") -> DataFrame:
     """``df`` once as it is (column -1) and ``repeats`` times for each column with its values dealt to other rows.
 

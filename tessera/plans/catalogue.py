@@ -11,12 +11,13 @@ from __future__ import annotations
 import math
 from collections.abc import Callable
 
+from pyspark.ml.functions import array_to_vector
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.config import BOILERPLATE, CONFIDENCE_BINS, COVERAGE_BINS, LENGTH_BINS, MARKERS, STOP_WORDS
 from tessera.functions import stats, text
-from tessera.operators import eda, evaluation, linear, logstore, models, neardup, nested, predlog, quality
+from tessera.operators import eda, evaluation, linear, logstore, models, neardup, nested, predlog, quality, svd
 from tessera.plans.kept import kept, written
 from tessera.sources import pages
 from tessera.sources.corpus import fingerprints
@@ -227,13 +228,18 @@ def _parts(spark: SparkSession, sf_dir: str, content=None) -> tuple[DataFrame, D
     return x.filter("split = 'train'"), x.filter("split = 'test'")
 
 
-def svm_model(spark: SparkSession, sf_dir: str) -> tuple[linear.Linear, DataFrame]:
-    """The calibrated support vector machine on TF-IDF weights (C = 1), and the vectors of all documents."""
+def _vectors(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """TF-IDF vectors of all documents with label, split and fold, and the numbered terms."""
     parts, weights, vocab = _weights(spark, sf_dir)
     terms = written(linear.numbered(vocab), "numbered")
     folds = eda.stratified_folds(corpus(spark, sf_dir)).select("doc_id", F.col("fold").cast("int").alias("fold"))
     docs = parts.select("doc_id", F.col("label").cast("int").alias("label"), "split").join(folds, "doc_id")
-    rows = linear.vectors(weights, docs, terms)
+    return linear.vectors(weights, docs, terms), terms
+
+
+def svm_model(spark: SparkSession, sf_dir: str) -> tuple[linear.Linear, DataFrame]:
+    """The calibrated support vector machine on TF-IDF weights (C = 1), and the vectors of all documents."""
+    rows, terms = _vectors(spark, sf_dir)
     return linear.calibrated_svm(rows.filter("split = 'train'"), terms), rows
 
 
@@ -264,8 +270,22 @@ def linear_eval(kind: str, tokens, features: int):
     return run
 
 
+def svd_model(spark: SparkSession, sf_dir: str) -> tuple[svd.SVD, DataFrame]:
+    """250 components of the training part's TF-IDF weights, and the vectors of all documents."""
+    rows, terms = _vectors(spark, sf_dir)
+    return svd.fit(rows.filter("split = 'train'"), max(terms.count(), 1)), rows
+
+
+def svd_spectrum(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The singular values of the training part and the share of the variance that each explains."""
+    return svd.spectrum(svd_model(spark, sf_dir)[0], spark)
+
+
 def boosted_eval(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return evaluation.confusion(models.ml_scores(*_parts(spark, sf_dir), models.boosted_pipeline(), "boosted"))
+    """Boosted trees on those components."""
+    model, rows = svd_model(spark, sf_dir)
+    x = written(svd.project(rows.select("doc_id", "label", "split", "i", "w"), model), "components").withColumn("features", array_to_vector("components"))
+    return evaluation.confusion(models.ml_scores(x.filter("split = 'train'"), x.filter("split = 'test'"), svd.boosted(), "boosted"))
 
 
 def _style_parts(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, list[str]]:
@@ -443,6 +463,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "svm_terms": svm_terms,
         "svm_attribution": svm_attribution,
         "boosted_eval": boosted_eval,
+        "svd_spectrum": svd_spectrum,
         "forest_eval": forest_eval,
         "style_importance": style_importance,
         "stump_eval": stump_eval,
