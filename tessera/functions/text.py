@@ -102,10 +102,15 @@ def char_ngrams(col: Column, low: int = 3, high: int = 5, most: int = 1500) -> C
     return F.flatten(F.concat(*[of(n) for n in range(low, high + 1)]))
 
 
-def preview(col: Column, pattern: str, around: int = 110) -> Column:
-    """The stretch around the first match; null without one."""
-    at = F.regexp_instr(col, F.lit(pattern))
-    return F.when(at > 0, F.substring(col, F.greatest(at - around, F.lit(1)), F.lit(2 * around)))
+def excerpt(col: Column, pattern: str, around: int = 110) -> Column:
+    """The stretch around the first match, white space as single spaces; the opening where nothing matches.
+
+    Characters are counted as code points.  Dots stand for what is left out
+    before it, and always end it.
+    """
+    text = collapse(F.coalesce(col, F.lit("")))
+    start = F.greatest(F.length(F.regexp_extract(text, f"(?s)^(.*?)(?:{pattern})", 1)) - around, F.lit(0))
+    return F.concat(F.when(start > 0, "...").otherwise(""), F.substring(text, start + 1, F.lit(2 * around)), F.lit("..."))
 
 
 def parse_date(col: Column, formats: tuple[str, ...]) -> Column:

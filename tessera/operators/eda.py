@@ -133,6 +133,22 @@ def temporal_split(df: DataFrame, ts: str, cutoff: str) -> DataFrame:
     return df.withColumn("split", F.when(F.col(ts) < F.to_timestamp(F.lit(cutoff)), "train").otherwise("test"))
 
 
+def temporal_parts(df: DataFrame, ts: str, cutoff: str, label: str = "label") -> tuple[DataFrame, DataFrame]:
+    """Training and test part by ``temporal_split``; rows without a date are in neither.
+
+    An error where a side is empty, which gives the corpus's span of dates, or
+    where the training part has a single class.
+    """
+    x = temporal_split(df.filter(F.col(ts).isNotNull()), ts, cutoff)
+    train = F.col("split") == "train"
+    s = x.agg(F.count_if(train).alias("train"), F.count_if(~train).alias("test"), F.count_distinct(F.when(train, F.col(label))).alias("classes"), F.min(ts).alias("lo"), F.max(ts).alias("hi")).first()
+    if not (s["train"] and s["test"]):
+        raise ValueError(f"cutoff {cutoff} leaves a side empty ({s['train']} train, {s['test']} test); dates run from {s['lo']} to {s['hi']}")
+    if s["classes"] < 2:
+        raise ValueError(f"cutoff {cutoff} leaves one class in the training part; a later one is needed")
+    return x.filter(train).drop("split"), x.filter(~train).drop("split")
+
+
 def shuffled(key: str, seed: int = SEED) -> Column:
     """A hash to order rows by, the same in any engine."""
     return F.md5(F.concat_ws("-", F.col(key).cast("string"), F.lit(str(seed))).cast("binary"))

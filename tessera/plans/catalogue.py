@@ -411,6 +411,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "temporal_split_counts": lambda s, d: _count(eda.temporal_split(orders(s, d), "o_orderdate", CUTOFF), "split", "label"),
         "stratified_split": lambda s, d: split(s, d).select("doc_id", "label", "split"),
         "stratified_folds": lambda s, d: eda.stratified_folds(corpus(s, d)).select("doc_id", "label", "fold"),
+        "excerpts": lambda s, d: documents(s, d).select("doc_id", text.excerpt(F.col("content"), RULE).alias("excerpt")),
         "seeded_sample": lambda s, d: eda.seeded_sample(documents(s, d), 100).select("doc_id"),
         "balanced_subsample": lambda s, d: eda.balanced_subsample(corpus(s, d)).select("doc_id", "label"),
         "vocabulary_ranking": lambda s, d: eda.vocabulary(_terms(s, d), 2, 500),
@@ -741,6 +742,7 @@ def oracle_sql() -> dict[str, str]:
         "temporal_split_counts": f"WITH {dates} SELECT CASE WHEN d < TIMESTAMP '{CUTOFF}' THEN 'train' ELSE 'test' END AS split, label, count(*) AS n FROM o GROUP BY ALL",
         "stratified_split": f"WITH {_split_sql()} SELECT doc_id, label, split FROM parts",
         "stratified_folds": f"WITH {_CORPUS} SELECT doc_id, label, CAST((row_number() OVER (PARTITION BY label ORDER BY md5(doc_id || '-42'), doc_id) - 1) % 3 AS INTEGER) AS fold FROM corpus",
+        "excerpts": f"WITH {_DOCS}, t AS (SELECT doc_id, regexp_replace(coalesce(content, ''), '[\\s\\x0b\\x85\\p{{Z}}]+', ' ', 'g') AS t FROM docs), p AS (SELECT doc_id, t, greatest(length(regexp_extract(t, '(?s)^(.*?)(?:{RULE})', 1)) - 110, 0) AS s FROM t) SELECT doc_id, CASE WHEN s > 0 THEN '...' ELSE '' END || substring(t, CAST(s + 1 AS BIGINT), 220) || '...' AS excerpt FROM p",
         "seeded_sample": "SELECT doc_id FROM documents ORDER BY md5(doc_id || '-42'), doc_id LIMIT 100",
         "balanced_subsample": f"WITH {_CORPUS}, x AS (SELECT doc_id, label, row_number() OVER (PARTITION BY label ORDER BY md5(doc_id || '-42'), doc_id) AS k FROM corpus) SELECT doc_id, label FROM x WHERE k <= (SELECT min(c) FROM (SELECT count(*) AS c FROM corpus GROUP BY label))",
         "vocabulary_ranking": f"WITH {_CORPUS}, {_terms_sql('corpus')}, {_vocab_sql(2, 500)} SELECT * FROM vocab",
