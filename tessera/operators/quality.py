@@ -9,6 +9,7 @@ from tessera.config import DATE_FORMATS, POINTS, THRESHOLDS
 from tessera.functions.stats import js_distance, ks_statistic, ratio, verdict, worst
 from tessera.functions.text import n_words, normalise, parse_date
 from tessera.operators import eda, neardup
+from tessera.plans.kept import written
 from tessera.sources.corpus import compare_runs
 
 #: Patterns of decoding accidents, hard ones first.
@@ -46,13 +47,45 @@ def unknown_subjects(corpus: DataFrame, known: list[str]) -> DataFrame:
 def class_balance(corpus: DataFrame) -> DataFrame:
     x = corpus.agg(F.count_if(F.expr("label = 0")).cast("long").alias("fake"), F.count_if(F.expr("label = 1")).cast("long").alias("real"))
     share = ratio(F.least("fake", "real"), F.col("fake") + F.col("real"))
-    return x.select("fake", "real", F.round(share, 6).alias("minority"), F.when(share > 0.35, "PASS").when(share > 0.2, "WARN").otherwise("FAIL").alias("status"))
+    return x.select("fake", "real", F.round(share, 6).alias("minority"), balance(share).alias("status"))
 
 
-def _check(df: DataFrame, name: str, weight: float, value: Column, threshold: str | None, status: Column | None = None) -> DataFrame:
+def balance(minority: Column) -> Column:
+    return F.when(minority > 0.35, "PASS").when(minority > 0.2, "WARN").otherwise("FAIL")
+
+
+def _entry(name: str, weight: float, value: Column, threshold: str | None, status: Column | None = None) -> Column:
     v = F.round(value.cast("double"), 6)
     warn, fail = THRESHOLDS.get(threshold, (0.0, 0.0))
-    return df.select(F.lit(name).alias("check_id"), F.lit(float(weight)).alias("weight"), v.alias("value"), (verdict(v, warn, fail) if status is None else status).alias("status"))
+    return F.struct(F.lit(name).alias("check_id"), F.lit(float(weight)).alias("weight"), v.alias("value"), (verdict(v, warn, fail) if status is None else status).alias("status"))
+
+
+def _rows(df: DataFrame, *entries: Column) -> DataFrame:
+    """The checks of a table of one row."""
+    return df.select(F.explode(F.array(*entries)).alias("x")).select("x.*")
+
+
+def _check(df: DataFrame, name: str, weight: float, value: Column, threshold: str | None, status: Column | None = None) -> DataFrame:
+    return _rows(df, _entry(name, weight, value, threshold, status))
+
+
+def measures(corpus: DataFrame, marker: str) -> DataFrame:
+    """What the checks ask of each row, from one scan of the texts and written without them: digests of the text, its normalised form, its opening and its title, words, and flags."""
+    c, t = F.col("content"), F.coalesce("title", F.lit("")) if "title" in corpus.columns else F.lit("")
+    x = corpus.select("label", "subject", "content", t.alias("_t"), normalise(c).alias("_norm"), n_words(c).alias("words"), F.length(c).alias("size"))
+    upper, letters = F.regexp_count(c, F.lit(r"\p{Lu}")), F.regexp_count(c, F.lit("[A-Za-z]"))
+    flags = {
+        "blank": F.regexp_replace(c, r"(?U)\s", "") == "",
+        "short": F.col("words") < 20,
+        "hard": c.rlike("|".join(HARD)),
+        "soft": c.rlike("|".join(SOFT)),
+        "marked": c.rlike(f"(?i){marker}"),
+        "shouting": ratio(upper, F.col("size")) > 0.6,
+        "few_letters": ratio(letters, F.col("size")) < 0.5,
+        "url_title": F.col("_t").rlike(r"https?://|www\."),
+    }
+    keys = {"text": c, "norm": F.col("_norm"), "opening": F.substring("_norm", 1, 120), "title": F.col("_t")}
+    return written(x.select("label", "subject", "words", "size", *[F.md5(v.cast("binary")).alias(f"{k}_key") for k, v in keys.items()], *[v.alias(k) for k, v in flags.items()]), "measures")
 
 
 def date_checks(corpus: DataFrame) -> DataFrame:
@@ -92,36 +125,40 @@ def checks(corpus: DataFrame, marker: str = r"\breuters\b", known_subjects: list
     exact repeats and distinct texts with a MinHash near copy, and fail on any
     near copy across labels.
     """
-    c = F.col("content")
-    n = F.count("*")
-    exact = corpus.groupBy(*eda.digest(c)).agg(n.alias("c"), F.min("label").alias("a"), F.max("label").alias("b")).agg(F.sum(F.col("c") - 1).alias("extra"), F.sum("c").alias("n"), F.count_if(F.expr("a <> b")).alias("cross"))
-    norm = corpus.groupBy(*eda.digest(normalise(c))).agg(n.alias("c")).agg(F.sum(F.col("c") - 1).alias("norm_extra"))
+    m, n = measures(corpus, marker), F.count("*")
+    exact = m.groupBy("text_key", "size").agg(n.alias("c"), F.min("label").alias("a"), F.max("label").alias("b")).agg(F.sum(F.col("c") - 1).alias("extra"), F.sum("c").alias("n"), F.count_if(F.expr("a <> b")).alias("cross"))
+    norm = m.groupBy("norm_key").agg(n.alias("c")).agg(F.sum(F.col("c") - 1).alias("norm_extra"))
     near = exact.drop("cross").crossJoin(norm).crossJoin(neardup.involvement(corpus).withColumnRenamed("cross", "near_cross"))
     near_rate = F.greatest(ratio(F.greatest(F.col("norm_extra") - F.col("extra"), F.lit(0)), F.col("n")), ratio(F.col("near"), F.col("texts")))
-    flat = corpus.agg(n.alias("n"), F.count_if(F.regexp_replace(c, r"(?U)\s", "") == "").alias("blank"), F.count_if(n_words(c) < 20).alias("short"), F.count_if(c.rlike("|".join(HARD))).alias("hard"), F.count_if(c.rlike("|".join(SOFT))).alias("soft"), F.count_if(c.rlike(f"(?i){marker}") & (F.col("label") == 0)).alias("m0"), F.count_if(c.rlike(f"(?i){marker}") & (F.col("label") == 1)).alias("m1"), F.count_if(F.expr("label = 0")).alias("n0"), F.count_if(F.expr("label = 1")).alias("n1"))
+    openings = m.agg(n.alias("n"), F.countDistinct("opening_key").alias("o"), F.countDistinct("text_key").alias("d"))
+    of = lambda k, label=None: F.count_if(F.col(k) if label is None else F.col(k) & (F.col("label") == label))
+    flat = m.agg(n.alias("n"), *[of(k).alias(k) for k in ("blank", "short", "hard", "soft", "shouting", "few_letters", "url_title")], *[of("marked", c).alias(f"m{c}") for c in (0, 1)], *[F.count_if(F.col("label") == c).alias(f"n{c}") for c in (0, 1)])
     gap = F.abs(ratio(F.col("m1"), F.col("n1")) - ratio(F.col("m0"), F.col("n0")))
     rate = ratio(F.col("extra"), F.col("n"))
-    terms = eda.term_table(corpus)
-    words = eda.vocabulary(terms, 3, 20000)
+    share = ratio(F.least("n0", "n1"), F.col("n0") + F.col("n1"))
+    flags = [
+        _entry("completeness.nulls", 1.5, ratio(F.col("blank"), F.col("n")), "empty_rate"),
+        _entry("validity.encoding", 1.0, ratio(F.col("hard") + F.col("soft"), F.col("n") * 2), "encoding_bad_rate"),
+        _entry("validity.length", 1.5, ratio(F.col("short"), F.col("n")), "short_article_rate"),
+        _entry("validity.formatting", 1.0, ratio(F.col("shouting") + F.col("few_letters"), F.col("n")), "formatting_rate"),
+        _entry("consistency.publisher_fingerprint", 2.0, gap, "marker_class_gap"),
+        _entry("consistency.class_balance", 1.0, share, None, balance(share)),
+    ]
+    if "title" in corpus.columns:
+        flags.append(_entry("validity.title_is_url", 1.0, ratio(F.col("url_title"), F.col("n")), "url_title_rate"))
+    words = eda.vocabulary(eda.term_table(corpus), 3, 20000)
     out = [
-        _check(flat, "completeness.nulls", 1.5, ratio(F.col("blank"), F.col("n")), "empty_rate"),
+        _rows(flat, *flags),
         _check(exact, "uniqueness.exact_duplicates", 2.0, rate, None, F.when(F.col("cross") > 0, "FAIL").otherwise(verdict(F.round(rate, 6), *THRESHOLDS["dup_rate"]))),
         _check(near, "uniqueness.near_duplicates", 1.5, near_rate, None, F.when(F.col("near_cross") > 0, "FAIL").otherwise(verdict(F.round(near_rate, 6), *THRESHOLDS["near_dup_rate"]))),
-        _check(eda.shared_openings(corpus), "uniqueness.shared_openings", 1.0, F.col("rate"), "shared_opening_rate"),
-        _check(flat, "validity.encoding", 1.0, ratio(F.col("hard") + F.col("soft"), F.col("n") * 2), "encoding_bad_rate"),
-        _check(flat, "validity.length", 1.5, ratio(F.col("short"), F.col("n")), "short_article_rate"),
-        _check(formatting_checks(corpus), "validity.formatting", 1.0, F.col("rate"), "formatting_rate"),
-        _check(eda.subject_rule(corpus), "consistency.subject_label", 2.0, F.col("purity"), "subject_purity"),
-        _check(flat, "consistency.publisher_fingerprint", 2.0, gap, "marker_class_gap"),
-        _check(class_balance(corpus), "consistency.class_balance", 1.0, F.col("minority"), None, F.col("status")),
-        _check(ks_statistic(corpus.select(F.least(n_words(c), F.lit(2000)).alias("w"), "label"), "w", "label"), "drift.length", 1.0, F.col("ks_statistic"), "ks_stat"),
+        _check(openings, "uniqueness.shared_openings", 1.0, ratio(F.greatest(F.col("d") - F.col("o"), F.lit(0)), F.col("n")), "shared_opening_rate"),
+        _check(eda.subject_rule(m), "consistency.subject_label", 2.0, F.col("purity"), "subject_purity"),
+        _check(ks_statistic(m.select(F.least("words", F.lit(2000)).alias("w"), "label"), "w", "label"), "drift.length", 1.0, F.col("ks_statistic"), "ks_stat"),
         _check(js_distance(words, "df_fake", "df_real"), "drift.vocabulary", 1.0, F.col("js_distance"), "js_distance"),
     ]
     if "title" in corpus.columns:
-        title = F.coalesce("title", F.lit(""))
-        t = corpus.groupBy(title.alias("t")).agg(n.alias("c")).agg(F.sum(F.col("c") - 1).alias("extra"), F.sum("c").alias("n"))
+        t = m.groupBy("title_key").agg(n.alias("c")).agg(F.sum(F.col("c") - 1).alias("extra"), F.sum("c").alias("n"))
         out.append(_check(t, "uniqueness.duplicate_titles", 1.0, rate, "dup_title_rate"))
-        out.append(_check(corpus.agg(F.count_if(F.col("title").rlike(r"https?://|www\.")).alias("u"), n.alias("n")), "validity.title_is_url", 1.0, ratio(F.col("u"), F.col("n")), "url_title_rate"))
     if "date" in corpus.columns:
         out += _date_checks(corpus)
     total = out[0]
