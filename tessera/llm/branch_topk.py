@@ -86,7 +86,8 @@ class Queries:
                 pairs = row, cols[col], score[row, col].astype(np.float64)
             row, col, sums = pairs
             # The query's own row is no candidate; rows that repeat it are.
-            count = times[col] - (units[col] == self.units[own][row])
+            own_row = (ids[col] == self.ids[own][row]) & (units[col] == self.units[own][row])
+            count = times[col] - own_row
             ok = count > 0
             self._add(own[row[ok]], sums[ok], ids[col[ok]], count[ok])
 

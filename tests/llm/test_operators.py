@@ -584,3 +584,12 @@ def test_sql(spark):
         found, wanted = queries.queries()[name](spark, SF).toPandas(), con.execute(sql).df()
         cols = sorted(found.columns)
         assert found[cols].sort_values(cols).values.tolist() == wanted[cols].sort_values(cols).values.tolist()
+
+
+def test_top_k_tells_rows_apart_by_key_too():
+    """Rows of other keys whose hashes are equal are candidates of each other; a query's own row is not."""
+    data = np.array([[3.0, 1.0], [2.0, 2.0]])
+    queries = branch_topk.Queries(np.array([7, 7]), np.array([20, 40]), data, 5)
+    queries.search(np.array([7, 7]), np.array([20, 40]), np.array([1, 2]), np.ascontiguousarray(data.T))
+    found = queries.rows().to_pydict()
+    assert sorted(zip(found["query_id"], found["vec_id"], found["score"], found["times"], strict=True)) == [(20, 40, 8, 2), (40, 20, 8, 1), (40, 40, 8, 1)]
