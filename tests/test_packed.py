@@ -1,10 +1,11 @@
+import math
 from collections import Counter
 
 import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from tessera.operators import packed
+from tessera.operators import nested, packed
 from tessera.plans import catalogue, kept
 
 SF = "/root/testdata/sf0.001"
@@ -57,3 +58,49 @@ def test_weights_and_coverage_move_no_entries(spark):
     kept.forget()
     assert not moved(spark, lambda: catalogue.tfidf_weights(spark, SF))
     assert not moved(spark, lambda: catalogue.coverage(spark, SF))
+
+
+def test_views_share_one_bag_a_document(spark, monkeypatch):
+    """12 views of a search write and read one row a document; before, each view had its own rows of every term."""
+    words = "red green blue cat dog house tree".split()
+    docs = [(i, i % 2, i % 3, [words[(i * i + j * (1 + i % 2)) % 7] for j in range(4 + i % 5)]) for i in range(60)]
+    seen = []
+    real = nested.written
+    monkeypatch.setattr(nested, "written", lambda df, name: seen.append(real(df, name)) or seen[-1])
+    grid = {"max_features": [3, 9], "ngrams": [1, 2], "min_df": [2, 5], "sublinear": [False, True], "alpha": [0.1, 1.0]}
+    table = spark.createDataFrame(docs, "doc_id int, label int, fold int, tokens array<string>").repartition(3)
+    found = {tuple(r)[1:6]: r.cv_f1 for r in nested.search_tokens(table, grid).collect()}
+    assert len(seen) == 1 and seen[0].count() == len(docs)
+    for (k, g, d, s, a), f1 in found.items():
+        assert f1 == pytest.approx(plain_f1(docs, k, g == 2, d, s, a), abs=2e-6)
+    assert len(found) == 32
+
+
+def plain_f1(docs, size, pairs, min_df, sublinear, alpha):
+    got = []
+    for held in range(3):
+        bags = [(y, f == held, terms_of(t, pairs)) for _, y, f, t in docs]
+        train = [(y, b) for y, out, b in bags if not out]
+        tf, df = sum((b for _, b in train), Counter()), Counter(t for _, b in train for t in b)
+        vocab = sorted((t for t in tf if df[t] >= min_df), key=lambda t: (-tf[t], t))[:size]
+        idf = {t: math.log((len(train) + 1) / (df[t] + 1)) + 1 for t in vocab}
+
+        def weigh(b, idf=idf):
+            raw = {t: (math.log(n) + 1 if sublinear else n) * idf[t] for t, n in b.items() if t in idf}
+            norm = math.sqrt(sum(v * v for v in raw.values())) or 1.0
+            return {t: v / norm for t, v in raw.items()}
+
+        sums = [dict.fromkeys(vocab, alpha) for _ in range(2)]
+        for y, b in train:
+            for t, w in weigh(b).items():
+                sums[y][t] += w
+        total = [sum(c.values()) for c in sums]
+        prior = math.log(sum(y for y, _ in train)) - math.log(sum(1 - y for y, _ in train))
+        hits = Counter()
+        for y, out, b in bags:
+            if out:
+                z = prior + sum(w * (math.log(sums[1][t] / total[1]) - math.log(sums[0][t] / total[0])) for t, w in weigh(b).items())
+                hits[y, z >= 0] += 1
+        both = 2 * hits[1, True]
+        got.append(both / (both + hits[0, True] + hits[1, False]) if both else 0.0)
+    return sum(got) / 3
