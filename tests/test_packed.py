@@ -1,11 +1,12 @@
 import math
 from collections import Counter
 
+import numpy as np
 import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from tessera.operators import nested, packed
+from tessera.operators import linear, nested, packed
 from tessera.plans import catalogue, kept
 
 SF = "/root/testdata/sf0.001"
@@ -104,3 +105,19 @@ def plain_f1(docs, size, pairs, min_df, sublinear, alpha):
         both = 2 * hits[1, True]
         got.append(both / (both + hits[0, True] + hits[1, False]) if both else 0.0)
     return sum(got) / 3
+
+
+def test_logistic_regression_reads_bags(spark, monkeypatch):
+    """Before, every step of the fit read the texts' token arrays by way of pyspark.ml."""
+    monkeypatch.setattr("pyspark.ml.Pipeline.fit", None)
+    row = catalogue.queries()["lr_eval"](spark, SF).first()
+    test = catalogue.split(spark, SF).filter("split = 'test'").count()
+    assert row.tp + row.fn + row.fp + row.tn == test
+
+
+def test_passes_read_blocks(spark):
+    """Before, each pass of a fit turned every row's lists into Arrow again."""
+    rows = spark.createDataFrame([([0, 2], [0.5, 1.5], 1, 0), ([], [], 0, 1), ([1], [2.0], 1, 2)], "i array<int>, w array<double>, label int, fold int").coalesce(1)
+    (b,) = linear.blocks(rows).collect()
+    found = {k: np.frombuffer(b[k], t).tolist() for k, t in linear.BLOCK.items()}
+    assert found == {"sizes": [2, 0, 1], "i": [0, 2, 1], "w": [0.5, 1.5, 2.0], "label": [1, 0, 1], "fold": [0, 1, 2]}
