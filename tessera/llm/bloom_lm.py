@@ -45,6 +45,8 @@ from .common import chunks, lower_words, materialise, slices
 
 #: Hashes of the two tokens that are no words.
 END, BEGIN = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
+#: Bytes of text that a task scores together: some forty bytes of arrays a byte.
+SCORED = 2_000_000
 #: Bits of a bigram's key within its segment: for a common context its number and 30 bits of the pair, else 22 bits each of context and pair.
 KEY_BITS, COMMON_BITS = 45, 14
 _U = np.uint64
@@ -153,7 +155,7 @@ def common_words(rows: DataFrame, n: int, most: int, sample: int) -> np.ndarray:
 _GATHERED = "kind int, seg long, chunk long, x binary, y binary, z binary, w binary, learn binary"
 
 
-def _gather(common, n_bi: int, n_uni: int, flush: int = 1_200_000):
+def _gather(common, n_bi: int, n_uni: int, flush: int = 800_000):
     """Map side: rows (kind, segment, chunk, packed arrays) of about ``flush`` tokens.
 
     kind 1: bigram keys and counts of training texts.  kind 0: hashes of words
@@ -452,7 +454,7 @@ def _score(model, uni, bi, base: bool):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for lo, hi, texts in slices(b.column(4), 6_000_000, 1 << 16):
+            for lo, hi, texts in slices(b.column(4), SCORED, 1 << 16):
                 tokens, n = hashed(texts)
                 value, counts = model.value.score(uni.value, bi.value, tokens, n)
                 first, often = np.cumsum(n) - n, (counts >= 0) & base

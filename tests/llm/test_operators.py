@@ -3,9 +3,11 @@ import hashlib
 import math
 import struct
 import time
+import tracemalloc
 import uuid
 import zlib
 from collections import Counter
+from types import SimpleNamespace
 
 import duckdb
 import numpy as np
@@ -191,6 +193,23 @@ def test_bloom_lm(spark, docs, none, common):
     assert bloom_lm.score_texts(none, learn).count() == 0
 
 
+def test_bloom_lm_scores_little_at_a_time():
+    """Arrays of one scored slice, whatever the batch: two tasks of an executor must not hold the tokens of 6 MB each."""
+    words = [f"w{i}" for i in range(5000)]
+    texts = [" ".join(words[(7 * i + j * j) % 5000] for j in range(400)) for i in range(3000)]
+    ids, n = pa.array(range(len(texts))), 1 << 4
+    model = bloom_lm.Model(np.array([bloom_lm.BEGIN, bloom_lm.END]), np.ones(3), np.ones(3), 1e6, 1000, 8.0, 8, n)
+    shared = [SimpleNamespace(value=v) for v in (model, *(bloom_lm.Filter({s: bytes([255]) * 4096 for s in range(k)}, 0, k, 6) for k in (8, n)))]
+    batch = pa.record_batch([ids, ids, ids, pa.array([True] * len(texts)), pa.array(texts)], ["rid", "other", "key", "train", "text"])
+    tracemalloc.start()
+    try:
+        rows = sum(b.num_rows for b in bloom_lm._score(*shared, True)(iter([batch])))
+        peak = tracemalloc.get_traced_memory()[1]
+    finally:
+        tracemalloc.stop()
+    assert rows == len(texts) and peak < 100e6, peak
+
+
 def test_bloom_lm_probabilities_add_up():
     rng = np.random.default_rng(8)
     texts = [" ".join(f"w{i}" for i in np.minimum(rng.geometric(0.02, 60), 300)) for _ in range(300)]
