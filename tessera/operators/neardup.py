@@ -13,12 +13,14 @@ read whole.
 from __future__ import annotations
 
 import random
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from xxhash import xxh64_intdigest, xxh128_hexdigest
 
 from tessera.config import SEED
 from tessera.functions.text import normalise, shingles
@@ -49,20 +51,94 @@ def minima(hashes: Column, permutations: int = PERMUTATIONS, seed: int = SEED) -
     return F.transform(params, lambda p: F.coalesce(F.array_min(F.transform(hashes, lambda x: (p["a"] * x + p["b"]) % PRIME)), F.lit(PRIME).cast("long")))
 
 
-def shingle_set(content: Column) -> Column:
-    """array<long>: the distinct 64-bit hashes of the 5-word shingles, in order."""
-    return F.transform(F.array(_words(content)), lambda w: F.array_sort(F.array_distinct(F.transform(shingles(w), lambda s: F.xxhash64(s)))))[0]
+#: Factor of the hash of a shingle, over the hashes of its words.
+FACTOR = np.uint64(0x9E3779B97F4A7C15)
+#: Bytes of text that a task looks at together.
+BYTES = 4_000_000
+_U = np.uint64
 
 
-def _digest(content: Column) -> Column:
-    """Digest of the shingle set; equal for texts with the same one."""
-    return F.transform(F.array(shingle_set(content)), lambda s: F.md5(F.array_join(s.cast("array<string>"), ",").cast("binary")))[0]
+def _draws(permutations: int, seed: int) -> tuple[np.ndarray, np.ndarray]:
+    draw = random.Random(seed)
+    a, b = zip(*[(draw.randrange(1, PRIME), draw.randrange(PRIME)) for _ in range(permutations)], strict=True)
+    return np.array(a, _U)[:, None], np.array(b, _U)[:, None]
+
+
+def _minima(sets: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """``minima`` of the hashes modulo the prime: 2^31 is 1 there, so halves are added instead of dividing."""
+    out = np.full(len(a), PRIME, _U)
+    h = sets % _U(PRIME)
+    for lo in range(0, len(h), 256):
+        x = a * h[lo : lo + 256]
+        x += b
+        y = x >> _U(31)
+        x &= _U(PRIME)
+        x += y
+        # Below the prime the difference wraps around, so the smaller one is the remainder.
+        np.subtract(x, _U(PRIME), out=y)
+        np.minimum(out, np.minimum(x, y, out=x).min(1), out=out)
+    return out
+
+
+#: What ``normalise`` leaves of lower-case text, byte by byte: a-z and 0-9, all else is a space.
+_KEPT = bytes(c if chr(c) in "abcdefghijklmnopqrstuvwxyz0123456789" else 32 for c in range(256))
+
+
+def shingle_hashes(texts: list[bytes], width: int = 5) -> list[np.ndarray]:
+    """For each lower-case text the distinct 64-bit hashes of its shingles, in order; a text of up to ``width`` words is one."""
+    words = [t.translate(_KEPT).split() for t in texts]
+    sizes = [len(w) for w in words]
+    h = np.fromiter((xxh64_intdigest(v) for w in words for v in w), _U, sum(sizes))
+    whole = np.ones(max(0, len(h) - width + 1), _U)
+    for k in range(width):
+        whole = whole * FACTOR + h[k : k + len(whole)]
+    out, at = [], 0
+    for n in sizes:
+        if n >= width:
+            found = whole[at : at + n - width + 1]
+        else:
+            found = np.ones(min(n, 1), _U)
+            for v in h[at : at + n]:
+                found = found * FACTOR + v
+        # Mixed, so that remainders and order depend on all bits.
+        found = (found ^ (found >> _U(32))) * _U(0xD6E8FEB86659FD93)
+        out.append(np.unique(found ^ (found >> _U(32))))
+        at += n
+    return out
+
+
+def _sketched(docs: DataFrame, content: Column, keep: list[str], whole: bool) -> DataFrame:
+    """The columns ``keep`` with the digest of the text's shingles, equal for texts with the same ones, and if ``whole`` their set and sig.
+
+    Shingles are told by 64-bit hashes.  They are made a batch at a time where
+    the texts are.
+    """
+    names = [*keep, "digest", *(("set", "sig") if whole else ())]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        a, b = _draws(PERMUTATIONS, SEED)
+        for batch in batches:
+            ends, lo = np.cumsum(pc.binary_length(batch.column("_text")).to_numpy(zero_copy_only=False)), 0
+            while lo < batch.num_rows:
+                hi = max(lo + 1, int(np.searchsorted(ends, (ends[lo - 1] if lo else 0) + BYTES, "right")))
+                part, lo = batch.slice(lo, hi - lo), hi
+                sets = shingle_hashes(part.column("_text").to_pylist())
+                out = [*(part.column(c) for c in keep), pa.array([xxh128_hexdigest(s.tobytes()) for s in sets], pa.string())]
+                if whole:
+                    edges = pa.array(np.r_[0, np.cumsum([len(s) for s in sets])], pa.int32())
+                    sigs = np.concatenate([_minima(s, a, b) for s in sets]).astype(np.int64)
+                    out += [pa.ListArray.from_arrays(edges, pa.array(np.concatenate(sets).view(np.int64))), pa.ListArray.from_arrays(pa.array(np.arange(len(sets) + 1) * PERMUTATIONS, pa.int32()), pa.array(sigs))]
+                yield pa.record_batch(out, names)
+
+    x = docs.select(*keep, F.lower(F.coalesce(content, F.lit(""))).cast("binary").alias("_text"))
+    schema = ", ".join([*[f"`{f.name}` {f.dataType.simpleString()}" for f in docs.select(*keep).schema], "digest string", *(("set array<long>", "sig array<long>") if whole else ())])
+    return x.mapInArrow(run, schema)
 
 
 def classes(docs: DataFrame, key: str = "doc_id", content: str = "content") -> DataFrame:
     """key and class_id: the smallest key whose text has the same shingles."""
-    signed = written(docs.select(key, _digest(F.col(content)).alias("set")), "classes")
-    return signed.join(signed.groupBy("set").agg(F.min(key).alias("class_id")), "set").select(key, "class_id")
+    signed = written(_sketched(docs, F.col(content), [key], False), "classes")
+    return signed.join(signed.groupBy("digest").agg(F.min(key).alias("class_id")), "digest").select(key, "class_id")
 
 
 def representatives(docs: DataFrame, key: str = "doc_id", content: str = "content", *more: Column) -> DataFrame:
@@ -70,15 +146,16 @@ def representatives(docs: DataFrame, key: str = "doc_id", content: str = "conten
 
     The rep is the smallest key of the class and n its rows; set are the
     shingles and sig their minima.  Texts are not moved: classes are formed by
-    digest, and a row of the smallest key gives the shingles.
+    digest, and a row of the smallest key gives the shingles, which are
+    shuffled once.
     """
-    kept = [c for c in docs.columns if c not in (key, content)]
-    signed = written(docs.select(key, *kept, shingle_set(F.col(content)).alias("set")), "shingles")
-    per = signed.groupBy(F.md5(F.array_join(F.col("set").cast("array<string>"), ",").cast("binary")).alias("digest")).agg(F.min(key).alias("rep"), F.count("*").cast("long").alias("n"), *more)
-    first = signed.select(F.col(key).alias("rep"), "set").groupBy("rep", F.md5(F.array_join(F.col("set").cast("array<string>"), ",").cast("binary")).alias("digest")).agg(F.first("set").alias("set"))
-    out = per.join(first, ["digest", "rep"]).drop("digest")
-    # The minima need numbers below the modulus.
-    return written(out.withColumn("sig", minima(F.transform("set", lambda h: F.pmod(h, F.lit(PRIME))))), "representatives")
+    kept = [c for c in docs.columns if c != content]
+    signed = written(_sketched(docs, F.col(content), kept, True), "shingles")
+    per = signed.groupBy("digest").agg(F.min(key).alias("rep"), F.count("*").cast("long").alias("n"), *more)
+    x = signed.select(F.col(key).alias("rep"), "digest", "set", "sig").join(per, ["digest", "rep"])
+    # Rows of one key and set are alike.
+    others = [c for c in x.columns if c not in ("digest", "rep")]
+    return written(x.groupBy("digest", "rep").agg(*[F.first(c).alias(c) for c in others]).drop("digest"), "representatives")
 
 
 def _buckets(banded: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -147,9 +224,14 @@ def meet(reps: DataFrame, similarity: float = SIMILARITY, agreement: float = AGR
     kind = reps.schema["rep"].dataType.simpleString()
     blocks = cut.groupBy("code", "first", "second", "p", "q").applyInArrow(_between(agreement), f"a {kind}, b {kind}")
     met = _join_within(small).unionByName(_join_within(small_twice)).unionByName(blocks).distinct()
-    left, right = (reps.select(F.col("rep").alias(k), F.col("sig").alias(f"sig_{k}"), F.col("set").alias(f"set_{k}"), F.col("n").alias(f"n_{k}")) for k in "ab")
+    # Signatures first: shingles travel only with the pairs that agree.
+    left, right = (reps.select(F.col("rep").alias(k), F.col("sig").cast("array<int>").alias(f"sig_{k}"), F.col("n").alias(f"n_{k}"), F.size("set").alias(f"size_{k}")) for k in "ab")
     agree = F.aggregate(F.zip_with("sig_a", "sig_b", lambda p, q: (p == q).cast("int")), F.lit(0), lambda s, v: s + v)
-    near = met.join(left, "a").join(right, "b").filter(agree >= agreement * PERMUTATIONS).withColumn("both", F.size(F.array_intersect("set_a", "set_b")))
+    close = met.join(left, "a").join(right, "b").filter(agree >= agreement * PERMUTATIONS)
+    # The sizes bound the similarity from above.
+    close = written(close.filter(F.least("size_a", "size_b") >= similarity * F.greatest("size_a", "size_b")).select("a", "b", "n_a", "n_b"), "close")
+    first, second = (reps.select(F.col("rep").alias(k), F.col("set").alias(f"set_{k}")) for k in "ab")
+    near = close.join(first, "a").join(second, "b").withColumn("both", F.size(F.array_intersect("set_a", "set_b")))
     near = near.withColumn("similarity", F.col("both") / (F.size("set_a") + F.size("set_b") - F.col("both")))
     return near.filter(F.col("similarity") >= similarity).select("a", "b", "n_a", "n_b", "similarity")
 
