@@ -7,8 +7,8 @@ from pyspark.sql import functions as F
 
 from tessera.config import DATE_FORMATS, POINTS, THRESHOLDS
 from tessera.functions.stats import js_distance, ks_statistic, ratio, verdict, worst
-from tessera.functions.text import n_words, normalise, parse_date
-from tessera.operators import eda, neardup
+from tessera.functions.text import clean_tokens, n_words, normalise, parse_date
+from tessera.operators import eda, neardup, packed
 from tessera.plans.kept import written
 from tessera.sources.corpus import compare_runs
 
@@ -115,6 +115,15 @@ def _date_checks(corpus: DataFrame) -> list[DataFrame]:
     ]
 
 
+def vocabulary(corpus: DataFrame, min_df: int, size: int) -> DataFrame:
+    """``eda.vocabulary`` of the corpus' words, of which only counts by term are shuffled; rows of one doc_id and label are one document, and of those that repeat the words are."""
+    again = corpus.groupBy("doc_id", "label").agg(F.count("*").alias("c")).filter("c > 1").select(F.col("doc_id").alias("_id"), F.col("label").alias("_label"))
+    same = F.col("doc_id").eqNullSafe(F.col("_id")) & F.col("label").eqNullSafe(F.col("_label"))
+    found = packed.totals(corpus.join(again, same, "left_anti"), clean_tokens(F.col("content")), F.col("label"), False)
+    repeated = eda.term_table(corpus.join(again, same, "left_semi"))
+    return eda.ranked_vocabulary(found.unionByName(repeated.select(F.col("label").cast("int").alias("grp"), "term", "tf", F.lit(1).cast("long").alias("df"))), min_df, size)
+
+
 def checks(corpus: DataFrame, marker: str = r"\breuters\b", known_subjects: list[str] | None = None) -> DataFrame:
     """(check_id, weight, value, status) of the checks that need the corpus only.
 
@@ -146,7 +155,7 @@ def checks(corpus: DataFrame, marker: str = r"\breuters\b", known_subjects: list
     ]
     if "title" in corpus.columns:
         flags.append(_entry("validity.title_is_url", 1.0, ratio(F.col("url_title"), F.col("n")), "url_title_rate"))
-    words = eda.vocabulary(eda.term_table(corpus), 3, 20000)
+    words = vocabulary(corpus, 3, 20000)
     out = [
         _rows(flat, *flags),
         _check(exact, "uniqueness.exact_duplicates", 2.0, rate, None, F.when(F.col("cross") > 0, "FAIL").otherwise(verdict(F.round(rate, 6), *THRESHOLDS["dup_rate"]))),

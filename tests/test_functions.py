@@ -81,6 +81,17 @@ def test_quality_near_duplicates(spark):
     assert found["validity.dates"] == (0.1, "FAIL") and found["consistency.date_label"] == (0.1, "WARN") and found["drift.dates"][1] == "FAIL"
 
 
+def test_quality_vocabulary(spark):
+    """Equal to the vocabulary of the long table, repeated and null keys too, without shuffling the terms of a document."""
+    rows = [(i, " ".join(f"word{chr(97 + (i * j) % 7)}" for j in range(9)), i % 2) for i in range(40)]
+    rows += [(3, "worda wordb again", 1), (3, "again more", 1), (3, "again", 0), (None, "again worda", 0), (None, "again", 0), (50, None, 1), (51, "again more", None), (51, "more", None)]
+    df = spark.createDataFrame(rows, "doc_id long, content string, label int").repartition(3)
+    for least in (1, 3):
+        wanted = [tuple(r) for r in eda.vocabulary(eda.term_table(df), least, 5).collect()]
+        assert [tuple(r) for r in quality.vocabulary(df, least, 5).select("term", "tf", "df", "df_fake", "df_real").collect()] == wanted and len(wanted) == 5
+    assert "MapInArrow" in quality.vocabulary(df, 1, 5)._jdf.queryExecution().toString()
+
+
 def test_near_copies_across_labels(spark):
     words = [f"w{i}" for i in range(200)]
     far = [(i, " ".join(f"x{i}y{j}" for j in range(50)), i % 2) for i in range(200)]
