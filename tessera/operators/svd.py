@@ -1,11 +1,11 @@
 """Truncated singular value decomposition of sparse rows, and boosted trees on its components.
 
-The rows are not centred.  A random basis of the features is multiplied by
-X'X again and again (a range finder with power steps) and made orthonormal in
-between; the last product, seen in that basis, gives the singular values and
-vectors.  A pass adds up X'XQ over partitions, in each task first and then by
-feature; what reaches the driver is a number for each feature and direction,
-whatever the number of rows.
+The rows are not centred.  X'X is added up over partitions once and kept in
+strips of features.  A random basis of the features is multiplied by it again
+and again (a range finder with power steps) and made orthonormal in between;
+the last product, seen in that basis, gives the singular values and vectors.  A
+pass reads the strips alone; what reaches the driver is a number for each
+feature and direction, whatever the number of rows.
 """
 
 from __future__ import annotations
@@ -18,8 +18,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: Rows that are spread out at a time: 256 x features doubles.
-BLOCK = 256
+from tessera.plans.kept import written
+
+#: Rows that are spread out at a time (256 x features doubles), and features of a strip of X'X.
+BLOCK, STRIP = 256, 256
 
 
 def _blocks(batch: pa.RecordBatch, d: int) -> Iterator[np.ndarray]:
@@ -36,13 +38,49 @@ def _record(at: np.ndarray, y: np.ndarray) -> pa.RecordBatch:
     return pa.record_batch([pa.array(at, pa.int32()), pa.FixedSizeListArray.from_arrays(pa.array(y.ravel()), y.shape[1]).cast(pa.list_(pa.float64()))], ["i", "y"])
 
 
+def _squares(d: int):
+    """X'X on and right of the diagonal: a row for each strip that has any weight."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        strips = [np.zeros((min(STRIP, d - a), d - a)) for a in range(0, d, STRIP)]
+        for b in batches:
+            for x in _blocks(b, d):
+                for k, y in enumerate(strips):
+                    a = k * STRIP
+                    y += x[:, a : a + STRIP].T @ x[:, a:]
+        for k, y in enumerate(strips):
+            if y.any():
+                yield pa.record_batch([pa.array([k], pa.int32()), pa.array([y.tobytes()], pa.binary())], ["strip", "y"])
+
+    return run
+
+
+def _strip(key: tuple, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    y = sum(np.frombuffer(v.as_buffer()) for b in batches for v in b.column("y"))
+    yield pa.record_batch([pa.array([key[0].as_py()], pa.int32()), pa.array([y.tobytes()], pa.binary())], ["strip", "y"])
+
+
+def gram(rows: DataFrame, d: int) -> DataFrame:
+    """(strip, y): X'X of rows with arrays i and w on and right of the diagonal, ``STRIP`` features to a row, as bytes in the shared folder.
+
+    A task holds d x d / 2 doubles; each core's are shuffled once.
+    """
+    # As many partial sums as there are cores, not one for each split of the table.
+    few = rows.select("i", "w").coalesce(rows.sparkSession.sparkContext.defaultParallelism)
+    kind = "strip int, y binary"
+    return written(few.mapInArrow(_squares(d), kind).groupBy("strip").applyInArrow(_strip, kind), "gram")
+
+
 def _product(shared):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         q = shared.value
         y = np.zeros_like(q)
-        for b in batches:
-            for x in _blocks(b, len(q)):
-                y += x.T @ (x @ q)
+        for strip, v in (r for b in batches for r in zip(b.column("strip"), b.column("y"), strict=True)):
+            a = strip.as_py() * STRIP
+            z = np.frombuffer(v.as_buffer()).reshape(-1, len(q) - a)
+            n = len(z)
+            y[a : a + n] += z @ q[a:]
+            y[a + n :] += z[:, n:].T @ q[a : a + n]
         at = np.flatnonzero(y.any(1))
         yield _record(at, y[at])
 
@@ -77,13 +115,13 @@ def fit(rows: DataFrame, features: int, parts: int = 250, passes: int = 20, more
     Fewer come back where the rows span fewer directions, none for rows without
     any weight.  ``more`` directions are carried along to make the last of them
     sharp; passes end when none of the values moves by more than ``tolerance``
-    of itself.  Tasks and driver hold features x (parts + more) doubles.
+    of itself.  Tasks hold features x features / 2 doubles, the driver features
+    x (parts + more).
     """
     spark, x = rows.sparkSession, rows.select("i", "w")
     width = min(parts + more, features)
     q = np.linalg.qr(np.random.default_rng(seed).normal(size=(features, width)))[0]
-    # As many partial sums as there are cores, not one for each split of the table.
-    few = x.coalesce(spark.sparkContext.defaultParallelism)
+    few = gram(x, features).coalesce(spark.sparkContext.defaultParallelism)
     values = np.zeros(0)
     for _ in range(passes):
         shared = spark.sparkContext.broadcast(q)

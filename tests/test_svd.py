@@ -1,4 +1,5 @@
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.ml.functions import array_to_vector
 from pyspark.sql import functions as F
@@ -35,6 +36,31 @@ def test_is_the_dense_decomposition(spark):
     assert np.allclose(np.stack(found["components"]), x @ model.vectors, atol=1e-9)
 
 
+@pytest.mark.parametrize("strip", [7, 256])
+def test_squares_by_strips(strip, monkeypatch):
+    """The strips hold X'X, whatever their width."""
+    x = made(300, 30)
+    monkeypatch.setattr(svd, "STRIP", strip)
+    rows = [(np.flatnonzero(r), r[np.flatnonzero(r)]) for r in x]
+    batch = pa.record_batch([pa.array([i for i, _ in rows], pa.list_(pa.int32())), pa.array([w for _, w in rows], pa.list_(pa.float64()))], ["i", "w"])
+    found = np.zeros((30, 30))
+    for b in svd._squares(30)([batch, batch]):
+        a = b.column("strip")[0].as_py() * strip
+        found[a : a + strip, a:] = np.frombuffer(b.column("y")[0].as_py()).reshape(-1, 30 - a)
+    assert np.allclose(np.triu(found), np.triu(2 * x.T @ x), atol=1e-12)
+
+
+def test_rows_are_read_once(spark):
+    """More passes multiply no more rows: the passes read X'X."""
+    x, seen = made(), spark.sparkContext.accumulator(0)
+    rows = sparse(spark, x)
+    count = F.udf(lambda i: (seen.add(1), i)[1], "array<int>").asNondeterministic()
+    svd.gram(rows.withColumn("i", count("i")), x.shape[1]).count()
+    once = seen.value
+    svd.fit(rows.withColumn("i", count("i")), x.shape[1], 20, tolerance=0.0, passes=6)
+    assert once == len(x) and seen.value - once <= 3 * len(x)
+
+
 def test_terms_of_the_documents(spark):
     """Singular values on real weights, all components asked for."""
     model, rows = catalogue.svd_model(spark, SF)
