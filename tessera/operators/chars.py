@@ -186,6 +186,16 @@ class CharModel:
         self.terms, self.idf, self.coef, self.passes = terms, idf, coef, passes
 
 
+class _Descent(linear.Descent):
+    """Curvature is known but for its scale, which the last step tells."""
+
+    def _direction(self) -> np.ndarray:
+        if self.pairs:
+            s, y = self.pairs[-1]
+            self.h = self.h * float(y @ (y / self.h)) / float(s @ y)
+        return super()._direction()
+
+
 def fit(train: DataFrame, features: int = 30_000, c: float = 1.0, passes: int = 1000) -> CharModel:
     """Logistic regression on the TF-IDF weights of ``train`` (content, label), each document of length 1.
 
@@ -200,7 +210,7 @@ def fit(train: DataFrame, features: int = 30_000, c: float = 1.0, passes: int =
     # As many partial sums as there are cores, not one for each split of the table.
     data = blocks(train, terms, idf).coalesce(spark.sparkContext.defaultParallelism)
     square = _total(data.select("square"), _squares(d), d)
-    run, done, scale, ridge = linear.Descent(d + 1), 0, np.r_[idf, 1.0], np.r_[np.ones(d), 0.0]
+    run, done, scale, ridge = _Descent(d + 1), 0, np.r_[idf, 1.0], np.r_[np.ones(d), 0.0]
     data = data.drop("square")
     while done < passes and not run.done:
         shared = spark.sparkContext.broadcast(run.point * scale)
