@@ -12,6 +12,7 @@ from __future__ import annotations
 
 import math
 from collections.abc import Iterator
+from zlib import crc32
 
 import numpy as np
 import pyarrow as pa
@@ -22,50 +23,82 @@ from pyspark.sql import functions as F
 from tessera.operators import eda, linear, packed
 from tessera.plans.kept import written
 
-#: Words whose n-grams are listed, and n-grams of documents that are counted, at a time.
-WORDS, CELLS = 1 << 14, 1 << 17
+#: Characters of an n-gram; a word has at least three with its spaces.
+LOW, HIGH = 3, 5
+#: N-grams of documents that are counted at a time.
+CELLS = 1 << 17
+#: Documents, and words of documents, that the driver has of the training rows at most.
+NEAR, NEAR_WORDS = 4000, 2_000_000
 
 
-def grams(words: pa.Array, low: int = 3, high: int = 5) -> tuple[np.ndarray, np.ndarray, pa.Array]:
-    """How many n-grams every word has, their codes, and the names of the codes, as ``text.char_ngrams`` forms them; none for an empty word."""
-    sizes, parts = [], []
-    for a in range(0, len(words), WORDS):
-        found: list[str] = []
-        for w in words.slice(a, WORDS).to_pylist():
-            p, before = f" {w} ", len(found)
-            if w:
-                found += [p[k : k + n] for n in range(low, high + 1) for k in range(max(len(p) - n + 1, 1))]
-            sizes.append(len(found) - before)
-        parts.append(pa.array(found, pa.string()).dictionary_encode())
-    kind = pa.dictionary(pa.int32(), pa.string())
-    both = pa.chunked_array(parts, kind).unify_dictionaries()
-    names = both.chunk(0).dictionary if parts else pa.array([], pa.string())
-    code = np.concatenate([c.indices.to_numpy() for c in both.chunks]) if parts else np.zeros(0)
-    return np.array(sizes, np.int64), code.astype(np.int64), names
+def grams(words: pa.Array) -> tuple[np.ndarray, np.ndarray, pa.Array]:
+    """How many n-grams every word has, their codes, and the names of the codes, as ``text.char_ngrams`` forms them; none for an empty word.
+
+    An n-gram's key is the code of what stands before its last character and
+    that one, so no strings are made but for the names.
+    """
+    length = pc.utf8_length(words).fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64)
+    sizes = np.where(length > 0, sum(np.maximum(length + 3 - n, 1) for n in range(LOW, HIGH + 1)), 0)
+    full = np.flatnonzero(length)
+    text = np.frombuffer(f" {' '.join(words.take(pa.array(full)).to_pylist())} ".encode("utf-32-le"), np.uint32)
+    seen = np.zeros(0x110000, bool)
+    seen[text] = True
+    marks = np.flatnonzero(seen)
+    letters, c, size = pa.array(map(chr, marks), pa.string()), (np.cumsum(seen) - 1)[text], length[full] + 2
+    # A space ends a word and begins the next; at each place but the last: its word, how far it is within, what is left of it.
+    word = np.repeat(np.arange(len(full)), size - 1)
+    within = np.arange(len(word)) - (np.cumsum(size - 1) - size + 1)[word]
+    left, slot = size[word] - within, (np.cumsum(sizes) - sizes)[full]
+    at = np.arange(len(word))
+    key, room, gram, names, below = c[at], len(marks), np.empty(sizes.sum(), np.int64), [], 0
+    for n in range(2, HIGH + 1):
+        on = left[at] >= n
+        at, key = at[on], key[on]
+        key, room = key * len(marks) + c[at + n - 1], room * len(marks)
+        if n < LOW:
+            continue
+        coded = pa.array(key).dictionary_encode()
+        key, room = coded.indices.to_numpy(zero_copy_only=False).astype(np.int64), len(coded.dictionary)
+        gram[slot[word[at]] + within[at]] = key + below
+        slot += np.maximum(size - n + 1, 1)
+        # A word of n characters stands for its longer ones too.
+        whole = size[word[at]] == n
+        for k in range(HIGH - n):
+            gram[slot[word[at[whole]]] + k] = key[whole] + below
+        place = np.empty(room, np.int64)
+        place[key] = at
+        names.append(pc.binary_join_element_wise(*[letters.take(pa.array(c[place + j])) for j in range(n)], ""))
+        below += room
+    return sizes, gram, pa.concat_arrays(names)
 
 
 def cells(row: np.ndarray, word: np.ndarray, n: np.ndarray, sizes: np.ndarray, gram: np.ndarray, most: int = CELLS) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
     """Document, n-gram and count of every n-gram of the documents, some documents at a time; a single one is never cut.
 
-    ``row``, ``word`` and ``n`` are the words' counts, by rising row.
+    ``row``, ``word`` and ``n`` are the words' counts, by rising row.  Numbers of
+    document, n-gram and count are sorted as one.
     """
-    k, first, size = sizes[word], np.cumsum(sizes) - sizes, int(gram.max(initial=0)) + 1
+    k, first = sizes[word], np.cumsum(sizes) - sizes
     ends, a = np.cumsum(k), 0
+    wide, deep = int(gram.max(initial=0)).bit_length(), int(n.max(initial=1)).bit_length()
+    gram = gram.astype(np.int32) if wide < 32 else gram  # half as much to look up
     while a < len(row):
         b = int(np.searchsorted(ends, ends[a] - k[a] + most, "right"))
         if b < len(row):
             b = int(max(np.searchsorted(row, row[b]), np.searchsorted(row, row[a], "right")))
-        own, times = k[a:b], np.repeat(n[a:b], k[a:b])
+        own = k[a:b]
         at = np.arange(own.sum()) + np.repeat(first[word[a:b]] - np.cumsum(own) + own, own)
-        key, room = np.repeat((row[a:b] - row[a]) * size, own) + gram[at], int(row[b - 1] - row[a] + 1) * size
-        if room <= 64 * len(key):
-            count = np.bincount(key, times, room)
-            key = np.flatnonzero(count)
-            count = count[key]
-        else:  # few n-grams among many
+        key = np.repeat((row[a:b] - row[a]) << wide, own)
+        key |= gram[at]
+        if int(row[b - 1] - row[a]).bit_length() + wide + deep < 63:
+            both = np.sort(key << deep | np.repeat(n[a:b], own))
+            key = both >> deep
+            start = np.flatnonzero(np.r_[True, key[1:] != key[:-1]][: len(key)])
+            key, count = key[start], np.add.reduceat(both & ((1 << deep) - 1), start) if len(start) else start
+        else:
             key, of = np.unique(key, return_inverse=True)
-            count = np.bincount(of, times, len(key))
-        yield row[a] + key // size, key % size, count
+            count = np.bincount(of, np.repeat(n[a:b], own), len(key)).astype(np.int64)
+        yield row[a] + (key >> wide), key & ((1 << wide) - 1), count
         a = b
 
 
@@ -149,8 +182,7 @@ def _sums(shared, d: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         weights, y = shared.value, np.zeros(d + 3)
         for block in (r for batch in batches for r in zip(*[batch.column(k) for k in BLOCK if k != "square"], strict=True)):
-            b = {k: np.frombuffer(v.as_buffer(), t) for (k, t), v in zip(_kinds(d).items(), block, strict=False)}
-            b["gram"] = b["gram"].astype(np.intp)
+            b = _read(block, d)
             sign = 2 * b["label"] - 1
             margin, row = _margins(b, weights)
             f, g, h = linear.loss("lr", sign * margin)
@@ -164,15 +196,43 @@ def _sums(shared, d: int):
 
 
 def _squares(d: int):
+    """Squared weights by term, and words of documents."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        y = np.zeros(d)
-        for b in (v for batch in batches for v in batch.column("square")):
-            y += np.frombuffer(b.as_buffer())
+        y = np.zeros(d + 1)
+        for batch in batches:
+            for square, word in zip(batch.column("square"), batch.column("word"), strict=True):
+                y[:d] += np.frombuffer(square.as_buffer())
+                y[d] += len(word.as_buffer()) // 4
         yield pa.record_batch([pa.array([y.tobytes()], pa.binary())], ["y"])
 
     return run
 
 
+def _read(block, d: int) -> dict[str, np.ndarray]:
+    b = {k: np.frombuffer(v.as_buffer(), t) for (k, t), v in zip(_kinds(d).items(), block, strict=False)}
+    b["gram"] = b["gram"].astype(np.intp)
+    return b
+
+
+def _near(d: int, every: int):
+    """Entries (document, n-gram, count by length) of every so many documents of a block."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for block in (r for batch in batches for r in zip(*[batch.column(k) for k in BLOCK if k != "square"], strict=True)):
+            b = _read(block, d)
+            on = np.zeros(len(b["norm"]), bool)
+            on[crc32(block[0].as_buffer()) % every :: every] = True
+            row = np.repeat(np.arange(len(on)), b["entries"])
+            own = on[row]
+            found = list(cells((np.cumsum(on) - 1)[row[own]], b["word"][own], b["n"][own].astype(np.int64), b["sizes"].astype(np.int64), b["gram"]))
+            r, g, n = (np.concatenate(x) for x in zip(*found, strict=True)) if found else (np.zeros(0, np.int64) for _ in range(3))
+            have = [np.bincount(r, minlength=on.sum()).astype(np.int32), g.astype(np.int32), (n / b["norm"][on][r]).astype(np.float32)]
+            yield pa.record_batch([pa.array([v.tobytes()], pa.binary()) for v in have], ["sizes", "gram", "value"])
+
+    return run
+
+
 def _total(parts: DataFrame, run, size: int) -> np.ndarray:
     """The sums of all tasks of ``run``: one row of ``size`` numbers comes from each."""
     found = parts.mapInArrow(run, "y binary").toArrow().column("y")
@@ -186,22 +246,63 @@ class CharModel:
         self.terms, self.idf, self.coef, self.passes = terms, idf, coef, passes
 
 
+class _Bend:
+    """Curvature of the loss as some documents show it: it only turns a step, slope and loss are those of all documents."""
+
+    def __init__(self, parts: list[tuple[np.ndarray, np.ndarray, np.ndarray]], scale: np.ndarray, ridge: np.ndarray, weight: float):
+        self.sizes, self.gram, self.value = (np.concatenate([np.zeros(0, v.dtype), *(p[j] for p in parts)]) for j, v in enumerate((np.zeros(0, np.int32), np.zeros(0, np.int32), np.zeros(0, np.float32))))
+        self.gram, self.scale, self.ridge = self.gram.astype(np.intp), scale, ridge
+        self.first = np.cumsum(self.sizes, dtype=np.int64) - self.sizes
+        self.share = weight / max(len(self.sizes), 1)
+
+    def margins(self, x: np.ndarray) -> np.ndarray:
+        v = x * self.scale
+        # A document without n-grams has the intercept alone.
+        sums = np.r_[0.0, np.cumsum(v[self.gram] * self.value)]
+        return sums[self.first + self.sizes] - sums[self.first] + v[-1]
+
+    def at(self, x: np.ndarray) -> None:
+        self.h = self.share * linear.loss("lr", self.margins(x))[2]
+
+    def times(self, p: np.ndarray) -> np.ndarray:
+        s = self.h * self.margins(p)
+        return self.ridge * p + self.scale * np.r_[np.bincount(self.gram, self.value * np.repeat(s, self.sizes), len(p) - 1), s.sum()]
+
+
 class _Descent(linear.Descent):
-    """Curvature is known but for its scale, which the last step tells."""
+    """Steps are scaled by the curvature of ``bend``, which conjugate gradients solve for, themselves scaled by its diagonal."""
+
+    def __init__(self, d: int, bend: _Bend, steps: int = 30, near: float = 0.05):
+        super().__init__(d)
+        self.bend, self.steps, self.near = bend, steps, near
 
     def _direction(self) -> np.ndarray:
-        if self.pairs:
-            s, y = self.pairs[-1]
-            self.h = self.h * float(y @ (y / self.h)) / float(s @ y)
+        self.bend.at(self.x)
         return super()._direction()
 
+    def _scaled(self, q: np.ndarray) -> np.ndarray:
+        x, r = np.zeros(len(q)), q
+        z = p = r / self.h
+        rest = first = float(r @ z)
+        for _ in range(self.steps):
+            if rest <= self.near**2 * first:
+                break
+            hp = self.bend.times(p)
+            a = rest / float(p @ hp)
+            x, r = x + a * p, r - a * hp
+            z = r / self.h
+            rest, old = float(r @ z), rest
+            p = z + rest / old * p
+        return x
+
 
 def fit(train: DataFrame, features: int = 30_000, c: float = 1.0, passes: int = 1000) -> CharModel:
     """Logistic regression on the TF-IDF weights of ``train`` (content, label), each document of length 1.
 
     The least of half the squared norm of the weights, the intercept not among
-    them, plus c times the logistic losses.  The descent is scaled by squared
-    weights times the mean curvature.
+    them, plus c times the logistic losses.  Every pass takes loss and slope of
+    all documents, and by them the descent ends; how a step is turned follows
+    from the curvature at some of them (``NEAR``, spread over all blocks).
     """
     spark, n = train.sparkSession, train.count()
     vocab = written(vocabulary(train, features), "grams").orderBy("i").collect()  # at most ``features`` rows
@@ -209,9 +310,12 @@ def fit(train: DataFrame, features: int = 30_000, c: float = 1.0, passes: int =
     idf = np.array([math.log((n + 1.0) / (r["df"] + 1.0)) + 1.0 for r in vocab])
     # As many partial sums as there are cores, not one for each split of the table.
     data = blocks(train, terms, idf).coalesce(spark.sparkContext.defaultParallelism)
-    square = _total(data.select("square"), _squares(d), d)
-    run, done, scale, ridge = _Descent(d + 1), 0, np.r_[idf, 1.0], np.r_[np.ones(d), 0.0]
-    data = data.drop("square")
+    *square, words = _total(data.select("square", "word"), _squares(d), d + 1)
+    data, square = data.drop("square"), np.array(square)
+    near = data.mapInArrow(_near(d, max(1, math.ceil(n / NEAR), math.ceil(words / NEAR_WORDS))), "sizes binary, gram binary, value binary").toArrow()
+    near = [tuple(np.frombuffer(v.as_buffer(), t) for v, t in zip(r, (np.int32, np.int32, np.float32), strict=True)) for r in zip(*near.columns, strict=True)]
+    scale, ridge, done = np.r_[idf, 1.0], np.r_[np.ones(d), 0.0], 0
+    run = _Descent(d + 1, _Bend(near, scale, ridge, c * n))
     while done < passes and not run.done:
         shared = spark.sparkContext.broadcast(run.point * scale)
         y = _total(data, _sums(shared, d), d + 3)

@@ -75,3 +75,23 @@ def test_query_forms_no_arrays_of_ngrams(spark, monkeypatch):
     (row,) = catalogue.queries()["char_lr_eval"](spark, SF).collect()
     test = catalogue._parts_of(spark, SF).filter("split = 'test'").count()
     assert row.system == "lr" and row.tp + row.fp + row.fn + row.tn == test
+
+
+def test_few_passes_whatever_curvature_is_seen(spark, monkeypatch):
+    """15 passes before; that of some documents turns the steps, the weights at the end are those of all."""
+    train = catalogue._parts_of(spark, SF).filter("split = 'train'")
+    model = chars.fit(train, 30_000)
+    assert model.passes <= 10
+    monkeypatch.setattr(chars, "NEAR", 9)
+    other = chars.fit(train, 30_000)
+    assert other.terms == model.terms and np.abs(other.coef - model.coef).max() < 1e-3
+
+
+def test_ngrams_of_odd_words():
+    words = ["a", "", "bb", "ccc", "naïve", "\U0001f600\U0001f600", "x\x00y", "\x00", None, "ab" * 40]
+    sizes, gram, names = chars.grams(pa.array(words))
+    names, ends = names.to_pylist(), np.cumsum(sizes)
+    for w, a, b in zip(words, ends - sizes, ends, strict=True):
+        p = f" {w} "
+        wanted = [p[k : k + n] for n in (3, 4, 5) for k in range(max(len(p) - n + 1, 1))] if w else []
+        assert sorted(names[g] for g in gram[a:b]) == sorted(wanted)
