@@ -27,7 +27,7 @@ from tessera.plans.kept import written
 LOW, HIGH = 3, 5
 #: N-grams of documents that are counted at a time.
 CELLS = 1 << 17
-#: Documents, and words of documents, that the driver has of the training rows at most.
+#: Documents, and words of documents, that the driver has of the training rows, about.
 NEAR, NEAR_WORDS = 4000, 2_000_000
 
 
@@ -233,12 +233,6 @@ def _near(d: int, every: int):
     return run
 
 
-def _total(parts: DataFrame, run, size: int) -> np.ndarray:
-    """The sums of all tasks of ``run``: one row of ``size`` numbers comes from each."""
-    found = parts.mapInArrow(run, "y binary").toArrow().column("y")
-    return sum((np.frombuffer(v.as_buffer()) for v in found), np.zeros(size))
-
-
 class CharModel:
     """A fitted model: terms, their idf, their weights with the intercept last, and the passes it took."""
 
@@ -246,56 +240,6 @@ class CharModel:
         self.terms, self.idf, self.coef, self.passes = terms, idf, coef, passes
 
 
-class _Bend:
-    """Curvature of the loss as some documents show it: it only turns a step, slope and loss are those of all documents."""
-
-    def __init__(self, parts: list[tuple[np.ndarray, np.ndarray, np.ndarray]], scale: np.ndarray, ridge: np.ndarray, weight: float):
-        self.sizes, self.gram, self.value = (np.concatenate([np.zeros(0, v.dtype), *(p[j] for p in parts)]) for j, v in enumerate((np.zeros(0, np.int32), np.zeros(0, np.int32), np.zeros(0, np.float32))))
-        self.gram, self.scale, self.ridge = self.gram.astype(np.intp), scale, ridge
-        self.first = np.cumsum(self.sizes, dtype=np.int64) - self.sizes
-        self.share = weight / max(len(self.sizes), 1)
-
-    def margins(self, x: np.ndarray) -> np.ndarray:
-        v = x * self.scale
-        # A document without n-grams has the intercept alone.
-        sums = np.r_[0.0, np.cumsum(v[self.gram] * self.value)]
-        return sums[self.first + self.sizes] - sums[self.first] + v[-1]
-
-    def at(self, x: np.ndarray) -> None:
-        self.h = self.share * linear.loss("lr", self.margins(x))[2]
-
-    def times(self, p: np.ndarray) -> np.ndarray:
-        s = self.h * self.margins(p)
-        return self.ridge * p + self.scale * np.r_[np.bincount(self.gram, self.value * np.repeat(s, self.sizes), len(p) - 1), s.sum()]
-
-
-class _Descent(linear.Descent):
-    """Steps are scaled by the curvature of ``bend``, which conjugate gradients solve for, themselves scaled by its diagonal."""
-
-    def __init__(self, d: int, bend: _Bend, steps: int = 30, near: float = 0.05):
-        super().__init__(d)
-        self.bend, self.steps, self.near = bend, steps, near
-
-    def _direction(self) -> np.ndarray:
-        self.bend.at(self.x)
-        return super()._direction()
-
-    def _scaled(self, q: np.ndarray) -> np.ndarray:
-        x, r = np.zeros(len(q)), q
-        z = p = r / self.h
-        rest = first = float(r @ z)
-        for _ in range(self.steps):
-            if rest <= self.near**2 * first:
-                break
-            hp = self.bend.times(p)
-            a = rest / float(p @ hp)
-            x, r = x + a * p, r - a * hp
-            z = r / self.h
-            rest, old = float(r @ z), rest
-            p = z + rest / old * p
-        return x
-
-
 def fit(train: DataFrame, features: int = 30_000, c: float = 1.0, passes: int = 1000) -> CharModel:
     """Logistic regression on the TF-IDF weights of ``train`` (content, label), each document of length 1.
 
@@ -310,15 +254,16 @@ def fit(train: DataFrame, features: int = 30_000, c: float = 1.0, passes: int =
     idf = np.array([math.log((n + 1.0) / (r["df"] + 1.0)) + 1.0 for r in vocab])
     # As many partial sums as there are cores, not one for each split of the table.
     data = blocks(train, terms, idf).coalesce(spark.sparkContext.defaultParallelism)
-    *square, words = _total(data.select("square", "word"), _squares(d), d + 1)
+    *square, words = linear.total(data.select("square", "word"), _squares(d), d + 1)
     data, square = data.drop("square"), np.array(square)
     near = data.mapInArrow(_near(d, max(1, math.ceil(n / NEAR), math.ceil(words / NEAR_WORDS))), "sizes binary, gram binary, value binary").toArrow()
-    near = [tuple(np.frombuffer(v.as_buffer(), t) for v, t in zip(r, (np.int32, np.int32, np.float32), strict=True)) for r in zip(*near.columns, strict=True)]
+    sizes, gram, value = (np.concatenate([np.zeros(0, t), *(np.frombuffer(v.as_buffer(), t) for v in near.column(k))]) for k, t in (("sizes", np.int32), ("gram", np.int32), ("value", np.float32)))
     scale, ridge, done = np.r_[idf, 1.0], np.r_[np.ones(d), 0.0], 0
-    run = _Descent(d + 1, _Bend(near, scale, ridge, c * n))
+    near = linear.Bend("lr", np.repeat(np.arange(len(sizes)), sizes), gram, value, np.ones(len(sizes)), scale, ridge, c * n)
+    run = linear.Turned(d + 1, near)
     while done < passes and not run.done:
         shared = spark.sparkContext.broadcast(run.point * scale)
-        y = _total(data, _sums(shared, d), d + 3)
+        y = linear.total(data, _sums(shared, d), d + 3)
         shared.unpersist()
         bend = y[d + 2]
         h = np.maximum(ridge + c * np.r_[square * bend / max(n, 1), bend], 1e-6)

@@ -121,3 +121,45 @@ def test_growing_parts(spark):
     parts = [0.1, 0.5, 1.0]
     x = spark.range(20_000).select(nested.part_of("id", parts).alias("p")).groupBy("p").count().collect()
     assert {r.p: round(r["count"] / 20_000, 1) for r in x} == {0: 0.1, 1: 0.4, 2: 0.5}
+
+
+@pytest.mark.parametrize("near", [4000, 15])
+def test_ablation_fits_the_three_models_on_every_size(spark, monkeypatch, near):
+    """Against dense solvers; before, naive Bayes alone was fitted.  Curvature of some documents gives the same models."""
+    monkeypatch.setattr(nested, "NEAR", near)
+    rng = np.random.default_rng(5)
+    words = [f"w{i:02d}" for i in range(24)]
+    label = rng.integers(0, 2, 150)
+    lean = rng.normal(size=24)
+    share = [q / q.sum() for q in (np.exp(-0.5 * lean), np.exp(0.5 * lean))]
+    tokens = [[words[w] for w in rng.choice(24, rng.integers(0, 14), p=share[y])] for y in label]
+    fold, inner = (rng.random(150) < 0.7).astype(int), np.arange(150) % 3
+    kept = [[w for w in t if w != "w03"] for t in tokens]
+    rows = [(i, int(y), int(f), int(n), k, t) for k, ts in enumerate((tokens, kept)) for i, (y, f, n, t) in enumerate(zip(label, fold, inner, ts, strict=True))]
+    docs = spark.createDataFrame(rows, "doc_id int, label int, fold int, inner int, kind int, tokens array<string>").repartition(3)
+    found = {(r.view, r.model, r.max_features): r for r in nested.ablation(docs, ["raw", "stripped"], [3, 40]).collect()}
+    assert set(found) == {(v, m, k) for v in ("raw", "stripped") for m in ("nb", "svm", "lr") for k in (3, 40)}
+    train, test = fold == 1, fold == 0
+    for view, ts in (("raw", tokens), ("stripped", kept)):
+        bags = [[*t, *(f"{a} {b}" for a, b in zip(t, t[1:], strict=False))] for t in ts]
+        terms = sorted({w for b in bags for w in b})
+        x = np.array([[b.count(w) for w in terms] for b in bags], float)
+        df, tf = (x[train] > 0).sum(0), x[train].sum(0)
+        order = [i for i in sorted(range(len(terms)), key=lambda i: (-tf[i], terms[i])) if df[i] >= 2]
+        for k in (3, 40):
+            z = x[:, order[:k]] * (np.log((train.sum() + 1) / (df[order[:k]] + 1)) + 1)
+            z /= np.maximum(np.sqrt((z * z).sum(1, keepdims=True)), 1e-300)
+            w = dense(z[train], label[train], "lr", 1.0)
+            side = {"lr": np.c_[z, np.ones(150)] @ w >= 0}
+            p = 0
+            for f in range(3):
+                w = dense(z[train & (inner != f)], label[train & (inner != f)], "svm", 1.0)
+                m, t = np.c_[z, np.ones(150)] @ w, train & (inner == f)
+                a, b = linear.sigmoids(spark.createDataFrame([(0, int(y), [float(v)]) for y, v in zip(label[t], m[t], strict=True)], "fold int, label int, m array<double>"), 1)[0]
+                p = p + 1 / (1 + np.exp(a * m + b)) / 3
+            side["svm"] = p >= 0.5
+            for model, up in side.items():
+                r, y = found[view, model, k], label[test] == 1
+                assert r.n_features == min(k, len(order))
+                assert r.accuracy == pytest.approx((up[test] == y).mean(), abs=1e-6)
+                assert r.f1 == pytest.approx(2 * (up[test] & y).sum() / (up[test].sum() + y.sum()), abs=1e-6)
