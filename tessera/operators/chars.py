@@ -32,7 +32,12 @@ NEAR, NEAR_WORDS = 4000, 2_000_000
 
 
 def grams(words: pa.Array) -> tuple[np.ndarray, np.ndarray, pa.Array]:
-    """How many n-grams every word has, their codes, and the names of the codes, as ``text.char_ngrams`` forms them; none for an empty word.
+    """``placed`` but for the places."""
+    return placed(words)[:3]
+
+
+def placed(words: pa.Array) -> tuple[np.ndarray, np.ndarray, pa.Array, np.ndarray]:
+    """How many n-grams every word has, their codes, and the names of the codes, as ``text.char_ngrams`` forms them; none for an empty word.  And where each begins in all words together; of one word shorter ones stand first.
 
     An n-gram's key is the code of what stands before its last character and
     that one, so no strings are made but for the names.
@@ -51,6 +56,7 @@ def grams(words: pa.Array) -> tuple[np.ndarray, np.ndarray, pa.Array]:
     left, slot = size[word] - within, (np.cumsum(sizes) - sizes)[full]
     at = np.arange(len(word))
     key, room, gram, names, below = c[at], len(marks), np.empty(sizes.sum(), np.int64), [], 0
+    begins = np.empty(len(gram), np.int64)
     for n in range(2, HIGH + 1):
         on = left[at] >= n
         at, key = at[on], key[on]
@@ -59,17 +65,45 @@ def grams(words: pa.Array) -> tuple[np.ndarray, np.ndarray, pa.Array]:
             continue
         coded = pa.array(key).dictionary_encode()
         key, room = coded.indices.to_numpy(zero_copy_only=False).astype(np.int64), len(coded.dictionary)
-        gram[slot[word[at]] + within[at]] = key + below
+        to = slot[word[at]] + within[at]
+        gram[to], begins[to] = key + below, at
         slot += np.maximum(size - n + 1, 1)
         # A word of n characters stands for its longer ones too.
         whole = size[word[at]] == n
         for k in range(HIGH - n):
-            gram[slot[word[at[whole]]] + k] = key[whole] + below
+            to = slot[word[at[whole]]] + k
+            gram[to], begins[to] = key[whole] + below, at[whole]
         place = np.empty(room, np.int64)
         place[key] = at
         names.append(pc.binary_join_element_wise(*[letters.take(pa.array(c[place + j])) for j in range(n)], ""))
         below += room
-    return sizes, gram, pa.concat_arrays(names)
+    return sizes, gram, pa.concat_arrays(names), begins
+
+
+class Prefixes:
+    """The longest known n-gram at a place of a word stands for those that begin there: the known ones that begin it, and each as often as a short word has it."""
+
+    def __init__(self, terms: list[str]):
+        at = {t: i for i, t in enumerate(terms)}
+        self.times = np.array([HIGH - len(t) + 1 if t[0] == t[-1] == " " else 1 for t in terms], float)
+        parent = np.array([next((at[t[:n]] for n in range(len(t) - 1, LOW - 1, -1) if t[:n] in at), -1) for t in terms], np.int64)
+        size = np.array([len(t) for t in terms], np.int64)
+        self.levels = [(own, parent[own]) for n in range(LOW + 1, HIGH + 1) for own in [np.flatnonzero((size == n) & (parent >= 0))]]
+
+    def up(self, weights: np.ndarray) -> np.ndarray:
+        """What each stands for; the intercept stays."""
+        v = weights.copy()
+        v[: len(self.times)] *= self.times
+        for own, parent in self.levels:
+            v[own] += v[parent]
+        return v
+
+    def down(self, sums: np.ndarray) -> np.ndarray:
+        """Sums by n-gram of sums by longest one."""
+        v = sums.copy()
+        for own, parent in reversed(self.levels):
+            v += np.bincount(parent, v[own], len(v))
+        return v * self.times
 
 
 def cells(row: np.ndarray, word: np.ndarray, n: np.ndarray, sizes: np.ndarray, gram: np.ndarray, most: int = CELLS) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
@@ -127,13 +161,16 @@ def vocabulary(docs: DataFrame, features: int, min_df: int = 2) -> DataFrame:
     return linear.numbered(eda.ranked_vocabulary(found.withColumn("grp", F.lit(0)), min_df, features), "tf", "df")
 
 
-def _block(words: pa.Array, known: pa.Array, idf: np.ndarray) -> tuple[dict[str, np.ndarray], np.ndarray]:
-    """The words of documents with their counts, the words' n-grams that are known, the length of each document's weights; the sums of squared weights by n-gram."""
+def _block(words: pa.Array, known: pa.Array, idf: np.ndarray, longest: bool = False) -> tuple[dict[str, np.ndarray], np.ndarray]:
+    """The words of documents with their counts, the words' n-grams that are known, the length of each document's weights; the sums of squared weights by n-gram.
+
+    With ``longest`` only the longest of the n-grams that begin at one place.
+    """
     row, word, n, names = packed.entries(words, False)
-    sizes, code, terms = grams(names)
+    sizes, code, terms, begins = placed(names)
     gram = pc.index_in(terms, known).fill_null(-1).to_numpy(zero_copy_only=False).astype(np.int64)[code]
     sizes = np.bincount(np.repeat(np.arange(len(sizes)), sizes)[gram >= 0], minlength=len(sizes))
-    gram, on = gram[gram >= 0], sizes[word] > 0
+    gram, begins, on = gram[gram >= 0], begins[gram >= 0], sizes[word] > 0
     # Only words with such n-grams stay.
     row, word, n, sizes = row[on], (np.cumsum(sizes > 0) - 1)[word[on]], n[on], sizes[sizes > 0]
     norm, square = np.ones(len(words)), np.zeros(len(idf))
@@ -143,10 +180,14 @@ def _block(words: pa.Array, known: pa.Array, idf: np.ndarray) -> tuple[dict[str,
         square += np.bincount(g, w / total[r - low], len(idf))
         own = np.flatnonzero(total)
         norm[low + own] = np.sqrt(total[own])
+    if longest and len(gram):
+        last, of = np.full(begins.max() + 1, -1), np.zeros(begins.max() + 1, np.int64)
+        last[begins], of[begins] = gram, np.repeat(np.arange(len(sizes)), sizes)
+        sizes, gram = np.bincount(of[last >= 0], minlength=len(sizes)), last[last >= 0]
     return {"entries": np.bincount(row, minlength=len(words)), "word": word, "n": n, "sizes": sizes, "gram": gram, "norm": norm}, square
 
 
-#: What a block holds: one value a document (entries, norm, label), a word of a document (word, n), a word (sizes), an n-gram of a word (gram), a term (square).
+#: What a block holds: one value a document (entries, norm, label), a word of a document (word, n), a word (sizes), the longest n-gram at a place of a word (gram), a term (square).
 BLOCK = {"entries": np.int32, "word": np.int32, "n": np.int32, "sizes": np.int32, "gram": np.int32, "norm": np.float64, "label": np.float64, "square": np.float64}
 
 
@@ -162,7 +203,7 @@ def blocks(docs: DataFrame, terms: list[str], idf: np.ndarray) -> DataFrame:
         known, scale = pa.array(shared.value[0], pa.string()), shared.value[1]
         for batch in batches:
             for b in _split(batch):
-                have, square = _block(b.column("words"), known, scale)
+                have, square = _block(b.column("words"), known, scale, True)
                 have |= {"label": b.column("label").to_numpy(zero_copy_only=False), "square": square}
                 yield pa.record_batch([pa.array([have[k].astype(t).tobytes()], pa.binary()) for k, t in _kinds(len(scale)).items()], list(BLOCK))
 
@@ -258,14 +299,14 @@ def fit(train: DataFrame, features: int = 30_000, c: float = 1.0, passes: int =
     data, square = data.drop("square"), np.array(square)
     near = data.mapInArrow(_near(d, max(1, math.ceil(n / NEAR), math.ceil(words / NEAR_WORDS))), "sizes binary, gram binary, value binary").toArrow()
     sizes, gram, value = (np.concatenate([np.zeros(0, t), *(np.frombuffer(v.as_buffer(), t) for v in near.column(k))]) for k, t in (("sizes", np.int32), ("gram", np.int32), ("value", np.float32)))
-    scale, ridge, done = np.r_[idf, 1.0], np.r_[np.ones(d), 0.0], 0
-    near = linear.Bend("lr", np.repeat(np.arange(len(sizes)), sizes), gram, value, np.ones(len(sizes)), scale, ridge, c * n)
+    stand, scale, ridge, done = Prefixes(terms), np.r_[idf, 1.0], np.r_[np.ones(d), 0.0], 0
+    near = linear.Bend("lr", np.repeat(np.arange(len(sizes)), sizes), gram, value, np.ones(len(sizes)), scale, ridge, c * n, up=stand.up, down=stand.down)
     run = linear.Turned(d + 1, near)
     while done < passes and not run.done:
-        shared = spark.sparkContext.broadcast(run.point * scale)
+        shared = spark.sparkContext.broadcast(stand.up(run.point * scale))
         y = linear.total(data, _sums(shared, d), d + 3)
         shared.unpersist()
-        bend = y[d + 2]
+        y[:d], bend = stand.down(y[:d]), y[d + 2]
         h = np.maximum(ridge + c * np.r_[square * bend / max(n, 1), bend], 1e-6)
         run.tell(0.5 * float((ridge * run.point**2).sum()) + c * float(y[d + 1]), ridge * run.point + c * scale * y[: d + 1], h)
         done += 1

@@ -95,3 +95,18 @@ def test_ngrams_of_odd_words():
         p = f" {w} "
         wanted = [p[k : k + n] for n in (3, 4, 5) for k in range(max(len(p) - n + 1, 1))] if w else []
         assert sorted(names[g] for g in gram[a:b]) == sorted(wanted)
+
+
+def test_the_longest_ngrams_stand_for_all():
+    """A third of what a pass read before; sums both ways are those of all n-grams, also where shorter ones are not known."""
+    rng = np.random.default_rng(4)
+    words = pa.array([["a", "abc", "ab", "abcab", "cabba"], ["ab", "ab", "a", "bcaab"], ["", "x"], None])
+    every = sorted(chars.grams(words.flatten())[2].to_pylist())
+    for terms in (every, [t for t in every if rng.random() < 0.6]):
+        known, idf, w = pa.array(terms), rng.random(len(terms)) + 1, rng.normal(size=len(terms) + 1)
+        (all_of, square), (some, same) = chars._block(words, known, idf), chars._block(words, known, idf, True)
+        assert len(some["gram"]) < len(all_of["gram"]) and np.array_equal(square, same)
+        stand = chars.Prefixes(terms)
+        assert np.allclose(chars._margins(some, stand.up(w))[0], chars._margins(all_of, w)[0])
+        sums = [np.bincount(b["gram"], np.repeat(np.bincount(b["word"], b["n"], len(b["sizes"])), b["sizes"]), len(terms)) for b in (all_of, some)]
+        assert np.allclose(stand.down(sums[1]), sums[0])
